@@ -127,7 +127,7 @@ def dominant(props: dict[str, Column], threshold: float | None = None,
     out = F.lit(other)
     for name, p in reversed(list(props.items())):
         rest = [q for n, q in props.items() if n != name]
-        rule = p > threshold if threshold is not None else p > F.greatest(*rest)
+        rule = p > threshold if threshold is not None else p > (F.greatest(*rest) if len(rest) > 1 else rest[0])
         out = F.when(rule, F.lit(name)).otherwise(out)
     return out
 

@@ -55,19 +55,26 @@ def label_points(points: DataFrame, intervals: DataFrame, keys: list[str], time:
     """Value of the interval ``[onset, onset + duration)`` that holds each point.
 
     Intervals with a NULL value are skipped; where intervals overlap the one
-    that starts last wins. Both sides are cut into time bins, so the join is an
+    that starts last wins, the larger value on a tie. Both sides are cut into time bins, so the join is an
     equality on (keys, bin) and long recordings spread over many tasks. An
     interval is first matched to each point once per bin, then reduced.
     """
     right = (intervals.where(F.col(value).isNotNull())
              .withColumn("_to", F.col("onset") + F.col("duration")))
-    right = _binned(right, "onset", "_to", width).select(*keys, "_bin", "onset", "_to", F.col(value).alias("_v"))
+    right = _binned(right, "onset", "_to", width).select(
+        *keys, "_bin", F.col("onset").alias("_from"), "_to", F.col(value).alias("_v"))
+    hit = _inside(points, right, keys, time, width, closed=False)
+    return hit.groupBy(*points.columns).agg(F.max_by("_v", F.struct("_from", "_v")).alias(value))
+
+
+def _inside(points, right, keys, time, width, closed):
+    """Points with the interval around them, by equality on (keys, bin) and bounds."""
+    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in [*keys, "_bin"]],
+                         *[c for c in right.columns if c not in (*keys, "_bin")])
     left = points.withColumn("_bin", F.floor(F.col(time) / F.lit(width)).cast("long"))
-    cond = [left[k] == right[k] for k in [*keys, "_bin"]]
-    inside = (left[time] >= right["onset"]) & (left[time] < right["_to"])
-    hit = left.join(right, [*cond, inside], "left").select(
-        *[left[c] for c in points.columns], right["onset"], right["_v"])
-    return hit.groupBy(*points.columns).agg(F.max_by("_v", "onset").alias(value))
+    cond = [F.col(k) == F.col(f"_r_{k}") for k in [*keys, "_bin"]]
+    upper = F.col(time) <= F.col("_to") if closed else F.col(time) < F.col("_to")
+    return left.join(right, [*cond, F.col(time) >= F.col("_from"), upper], "left")
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], time: str,
@@ -76,12 +83,10 @@ def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], time:
 
     ``merge_intervals`` makes any set of intervals disjoint first.
     """
-    right = _binned(intervals, "start", "end", width).select(*keys, "_bin", "start", "end")
-    left = points.withColumn("_bin", F.floor(F.col(time) / F.lit(width)).cast("long"))
-    cond = [left[k] == right[k] for k in [*keys, "_bin"]]
-    inside = (left[time] >= right["start"]) & (left[time] <= right["end"])
-    return left.join(right, [*cond, inside], "left").select(
-        *[left[c] for c in points.columns], right["start"].isNotNull().alias(name))
+    right = _binned(intervals, "start", "end", width).select(
+        *keys, "_bin", F.col("start").alias("_from"), F.col("end").alias("_to"))
+    hit = _inside(points, right, keys, time, width, closed=True)
+    return hit.select(*points.columns, F.col("_from").isNotNull().alias(name))
 
 
 def encode_runs(df: DataFrame, keys: list[str], idx: str, label: str, period: int = 1,

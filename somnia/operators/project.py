@@ -33,6 +33,13 @@ def keep_stages(df: DataFrame, names: list[str], vocabulary: dict[str, int] = RA
     return df if set(wanted) == set(vocabulary.values()) else df.where(F.col("stage").isin(wanted))
 
 
+def keep_datasets(df: DataFrame, datasets: list[str] | None = None, subjects: list | None = None) -> DataFrame:
+    """Rows of the named datasets and subjects; both prune a partitioned store."""
+    for name, values in (("dataset", datasets), ("subject", subjects)):
+        df = df.where(F.col(name).isin(values)) if values is not None else df
+    return df
+
+
 def stage_from_text(df: DataFrame, stage_map: DataFrame, text: str = "description") -> DataFrame:
     """Class of each text by its dataset's map; NULL when the text is not mapped.
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["project", "aggregates", "windows"]
+MODULES = ["project", "joins", "aggregates", "windows", "latent", "ordering", "scalars"]
 
 
 def load() -> dict:

@@ -51,10 +51,12 @@ def _(t):
     return fin(P.keep_stages(coded_epochs(t), ["Wake", "REM"], RAT_STAGES).select("epoch_id", "stage"))
 
 
-@query("pick_subjects", "P-05", out(COD, "SELECT epoch_id, subject, stage FROM cod WHERE subject IN (3, 11, 42) AND stage IN (3)", "epoch_id subject stage"))
+@query("pick_subjects", "P-05", out("sb AS (SELECT o_orderkey, c_custkey AS subject, n_name AS dataset FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)", "SELECT * FROM sb WHERE dataset IN ('NATION_1', 'NATION_7')", "o_orderkey subject"))
 def _(t):
-    rows = coded_epochs(t).where(F.col("subject").isin(3, 11, 42))
-    return fin(P.keep_stages(rows, ["nrem"]).select("epoch_id", "subject", "stage"))
+    rows = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("o_orderkey", F.col("c_custkey").alias("subject"), F.col("n_name").alias("dataset")))
+    return fin(P.keep_datasets(rows, ["NATION_1", "NATION_7"]))
 
 
 @query("stage_from_text", "P-06", out("ds AS (SELECT n_name AS dataset, o_orderstatus AS description FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), m(description, dataset, stage) AS (VALUES " + ", ".join(str(x) for x in TEXTS) + ")", "SELECT ds.dataset, ds.description, m.stage, count(*) AS n FROM ds LEFT JOIN m USING (dataset, description) GROUP BY ALL", "stage n"))

@@ -27,14 +27,18 @@ START = "1995-01-01"
 
 
 def fin(df: DataFrame) -> DataFrame:
-    """Result columns in plain types: BIGINT, DOUBLE rounded to six places, STRING."""
+    """Result columns in plain types: BIGINT, DOUBLE at six places, STRING.
+
+    The two engines' ``round`` differ on decimal halves, so both sides round
+    the scaled number to the nearest even whole one.
+    """
     out = []
     for name, kind in df.dtypes:
         if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
             out.append(F.col(name).cast("long").alias(name))
         elif kind in ("float", "double") or kind.startswith("decimal"):
             x = F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
-            out.append((F.round(x, 6) + F.lit(0.0)).alias(name))
+            out.append((F.rint(x * 1e6) / 1e6 + F.lit(0.0)).alias(name))
         else:
             out.append(F.col(name))
     return df.select(*out)
@@ -43,7 +47,7 @@ def fin(df: DataFrame) -> DataFrame:
 def out(ctes: str, select: str, ints: str = "", doubles: str = "") -> str:
     """Check SQL with the same plain types."""
     parts = [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in ints.split()]
-    parts += [f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in doubles.split()]
+    parts += [f'round_even(CAST("{c}" AS DOUBLE) * 1e6, 0) / 1e6 + 0.0 AS "{c}"' for c in doubles.split()]
     head = f"WITH {ctes} " if ctes else ""
     star = f"* REPLACE ({', '.join(parts)})" if parts else "*"
     return f"{head}SELECT {star} FROM ({select}) AS result"
@@ -120,6 +124,18 @@ def state_epochs(t) -> DataFrame:
 STA = COD + ", sta AS (SELECT *, dense_rank() OVER (ORDER BY code) AS latent_id FROM cod)"
 
 
+def fine_epochs(t) -> DataFrame:
+    """Coded epochs with five more bits, and whether an epoch is from the first half month."""
+    fine = F.lpad(F.bin(F.least(F.floor(F.col("v") / 16), F.lit(31)).cast("long")), 5, "0")
+    rows = coded_epochs(t).withColumn("code", F.concat("code", fine))
+    early = t.events.select(F.col("event_id").alias("epoch_id"), (F.col("ts") < F.lit("2024-01-16").cast("timestamp")).alias("early"))
+    return rows.join(early, "epoch_id")
+
+
+FIN = COD + """, fine AS (SELECT c.* REPLACE (c.code || lpad(bin(CAST(least(floor(c.v / 16), 31) AS BIGINT)), 5, '0') AS code), e.ts < TIMESTAMP '2024-01-16' AS early
+ FROM cod c JOIN events e ON e.event_id = c.epoch_id)"""
+
+
 def votes(t) -> DataFrame:
     """``study_id epoch_idx true pred scores``: a row per vote of a channel set."""
     q, p = F.col("l_quantity").cast("long"), F.col("l_partkey")

@@ -102,7 +102,7 @@ def _(t):
     return fin(E.override_artefacts(epoch_labels(t), flagged, KEY))
 
 
-@query("label_annotated_points", "J-01", out(ANN + ", hit AS (SELECT s.recording_id, s.id, s.onset, max_by(a.stage, a.onset) AS stage FROM ann s LEFT JOIN ann a ON s.recording_id = a.recording_id AND a.stage < 3 AND s.onset + 86400 >= a.onset AND s.onset + 86400 < a.onset + a.duration GROUP BY 1, 2, 3)", "SELECT * FROM hit", "recording_id id stage", "onset"))
+@query("label_annotated_points", "J-01", out(ANN + ", hit AS (SELECT s.recording_id, s.id, s.onset, max_by(a.stage, a.onset * 10 + a.stage) AS stage FROM ann s LEFT JOIN ann a ON s.recording_id = a.recording_id AND a.stage < 3 AND s.onset + 86400 >= a.onset AND s.onset + 86400 < a.onset + a.duration GROUP BY 1, 2, 3)", "SELECT * FROM hit", "recording_id id stage", "onset"))
 def _(t):
     a = annotations(t)
     points = a.select("recording_id", "id", (F.col("onset") + 86400.0).alias("time"))
@@ -111,7 +111,7 @@ def _(t):
     return fin(hit.select("recording_id", "id", (F.col("time") - 86400.0).alias("onset"), "stage"))
 
 
-@query("fixed_events", "J-14 X-08", out(ANN, "SELECT recording_id, id, onset + unnest(range(CAST(duration // 2592000 AS BIGINT))) * 2592000 AS event_onset, stage FROM ann", "recording_id id stage", "event_onset"))
+@query("fixed_events", "J-14 X-08", out(ANN, "SELECT recording_id, id, onset + unnest(range(CAST(floor(duration / 2592000) AS BIGINT))) * 2592000 AS event_onset, stage FROM ann", "recording_id id stage", "event_onset"))
 def _(t):
     a = annotations(t).select("recording_id", "id", "onset", "duration", "stage")
     return fin(I.fixed_events(a, 2592000.0).select("recording_id", "id", "event_onset", "stage"))

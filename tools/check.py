@@ -23,7 +23,7 @@ def connect(folder):
 
 def table(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return None
         return round(float(x), 6) + 0.0 if isinstance(x, float) else (int(x) if hasattr(x, "item") and not isinstance(x, str) and float(x) == int(x) else x)
     cols = sorted(df.columns)
@@ -42,11 +42,11 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
 
 
 def main(folder, names):
-    spark = build_session("check", "local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("check", "local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed, times = connect(folder), [], []
     for name, q in load().items():
-        if names and not any(n in name for n in names):
+        if names and not any(n in name or q.build.__module__.endswith("." + n) for n in names):
             continue
         start = time.time()
         try:
