@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from somnia.functions.scalar import clip, ratio, ratio_indices, safe_ln
 
-from .ordered import CHUNK, attach, chunk_of, drop_halo, halo, ordinal
+from somnia.session import materialise
+
+from .ordered import CHUNK, attach, chunk_of, drop_halo, halo, ordinal, summarise
 from .quantiles import exact_percentiles
 
 
@@ -67,7 +69,7 @@ def windowed_correlation(df: DataFrame, keys: list[str], idx: str, step: int, a:
 def zscore(df: DataFrame, keys: list[str], idx: str, value: str, name: str = "z",
            chunk: int = CHUNK) -> DataFrame:
     """Deviation from the recording's mean in population standard deviations."""
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    stats = summarise(df, keys, idx, _mean=F.avg(value), _sd=F.stddev_pop(value))
     out = attach(df, stats, keys, idx, chunk)
     return out.withColumn(name, ratio(F.col(value) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd")
 
@@ -90,8 +92,7 @@ def artefact_mask(df: DataFrame, keys: list[str], idx: str, value: str, fs: floa
     the nearest flagged sample, which needs one window instead of three joins.
     The time axis has step ``n / (n - 1) / fs``.
     """
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"),
-                                  F.count(F.lit(1)).alias("_n"))
+    stats = summarise(df, keys, idx, _mean=F.avg(value), _sd=F.stddev_pop(value), _n=F.count(F.lit(1)))
     out = attach(df, stats, keys, idx, chunk)
     out = out.withColumn("_z", ratio(F.col(value) - F.col("_mean"), F.col("_sd")))
     reach = math.ceil(max(around) * fs) + 1
@@ -169,20 +170,24 @@ def normalise_percentile(df: DataFrame, keys: list[str], idx: str, values: list[
     """Map the mean of the lowest tenth to 0, of the highest to 1, clip to [0.05, 1].
 
     ``guarded`` divides by 1 where both means are equal; otherwise the result
-    is NULL there.
+    is NULL there. ``idx`` is unique within ``keys``.
     """
-    out = df
-    for v in values:
-        cuts = exact_percentiles(df, keys, v, {"_p10": 0.1, "_p90": 0.9})
-        ends = (attach(df.select(*keys, idx, v), cuts, keys, idx, chunk).groupBy(*keys).agg(
-            F.avg(F.when(F.col(v) <= F.col("_p10"), F.col(v))).alias("_low"),
-            F.avg(F.when(F.col(v) >= F.col("_p90"), F.col(v))).alias("_top")))
-        width = F.col("_top") - F.col("_low")
-        if guarded:
-            width = F.when(width == 0, F.lit(1.0)).otherwise(width)
-        out = (attach(out, ends, keys, idx, chunk)
-               .withColumn(v, clip(ratio(F.col(v) - F.col("_low"), width), 0.05, 1.0)).drop("_low", "_top"))
-    return out
+    # One long table, so that all values share the passes of one percentile job.
+    pairs = F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_x")) for v in values])
+    long = df.select(*keys, idx, F.explode(pairs).alias("_p")).select(*keys, idx, "_p.*")
+    by = [*keys, "_name"]
+    cuts = exact_percentiles(long, by, "_x", {"_p10": 0.1, "_p90": 0.9})
+    ends = summarise(attach(long, cuts, by, idx, chunk), by, idx,
+                     _low=F.avg(F.when(F.col("_x") <= F.col("_p10"), F.col("_x"))),
+                     _top=F.avg(F.when(F.col("_x") >= F.col("_p90"), F.col("_x"))))
+    width = F.col("_top") - F.col("_low")
+    if guarded:
+        width = F.when(width == 0, F.lit(1.0)).otherwise(width)
+    scaled = attach(long, ends, by, idx, chunk).withColumn(
+        "_x", clip(ratio(F.col("_x") - F.col("_low"), width), 0.05, 1.0))
+    wide = scaled.groupBy(*keys, idx).agg(*[F.max(F.when(F.col("_name") == v, F.col("_x"))).alias(v) for v in values])
+    rest = [c for c in df.columns if c not in values]
+    return wide if rest == [*keys, idx] else df.select(*rest).join(wide, [*keys, idx])
 
 
 def smooth(df: DataFrame, keys: list[str], idx: str, values: list[str], width: int = 5, times: int = 3,
@@ -198,7 +203,7 @@ def smooth(df: DataFrame, keys: list[str], idx: str, values: list[str], width: i
 
 def norm_to_range(df: DataFrame, keys: list[str], idx: str, value: str, lo: float = 0.0, hi: float = 1.0,
                   chunk: int = CHUNK) -> DataFrame:
-    ends = df.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
+    ends = summarise(df, keys, idx, _min=F.min(value), _max=F.max(value))
     out = attach(df, ends, keys, idx, chunk)
     span = F.col("_max") - F.col("_min")
     return out.withColumn(value, lo + ratio((F.col(value) - F.col("_min")) * (hi - lo), span)).drop("_min", "_max")
@@ -212,9 +217,12 @@ def epoch_features(powers: DataFrame, keys: list[str], theta_power: str = "code"
     normalised again; then indices and three powers are smoothed.
     """
     bands = ["noise", "theta", "delta", "sigma", "gamma", "emg"]
+    # Powers and indices are one row per epoch but cost a pass over all samples,
+    # and the percentiles read them several times: each is written once.
+    powers = materialise(powers.select(*keys, "epoch_idx", *bands))
     normed = normalise_percentile(powers, keys, "epoch_idx", bands, chunk=chunk)
     indices = {n: safe_ln(c) for n, c in ratio_indices(theta_power=theta_power).items()}
-    logged = normed.withColumns(indices)
+    logged = materialise(normed.withColumns(indices))
     scaled = normalise_percentile(logged, keys, "epoch_idx", list(indices), chunk=chunk)
     names = [*indices, "noise", "theta", "delta"]
     return smooth(scaled, keys, "epoch_idx", names, chunk=chunk).select(*keys, "epoch_idx", *names)

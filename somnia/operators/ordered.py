@@ -97,13 +97,25 @@ def ordinal(df: DataFrame, keys: list[str], order: str, name: str,
     return out.withColumn(name, F.col(name) - 1)
 
 
+def summarise(df: DataFrame, keys: list[str], idx: str, **aggs: Column) -> DataFrame:
+    """Statistics per key with the index range that ``attach`` spreads them over."""
+    return df.groupBy(*keys).agg(F.min(idx).alias("_first"), F.max(idx).alias("_last"),
+                                 *[a.alias(n) for n, a in aggs.items()])
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], idx: str,
            chunk: int = CHUNK, how: str = "left") -> DataFrame:
     """Join one row per key to every row of the key, without a hot join key.
 
     The statistics are first spread over the chunks each key has, so the large
     join runs on (keys, chunk) and no task gets more than a chunk of one key.
+    Statistics from ``summarise`` know their chunks; for others the chunks are
+    read off the rows.
     """
     rows = df.withColumn("_chunk", chunk_of(idx, chunk))
-    spread = rows.select(*keys, "_chunk").distinct().join(stats, keys)
+    if "_first" in stats.columns:
+        spread = stats.withColumn("_chunk", F.explode(F.sequence(
+            chunk_of("_first", chunk), chunk_of("_last", chunk)))).drop("_first", "_last")
+    else:
+        spread = rows.select(*keys, "_chunk").distinct().join(stats, keys)
     return rows.join(spread, [*keys, "_chunk"], how).drop("_chunk")

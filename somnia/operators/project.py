@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from somnia.functions.scalar import lookup
 from somnia.schemas import CHANNEL_TYPES, PSG_STAGES, RAT_STAGES
 
-from .ordered import CHUNK, attach, chunk_of, scan
+from .ordered import CHUNK, attach, chunk_of, scan, summarise
 
 
 def pick_channels(df: DataFrame, channels: list[str]) -> DataFrame:
@@ -111,7 +111,7 @@ def wake_trim(pairs: DataFrame, minutes: float, period_sec: float, key: str = "s
     """
     n = int((60 / period_sec) * minutes)
     asleep = F.when(F.col(true) != 0, F.col(idx))
-    ends = pairs.groupBy(key).agg(F.min(asleep).alias("_from"), F.max(asleep).alias("_to"))
+    ends = summarise(pairs, [key], idx, _from=F.min(asleep), _to=F.max(asleep))
     out = attach(pairs, ends, [key], idx, chunk)
     keep = (F.col(idx) >= F.col("_from") - n) & (F.col(idx) < F.col("_to") + n)
     return out.where(F.col("_from").isNull() | keep).drop("_from", "_to")

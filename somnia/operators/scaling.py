@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from somnia.functions.scalar import EPS, ratio
 
-from .ordered import CHUNK, attach
+from .ordered import CHUNK, attach, chunk_of, summarise
 from .quantiles import exact_percentiles
 
 # Scaler names in the order in which a setting is searched for them.
@@ -98,11 +98,11 @@ def scale_channels(df: DataFrame, keys: list[str], idx: str, value: str = "value
         stats = exact_percentiles(df, keys, value, {"_a": 0.5, "_q1": 0.25, "_q3": 0.75})
         stats = stats.select(*keys, "_a", (F.col("_q3") - F.col("_q1")).alias("_b"))
     elif scaler == "StandardScaler":
-        stats = df.groupBy(*keys).agg(F.avg(value).alias("_a"), F.stddev_pop(value).alias("_b"))
+        stats = summarise(df, keys, idx, _a=F.avg(value), _b=F.stddev_pop(value))
     elif scaler == "MinMaxScaler":
-        stats = df.groupBy(*keys).agg(F.min(value).alias("_a"), (F.max(value) - F.min(value)).alias("_b"))
+        stats = summarise(df, keys, idx, _a=F.min(value), _b=F.max(value) - F.min(value))
     elif scaler == "MaxAbsScaler":
-        stats = df.groupBy(*keys).agg(F.lit(0.0).alias("_a"), F.max(F.abs(value)).alias("_b"))
+        stats = summarise(df, keys, idx, _a=F.lit(0.0), _b=F.max(F.abs(value)))
     else:
         raise ValueError(f"unknown scaler {scaler}")
     # A group without spread is shifted only.
@@ -127,8 +127,6 @@ def clip_noisy(df: DataFrame, keys: list[str], idx: str, value: str = "value", k
 def zero_noisy_epochs(df: DataFrame, keys: list[str], idx: str, size: int, value: str = "value",
                       k: float = 20.0, chunk: int = CHUNK) -> DataFrame:
     """Our reading: an epoch with a value beyond ``k`` inter-quartile ranges becomes 0."""
-    from pyspark.sql import Window
-    from .ordered import chunk_of
     out = attach(df, _iqr(df, keys, value), keys, idx, chunk).withColumn("epoch_idx", chunk_of(idx, size))
     peak = F.max(F.abs(value)).over(Window.partitionBy(*keys, "epoch_idx"))
     return (out.withColumn("_peak", peak)

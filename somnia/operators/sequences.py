@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from somnia.functions.scalar import argmax
 
-from .ordered import CHUNK, attach, chunk_of, drop_halo, halo, scan
+from .ordered import CHUNK, attach, chunk_of, drop_halo, halo, scan, summarise
 
 
 def centred_sequences(df: DataFrame, keys: list[str], idx: str, cols: list[str], margin: int,
@@ -18,7 +18,7 @@ def centred_sequences(df: DataFrame, keys: list[str], idx: str, cols: list[str],
     shorter than a sequence give no rows.
     """
     size = 2 * margin + 1
-    n = df.groupBy(*keys).agg((F.max(idx) + 1).alias("_n"))
+    n = summarise(df, keys, idx, _n=F.max(idx) + 1)
     rows, w = halo(attach(df, n, keys, idx, chunk), keys, idx, 2 * margin, 2 * margin, chunk)
     item = F.struct(F.col(idx), *[F.col(c) for c in cols])
     rows = drop_halo(rows.withColumn("_seq", F.collect_list(item).over(w.rangeBetween(-2 * margin, 2 * margin))))
@@ -60,7 +60,7 @@ def smooth_labels(df: DataFrame, keys: list[str], idx: str, label: str, kernel:
                   chunk: int = CHUNK) -> DataFrame:
     """One-hot labels convolved with ``kernel``; the borders are mirrored."""
     half = (len(kernel) - 1) // 2
-    n = df.groupBy(*keys).agg((F.max(idx) + 1).alias("_n"))
+    n = summarise(df, keys, idx, _n=F.max(idx) + 1)
     rows, w = halo(attach(df, n, keys, idx, chunk), keys, idx, len(kernel), len(kernel), chunk)
     near = F.map_from_entries(F.collect_list(F.struct(F.col(idx), F.col(label))).over(
         w.rangeBetween(-len(kernel), len(kernel))))

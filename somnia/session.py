@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -41,3 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="somnia-")
         spark.conf.set(CHECKPOINT_KEY, base)
     return f"{base.rstrip('/')}/somnia/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back.
+
+    Cuts the plan where several later passes would otherwise run an expensive
+    step again; the written table also survives the loss of executors.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
