@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["project", "joins", "aggregates", "windows", "latent", "ordering", "scalars", "signals", "sampling"]
+MODULES = ["project", "joins", "aggregates", "windows", "latent", "ordering", "scalars", "signals", "sampling", "models", "sources"]
 
 
 def load() -> dict:

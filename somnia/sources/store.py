@@ -19,12 +19,17 @@ def write_samples(df: DataFrame, path: str, partitions: list[str], mode: str = "
      .sortWithinPartitions(*partitions, *at).write.mode(mode).partitionBy(*partitions).parquet(path))
 
 
-def write_features(df: DataFrame, path: str, notes: dict[str, str] | None = None, mode: str = "append") -> None:
-    """Features and labels by dataset and subject; notes are kept as column comments."""
+def write_features(df: DataFrame, path: str, notes: dict[str, str] | None = None, mode: str = "append",
+                   partitions: list[str] = ("dataset", "subject")) -> None:
+    """Features and labels by dataset and subject; notes are kept as column comments.
+
+    With very many subjects partition by dataset alone: one folder per subject
+    would leave small files.
+    """
     out = df
     for name, text in (notes or {}).items():
         out = out.withMetadata(name, {"comment": text})
-    out.write.mode(mode).partitionBy("dataset", "subject").parquet(path)
+    out.write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
 def read_features(spark: SparkSession, path: str, datasets: list[str] | None = None,
