@@ -57,12 +57,13 @@ def prefix_average(df: DataFrame, keep: list[str]) -> DataFrame:
 def windowed_correlation(df: DataFrame, keys: list[str], idx: str, step: int, a: str, b: str) -> DataFrame:
     """Pearson correlation over ``2 * step + 1`` samples around each multiple of ``step``.
 
-    A sample lies in at most three windows, so rows grow by a fixed factor.
+    A sample lies in at most three windows, so rows grow by a fixed factor. A
+    channel that does not move within a window gives NULL.
     """
     lo, hi = F.ceil((F.col(idx) - step) / F.lit(step)), F.floor((F.col(idx) + step) / F.lit(step))
     spread = df.withColumn("bin", F.explode(F.sequence(lo.cast("long"), hi.cast("long")))).where("bin >= 1")
     out = spread.groupBy(*keys, "bin").agg(
-        F.corr(a, b).alias("corr"), F.count(F.lit(1)).alias("_n"))
+        ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("corr"), F.count(F.lit(1)).alias("_n"))
     return out.where(F.col("_n") == 2 * step + 1).select(*keys, (F.col("bin") - 1).alias("bin"), "corr")
 
 
@@ -97,7 +98,7 @@ def artefact_mask(df: DataFrame, keys: list[str], idx: str, value: str, fs: floa
     out = out.withColumn("_z", ratio(F.col(value) - F.col("_mean"), F.col("_sd")))
     reach = math.ceil(max(around) * fs) + 1
     rows, w = halo(out, keys, idx, reach, reach + 1, chunk)
-    i, step = F.col(idx), F.col("_n") / (F.col("_n") - 1) / F.lit(fs)
+    i, step = F.col(idx), F.col("_n") / F.greatest(F.col("_n") - 1, F.lit(1)) / F.lit(fs)
     rows = rows.withColumns({
         "_big": F.when(F.abs("_z") > amplitude[0], i),
         "_fast": F.when(F.abs(F.coalesce(F.lead("_z").over(w) - F.col("_z"), F.lit(0.0))) > amplitude[1], i)})

@@ -122,9 +122,9 @@ def fill_gaps(df: DataFrame, keys: list[str], fill: str, span: float = float(CHU
 
 def remove_offset(df: DataFrame, keys: list[str], init: str = "init_sec", chunk: int = CHUNK) -> DataFrame:
     """Start each recording at 0; ``whole_seconds`` is false where a start is not whole."""
-    first = df.groupBy(*keys).agg(F.min(init).alias("_first"))
-    out = attach(df, first, keys, init, chunk).withColumn(init, F.col(init) - F.col("_first"))
-    return out.withColumn("whole_seconds", F.col(init) == F.floor(init)).drop("_first")
+    first = df.groupBy(*keys).agg(F.min(init).alias("_start"))
+    out = attach(df, first, keys, init, chunk).withColumn(init, F.col(init) - F.col("_start"))
+    return out.withColumn("whole_seconds", F.col(init) == F.floor(init)).drop("_start")
 
 
 def correct_zero_durations(df: DataFrame, seconds: int) -> DataFrame:

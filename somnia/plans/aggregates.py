@@ -180,7 +180,7 @@ def _(t):
     return fin(E.prefix_average(long, ["EOG1"]))
 
 
-@query("windowed_correlation", "A-05 J-16", out(SIG + ", w AS (SELECT recording_id, unnest([sample_idx // 4, sample_idx // 4 + 1, CASE WHEN sample_idx % 4 = 0 THEN sample_idx // 4 - 1 END]) AS b, v, k FROM sig)", "SELECT recording_id, b - 1 AS bin, corr(v, k) AS corr FROM w WHERE b >= 1 GROUP BY 1, 2 HAVING count(*) = 9", "recording_id bin", "corr"))
+@query("windowed_correlation", "A-05 J-16", out(SIG + ", w AS (SELECT recording_id, unnest([sample_idx // 4, sample_idx // 4 + 1, CASE WHEN sample_idx % 4 = 0 THEN sample_idx // 4 - 1 END]) AS b, v, k FROM sig)", "SELECT recording_id, b - 1 AS bin, covar_pop(v, k) / nullif(stddev_pop(v) * stddev_pop(k), 0) AS corr FROM w WHERE b >= 1 GROUP BY 1, 2 HAVING count(*) = 9", "recording_id bin", "corr"))
 def _(t):
     return fin(E.windowed_correlation(signal(t), ["recording_id"], "sample_idx", 4, "v", "k"))
 

@@ -1,69 +1,38 @@
-"""Compare registered queries with their SQL: ``check.py folder [name ...]``."""
+"""Compare registered queries with their SQL: ``check.py folder [name or module ...]``."""
 
 import sys
 import time
 from pathlib import Path
 
-import duckdb
-import pandas as pd
-
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+ROOT = Path(__file__).resolve().parents[1]
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+from oracle import compare, connect  # noqa: E402
 from somnia.plans import load  # noqa: E402
 from somnia.plans.registry import Tables  # noqa: E402
 from somnia.session import build_session  # noqa: E402
 
 
-def connect(folder):
-    con = duckdb.connect()
-    con.execute("SET TimeZone = 'UTC'")
-    for f in sorted(Path(folder).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
-    return con
-
-
-def table(df: pd.DataFrame) -> list[tuple]:
-    def plain(x):
-        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
-            return None
-        return round(float(x), 6) + 0.0 if isinstance(x, float) else (int(x) if hasattr(x, "item") and not isinstance(x, str) and float(x) == int(x) else x)
-    cols = sorted(df.columns)
-    rows = [tuple(plain(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)]
-    return sorted(rows, key=lambda r: tuple((v is None, str(type(v)), v) for v in r))
-
-
-def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
-    if sorted(got.columns) != sorted(want.columns):
-        return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
-    if len(got) != len(want):
-        return f"rows {len(got)} vs {len(want)}"
-    a, b = table(got), table(want)
-    bad = [(x, y) for x, y in zip(a, b) if x != y]
-    return f"{len(bad)} rows differ, first {bad[0]}" if bad else None
-
-
 def main(folder, names):
-    spark = build_session("check", "local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("check", "local[8]", **{
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed, times = connect(folder), [], []
     for name, q in load().items():
         if names and not any(n in name or q.build.__module__.endswith("." + n) for n in names):
             continue
-        start = time.time()
+        start, note, n = time.time(), None, 0
         try:
             got = q.build(Tables(spark, folder)).toPandas()
-            took = time.time() - start
-            note = None
-            if q.sql:
-                note = compare(got, con.sql(q.sql).df())
-            elif got.empty:
-                note = "no rows"
+            n = len(got)
+            note = "no rows" if got.empty else compare(got, con.sql(q.sql).df()) if q.sql else None
         except Exception as e:  # noqa: BLE001
-            took, note = time.time() - start, f"{type(e).__name__}: {str(e)[:600]}"
+            note = f"{type(e).__name__}: {str(e)[:600]}"
+        took = time.time() - start
         times.append((took, name))
-        print(f"{'FAIL' if note else 'ok  '} {took:6.2f}s {len(got) if not note else 0:7d} {'sql ' if q.sql else 'rows'} {name} {note or ''}", flush=True)
-        if note:
-            failed.append(name)
-    print(f"{len(times)} queries, {len(failed)} failed {failed}; slowest {[(n, round(s, 1)) for s, n in sorted(times)[-6:]]}")
+        print(f"{'FAIL' if note else 'ok  '} {took:6.2f}s {n:7d} {'sql ' if q.sql else 'rows'} {name} {note or ''}", flush=True)
+        failed += [name] if note else []
+    print(f"{len(times)} queries, {len(failed)} failed {failed}; slowest {[(n, round(s, 1)) for s, n in sorted(times)[-8:]]}")
     return len(failed)
 
 
