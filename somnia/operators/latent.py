@@ -82,13 +82,14 @@ def new_states(test: DataFrame, train: DataFrame) -> DataFrame:
     return test.select("code").distinct().join(train.select("code").distinct(), "code", "left_anti")
 
 
-def state_stage_counts(df: DataFrame, stages: list[int]) -> DataFrame:
-    return df.where(F.col("stage").isin(stages)).groupBy("latent_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+def state_stage_counts(df: DataFrame, stages: list[int], min_size: int = 0) -> DataFrame:
+    """Epochs per state and listed stage, for states with more than ``min_size`` epochs.
 
-
-def drop_small_states(counts: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
-    big = sizes.where(F.col("n_epochs") > threshold).select("latent_id")
-    return counts.join(big, "latent_id", "left_semi")
+    A state's size counts all its epochs. Both come from one aggregate.
+    """
+    per = df.groupBy("latent_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+    size = F.sum("n").over(Window.partitionBy("latent_id"))
+    return per.withColumn("_size", size).where((F.col("_size") > min_size) & F.col("stage").isin(stages)).drop("_size")
 
 
 def share_of_stage(counts: DataFrame) -> DataFrame:
@@ -103,29 +104,28 @@ def state_entropy(shares: DataFrame, names: list[str]) -> DataFrame:
     return shares.withColumn("entropy", sum(terms[1:], terms[0]))
 
 
-def stage_entropy(counts: DataFrame) -> DataFrame:
-    """Entropy term of each stage; their sum is the entropy of the stages."""
-    total = counts.agg(F.sum("n").alias("t"))
-    per = counts.groupBy("stage").agg(F.sum("n").alias("n")).withColumn("p", F.col("n") / total.scalar())
-    return per.select("stage", F.when(F.col("p") > 0, -F.col("p") * log2(F.col("p"))).otherwise(0.0).alias("entropy"))
-
+def mutual_information(counts: DataFrame) -> DataFrame:
+    """Per stage: entropy term, information that states carry on it, and their ratio.
 
-def information_terms(counts: DataFrame) -> DataFrame:
-    """One term of the mutual information per state and stage, in bits."""
-    total = counts.agg(F.sum("n").cast("double").alias("t"))
-    rows = counts.withColumn("_t", total.scalar())
-    rows = rows.withColumns({
-        "_state": F.sum("n").over(Window.partitionBy("latent_id")) / F.col("_t"),
-        "_stage": F.sum("n").over(Window.partitionBy("stage")) / F.col("_t"),
-        "_p": F.col("n") / F.col("_t")})
-    return rows.where("n > 0").select(
-        "latent_id", "stage", (F.col("_p") * log2(F.col("_p") / (F.col("_state") * F.col("_stage")))).alias("mi"))
+    With N all epochs, the information of stage j is
+    ``(sum_i n_ij log2(n_ij / (n_i n_j)) + n_j log2 N) / N``: marginals are
+    windows over the counts and N is the sum of a few stage rows, so the epochs
+    behind the counts are read once.
+    """
+    n = F.col("n").cast("double")
+    rows = counts.where("n > 0").withColumns({
+        "_i": F.sum(n).over(Window.partitionBy("latent_id")), "_j": F.sum(n).over(Window.partitionBy("stage"))})
+    per = rows.groupBy("stage").agg(F.sum(n * log2(n / (F.col("_i") * F.col("_j")))).alias("_a"), F.sum(n).alias("_n"))
+    per = per.withColumn("_t", F.sum("_n").over(Window.partitionBy()))  # one row per stage
+    p = F.col("_n") / F.col("_t")
+    out = per.select("stage", ((F.col("_a") + F.col("_n") * log2(F.col("_t"))) / F.col("_t")).alias("mi"),
+                     (-p * log2(p)).alias("entropy"))
+    return out.withColumn("ratio", ratio(F.col("mi"), F.col("entropy")))
 
 
-def mutual_information(counts: DataFrame) -> DataFrame:
-    """Per stage, the information states carry on it and the share of its entropy."""
-    per = information_terms(counts).groupBy("stage").agg(F.sum("mi").alias("mi"))
-    return per.join(stage_entropy(counts), "stage").withColumn("ratio", ratio(F.col("mi"), F.col("entropy")))
+def stage_entropy(counts: DataFrame) -> DataFrame:
+    """Entropy term of each stage; their sum is the entropy of the stages."""
+    return mutual_information(counts).select("stage", "entropy")
 
 
 def total_information(counts: DataFrame) -> DataFrame:
@@ -175,8 +175,9 @@ def state_histogram(df: DataFrame, threshold: int, norm: str = "L2") -> DataFram
            .groupBy("scope", "key", "latent_id").agg(F.sum("n").alias("n")))
     scope = Window.partitionBy("scope", "key")
     per = per.withColumn("_all", F.sum("n").over(scope))
-    sizes = base.groupBy("latent_id").agg(F.sum("n").alias("n_epochs"))
-    kept = drop_small_states(per, sizes, threshold)
+    # The overall count of a state is the row of scope "all".
+    size = F.max(F.when(F.col("scope") == "all", F.col("n"))).over(Window.partitionBy("latent_id"))
+    kept = per.withColumn("_size", size).where(F.col("_size") > threshold)
     if norm == "L2":
         share = F.col("n") / F.sqrt(F.sum(F.col("n").cast("double") * F.col("n")).over(scope))
     else:

@@ -2,15 +2,16 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer.
 Here a histogram with map-side combine finds the cell that holds each wanted
-rank, the cell is split once more over its own value range, and only the rows
-of the small cells that are left are counted by value. Cells are told apart by
-number, never by comparing bounds, so the result is exact.
+rank, and only the rows of those cells are shuffled, as counts by value. Cells
+are told apart by number, never by comparing bounds, so the result is exact.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .ordered import scan
+
 BINS = 4096
 
 
@@ -53,18 +54,16 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
         F.array_distinct(F.array(*ranks)), lambda r: F.struct(r.alias("rank"), r.alias("rel"))))
     first = _locate(hist, keys, "_c0").drop("_n")
 
-    by = [*keys, "_c0"]
-    fine = rows.join(first, by).withColumn("_c1", _cell("_x", "_lo", "_hi", bins))
-    second = fine.groupBy(*by, "_c1").agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_ranks").alias("_ranks"),
-        F.first("_total").alias("_total"))
-    second = _locate(second, by, "_c1").drop("_n")
-
-    by = [*by, "_c1"]
-    last = (fine.select(*by, "_x").join(second, by).groupBy(*by, "_x")
-            .agg(F.count(F.lit(1)).alias("_n"), F.first("_ranks").alias("_ranks"),
-                 F.first("_total").alias("_total")))
-    last = _locate(last, by, "_x")
+    # Rows of the wanted cells, counted by value: equal values become one row,
+    # however many there are. Ranks inside a cell are running counts in two
+    # levels, over slices of the cell's own value range.
+    cell = [*keys, "_c0"]
+    values = (rows.join(first, cell).groupBy(*cell, "_x").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_ranks", "_total", "_lo", "_hi")]))
+    values = values.withColumn("_c1", _cell("_x", "_lo", "_hi", bins))
+    last = scan(values, cell, ["_x"], F.col("_c1").cast("long"), _upto=("sum", "_n"))
+    last = last.withColumn("_ranks", F.filter("_ranks", lambda r: (r["rel"] >= F.col("_upto") - F.col("_n"))
+                                              & (r["rel"] < F.col("_upto")))).where(F.size("_ranks") > 0)
 
     hits = last.select(*keys, "_x", "_total", F.explode("_ranks.rank").alias("_rank"))
     outs = []

@@ -105,8 +105,13 @@ def draw_balanced(epochs: DataFrame, draws: DataFrame, probs: list[float], margi
 
 def draw_uniform(epochs: DataFrame, draws: DataFrame, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Per draw: a study, then one of its epochs, each alike likely."""
-    one = epochs.withColumn("stage", F.lit(0))
-    return draw_balanced(one, draws, [1.0], 0, seed, chunk).select("draw", "study_id", "epoch_idx")
+    per = epochs.groupBy("study_id").agg(F.count(F.lit(1)).alias("_n"))
+    studies = scan(per, [], ["study_id"], chunk_of("study_id", chunk), _ord=("count",))
+    placed = ordinal(epochs.select("study_id", "epoch_idx"), ["study_id"], "epoch_idx", "_pos", chunk)
+    d = draws.select("draw").withColumn("_studies", per.agg(F.count(F.lit(1)).alias("n")).scalar())
+    d = d.withColumn("_ord", F.floor(uniform(f"{seed}s", "draw") * F.col("_studies")) + 1).join(studies, "_ord")
+    d = d.withColumn("_pos", F.floor(uniform(f"{seed}e", "draw") * F.col("_n")))
+    return d.join(placed, ["study_id", "_pos"]).select("draw", "study_id", "epoch_idx")
 
 
 def dataset_mix(sizes: DataFrame, alpha: float) -> DataFrame:

@@ -19,19 +19,24 @@ from .ordered import CHUNK, chunk_of, drop_halo, halo
 ARRAY = T.ArrayType(T.DoubleType())
 
 
-def frames(df: DataFrame, keys: list[str], idx: str, value: str, size: int, hop: int | None = None) -> DataFrame:
+def frames(df: DataFrame, keys: list[str], idx: str, value: str | list[str], size: int,
+           hop: int | None = None) -> DataFrame:
     """Whole frames of ``size`` samples as one array; the array is never longer.
 
-    Frames start every ``hop`` samples, end to end by default.
+    Frames start every ``hop`` samples, end to end by default. For a list of
+    columns there is one array ``frame_<column>`` each.
     """
-    item = F.struct(F.col(idx), F.col(value).cast("double").alias("x"))
+    columns = [value] if isinstance(value, str) else value
+    item = F.struct(F.col(idx), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     if hop is None or hop == size:
         rows = df.withColumn("_frame", chunk_of(idx, size))
     else:
         first = F.greatest(F.floor((F.col(idx) - size) / F.lit(hop)).cast("long") + 1, F.lit(0).cast("long"))
         rows = df.withColumn("_frame", F.explode(F.sequence(first, chunk_of(idx, hop))))
     out = rows.groupBy(*keys, F.col("_frame").alias("epoch_idx")).agg(F.sort_array(F.collect_list(item)).alias("_f"))
-    return out.where(F.size("_f") == size).select(*keys, "epoch_idx", F.col("_f.x").alias("frame"))
+    names = ["frame"] if isinstance(value, str) else [f"frame_{c}" for c in columns]
+    return out.where(F.size("_f") == size).select(
+        *keys, "epoch_idx", *[F.col(f"_f.x{i}").alias(n) for i, n in enumerate(names)])
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -152,19 +157,30 @@ def multitaper_spectrum(x: np.ndarray, tapers: np.ndarray, ratios: np.ndarray) -
     return 2 * total / ratios.sum()
 
 
-def multitaper_band_power(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, size: int,
-                          bands: dict[str, tuple[float, float]]) -> DataFrame:
-    """Power of each epoch summed over the bins of each band, ends included."""
+def multitaper_band_power(df: DataFrame, keys: list[str], idx: str, fs: float, size: int,
+                          bands: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """Power of each epoch summed over the bins of each band, ends included.
+
+    A band names the column it is measured on; all columns of an epoch are
+    framed in the same shuffle.
+    """
     tapers, ratios = slepian_tapers(size)
     freqs = np.fft.rfftfreq(size, 1 / fs)
-    masks = np.stack([(freqs >= lo) & (freqs <= hi) for lo, hi in bands.values()]).astype(float)
+    columns = sorted({c for c, _, _ in bands.values()})
+    out, at = frames(df, keys, idx, columns, size), {}
+    for c in columns:
+        mine = [(b, lo, hi) for b, (col, lo, hi) in bands.items() if col == c]
+        masks = np.stack([(freqs >= lo) & (freqs <= hi) for _, lo, hi in mine]).astype(float)
+        out = out.withColumn(f"_p_{c}", _band_udf(tapers, ratios, masks)(f"frame_{c}"))
+        at.update({b: F.col(f"_p_{c}")[i].alias(b) for i, (b, _, _) in enumerate(mine)})
+    return out.select(*keys, "epoch_idx", *[at[b] for b in bands])
 
+
+def _band_udf(tapers, ratios, masks):
     @F.pandas_udf(ARRAY)
     def powers(frame: pd.Series) -> pd.Series:
         return _rows(multitaper_spectrum(_stack(frame), tapers, ratios) @ masks.T)
-
-    out = frames(df, keys, idx, value, size).withColumn("_p", powers("frame"))
-    return out.select(*keys, "epoch_idx", *[F.col("_p")[i].alias(b) for i, b in enumerate(bands)])
+    return powers
 
 
 def _spectrum(size: int, fs: float, window: str):

@@ -31,7 +31,7 @@ def trimmed(t):
 
 @query("hard_vote", "A-34", out(VOT, "SELECT study_id, epoch_idx, pred FROM (SELECT study_id, epoch_idx, pred, row_number() OVER (PARTITION BY study_id, epoch_idx ORDER BY count(*) DESC, pred) AS rn FROM vot GROUP BY 1, 2, 3) WHERE rn = 1", "study_id epoch_idx pred"))
 def _(t):
-    return fin(V.hard_vote(votes(t), ["study_id", "epoch_idx"]))
+    return fin(V.hard_vote(votes(t), ["study_id", "epoch_idx"], classes=CLASSES))
 
 
 def _vote_sql(fn):
@@ -59,7 +59,7 @@ def _(t):
 @query("aligned_pairs", "P-16 J-12", out(PAI, "SELECT study_id, idx, true_ AS \"true\", pred FROM pai", "study_id idx true pred"))
 def _(t):
     key = ["study_id", "epoch_idx"]
-    both = equalise(V.hard_vote(votes(t), key, "true"), V.hard_vote(votes(t), key, "pred"), key)
+    both = equalise(V.hard_vote(votes(t), key, "true"), V.hard_vote(votes(t), key, "pred", CLASSES), key)
     return fin(both.withColumnRenamed("epoch_idx", "idx"))
 
 

@@ -27,8 +27,7 @@ def sizes(sta):
 
 
 def counts(t):
-    sta = state_epochs(t)
-    return L.drop_small_states(L.state_stage_counts(sta, STAGES), sizes(sta), 100)
+    return L.state_stage_counts(state_epochs(t), STAGES, 100)
 
 
 @query("unique_states", "A-20 M-05", out(COD, "SELECT code, count(*) AS n_epochs, min(epoch_id) AS first_epoch, dense_rank() OVER (ORDER BY code) AS latent_id FROM cod GROUP BY 1", "n_epochs first_epoch latent_id"))

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from somnia.functions.scalar import group_digit, lookup
+from somnia.functions.scalar import group_digit, lookup, most_frequent
 from somnia.operators.latent import assign_states, unique_states
 from somnia.operators.ordered import ordinal
 
 FS = 4.0
 EPOCH = 16
+CLASSES = [0, 1, 2, 3, 4]
 PSG = {"view": 0, "click": 1, "signup": 2, "error": 3, "purchase": 4}
 RAT = {"view": 1, "click": 3, "signup": 5, "error": 4, "purchase": 0}
 START = "1995-01-01"
@@ -88,7 +89,7 @@ SAMP = SIG + """, samp AS (SELECT recording_id, sample_idx, 'v' AS channel, v AS
 
 def epoch_labels(t) -> DataFrame:
     from somnia.operators.epochs import epoch_mode
-    return epoch_mode(signal(t), ["recording_id"], "sample_idx", EPOCH)
+    return epoch_mode(signal(t), ["recording_id"], "sample_idx", EPOCH, classes=CLASSES)
 
 
 LAB = SIG + f""", labn AS (SELECT recording_id, sample_idx // {EPOCH} AS epoch_idx, stage, count(*) AS n FROM sig GROUP BY ALL),
@@ -153,7 +154,7 @@ VOT = """vot AS (SELECT l_suppkey AS study_id, l_partkey % 200 AS epoch_idx, CAS
 def pairs(t) -> DataFrame:
     """``study_id idx true pred`` per epoch: both sides by vote, in one aggregate."""
     return votes(t).groupBy("study_id", F.col("epoch_idx").alias("idx")).agg(
-        F.mode("true", True).alias("true"), F.mode("pred", True).alias("pred"))
+        most_frequent("true", CLASSES).alias("true"), most_frequent("pred", CLASSES).alias("pred"))
 
 
 def _mode(col):

@@ -131,9 +131,8 @@ ID = ["recording_id", "epoch_idx"]
 
 def sequences(t):
     """Whole epochs as arrays ``v`` and ``k``."""
-    s = signal(t)
-    v = G.frames(s, KEY, "sample_idx", "v", EPOCH).withColumnRenamed("frame", "v")
-    return v.join(G.frames(s, KEY, "sample_idx", "k", EPOCH).withColumnRenamed("frame", "k"), ID)
+    f = G.frames(signal(t), KEY, "sample_idx", ["v", "k"], EPOCH)
+    return f.select(*ID, F.col("frame_v").alias("v"), F.col("frame_k").alias("k"))
 
 
 def rows(df, *cols):

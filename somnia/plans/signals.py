@@ -62,11 +62,8 @@ def _(t):
 
 
 def band_powers(t):
-    """Each feature's band on the channel it is measured on, two passes over the samples."""
-    s = signal(t)
-    side = lambda ch: G.multitaper_band_power(s, KEY, "sample_idx", ch, RATE, EPOCH, {
-        f: (lo, hi) for f, (c, lo, hi) in FEATURE_BANDS.items() if c == ch})
-    return side("k").join(side("v"), [*KEY, "epoch_idx"])
+    """Each feature's band on the channel it is measured on."""
+    return G.multitaper_band_power(signal(t), KEY, "sample_idx", RATE, EPOCH, FEATURE_BANDS)
 
 
 @query("band_power_by_feature", "D-01 D-02", out(MTS, "SELECT recording_id, e AS epoch_idx, " + ", ".join(f"sum(CASE WHEN channel = '{c}' AND freq BETWEEN {lo} AND {hi} THEN psd ELSE 0 END) AS {f}" for f, (c, lo, hi) in FEATURE_BANDS.items()) + " FROM ps GROUP BY 1, 2", "recording_id epoch_idx", " ".join(FEATURE_BANDS)))

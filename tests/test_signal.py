@@ -38,7 +38,8 @@ def test_multitaper_power_of_a_sine(spark):
     fs, size = 100.0, 200
     t = np.arange(5 * size) / fs
     x = 3 * np.sin(2 * np.pi * 8 * t) + np.sin(2 * np.pi * 30 * t)
-    out = G.multitaper_band_power(frame(spark, x), ["rec"], "i", "x", fs, size, {"theta": (6, 10), "beta": (28, 32), "gap": (15, 20)}).toPandas()
+    out = G.multitaper_band_power(frame(spark, x), ["rec"], "i", fs, size,
+                                  {"theta": ("x", 6, 10), "beta": ("x", 28, 32), "gap": ("x", 15, 20)}).toPandas()
     assert len(out) == 5
     assert (out.theta / out.beta).between(7, 11).all() and (out.gap < out.beta / 1e3).all()
 
