@@ -51,18 +51,28 @@ def _binned(intervals: DataFrame, start: str, end: str, width: float) -> DataFra
 
 
 def label_points(points: DataFrame, intervals: DataFrame, keys: list[str], time: str,
-                 value: str = "stage", width: float = 3600.0) -> DataFrame:
+                 value: str = "stage", width: float = 3600.0, overlapping: bool = False) -> DataFrame:
     """Value of the interval ``[onset, onset + duration)`` that holds each point.
 
-    Intervals with a NULL value are skipped; where intervals overlap the one
-    that starts last wins, the larger value on a tie. Both sides are cut into time bins, so the join is an
-    equality on (keys, bin) and long recordings spread over many tasks. An
-    interval is first matched to each point once per bin, then reduced.
+    Intervals with a NULL value are skipped. Both sides are cut into time bins,
+    so the join is an equality on (keys, bin): a long recording spreads over
+    many tasks, and a bin holds what its width can hold.
+
+    A scoring has one interval at a time, so each point meets at most one. For
+    ``overlapping`` annotations the one that starts last wins, the larger value
+    on a tie. Of the intervals that span a whole bin only the winner is kept
+    before points are joined.
     """
     right = (intervals.where(F.col(value).isNotNull())
              .withColumn("_to", F.col("onset") + F.col("duration")))
     right = _binned(right, "onset", "_to", width).select(
         *keys, "_bin", F.col("onset").alias("_from"), "_to", F.col(value).alias("_v"))
+    if not overlapping:
+        return _inside(points, right, keys, time, width, closed=False).select(*points.columns, F.col("_v").alias(value))
+    spans = (F.col("_from") <= F.col("_bin") * width) & (F.col("_to") >= (F.col("_bin") + 1) * width)
+    best = right.where(spans).groupBy(*keys, "_bin").agg(
+        F.max(F.struct("_from", "_v", "_to")).alias("_m")).select(*keys, "_bin", "_m._from", "_m._to", "_m._v")
+    right = right.where(~spans).unionByName(best)
     hit = _inside(points, right, keys, time, width, closed=False)
     return hit.groupBy(*points.columns).agg(F.max_by("_v", F.struct("_from", "_v")).alias(value))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from somnia.functions.scalar import log2, ratio
 from somnia.schemas import RAT_STAGES
 
-from .ordered import scan
+from .ordered import attach_by_hash, scan
 from .quantiles import exact_percentiles
 
 WAKE, NREM, REM = RAT_STAGES["wake"], RAT_STAGES["nrem"], RAT_STAGES["rem"]
@@ -155,8 +155,9 @@ def state_boxes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     x = F.when(inside, F.col(value))
-    return (df.select(*keys, value).join(q, keys).groupBy(*keys, "q1", "median", "q3")
-            .agg(F.min(x).alias("whisker_low"), F.max(x).alias("whisker_high")))
+    rows = attach_by_hash(df.select(*keys, value), q, keys, [value])
+    return rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("q1", "median", "q3")],
+                                   F.min(x).alias("whisker_low"), F.max(x).alias("whisker_high"))
 
 
 def state_histogram(df: DataFrame, threshold: int, norm: str = "L2") -> DataFrame:

@@ -119,3 +119,10 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], idx: str,
     else:
         spread = rows.select(*keys, "_chunk").distinct().join(stats, keys)
     return rows.join(spread, [*keys, "_chunk"], how).drop("_chunk")
+
+
+def attach_by_hash(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str], parts: int = 256) -> DataFrame:
+    """``attach`` for rows without an index: a key's rows are cut up by a hash of ``cols``."""
+    rows = df.withColumn("_part", F.pmod(F.xxhash64(*cols), F.lit(parts)))
+    spread = rows.select(*keys, "_part").distinct().join(stats, keys)
+    return rows.join(spread, [*keys, "_part"], "left").drop("_part")

@@ -14,9 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .ordered import CHUNK, chunk_of, drop_halo, halo
+from .ordered import chunk_of, halo
 
 ARRAY = T.ArrayType(T.DoubleType())
+FRAME = 1 << 14  # samples of a chunk that is handed to numpy as one array
 
 
 def frames(df: DataFrame, keys: list[str], idx: str, value: str | list[str], size: int,
@@ -318,7 +319,7 @@ def squared_response(n: int, fs: float, low: float | None, high: float | None, o
 
 def zero_phase_filter(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, low: float | None = None,
                       high: float | None = None, order: int = 4, stop: bool = False, settle: int | None = None,
-                      edge: int = 27, chunk: int = CHUNK) -> DataFrame:
+                      edge: int = 27, chunk: int = FRAME) -> DataFrame:
     """Zero-phase Butterworth filter, chunk by chunk.
 
     Each chunk is filtered together with ``settle`` samples on both sides, more
@@ -365,7 +366,7 @@ def _hold(y, m):
     return np.r_[y, ramp]
 
 
-def high_pass_for_emg(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, chunk: int = CHUNK) -> DataFrame:
+def high_pass_for_emg(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, chunk: int = FRAME) -> DataFrame:
     """Band above 300 Hz, up to 625 Hz or half the rate less 25 Hz.
 
     The studied design (1 dB and 60 dB limits) is elliptic; a Butterworth of
@@ -378,7 +379,7 @@ def high_pass_for_emg(df: DataFrame, keys: list[str], idx: str, value: str, fs:
 
 
 def savitzky_golay(df: DataFrame, keys: list[str], idx: str, value: str, window: int, order: int = 4,
-                   chunk: int = CHUNK) -> DataFrame:
+                   chunk: int = FRAME) -> DataFrame:
     """Local polynomial smoothing; the first and last half window are read off
     the polynomial of the first and last whole window.
 
@@ -411,7 +412,7 @@ def savitzky_golay(df: DataFrame, keys: list[str], idx: str, value: str, window:
     return out.withColumn(value, F.nanvl(F.col(value), F.lit(None).cast("double")))
 
 
-def resample(df: DataFrame, keys: list[str], idx: str, value: str, up: int, down: int, chunk: int = CHUNK,
+def resample(df: DataFrame, keys: list[str], idx: str, value: str, up: int, down: int, chunk: int = FRAME,
              taps: int = 10) -> DataFrame:
     """Change the rate by ``up / down`` with a windowed-sinc low-pass.
 
@@ -471,7 +472,7 @@ def _first_peak_slope(ac):
 
 
 def eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: float, size: int,
-                 chunk: int = CHUNK) -> DataFrame:
+                 chunk: int = FRAME) -> DataFrame:
     """Rapid-eye and two slow-eye measures of each epoch from two eye channels.
 
     Quantities that would divide by 0 or take the log of a negative number are
@@ -499,7 +500,7 @@ def eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: f
 
 
 def emg_from_signals(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: float, rate: float = 5.0,
-                     window: int | None = None, chunk: int = CHUNK) -> DataFrame:
+                     window: int | None = None, chunk: int = FRAME) -> DataFrame:
     """Muscle-tone proxy: correlation of two high-passed channels at ``rate`` Hz,
     its 0-to-1 form and its smoothed form."""
     from .epochs import norm_to_range, windowed_correlation

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from somnia.operators import epochs as E, signal as G
@@ -71,7 +72,40 @@ def _(t):
     return fin(band_powers(t).select("recording_id", "epoch_idx", *FEATURE_BANDS))
 
 
-@query("epoch_features", "D-03 W-14 F-01 F-02 W-01")
+POWERS = ["noise", "theta", "delta", "sigma", "gamma", "emg"]
+INDICES = {"index_w": "emg * emg * gamma / theta", "index_r": "theta * 2 * gamma / (delta * delta * emg * emg)",
+           "index_n": "sigma * delta / (gamma * gamma)", "index_1": "emg * gamma / delta", "index_2": "sigma * delta / theta",
+           "index_3": "theta * gamma / delta", "index_4": "delta / theta"}
+
+
+def _wei(src, dst, cols, keep=()):
+    cuts = ", ".join(f"quantile_cont({c}, 0.1) AS {c}_l, quantile_cont({c}, 0.9) AS {c}_h" for c in cols)
+    ends = ", ".join(f"avg({c}) FILTER ({c} <= {c}_l) AS {c}_a, avg({c}) FILTER ({c} >= {c}_h) AS {c}_b" for c in cols)
+    norm = ", ".join(f"CASE WHEN {c}_b <> {c}_a AND {c} IS NOT NULL THEN greatest(least(({c} - {c}_a) / ({c}_b - {c}_a), 1), 0.05) END AS {c}" for c in cols)
+    rest = "".join(f", {k}" for k in keep)
+    return (f"{dst}q AS (SELECT recording_id, {cuts} FROM {src} GROUP BY 1), {dst}e AS (SELECT {src}.recording_id, {ends} FROM {src} JOIN {dst}q USING (recording_id) GROUP BY 1), "
+            f"{dst} AS (SELECT {src}.recording_id, epoch_idx, {norm}{rest} FROM {src} JOIN {dst}e ON {src}.recording_id = {dst}e.recording_id)")
+
+
+def _boxes(src, cols):
+    parts, prev = [], src
+    for i in range(3):
+        agg = ", ".join(f"sum({c}) OVER w / 5 AS {c}" for c in cols)
+        parts.append(f"bx{i} AS (SELECT recording_id, epoch_idx, {agg} FROM {prev} WINDOW w AS (PARTITION BY recording_id ORDER BY epoch_idx RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING))")
+        prev = f"bx{i}"
+    return ", ".join(parts)
+
+
+NAMES = [*INDICES, "noise", "theta", "delta"]
+FEAT = (MTS + ", bp AS (SELECT recording_id, e AS epoch_idx, " + ", ".join(
+    f"sum(CASE WHEN channel = '{c}' AND freq BETWEEN {lo} AND {hi} THEN psd ELSE 0 END) AS {f}" for f, (c, lo, hi) in FEATURE_BANDS.items())
+    + f" FROM ps GROUP BY 1, 2), em AS (SELECT recording_id, sample_idx // {EPOCH} AS epoch_idx, sum(v * v) AS emg FROM sig GROUP BY 1, 2), "
+    + "ft AS (SELECT bp.*, emg FROM bp JOIN em ON bp.recording_id = em.recording_id AND bp.epoch_idx = em.epoch_idx), " + _wei("ft", "nm", POWERS)
+    + ", lg AS (SELECT *, " + ", ".join(f"ln({e}) AS {n}" for n, e in INDICES.items()) + " FROM nm), "
+    + _wei("lg", "sc", list(INDICES), ["noise", "theta", "delta"]) + ", " + _boxes("sc", NAMES))
+
+
+@query("epoch_features", "D-03 W-14 F-01 F-02 W-01", out(FEAT, "SELECT * FROM bx2", "recording_id epoch_idx", " ".join(NAMES)))
 def _(t):
     emg = E.epoch_energy(signal(t), KEY, "sample_idx", EPOCH, "v").withColumnRenamed("energy", "emg")
     return fin(E.epoch_features(band_powers(t).join(emg, [*KEY, "epoch_idx"]), KEY))
@@ -184,7 +218,15 @@ def _(t):
     return fin(G.emg_from_signals(signal(t), KEY, "sample_idx", "v", "k", FS, 1.0, 5))
 
 
-@query("savitzky_golay", "D-09")
+def _polynomial_weights(window=9, order=4):
+    """Rows of the least-squares fit: value at offset r of a window from its elements j."""
+    at = np.arange(window) - window // 2
+    v = np.vander(at / 4.0, order + 1, increasing=True)
+    h = v @ np.linalg.inv(v.T @ v) @ v.T
+    return "sg(r, j, w) AS (VALUES " + ", ".join(f"({r - 4}, {j - 4}, {float(h[r, j])!r})" for r in range(window) for j in range(window)) + ")"
+
+
+@query("savitzky_golay", "D-09", out(SAMP + ", " + _polynomial_weights() + ", sn AS (SELECT *, greatest(4, least(count(*) OVER (PARTITION BY recording_id, channel) - 5, sample_idx)) AS c FROM samp)", "SELECT a.recording_id, a.channel, a.sample_idx, sum(sg.w * b.value) AS value FROM sn a JOIN sg ON sg.r = a.sample_idx - a.c JOIN samp b ON b.recording_id = a.recording_id AND b.channel = a.channel AND b.sample_idx = a.c + sg.j GROUP BY 1, 2, 3", "recording_id sample_idx", "value"))
 def _(t):
     return fin(G.savitzky_golay(samples(t), CH, "sample_idx", "value", 9))
 
@@ -194,6 +236,12 @@ def _(t):
     return fin(G.eye_features(signal(t), KEY, "sample_idx", "v", "k", FS, EPOCH))
 
 
-@query("resample", "D-14")
+SINC = """rs AS (SELECT recording_id, channel, m, m * 1.5 AS p FROM (SELECT recording_id, channel, unnest(range(CAST(ceil(count(*) * 2 / 3.0) AS BIGINT))) AS m FROM samp GROUP BY 1, 2)),
+hw AS (SELECT rs.recording_id, rs.channel, m, value, CASE WHEN p = sample_idx THEN 1.0 ELSE sin(pi() * (p - sample_idx) * 2 / 3) / (pi() * (p - sample_idx) * 2 / 3) END
+ * CASE WHEN abs(p - sample_idx) < 15 THEN 0.5 + 0.5 * cos(pi() * (p - sample_idx) / 15) ELSE 0 END AS h
+ FROM rs JOIN samp ON rs.recording_id = samp.recording_id AND rs.channel = samp.channel AND sample_idx BETWEEN floor(p) - 14 AND floor(p) + 15)"""
+
+
+@query("resample", "D-14", out(SAMP + ", " + SINC, "SELECT recording_id, channel, m AS sample_idx, sum(h * value) / sum(h) AS value FROM hw GROUP BY 1, 2, 3", "recording_id sample_idx", "value"))
 def _(t):
     return fin(G.resample(samples(t), CH, "sample_idx", "value", 2, 3))

@@ -102,13 +102,11 @@ def _(t):
     return fin(E.override_artefacts(epoch_labels(t), flagged, KEY))
 
 
-@query("label_annotated_points", "J-01", out(ANN + ", hit AS (SELECT s.recording_id, s.id, s.onset, max_by(a.stage, a.onset * 10 + a.stage) AS stage FROM ann s LEFT JOIN ann a ON s.recording_id = a.recording_id AND a.stage < 3 AND s.onset + 86400 >= a.onset AND s.onset + 86400 < a.onset + a.duration GROUP BY 1, 2, 3)", "SELECT * FROM hit", "recording_id id stage", "onset"))
+@query("label_points", "J-01 W-09", out(LAB + f", iv AS (SELECT recording_id, epoch_idx * {EPOCH} AS a, (epoch_idx + 1) * {EPOCH} AS b, stage FROM lab WHERE stage < 4)", "SELECT s.recording_id, s.sample_idx, iv.stage FROM sig s LEFT JOIN iv ON s.recording_id = iv.recording_id AND s.sample_idx >= iv.a AND s.sample_idx < iv.b", "recording_id sample_idx stage"))
 def _(t):
-    a = annotations(t)
-    points = a.select("recording_id", "id", (F.col("onset") + 86400.0).alias("time"))
-    spans = a.where("stage < 3").select("recording_id", "onset", "duration", "stage")
-    hit = I.label_points(points, spans, KEY, "time", width=86400.0 * 60)
-    return fin(hit.select("recording_id", "id", (F.col("time") - 86400.0).alias("onset"), "stage"))
+    scored = I.encode_runs(epoch_labels(t), KEY, "epoch_idx", "stage", EPOCH).where("stage < 4")
+    spans = scored.select("recording_id", F.col("init_sec").alias("onset"), F.col("dur_sec").alias("duration"), "stage")
+    return fin(I.label_points(V(t).select("recording_id", "sample_idx"), spans, KEY, "sample_idx"))
 
 
 @query("fixed_events", "J-14 X-08", out(ANN, "SELECT recording_id, id, onset + unnest(range(CAST(floor(duration / 2592000) AS BIGINT))) * 2592000 AS event_onset, stage FROM ann", "recording_id id stage", "event_onset"))

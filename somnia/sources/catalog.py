@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from somnia.functions.scalar import lookup
+from somnia.operators.ordered import attach_by_hash
 from somnia.operators.project import with_channel_type
 
 
@@ -32,7 +33,7 @@ def group_by_subject(files: DataFrame, regex: str, path: str = "path") -> DataFr
     rows = files.withColumn("n_matches", F.regexp_count(path, F.lit(regex)))
     rows = rows.withColumns({"subject": F.regexp_extract(path, regex, 1), "ok": F.col("n_matches") == 1})
     sizes = rows.groupBy("subject").agg(F.count(F.lit(1)).alias("n_files"))
-    return rows.join(sizes, "subject")
+    return attach_by_hash(rows, sizes, ["subject"], [path])
 
 
 def pair_by_id(true: DataFrame, pred: DataFrame, regex: str, path: str = "path") -> DataFrame:
@@ -65,9 +66,11 @@ def dataset_paths(spark: SparkSession, settings: dict[str, dict]) -> DataFrame:
 def channel_sets(groups: DataFrame, by: list[str]) -> DataFrame:
     """Every choice of one channel per group, less unordered duplicates.
 
-    ``groups`` has ``group_no`` 0 or 1 and ``channel``; a study lists a handful
-    of channels by its settings.
+    ``groups`` has ``group_no`` 0 or 1 and ``channel``. The combinations are the
+    result; repeated rows of a channel are dropped first, so their number is
+    that of a study's distinct channels, which its recorder fixes.
     """
+    groups = groups.select(*by, "group_no", "channel").distinct()
     first = groups.where("group_no = 0").select(*by, F.col("channel").alias("a"))
     second = groups.where("group_no = 1").select(*by, F.col("channel").alias("b"))
     both = first.join(second, by)

@@ -192,3 +192,21 @@ def test_artefact_mask_equals_interval_route(spark, chunk):
         inside.append(rows(I.in_intervals(at.select("rec", "i", "time"), merged, ["rec"], "time", width=2.0), "i").inside)
     assert got.artefact.tolist() == (inside[0] | inside[1]).tolist()
     assert (got.x[got.artefact] == 0).all() and 0 < got.artefact.sum() < n
+
+
+@pytest.mark.parametrize("width", [3.0, 1000.0])
+def test_labels_of_overlapping_annotations(spark, width):
+    """The interval that starts last wins, also after a nested one has ended."""
+    rng = np.random.default_rng(8)
+    iv = [(r, float(rng.integers(0, 60)), float(rng.integers(0, 30)), int(s)) for r in (0, 1) for s in rng.integers(0, 5, 12)] + [(0, 5.0, 50.0, None)]
+    pts = [(r, float(t)) for r in (0, 1, 2) for t in np.arange(0, 70, 1.5)]
+    a = spark.createDataFrame(iv, "rec int, onset double, duration double, stage int")
+    p = spark.createDataFrame(pts, "rec int, time double")
+    got = {(x.rec, x.time): x.stage for x in I.label_points(p, a, ["rec"], "time", width=width, overlapping=True).collect()}
+    for r, t in pts:
+        hits = [(on, s) for q, on, d, s in iv if q == r and s is not None and on <= t < on + d]
+        assert got[r, t] == (max(hits)[1] if hits else None)
+    apart = spark.createDataFrame([(0, 0.0, 10.0, 1), (0, 10.0, 5.0, 2), (1, 3.0, 40.0, 3)], "rec int, onset double, duration double, stage int")
+    one = {(x.rec, x.time): x.stage for x in I.label_points(p, apart, ["rec"], "time", width=width).collect()}
+    assert one[0, 9.0] == 1 and one[0, 10.5] == 2 and one[0, 15.0] is None and one[1, 42.0] == 3 and one[2, 0.0] is None
+    assert len(one) == len(pts)
