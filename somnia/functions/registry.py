@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from somnia.operators import project, scaling
+from somnia.operators import augment, project, scaling
 from somnia.sources import text
 
 STRIPS: dict[str, Callable[..., DataFrame]] = {
@@ -20,7 +20,7 @@ QUALITY: dict[str, Callable[..., DataFrame]] = {
 }
 SCALERS = ("RobustScaler", "StandardScaler", "MinMaxScaler", "MaxAbsScaler")
 READERS = text.READERS
-AUGMENTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+AUGMENTERS: dict[str, Callable[..., DataFrame]] = dict(augment.BY_NAME)
 
 
 def register(kind: dict, name: str):

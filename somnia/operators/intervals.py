@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import CHUNK, attach, chunk_of, drop_halo, halo, scan
+from .ordered import CHUNK, attach, drop_halo, halo, scan
 
 
 def runs(df: DataFrame, keys: list[str], idx: str, flag: Column,
@@ -17,8 +17,9 @@ def runs(df: DataFrame, keys: list[str], idx: str, flag: Column,
     before = F.coalesce(F.lag("_flag").over(w), F.lit(False))
     after = F.coalesce(F.lead("_flag").over(w), F.lit(False))
     rows = rows.withColumns({"_first": F.col("_flag") & ~before, "_last": F.col("_flag") & ~after})
-    borders = drop_halo(rows).where("_first OR _last").select(*keys, F.col(idx).alias("_i"), "_first", "_last")
-    out = scan(borders, keys, ["_i"], chunk_of("_i", chunk), _next=("lead", "_i"))
+    borders = drop_halo(rows, True).where("_first OR _last").select(
+        *keys, "_chunk", F.col(idx).alias("_i"), "_first", "_last")
+    out = scan(borders, keys, ["_i"], F.col("_chunk"), _next=("lead", "_i"))
     return out.where("_first").select(
         *keys, F.col("_i").alias("start"), F.when(F.col("_last"), F.col("_i")).otherwise(F.col("_next")).alias("end"))
 
@@ -32,11 +33,11 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
     """
     bucket = F.floor(F.col(start) / F.lit(span)).cast("long")
     cols = df.select(*keys, F.col(start), F.col(end))
-    reach = scan(cols, keys, [start, end], bucket, _reach=("max_before", end))
+    reach = scan(cols, keys, [start, end], bucket, True, _reach=("max_before", end))
     gap = F.col(start) - F.col("_reach")
     apart = F.col("_reach").isNull() | (gap >= epsilon if strict else gap > epsilon)
     islands = scan(reach.withColumn("_new", apart.cast("long")), keys, [start, end],
-                   F.floor(F.col(start) / F.lit(span)).cast("long"), _island=("sum", "_new"))
+                   F.col("_chunk"), _island=("sum", "_new"))
     return (islands.groupBy(*keys, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"))
             .drop("_island"))
 
@@ -104,8 +105,8 @@ def encode_runs(df: DataFrame, keys: list[str], idx: str, label: str, period: in
     """Dense labels to ``(init_sec, dur_sec, label)`` rows."""
     rows, w = halo(df, keys, idx, 1, 0, chunk)
     changed = ~F.col(label).eqNullSafe(F.lag(label).over(w)) | F.lag(idx).over(w).isNull()
-    rows = drop_halo(rows.withColumn("_new", changed)).withColumn("_new", F.col("_new").cast("long"))
-    rows = scan(rows.select(*keys, idx, label, "_new"), keys, [idx], chunk_of(idx, chunk), _run=("sum", "_new"))
+    rows = drop_halo(rows.withColumn("_new", changed.cast("long")), True)
+    rows = scan(rows.select(*keys, "_chunk", idx, label, "_new"), keys, [idx], F.col("_chunk"), _run=("sum", "_new"))
     return rows.groupBy(*keys, "_run", label).agg(
         (F.min(idx) * period).alias("init_sec"), (F.count(F.lit(1)) * period).alias("dur_sec")).drop("_run")
 

@@ -39,18 +39,20 @@ def halo(df: DataFrame, keys: list[str], idx: str, before: int, after: int,
     return out, Window.partitionBy(*keys, "_chunk").orderBy(idx)
 
 
-def drop_halo(df: DataFrame) -> DataFrame:
-    return df.where("_core").drop("_core", "_chunk")
+def drop_halo(df: DataFrame, keep_chunk: bool = False) -> DataFrame:
+    """Core rows; with ``_chunk`` kept, a ``scan`` over it needs no new shuffle."""
+    return df.where("_core").drop("_core") if keep_chunk else df.where("_core").drop("_core", "_chunk")
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-         **outs: tuple) -> DataFrame:
+         keep_chunk: bool = False, **outs: tuple) -> DataFrame:
     """Running values over ``keys`` in ``order``, in two levels.
 
     ``chunk`` must not decrease along ``order``. Each output is one of
     ``("sum", col)`` and ``("count",)`` up to and including the row,
     ``("max_before", col)`` over earlier rows, ``("lag", col)`` and
-    ``("lead", col)`` for the row before and after.
+    ``("lead", col)`` for the row before and after. With ``keep_chunk`` the
+    chunk stays as ``_chunk`` for a next scan on the same shuffle.
     """
     rows = df.withColumn("_chunk", chunk)
     here = Window.partitionBy(*keys, "_chunk").orderBy(*order)
@@ -87,7 +89,8 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     summary = rows.groupBy(*keys, "_chunk").agg(*totals)
     summary = summary.select(*keys, "_chunk", *[c.alias(n) for n, c in carries.items()])
     joined = rows.withColumns(inner).join(summary, [*keys, "_chunk"], "left")
-    return joined.select(*df.columns, *[c.alias(n) for n, c in merged.items()])
+    columns = [c for c in df.columns if c != "_chunk"] + (["_chunk"] if keep_chunk else [])
+    return joined.select(*columns, *[c.alias(n) for n, c in merged.items()])
 
 
 def ordinal(df: DataFrame, keys: list[str], order: str, name: str,

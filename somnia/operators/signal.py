@@ -514,28 +514,28 @@ def emg_from_signals(df: DataFrame, keys: list[str], idx: str, a: str, b: str, f
     return both.join(soft.withColumnRenamed("emg", "smoothed"), [*keys, "bin"], "left")
 
 
-def elastic(signal: Column, labels: Column, shift: Column, alpha: float, sigma: float, background: float = 0.0) -> Column:
+def elastic(signal: Column, labels: Column, shift: Column, alpha, sigma, background: float = 0.0) -> Column:
     """Stretch a sequence in time by smoothed random offsets.
 
-    ``shift`` is an array of uniform draws in [-1, 1). Signals are interpolated
-    linearly, labels by nearest neighbour; beyond the ends both are background.
-    Returns a struct of ``signal`` and ``labels``.
+    ``shift`` is an array of uniform draws in [-1, 1); ``alpha`` scales the
+    offsets and ``sigma`` smooths them, as numbers or columns. Signals are
+    interpolated linearly, labels by nearest neighbour; beyond the ends signals
+    are ``background`` and labels 0. Returns a struct of ``signal`` and ``labels``.
     """
-    radius = int(4.0 * sigma + 0.5)
-    g = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    g /= g.sum()
 
     @F.pandas_udf("signal array<double>, labels array<int>")
-    def run(x: pd.Series, y: pd.Series, u: pd.Series) -> pd.DataFrame:
+    def run(x: pd.Series, y: pd.Series, u: pd.Series, al: pd.Series, sg: pd.Series) -> pd.DataFrame:
         sig, lab = [], []
-        for xs, ys, us in zip(x, y, u):
-            n = len(xs)
-            smooth = np.convolve(np.asarray(us, float), g, "full")[radius:radius + n]
-            at = np.arange(n) + smooth * alpha
+        for xs, ys, us, a, s in zip(x, y, u, al, sg):
+            n, radius = len(xs), int(4.0 * s + 0.5)
+            g = np.exp(-0.5 * (np.arange(-radius, radius + 1) / s) ** 2)
+            smooth = np.convolve(np.asarray(us, float), g / g.sum(), "full")[radius:radius + n]
+            at = np.arange(n) + smooth * a
             inside = (at >= 0) & (at <= n - 1)
             sig.append(np.where(inside, np.interp(at, np.arange(n), np.asarray(xs, float)), background))
             near = np.clip(np.ceil(at - 0.5).astype(int), 0, n - 1)
             lab.append(np.where(inside, np.asarray(ys)[near], 0).astype(np.int32))
         return pd.DataFrame({"signal": sig, "labels": lab})
 
-    return run(signal, labels, shift)
+    number = lambda v: F.lit(float(v)) if isinstance(v, (int, float)) else v
+    return run(signal, labels, shift, number(alpha), number(sigma))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from somnia.functions.registry import AUGMENTERS, apply_named, register
+from somnia.functions.registry import AUGMENTERS, apply_named
 from somnia.operators import sampling as S, signal as G
 from .proxies import EPOCH, LAB, SIG, epoch_labels, fin, out, signal
 from .registry import query
@@ -22,7 +22,7 @@ def _u(seed, *cols):
 
 @query("balanced_take", "S-01", out(LAB + f", r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY {_h(3, 'recording_id', 'epoch_idx')}) - 1 AS rank FROM lab)", "SELECT recording_id, epoch_idx, stage, rank, unnest([1, 2]) AS copy FROM r WHERE rank < 10", "recording_id epoch_idx stage rank copy"))
 def _(t):
-    taken = S.take_random(epoch_labels(t), ["stage"], 10, ["recording_id", "epoch_idx"], 3, require=True)
+    taken = S.take_random(epoch_labels(t), ["stage"], 10, ["recording_id", "epoch_idx"], 3)
     return fin(S.shuffle(S.repeat_rows(taken, 2), ["recording_id", "epoch_idx", "copy"], 4))
 
 
@@ -199,19 +199,25 @@ def _(t):
     return fin(rows(e.select(*ID, F.col("e.signal").alias("v"), F.col("e.labels").alias("k")), "v", "k"))
 
 
-@register(AUGMENTERS, "GlobalAmplitude")
-def _amplitude(df, lo, hi, seed, signal="v"):
-    return df.withColumn(signal, S.amplitude(signal, lo + (hi - lo) * S.uniform(seed, *ID)))
+BYN = SEQ + f""", fl AS (SELECT *, {_u('41on', 'recording_id', 'epoch_idx')} <= 0.6 AS amp, {_u('42on', 'recording_id', 'epoch_idx')} <= 0.5 AS flip,
+ CAST(floor({_u('42p', 'recording_id', 'epoch_idx')} * {EPOCH}) AS INT) AS st, CAST(floor(10 ** (log10(0.1) + {_u('42l', 'recording_id', 'epoch_idx')} * (log10(0.8) - log10(0.1))) * {EPOCH}) AS INT) AS ln FROM sq)"""
 
 
-@register(AUGMENTERS, "RegionalSignFlip")
-def _flip(df, min_fraction, max_fraction, seed, signal="v", length=EPOCH):
-    start, n = S.region(length, min_fraction, max_fraction, seed, *ID)
-    return df.withColumn(signal, S.sign_flip(signal, start, n, length))
+@query("augmenters_by_name", "X-01 X-02 S-09", out(BYN, "SELECT recording_id, epoch_idx, i, CASE WHEN amp THEN 0.5 ELSE 1 END * CASE WHEN flip THEN 0.5 ELSE 1 END AS weight, " + ", ".join(f"{c} * CASE WHEN amp THEN 0.5 + 1.5 * {_u('41u', 'recording_id', 'epoch_idx')} ELSE 1 END * CASE WHEN flip AND (i - st + {EPOCH}) % {EPOCH} < ln THEN -1 ELSE 1 END AS {c}" for c in "vk") + " FROM fl", "recording_id epoch_idx i", "weight v k"))
+def _(t):
+    common = {"keys": ID, "channels": ["v", "k"]}
+    steps = [("GlobalAmplitude", {**common, "min_scaling": 0.5, "max_scaling": 2.0, "apply_prob": 0.6, "seed": 41}),
+             ("RegionalSignFlip", {**common, "length": EPOCH, "min_region_fraction": 0.1, "max_region_fraction": 0.8, "apply_prob": 0.5, "seed": 42})]
+    return fin(rows(apply_named(sequences(t).withColumn("weight", F.lit(1.0)), AUGMENTERS, steps), "v", "k"))
 
 
-@query("augmenters_by_name", "X-01 X-02", out(REG, f"SELECT recording_id, epoch_idx, i, CASE WHEN (i - st + {EPOCH}) % {EPOCH} < ln THEN -v ELSE v END * (0.5 + 1.5 * {_u(22, 'recording_id', 'epoch_idx')}) AS v FROM rg", "recording_id epoch_idx i", "v"))
+@query("all_augmenters", "X-02 S-11 S-12 S-13 S-14")
 def _(t):
-    steps = [("GlobalAmplitude", {"lo": 0.5, "hi": 2.0, "seed": 22}),
-             ("RegionalSignFlip", {"min_fraction": 0.1, "max_fraction": 0.8, "seed": 24})]
-    return fin(rows(apply_named(sequences(t), AUGMENTERS, steps), "v"))
+    common = {"keys": ID, "channels": ["v", "k"], "apply_prob": 0.5}
+    part = {"length": EPOCH, "min_region_fraction": 0.1, "max_region_fraction": 0.5}
+    steps = [("GlobalShift", {**common, "min_shift": -1.0, "max_shift": 1.0, "seed": 51}), ("GlobalGaussianNoise", {**common, "sigma": 0.1, "seed": 52}),
+             ("ChannelDropout", {**common, "drop_fraction": 0.5, "seed": 53}), ("RegionalGaussianNoise", {**common, **part, "seed": 54}),
+             ("RegionalErase", {**common, **part, "seed": 55}), ("RegionalSignalMix", {**common, **part, "seed": 56}),
+             ("GlobalElasticDeformations", {**common, "labels": "y", "alpha": (1.0, 3.0), "sigma": (1.0, 2.0), "seed": 57})]
+    s = sequences(t).withColumns({"weight": F.lit(1.0), "y": F.transform("k", lambda x: x.cast("int"))})
+    return fin(rows(apply_named(s, AUGMENTERS, steps), "v", "k", "y"))

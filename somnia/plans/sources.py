@@ -131,10 +131,13 @@ def _(t):
     return fin(S.pending(t.documents.select("doc_id", "lang"), t.labels, ["doc_id"]))
 
 
+# Datasets named in the settings.
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
 @query("dataset_registry", "IO-19", out("r AS (SELECT r_name AS dataset, unnest(['train', 'val']) AS part, unnest(['tr', 'va']) AS sub FROM region)", "SELECT r.dataset, part, '/data/' || lower(r.dataset) || '/' || sub AS path, 30 AS period_sec, 'RobustScaler' AS scaler, count(*) AS n_studies FROM r JOIN region ON r_name = dataset JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL", "n_studies", "period_sec"))
 def _(t):
-    names = [r.r_name for r in t.region.select("r_name").collect()]  # settings: one row per region
-    reg = C.dataset_paths(t.spark, {n: {"data_dir": f"/data/{n.lower()}/", "parts": {"train": "tr", "val": "va"}} for n in names})
+    reg = C.dataset_paths(t.spark, {n: {"data_dir": f"/data/{n.lower()}/", "parts": {"train": "tr", "val": "va"}} for n in REGIONS})
     studies = (t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
                .groupBy(F.col("r_name").alias("dataset")).agg(F.count(F.lit(1)).alias("n_studies")))
     return fin(reg.join(studies, "dataset").select("dataset", "part", "path", "period_sec", "scaler", "n_studies"))

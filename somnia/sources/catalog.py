@@ -63,20 +63,20 @@ def dataset_paths(spark: SparkSession, settings: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, part string, path string, period_sec double, scaler string")
 
 
-def channel_sets(groups: DataFrame, by: list[str]) -> DataFrame:
+def channel_sets(groups: DataFrame, by: list[str], n_groups: int = 2) -> DataFrame:
     """Every choice of one channel per group, less unordered duplicates.
 
-    ``groups`` has ``group_no`` 0 or 1 and ``channel``. The combinations are the
+    ``groups`` has ``group_no`` from 0 and ``channel``. The combinations are the
     result; repeated rows of a channel are dropped first, so their number is
     that of a study's distinct channels, which its recorder fixes.
     """
     groups = groups.select(*by, "group_no", "channel").distinct()
-    first = groups.where("group_no = 0").select(*by, F.col("channel").alias("a"))
-    second = groups.where("group_no = 1").select(*by, F.col("channel").alias("b"))
-    both = first.join(second, by)
-    pair = F.array_sort(F.array("a", "b"))
-    return both.withColumn("_p", pair).groupBy(*by, "_p").agg(F.min(F.struct("a", "b")).alias("_m")).select(
-        *by, F.concat_ws("+", "_m.a", "_m.b").alias("channel_set"))
+    out = groups.where("group_no = 0").select(*by, F.array("channel").alias("_c"))
+    for g in range(1, n_groups):
+        side = groups.where(F.col("group_no") == g).select(*by, F.col("channel").alias("_n"))
+        out = out.join(side, by).withColumn("_c", F.array_append("_c", F.col("_n"))).drop("_n")
+    return (out.groupBy(*by, F.array_sort("_c").alias("_p")).agg(F.min("_c").alias("_m"))
+            .select(*by, F.array_join("_m", "+").alias("channel_set")))
 
 
 def known_types(channels: DataFrame, types: dict[str, str]) -> DataFrame:

@@ -110,3 +110,30 @@ def test_shared_folder_follows_the_setting(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     df = spark.range(10)
     assert materialise(df).count() == 10
+
+
+def test_augmenters_share_a_row_between_channels(spark):
+    from somnia.functions.registry import AUGMENTERS, apply_named
+    n = 60
+    df = spark.createDataFrame([(i, [float(j) for j in range(n)], [100.0 + j for j in range(n)], list(range(n)), 1.0) for i in range(40)],
+                               "id long, v array<double>, k array<double>, y array<int>, weight double")
+    on = {"keys": ["id"], "channels": ["v", "k"], "apply_prob": 0.5}
+    part = {"length": n, "min_region_fraction": 0.2, "max_region_fraction": 0.5}
+    out = apply_named(df, AUGMENTERS, [("RegionalSignFlip", {**on, **part, "seed": 1})]).toPandas()
+    for r in out.itertuples():
+        same = np.array(r.v)[1:] < 0
+        assert (same == (np.array(r.k)[1:] < 0)).all() and r.weight == (0.5 if same.any() else 1.0)
+    assert 5 < (out.weight == 0.5).sum() < 35
+    erased = apply_named(df, AUGMENTERS, [("RegionalErase", {**on, **part, "apply_prob": 1.0, "seed": 2})]).toPandas()
+    mean = (np.mean(np.arange(n)) * 2 + 100) / 2
+    assert all(12 <= (np.abs(np.array(r.k) - mean) < 0.1).sum() + 0 <= 31 for r in erased.itertuples())
+    moved = apply_named(df, AUGMENTERS, [("GlobalElasticDeformations", {**on, "labels": "y", "alpha": (2.0, 4.0), "sigma": 2, "apply_prob": 1.0, "seed": 3})]).toPandas()
+    for r in moved.itertuples():
+        v, k = np.array(r.v), np.array(r.k)
+        inside = k != 0
+        np.testing.assert_allclose(k[inside] - v[inside], 100.0)
+        assert (np.abs(np.array(r.y)[inside] - v[inside]) <= 0.5 + 1e-9).all()
+    with pytest.raises(ValueError):
+        AUGMENTERS["RegionalErase"](df, ["id"], ["v"], n, 0.0, 0.5)
+    with pytest.raises(ValueError):
+        AUGMENTERS["GlobalShift"](df, ["id"], ["v"], 1.0, 1.0)
