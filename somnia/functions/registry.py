@@ -18,7 +18,7 @@ QUALITY: dict[str, Callable[..., DataFrame]] = {
     "clip_noisy_values": scaling.clip_noisy,
     "zero_out_noisy_epochs": scaling.zero_noisy_epochs,
 }
-SCALERS = ("RobustScaler", "StandardScaler", "MinMaxScaler", "MaxAbsScaler")
+SCALERS = ("RobustScaler", "StandardScaler", "MinMaxScaler", "MaxAbsScaler", "QuantileTransformer")
 READERS = text.READERS
 AUGMENTERS: dict[str, Callable[..., DataFrame]] = dict(augment.BY_NAME)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from somnia.functions.scalar import clip, most_frequent, ratio, ratio_indices, safe_ln
 
+from somnia.schemas import FEATURES
 from somnia.session import materialise
 
 from .ordered import CHUNK, attach, chunk_of, drop_halo, halo, ordinal, summarise
@@ -225,8 +226,7 @@ def epoch_features(powers: DataFrame, keys: list[str], theta_power: str = "code"
     indices = {n: safe_ln(c) for n, c in ratio_indices(theta_power=theta_power).items()}
     logged = materialise(normed.withColumns(indices))
     scaled = normalise_percentile(logged, keys, "epoch_idx", list(indices), chunk=chunk)
-    names = [*indices, "noise", "theta", "delta"]
-    return smooth(scaled, keys, "epoch_idx", names, chunk=chunk).select(*keys, "epoch_idx", *names)
+    return smooth(scaled, keys, "epoch_idx", FEATURES, chunk=chunk).select(*keys, "epoch_idx", *FEATURES)
 
 
 def epoch_time(df: DataFrame, epoch_sec: float, name: str = "start_sec") -> DataFrame:

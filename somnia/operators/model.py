@@ -167,12 +167,17 @@ def score_sequences(df: DataFrame, seq: str, model: Callable[[np.ndarray], np.nd
     maps ``[batch, L, K]`` to ``[batch, L, classes]``.
     """
 
-    @F.pandas_udf(T.ArrayType(ARRAY))
-    def run(x: pd.Series) -> pd.Series:
-        batch = np.stack([np.stack([np.asarray(e, dtype=np.float64) for e in s]) for s in x])
-        return pd.Series([list(s) for s in model(batch)])
-
-    return df.withColumn(out, run(seq))
+    @F.pandas_udf(ARRAY)
+    def run(x: pd.Series, length: pd.Series) -> pd.Series:
+        flat = np.stack(x.to_numpy())
+        return pd.Series(list(np.asarray(model(flat.reshape(len(flat), length.iloc[0], -1)), dtype=np.float64).reshape(len(flat), -1)))
+
+    # Arrow carries one flat array per sequence each way; Spark cuts it up again.
+    flat = df.withColumn("_y", run(F.flatten(seq), F.size(seq)))
+    n = F.size("_y") / F.size(seq)
+    cut = F.transform(F.sequence(F.lit(0), F.size(seq) - 1),
+                      lambda i: F.slice("_y", (i * n + 1).cast("int"), n.cast("int")))
+    return flat.withColumn(out, cut).drop("_y")
 
 
 def average_augmented(df: DataFrame, keys: list[str], n_classes: int, n_aug: int) -> DataFrame:

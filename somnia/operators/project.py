@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from somnia.functions.scalar import lookup
-from somnia.schemas import CHANNEL_TYPES, PSG_STAGES, RAT_STAGES
+from somnia.schemas import CHANNEL_TYPES, PSG_STAGES, RAT_STAGES, SLEEP_STAGE_TEXT
 
 from .ordered import CHUNK, attach, chunk_of, scan, summarise
 
@@ -40,6 +40,11 @@ def keep_datasets(df: DataFrame, datasets: list[str] | None = None, subjects: li
     return df
 
 
+def stage_map(spark: SparkSession, dataset: str, texts: dict[str, int] = SLEEP_STAGE_TEXT) -> DataFrame:
+    """A dataset's map from text to class as rows, for ``stage_from_text``."""
+    return spark.createDataFrame([(dataset, k, v) for k, v in texts.items()], "dataset string, text string, stage int")
+
+
 def stage_from_text(df: DataFrame, stage_map: DataFrame, text: str = "description") -> DataFrame:
     """Class of each text by its dataset's map; NULL when the text is not mapped.
 

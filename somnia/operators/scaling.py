@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from somnia.functions.scalar import EPS, ratio
 
-from .ordered import CHUNK, attach, chunk_of, summarise
+from .ordered import CHUNK, attach, attach_by_hash, chunk_of, scan, summarise
 from .quantiles import exact_percentiles
 
 # Scaler names in the order in which a setting is searched for them.
@@ -94,6 +94,8 @@ def sum_of_squares(df: DataFrame, features: list[str]) -> DataFrame:
 def scale_channels(df: DataFrame, keys: list[str], idx: str, value: str = "value", scaler: str = "RobustScaler",
                    chunk: int = CHUNK) -> DataFrame:
     """Scale each group of ``keys``, for example each channel, by its own statistics."""
+    if scaler == "QuantileTransformer":
+        return _to_quantiles(df, keys, idx, value)
     if scaler == "RobustScaler":
         stats = exact_percentiles(df, keys, value, {"_a": 0.5, "_q1": 0.25, "_q3": 0.75})
         stats = stats.select(*keys, "_a", (F.col("_q3") - F.col("_q1")).alias("_b"))
@@ -111,6 +113,25 @@ def scale_channels(df: DataFrame, keys: list[str], idx: str, value: str = "value
     return out.withColumn(value, (F.col(value) - F.col("_a")) / width).drop("_a", "_b")
 
 
+def _to_quantiles(df, keys, idx, value, bins: int = 1 << 16):
+    """Value to its place in the group's distribution, 0 to 1, mid-place for equal values.
+
+    Values are counted first, so equal ones are one row, and counted on in two
+    levels over slices of the value range.
+    """
+    x = F.col(value).cast("double")
+    counts = df.where(x.isNotNull()).groupBy(*keys, x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    span = df.agg(F.struct(F.min(x).alias("lo"), (F.max(x) - F.min(x)).alias("width")).alias("s"))
+    placed = counts.withColumn("_s", span.scalar())
+    slot = F.floor(ratio(F.col("_x") - F.col("_s.lo"), F.col("_s.width")) * bins)
+    placed = scan(placed, keys, ["_x"], F.coalesce(slot, F.lit(0)).cast("long"), _upto=("sum", "_n")).drop("_s")
+    rows = attach_by_hash(df.withColumn("_x", x), placed, [*keys, "_x"], [idx])
+    total = summarise(df.where(x.isNotNull()), keys, idx, _total=F.count(F.lit(1)))
+    rows = attach(rows, total, keys, idx)
+    place = (F.col("_upto") - F.col("_n") + (F.col("_n") - 1) / 2) / F.greatest(F.col("_total") - 1, F.lit(1))
+    return rows.withColumn(value, place).drop("_x", "_n", "_upto", "_total")
+
+
 def _iqr(df, keys, value):
     q = exact_percentiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
     return q.select(*keys, (F.col("_q3") - F.col("_q1")).alias("_iqr"))

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from somnia.schemas import CHANNEL_BANDS, EEG_BANDS, RAT_BANDS
+
 from .ordered import chunk_of, halo
 
 ARRAY = T.ArrayType(T.DoubleType())
@@ -159,7 +161,7 @@ def multitaper_spectrum(x: np.ndarray, tapers: np.ndarray, ratios: np.ndarray) -
 
 
 def multitaper_band_power(df: DataFrame, keys: list[str], idx: str, fs: float, size: int,
-                          bands: dict[str, tuple[str, float, float]]) -> DataFrame:
+                          bands: dict[str, tuple[str, float, float]] = RAT_BANDS) -> DataFrame:
     """Power of each epoch summed over the bins of each band, ends included.
 
     A band names the column it is measured on; all columns of an epoch are
@@ -234,8 +236,8 @@ def epoch_spectrum(df: DataFrame, keys: list[str], idx: str, value: str, fs: flo
     return _freq_rows(out, [*keys, "epoch_idx"], "_p", fs, size)
 
 
-def band_powers(spectrum: DataFrame, keys: list[str], bands: dict[str, tuple[float, float]], fs: float,
-                size: int) -> DataFrame:
+def band_powers(spectrum: DataFrame, keys: list[str], fs: float, size: int,
+                bands: dict[str, tuple[float, float]] = CHANNEL_BANDS) -> DataFrame:
     """Area under the spectrum in each band by trapezoids, band ends included.
 
     Bins are evenly spaced, so the area is the sum of the bins less half of the
@@ -257,7 +259,7 @@ def band_powers(spectrum: DataFrame, keys: list[str], bands: dict[str, tuple[flo
     return per.select(*keys, F.explode("_b").alias("_r")).select(*keys, "_r.*")
 
 
-def relative_band_power(spectrum: DataFrame, keys: list[str], bands: dict[str, tuple[float, float]],
+def relative_band_power(spectrum: DataFrame, keys: list[str], bands: dict[str, tuple[float, float]] = EEG_BANDS,
                         lo: float = 0.5, hi: float = 30.0) -> DataFrame:
     """Mean share of the total power per bin in each half-open band."""
     rows = spectrum.where(F.col("freq").between(lo, hi))

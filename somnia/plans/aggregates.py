@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from somnia.operators import epochs as E, evaluate as V, scaling as SC
 from somnia.operators.project import equalise, in_range, merge_nrem, wake_trim
-from .proxies import (EPOCH, FS, LAB, PAI, SAMP, SIG, VEC, VECTOR, VOT, epoch_labels, feature_vectors, fin, out, pairs, samples,
+from .proxies import (LAB, PAI, SAMP, SIG, VEC, VECTOR, VOT, epoch_labels, feature_vectors, fin, out, pairs, samples,
                       signal, votes)
 from .registry import query
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from somnia.operators import epochs as E, intervals as I
+from somnia.operators import epochs as E
 from somnia.sources import catalog as C, text as X
 from .proxies import EPOCH, LAB, SIG, epoch_labels, fin, out, signal
 from .registry import query

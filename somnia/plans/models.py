@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from somnia.operators import latent as L, model as M, sequences as Q
-from .proxies import LAB, SIG, VEC, VECTOR, epoch_labels, feature_vectors, fin, out, signal
+from .proxies import SIG, VEC, VECTOR, epoch_labels, feature_vectors, fin, out, signal
 from .registry import query
-from .signals import EPOCH, RATE, band_powers
+from .signals import EPOCH, band_powers
 
 D, N_FACTORS, N_COV, N_MEAN = 10, 10, 11, 10
 

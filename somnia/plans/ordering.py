@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import functions as F
 
 from somnia.operators import order as O
-from somnia.operators.sampling import shuffle, take_random
+from somnia.operators.sampling import shuffle
 from .proxies import COD, LAB, SAMP, coded_epochs, epoch_labels, fin, out, samples
 from .registry import query
 

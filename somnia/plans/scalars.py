@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from somnia.functions import scalar as S
-from somnia.operators import epochs as E, scaling as SC
+from somnia.operators import scaling as SC
 from somnia.sources import text as X
 from .proxies import COD, EPOCH, LAB, SAMP, SIG, VEC, VECTOR, VOT, coded_epochs, epoch_labels, feature_vectors, fin, out, samples, signal, votes
 from .registry import query
@@ -187,6 +187,11 @@ _channel_scaler("MinMaxScaler", "min(value)", "max(value) - min(value)")
 _channel_scaler("MaxAbsScaler", "0", "max(abs(value))")
 
 
+@query("scale_channels_QuantileTransformer", "D-15 X-06", out(SAMP, "SELECT recording_id, channel, sample_idx, (rank() OVER w - 1 + (count(*) OVER (PARTITION BY recording_id, channel, value) - 1) / 2.0) / greatest(count(*) OVER (PARTITION BY recording_id, channel) - 1, 1) AS value FROM samp WINDOW w AS (PARTITION BY recording_id, channel ORDER BY value)", "recording_id sample_idx", "value"))
+def _(t):
+    return fin(SC.scale_channels(samples(t), ["recording_id", "channel"], "sample_idx", scaler="QuantileTransformer"))
+
+
 @query("scale_sequences", "D-16", out(SAMP + f", sq AS (SELECT *, sample_idx // {EPOCH} AS seq FROM samp), q AS (SELECT recording_id, channel, seq, quantile_cont(value, 0.5) AS a, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS b FROM sq GROUP BY 1, 2, 3)", "SELECT s.recording_id, s.channel, s.seq, sample_idx, (value - a) / CASE WHEN b = 0 THEN 1 ELSE b END AS value FROM sq s JOIN q ON s.recording_id = q.recording_id AND s.channel = q.channel AND s.seq = q.seq", "recording_id seq sample_idx", "value"))
 def _(t):
     rows = samples(t).withColumn("seq", F.floor(F.col("sample_idx") / EPOCH))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from somnia.operators import epochs as E, signal as G
-from .proxies import EPOCH, FS, LAB, SAMP, SIG, epoch_labels, fin, out, samples, signal
+from .proxies import EPOCH, FS, SAMP, SIG, epoch_labels, fin, out, samples, signal
 from .registry import query
 
 KEY = ["recording_id"]
@@ -133,7 +133,7 @@ WEL = HAM + ", wl AS (SELECT recording_id, channel, freq, avg(psd) AS psd FROM p
 
 def channel_powers(t):
     psd = G.welch(samples(t), CH, "sample_idx", "value", RATE, EPOCH)
-    return G.band_powers(psd, CH, CHANNEL, RATE, EPOCH)
+    return G.band_powers(psd, CH, RATE, EPOCH, CHANNEL)
 
 
 @query("channel_band_power", "D-04", out(WEL, "SELECT * FROM bp", "recording_id", "power"))
@@ -167,7 +167,7 @@ def _(t):
 @query("band_power_by_stage", "A-43", out(HAM + ", bp AS (" + _areas("ps", "recording_id, channel, e") + ")" + _join_labels("bp"), "SELECT channel, stage, band, avg(power) AS power FROM pl GROUP BY 1, 2, 3", "stage", "power"))
 def _(t):
     sp = G.epoch_spectrum(samples(t), CH, "sample_idx", "value", RATE, EPOCH, "hamming")
-    bp = G.band_powers(sp, [*CH, "epoch_idx"], CHANNEL, RATE, EPOCH)
+    bp = G.band_powers(sp, [*CH, "epoch_idx"], RATE, EPOCH, CHANNEL)
     return fin(bp.join(epoch_labels(t), [*KEY, "epoch_idx"]).groupBy("channel", "stage", "band").agg(F.avg("power").alias("power")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from somnia.functions.registry import READERS
 from somnia.session import shared_dir
 from somnia.sources import catalog as C, store as S, text as X
-from .proxies import HYP, LAB, SAMP, SIG, VEC, VECTOR, epoch_labels, events, feature_vectors, fin, hypnogram, out, samples, signal
+from .proxies import HYP, LAB, PAI, SAMP, SIG, VEC, VECTOR, epoch_labels, feature_vectors, fin, hypnogram, out, pairs, samples, signal
 from .registry import query
 
 BLOCK = 64  # samples per line
@@ -46,7 +46,7 @@ def _dataset(col):
     return F.concat(F.lit("d"), (F.col(col) % 4).cast("string"))
 
 
-@query("sample_store", "IO-03 IO-09 IO-16", out(SAMP, "SELECT 'd' || (recording_id % 4) AS dataset, recording_id, channel, count(*) AS n, sum(value) AS total FROM samp WHERE channel = 'v' GROUP BY 1, 2, 3", "recording_id n", "total"))
+@query("sample_store", "IO-03 IO-09", out(SAMP, "SELECT 'd' || (recording_id % 4) AS dataset, recording_id, channel, count(*) AS n, sum(value) AS total FROM samp WHERE channel = 'v' GROUP BY 1, 2, 3", "recording_id n", "total"))
 def _(t):
     path = shared_dir(t.spark)
     S.write_samples(samples(t).withColumn("dataset", _dataset("recording_id")), path, ["dataset", "channel"])
@@ -78,6 +78,16 @@ def _(t):
     return fin(S.read_features(t.spark, path, ["d1", "d2"], stages=[1, 3]).select("dataset", "subject", "epoch_idx", "stage"))
 
 
+@query("prediction_store", "IO-16", out(PAI, "SELECT n_name AS dataset, study_id, idx, true_ AS \"true\", pred FROM pai JOIN supplier ON s_suppkey = study_id JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_2', 'NATION_9', 'NATION_15')", "study_id idx true pred"))
+def _(t):
+    path = shared_dir(t.spark)
+    where = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("study_id"), F.col("n_name").alias("dataset"))
+    S.write_predictions(pairs(t).join(where, "study_id"), path)
+    rows = S.read_features(t.spark, path, ["NATION_2", "NATION_9", "NATION_15"])
+    return fin(rows.select("dataset", "study_id", "idx", "true", "pred"))
+
+
 @query("class_index", "IO-08", out(LAB, "SELECT recording_id AS study_id, stage, epoch_idx, row_number() OVER (PARTITION BY recording_id, stage ORDER BY epoch_idx) - 1 AS pos FROM lab", "study_id stage epoch_idx pos"))
 def _(t):
     return fin(S.class_index(epoch_labels(t).withColumnRenamed("recording_id", "study_id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from somnia.operators import epochs as E, intervals as I, sequences as Q
-from .proxies import ANN, EPOCH, FS, HYP, LAB, SAMP, SIG, annotations, epoch_labels, fin, hypnogram, out, samples, signal
+from .proxies import ANN, EPOCH, FS, HYP, LAB, SIG, annotations, epoch_labels, fin, hypnogram, out, signal
 from .registry import query
 
 KEY = ["recording_id"]

@@ -1,29 +1,12 @@
-"""Explicit schemas; nothing is inferred."""
+"""Schemas, vocabularies and bands that are fixed."""
 
 from pyspark.sql import types as T
 
-SAMPLES = T.StructType([
-    T.StructField("recording_id", T.StringType(), False),
-    T.StructField("channel", T.StringType(), False),
-    T.StructField("sample_idx", T.LongType(), False),
-    T.StructField("value", T.DoubleType()),
-])
-LABELS = T.StructType([
-    T.StructField("recording_id", T.StringType(), False),
-    T.StructField("epoch_idx", T.LongType(), False),
-    T.StructField("stage", T.IntegerType()),
-])
 INTERVALS = T.StructType([
     T.StructField("init_sec", T.LongType(), False),
     T.StructField("dur_sec", T.LongType(), False),
     T.StructField("stage", T.StringType()),
 ])
-ELECTRODES = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("x", T.DoubleType()),
-    T.StructField("y", T.DoubleType()),
-    T.StructField("z", T.DoubleType()),
-])
 FEATURES = ["index_w", "index_r", "index_n", "index_1", "index_2", "index_3",
             "index_4", "noise", "theta", "delta"]
 

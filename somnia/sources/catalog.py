@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from somnia.functions.scalar import lookup
 from somnia.operators.ordered import attach_by_hash
 from somnia.operators.project import with_channel_type
 
@@ -77,7 +76,3 @@ def channel_sets(groups: DataFrame, by: list[str], n_groups: int = 2) -> DataFra
         out = out.join(side, by).withColumn("_c", F.array_append("_c", F.col("_n"))).drop("_n")
     return (out.groupBy(*by, F.array_sort("_c").alias("_p")).agg(F.min("_c").alias("_m"))
             .select(*by, F.array_join("_m", "+").alias("channel_set")))
-
-
-def known_types(channels: DataFrame, types: dict[str, str]) -> DataFrame:
-    return channels.withColumn("type", lookup(types, F.upper(F.trim("channel"))))

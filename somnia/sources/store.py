@@ -32,6 +32,11 @@ def write_features(df: DataFrame, path: str, notes: dict[str, str] | None = None
     out.write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
+def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
+    """True labels, predictions and scores of all studies as one table by dataset."""
+    df.write.mode(mode).partitionBy("dataset").parquet(path)
+
+
 def read_features(spark: SparkSession, path: str, datasets: list[str] | None = None,
                   subjects: list | None = None, stages: list[int] | None = None) -> DataFrame:
     """A slice of the store; the first two conditions prune folders."""

@@ -227,3 +227,9 @@ def test_flat_and_single_samples_give_null_not_errors(spark):
     assert E.norm_to_range(flat, ["rec"], "i", "a").where("a IS NULL").count() == 10
     assert E.detrend(flat, ["rec"], "i", 4, "b").count() == 10
     assert SC.scale_channels(flat, ["rec"], "i", "a").where("a = 0").count() == 10
+
+
+def test_stage_texts(spark):
+    df = spark.createDataFrame([("a", "Sleep stage 4"), ("a", "Sleep stage 3"), ("a", "other"), ("b", "Sleep stage R")], "dataset string, description string")
+    got = {(r.dataset, r.description): r.stage for r in P.stage_from_text(df, P.stage_map(spark, "a")).collect()}
+    assert got == {("a", "Sleep stage 4"): 3, ("a", "Sleep stage 3"): 3, ("a", "other"): None, ("b", "Sleep stage R"): None}
