@@ -103,7 +103,10 @@ def artefact_mask(df: DataFrame, keys: list[str], idx: str, value: str, fs: floa
     rows = rows.withColumns({
         "_big": F.when(F.abs("_z") > amplitude[0], i),
         "_fast": F.when(F.abs(F.coalesce(F.lead("_z").over(w) - F.col("_z"), F.lit(0.0))) > amplitude[1], i)})
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead is looking back in falling order: a frame that is open ahead
+    # would be added up anew for every row.
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys, "_chunk").orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, 0)
     near = F.lit(False)
     for flag, width in (("_big", around[0]), ("_fast", around[1])):
         before = i * step - F.max(flag).over(past) * step
