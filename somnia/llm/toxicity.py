@@ -19,15 +19,15 @@ STEMS = (5, 4)
 class ClassModels:
     """Log-likelihood ratios of the toxic to the ordinary model as sorted tables, and the calibration of the score.
 
-    All tables hold only n-grams of the bounded sample.
+    A table holds what exceeds its level's discount in a class; anything else takes the next level's ratio and the
+    level's ``rest``, the log ratio of the mass that the classes leave to the next level.
     """
 
-    words: np.ndarray        # sorted hashes
-    unigram: np.ndarray      # by word: log of p_toxic(w) / p_ordinary(w)
-    backoff: np.ndarray      # by word as history: log ratio of the mass left to the unigram
-    pairs: np.ndarray        # sorted hashes of bigrams
-    bigram: np.ndarray       # by pair: log of p_toxic(w | history) / p_ordinary(w | history)
-    stems: list[tuple[np.ndarray, np.ndarray]]  # by length of STEMS: sorted hashes and their log ratio
+    words: tuple[np.ndarray, np.ndarray]         # sorted hashes, log ratio
+    stems: list[tuple[np.ndarray, np.ndarray]]   # the same by length of STEMS
+    rest: list[float]                            # of the words, then of each length of stems
+    heads: tuple[np.ndarray, np.ndarray]         # histories of kept bigrams, log ratio of the mass left to the word
+    pairs: tuple[np.ndarray, np.ndarray]         # kept bigrams, log ratio given the history
     weights: np.ndarray = None
     span: int = 12
 
@@ -36,16 +36,16 @@ class ClassModels:
         if not len(h):
             return np.zeros(0)
         result = np.zeros(len(h))
-        for (table, value), keys in zip(reversed(self.stems), reversed(stems), strict=True):
+        levels = [(self.words, h), *zip(self.stems, stems, strict=True)]
+        for ((table, value), keys), rest in zip(reversed(levels), reversed(self.rest), strict=True):
             at, found = _find(table, keys)
-            result[found] = value[at[found]]
-        at, known = _find(self.words, h)
-        result[known] = self.unigram[at[known]]
-        before = np.flatnonzero((rows[1:] == rows[:-1]) & known[:-1])
-        result[before + 1] += self.backoff[at[before]]
-        before = before[known[before + 1]]
-        where, found = _find(self.pairs, bigrams(h)[before])
-        result[before[found] + 1] = self.bigram[where[found]]
+            result = np.where(found, value[at] if len(value) else 0, result + rest)
+        after = np.flatnonzero(rows[1:] == rows[:-1]) + 1
+        at, found = _find(self.heads[0], h[after - 1])
+        after, at = after[found], at[found]
+        result[after] += self.heads[1][at]
+        where, found = _find(self.pairs[0], bigrams(h[after - 1], h[after]))
+        result[after[found]] = self.pairs[1][where[found]]
         return result
 
     def features(self, n: int, h: np.ndarray, rows: np.ndarray, *stems: np.ndarray) -> np.ndarray:
@@ -86,60 +86,63 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _kneser_ney(counts: list[dict[str, np.ndarray]], discount: float, rare: float) -> ClassModels:
-    """Models from bigram counts of the two classes, toxic first: arrays a (history), b (word), s0.. (its stems), n.
+def _kneser_ney(table: DataFrame, discount: float, rare: float) -> ClassModels:
+    """Models from the bigram counts (a, b, s0, s1, toxic, ordinary) of a sample.
 
-    The chain is bigram, word, stems, shared. Below the bigram counts are continuation counts (distinct histories); each
-    level keeps what exceeds its discount and leaves the rest to the next, and the last is pooled over both classes. So
-    an expression that is rare in a class is judged by its stem, and one with a rare stem comes out alike in both.
+    The chain is bigram, word, longer stem, shorter stem, shared. Below the bigram counts are continuation counts
+    (distinct histories); each level keeps what exceeds its discount and leaves the rest to the next, and the last is
+    pooled over both classes. So an expression that is rare in a class is judged by its stem, and one with a rare stem
+    comes out alike in both. Spark counts; what comes to the driver is only what exceeds a discount.
     """
-    words = np.unique(np.concatenate([c["b"] for c in counts] + [c["a"] for c in counts]))
-    keys = [bigrams(c["a"], c["b"]) for c in counts]
-    pairs, at_pair = np.unique(np.concatenate(keys), return_index=True)
-
-    def level(names: list[np.ndarray], below: list[np.ndarray] | None, shared: np.ndarray) -> list[np.ndarray]:
-        """p of each entry in each class; ``below``: the next level's ratio to the shared model, by entry."""
-        out = []
-        for k in (0, 1):
-            own = np.bincount(names[k], minlength=len(shared)).astype(float)
-            kept = np.maximum(own - rare, 0)
-            total = max(own.sum(), 1)
-            rest = shared if below is None else shared * below[k]
-            out.append(kept / total + (1 - kept.sum() / total) * rest)
-        return out
-
-    below, tables = None, []
-    previous = None
-    for j in reversed(range(len(STEMS))):
-        stems, place = np.unique(np.concatenate([c[f"s{j}"] for c in counts]), return_index=True)
-        every = np.searchsorted(stems, np.concatenate([c[f"s{j}"] for c in counts])[at_pair])
-        shared = (np.bincount(every, minlength=len(stems)) + 0.5) / (len(pairs) + 0.5 * len(stems))
-        if previous is not None:  # ratio of the shorter stem, by longer stem
-            short = np.searchsorted(previous[0], np.concatenate([c[f"s{j + 1}"] for c in counts])[place])
-            below = [r[short] for r in previous[1]]
-        p = level([np.searchsorted(stems, c[f"s{j}"]) for c in counts], below, shared)
-        tables.insert(0, (stems, np.log(p[0] / p[1])))
-        previous = (stems, [x / shared for x in p])
-    seen, place = np.unique(np.concatenate([c["b"] for c in counts]), return_index=True)
-    stem_of = np.concatenate([c["s0"] for c in counts])[place]
-    below = [np.ones(len(words)), np.ones(len(words))]
-    for k in (0, 1):
-        below[k][np.searchsorted(words, seen)] = previous[1][k][np.searchsorted(previous[0], stem_of)]
-    every = np.searchsorted(words, np.concatenate([c["b"] for c in counts])[at_pair])
-    shared = (np.bincount(every, minlength=len(words)) + 0.5) / (len(pairs) + 0.5 * len(words))
-    p = level([np.searchsorted(words, c["b"]) for c in counts], below, shared)
-    left, total, conditional = [], [], [np.zeros(len(pairs)), np.zeros(len(pairs))]
-    for c in counts:
-        v = np.searchsorted(words, c["a"])
-        kept = np.bincount(v, np.maximum(c["n"] - discount, 0), len(words))
-        total.append(np.bincount(v, c["n"], len(words)))
-        left.append(np.where(total[-1] > 0, np.maximum(1 - kept / np.maximum(total[-1], 1), 1e-3), 1.0))
-    a, b = (np.searchsorted(words, np.concatenate([c[x] for c in counts])[at_pair]) for x in "ab")
-    for k, c in enumerate(counts):
-        conditional[k] = left[k][a] * p[k][b]
-        at = np.searchsorted(pairs, keys[k])
-        conditional[k][at] += np.maximum(c["n"] - discount, 0) / total[k][np.searchsorted(words, c["a"])]
-    return ClassModels(words, np.log(p[0] / p[1]), np.log(left[0] / left[1]), pairs, np.log(conditional[0] / conditional[1]), tables)
+    classes = ("toxic", "ordinary")
+    kept = table.filter((F.col("toxic") > discount) | (F.col("ordinary") > discount))
+    strong = kept.toPandas()
+    heads = table.join(kept.select("a").distinct(), "a", "left_semi").groupBy("a").agg(*[F.sum(c).alias(c) for c in classes]).toPandas()
+    types = [F.count("*").alias("every"), *[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in classes]]
+    below, rest, tables = None, [], []
+    for key, chain in (("s1", ["s1"]), ("s0", ["s0", "s1"]), ("b", ["b", "s0", "s1"])):
+        counts = table.groupBy(*chain).agg(*types)
+        sums = counts.agg(F.sum("every").alias("every"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in classes],
+                          *[F.sum(F.greatest(F.col(c) - rare, F.lit(0.0))).alias("kept_" + c) for c in classes]).first()
+        wanted = (F.col("toxic") > rare) | (F.col("ordinary") > rare)
+        own = counts.filter(wanted)
+        if key == "b":  # the words of kept bigrams too
+            own = own.unionByName(counts.filter(~wanted).join(kept.select("b").distinct(), "b", "left_semi"))
+        own = own.toPandas()
+        shared = (own.every.to_numpy() + 0.5) / ((sums.every or 0) + 0.5 * (sums.n + 1))
+        keys = own[key].to_numpy(np.int64).view(np.uint64)
+        p, left = [], []
+        for k, c in enumerate(classes):
+            total = max(sums[c] or 0, 1)
+            left.append(1 - (sums["kept_" + c] or 0) / total)
+            lower = np.ones(len(own)) if below is None else below(own, k)
+            p.append(np.maximum(own[c].to_numpy(float) - rare, 0) / total + left[k] * shared * lower)
+        order = np.argsort(keys)
+        tables.insert(0, (keys[order], np.log(p[0] / p[1])[order]))
+        rest.insert(0, float(np.log(left[0] / left[1])))
+        ratio = [(keys[order], (p[k] / shared)[order]) for k in (0, 1)]
+
+        def below(rows, k, ratio=ratio, left=left, key=key, lower=below):
+            at, found = _find(ratio[k][0], rows[key].to_numpy(np.int64).view(np.uint64))
+            return np.where(found, ratio[k][1][at] if len(ratio[k][1]) else 1, left[k] * (1 if lower is None else lower(rows, k)))
+
+    # p of the last round is by word; bigrams and their histories follow.
+    v = strong[["a", "b"]].to_numpy(np.int64).view(np.uint64) if len(strong) else np.zeros((0, 2), np.uint64)
+    names = heads.a.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    names = names[order]
+    head, word = np.searchsorted(names, v[:, 0]), np.searchsorted(np.sort(keys), v[:, 1])
+    by_word = np.argsort(keys)
+    left, conditional = [], []
+    for k, c in enumerate(classes):
+        total = heads[c].to_numpy(float)[order]
+        over = np.maximum(strong[c].to_numpy(float) - discount, 0)
+        mass = np.bincount(head, over, len(names)) if len(names) else np.zeros(0)
+        left.append(np.where(total > 0, np.maximum(1 - mass / np.maximum(total, 1), 1e-3), 1.0))
+        conditional.append(over / np.maximum(total[head], 1) + left[k][head] * p[k][by_word][word])
+    pair = bigrams(v[:, 0], v[:, 1])
+    at = np.argsort(pair)
+    return ClassModels(tables[0], tables[1:], rest, (names, np.log(left[0] / left[1])), (pair[at], np.log(conditional[0] / conditional[1])[at]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
@@ -169,25 +172,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     return docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").dropDuplicates(["text", "y"])
 
 
-def _counts(rows: DataFrame, part: int) -> list[dict[str, np.ndarray]]:
-    """Bigram counts of the toxic and the ordinary sample rows of one half (0, 1) or of all (2)."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """Bigram counts (half, a, b, s0, s1, toxic, ordinary) of the sample: history, word and its stems as hashes."""
     names = ["a", "b", *(f"s{k}" for k in range(len(STEMS)))]
 
     def pairs(batches):
         for batch in batches:
-            y = np.array(batch.column("y").to_pylist(), np.int64)
+            y, half = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("y", "half"))
             for first, _, h, rows, *stems in hashed_words(texts(batch), stems=STEMS):
                 same = rows[1:] == rows[:-1]
-                columns = [h[:-1][same], h[1:][same], *(s[1:][same] for s in stems)]
-                yield pa.record_batch([*(pa.array(c.view(np.int64)) for c in columns), pa.array(y[first + rows[1:][same]])], [*names, "y"])
+                columns, row = [h[:-1][same], h[1:][same], *(s[1:][same] for s in stems)], first + rows[1:][same]
+                yield pa.record_batch([*(pa.array(c.view(np.int64)) for c in columns), pa.array(y[row]), pa.array(half[row])], [*names, "y", "half"])
 
-    half = rows.filter(F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == part) if part < 2 else rows
-    schema = ", ".join(f"{x} long" for x in [*names, "y"])
-    table = half.select("text", "y").mapInArrow(pairs, schema).groupBy(*names, "y").agg(F.count("*").alias("n")).toArrow()
-    columns = {c: table[c].to_numpy() for c in table.column_names}
-    order = np.lexsort((columns["b"], columns["a"]))  # the same on every run
-    columns = {c: v[order] for c, v in columns.items()}
-    return [{c: v[columns["y"] == k].astype(np.int64).view(np.uint64) if c in names else v[columns["y"] == k].astype(float) for c, v in columns.items()} for k in (1, 0)]
+    schema = ", ".join(f"{x} long" for x in [*names, "y", "half"])
+    return rows.select("text", "y", "half").mapInArrow(pairs, schema).groupBy("half", *names).agg(
+        F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("ordinary"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 2_000, discount: float = 4.0, rare: float = 6.0) -> ClassModels:
@@ -196,9 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class
     Models of one half of the sample give the features on which the other half fits the calibration; the final models
     use the whole sample. Without both classes every score is the share of the label (0.5 without labels).
     """
-    rows = written(sample(docs, labels, label, rows_per_class))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    rows = written(sample(docs, labels, label, rows_per_class).withColumn("half", half))
     counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    full = _kneser_ney(_counts(rows, 2), discount, rare)
+    table = written(_counts(rows))
+    whole = table.groupBy("a", "b", "s0", "s1").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    full = _kneser_ney(whole, discount, rare)
     share = {r.y: r["count"] for r in labels.filter(F.col(label).isin(0, 1) & (remainder("doc_id", 4) != 2)).groupBy(F.col(label).alias("y")).count().collect()}
     if not counts.get(0) or not counts.get(1):
         p = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
@@ -206,13 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class
         return full
     xs, ys = [], []
     for part in (0, 1):
-        model = _kneser_ney(_counts(rows, part), discount, rare)
-        other = rows.filter(F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 1 - part)
-        table = _features(other, model, "y").toArrow()
-        xs.append(np.stack([table[f"f{k}"].to_numpy() for k in range(FEATURES)], 1))
-        ys.append(table["y"].to_numpy())
+        model = _kneser_ney(table.filter(F.col("half") == part), discount, rare)
+        found = _features(rows.filter(F.col("half") == 1 - part), model, "y").toArrow()
+        xs.append(np.stack([found[f"f{k}"].to_numpy() for k in range(FEATURES)], 1))
+        ys.append(found["y"].to_numpy())
     x, y = np.concatenate(xs), np.concatenate(ys)
-    full.weights = logistic(x, y.astype(float))
+    order = np.lexsort(x.T)  # the same on every run
+    full.weights = logistic(x[order], y[order].astype(float))
     # The sample has other shares of the classes than the labels: move the constant back.
     full.weights[0] += np.log(share[1] / share[0]) - np.log(counts[1] / counts[0])
     return full
