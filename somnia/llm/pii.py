@@ -91,25 +91,30 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = 6, mi
                 found = {}
                 for entity, term, context in company(text, base_spans(text), window):
                     found.setdefault((entity, term), context)
+                    found["", term] = 0  # the document has the term near some entity
                 out += [(e, t, c) for (e, t), c in found.items()]
             columns = list(zip(*out)) or [[]] * 3
             yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["entity", "term", "context"])
 
     # Copies collapse first: one row per surroundings, with the number of documents that have them.
     seen = written(rows.mapInArrow(near, "entity string, term string, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("n")))
-    pairs = written(seen.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("joint")).filter(F.col("contexts") >= min_contexts))
+    # n(term) is at least the documents that have it near any entity, so words near many are ruled out before the count.
+    least = seen.filter("entity = ''").select("term", F.col("n").alias("least"))
+    named = seen.filter("entity <> ''").groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("joint"))
+    pairs = named.filter(F.col("contexts") >= min_contexts).join(least, "term").filter(F.col("joint") >= share * F.col("least")).drop("least")
+    pairs = written(pairs)
     if pairs.isEmpty():
         return pairs.select("term", "entity", F.lit(0.0).alias("disclosed"), F.lit(0.0).alias("information"))
     wanted = pairs.select("term").distinct()
     words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{3,})"), 1))).alias("term"))
     df = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("docs"))
     # An entity's documents: the largest joint count of any word near it bounds it from below.
-    entities = seen.groupBy("entity", "term").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.max("n").alias("of_entity"))
+    entities = seen.filter("entity <> ''").groupBy("entity", "term").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.max("n").alias("of_entity"))
     total = rows.agg(F.count("*").alias("total"))
     scored = pairs.join(df, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
     scored = scored.select("term", "entity", (F.col("joint") / F.greatest("docs", "joint")).alias("disclosed"),
                            F.log2((F.col("joint") / F.greatest("docs", "joint")) / (F.col("of_entity") / F.col("total"))).alias("information"))
-    return scored.filter((F.col("disclosed") >= share) & (F.col("information") >= bits))
+    return written(scored.filter((F.col("disclosed") >= share) & (F.col("information") >= bits)))
 
 
 def _term_spans(text: str, spans: list[tuple[str, int, int]], terms: dict[str, set[str]], window: int) -> set[tuple[int, int]]:
