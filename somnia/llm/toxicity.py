@@ -86,22 +86,26 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _kneser_ney(table: DataFrame, discount: float, rare: float) -> ClassModels:
-    """Models from the bigram counts (a, b, s0, s1, toxic, ordinary) of a sample.
+def _kneser_ney(table: DataFrame, words: DataFrame, part: str, discount: float, rare: float) -> ClassModels:
+    """Models of one part of the sample ('0' and '1': its halves, 'w': the whole).
 
-    The chain is bigram, word, longer stem, shorter stem, shared. Below the bigram counts are continuation counts
-    (distinct histories); each level keeps what exceeds its discount and leaves the rest to the next, and the last is
-    pooled over both classes. So an expression that is rare in a class is judged by its stem, and one with a rare stem
-    comes out alike in both. Spark counts; what comes to the driver is only what exceeds a discount.
+    ``table``: bigrams (a, b, s0, s1) with their counts toxic<part>, ordinary<part>; ``words``: (b, s0, s1) with
+    continuation counts (distinct histories) of the same names, and every<part> pooled over both classes.
+
+    The chain is bigram, word, longer stem, shorter stem, shared. Each level keeps what exceeds its discount and leaves
+    the rest to the next, and the last is pooled over both classes. So an expression that is rare in a class is judged
+    by its stem, and one with a rare stem comes out alike in both. Spark counts; what comes to the driver is only what
+    exceeds a discount.
     """
     classes = ("toxic", "ordinary")
+    table = table.select("a", "b", *[F.col(c + part).alias(c) for c in classes])
     kept = table.filter((F.col("toxic") > discount) | (F.col("ordinary") > discount))
     strong = kept.toPandas()
     heads = table.join(kept.select("a").distinct(), "a", "left_semi").groupBy("a").agg(*[F.sum(c).alias(c) for c in classes]).toPandas()
-    types = [F.count("*").alias("every"), *[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in classes]]
+    types = [F.sum(c + part).alias(c) for c in ("every", *classes)]
     below, rest, tables = None, [], []
     for key, chain in (("s1", ["s1"]), ("s0", ["s0", "s1"]), ("b", ["b", "s0", "s1"])):
-        counts = table.groupBy(*chain).agg(*types)
+        counts = words.groupBy(*chain).agg(*types).filter("every > 0")
         sums = counts.agg(F.sum("every").alias("every"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in classes],
                           *[F.sum(F.greatest(F.col(c) - rare, F.lit(0.0))).alias("kept_" + c) for c in classes]).first()
         wanted = (F.col("toxic") > rare) | (F.col("ordinary") > rare)
@@ -173,34 +177,38 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """Bigram counts (half, a, b, s0, s1, toxic, ordinary) of the sample: history, word and its stems as hashes."""
+    """Bigrams (a, b, s0, s1) of the sample: history, word and its stems as hashes, with counts by class and half."""
     names = ["a", "b", *(f"s{k}" for k in range(len(STEMS)))]
 
     def pairs(batches):
         for batch in batches:
-            y, half = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("y", "half"))
+            y, half = (np.array(batch.column(c).to_pylist(), np.int32) for c in ("y", "half"))
             for first, _, h, rows, *stems in hashed_words(texts(batch), stems=STEMS):
                 same = rows[1:] == rows[:-1]
                 columns, row = [h[:-1][same], h[1:][same], *(s[1:][same] for s in stems)], first + rows[1:][same]
-                yield pa.record_batch([*(pa.array(c.view(np.int64)) for c in columns), pa.array(y[row]), pa.array(half[row])], [*names, "y", "half"])
+                yield pa.record_batch([*(pa.array(c.view(np.int64)) for c in columns), pa.array(y[row] * 2 + half[row])], [*names, "kind"])
 
-    schema = ", ".join(f"{x} long" for x in [*names, "y", "half"])
-    return rows.select("text", "y", "half").mapInArrow(pairs, schema).groupBy("half", *names).agg(
-        F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("ordinary"))
+    schema = ", ".join(f"{x} long" for x in names) + ", kind int"
+    n = lambda *kinds: F.sum(F.col("kind").isin(*kinds).cast("int")).cast("int")
+    return rows.select("text", "y", "half").mapInArrow(pairs, schema).groupBy(*names).agg(
+        n(2).alias("toxic0"), n(3).alias("toxic1"), n(0).alias("ordinary0"), n(1).alias("ordinary1")).withColumns(
+        {"toxicw": F.col("toxic0") + F.col("toxic1"), "ordinaryw": F.col("ordinary0") + F.col("ordinary1")})
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 2_000, discount: float = 4.0, rare: float = 6.0) -> ClassModels:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 1_500, discount: float = 4.0, rare: float = 6.0) -> ClassModels:
     """Fit the two models on at most about ``rows_per_class`` labelled documents of each class (the documented bound).
 
     Models of one half of the sample give the features on which the other half fits the calibration; the final models
     use the whole sample. Without both classes every score is the share of the label (0.5 without labels).
     """
-    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
     rows = written(sample(docs, labels, label, rows_per_class).withColumn("half", half))
     counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     table = written(_counts(rows))
-    whole = table.groupBy("a", "b", "s0", "s1").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    full = _kneser_ney(whole, discount, rare)
+    some = lambda *c: F.sum((sum(map(F.col, c)) > 0).cast("int")).cast("int")
+    words = written(table.groupBy("b", "s0", "s1").agg(*[some(c + p).alias(c + p) for p in "01w" for c in ("toxic", "ordinary")],
+                                                       *[some("toxic" + p, "ordinary" + p).alias("every" + p) for p in "01w"]))
+    full = _kneser_ney(table, words, "w", discount, rare)
     share = {r.y: r["count"] for r in labels.filter(F.col(label).isin(0, 1) & (remainder("doc_id", 4) != 2)).groupBy(F.col(label).alias("y")).count().collect()}
     if not counts.get(0) or not counts.get(1):
         p = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
@@ -208,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class
         return full
     xs, ys = [], []
     for part in (0, 1):
-        model = _kneser_ney(table.filter(F.col("half") == part), discount, rare)
+        model = _kneser_ney(table, words, str(part), discount, rare)
         found = _features(rows.filter(F.col("half") == 1 - part), model, "y").toArrow()
         xs.append(np.stack([found[f"f{k}"].to_numpy() for k in range(FEATURES)], 1))
         ys.append(found["y"].to_numpy())
