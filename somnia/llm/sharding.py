@@ -89,7 +89,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6, id_col: s
         linked = written(moved.select(*linked.columns))
 
     # Rows beyond a quota, and rows without a neighbour, fill what is free.
-    placed = ranked(linked, ["shard"], group_unit, [F.col("group_id"), F.col("doc_id"), F.col("nth")], count)
+    placed = ranked(linked, ["shard"], _unit("doc_id", "nth", "group_id"), [F.col("doc_id"), F.col("group_id"), F.col("nth")], count)
     placed = written(placed.withColumn("over", F.col("rank") >= quotas))
     load = {r.shard: r.n for r in placed.filter("not over").groupBy("shard").count().withColumnRenamed("count", "n").collect()}  # one row per shard
     single = rows.join(groups, "group_id", "left_anti")
