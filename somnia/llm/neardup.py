@@ -41,51 +41,62 @@ def shingles(h: np.ndarray, rows: np.ndarray, n: int, width: int = WIDTH) -> tup
     return code[order], row[order]
 
 
-def cells(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The regions of one text: a shingle that occurs w times has weight w, which is w cells of weight one."""
-    code = np.sort(code)
-    start = np.concatenate([[True], code[1:] != code[:-1]])
-    return code, np.arange(len(code)) - np.maximum.accumulate(np.where(start, np.arange(len(code)), 0))
+def cells(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The regions of texts: a shingle that occurs w times in its text has weight w, which is w cells of weight one.
+
+    Shingles are put in order within each text; each cell has the shingle's hash and its number among the equal ones.
+    """
+    order = np.lexsort((code, owner))
+    code, owner, at = code[order], owner[order], np.arange(len(code))
+    start = np.ones(len(code), bool)
+    start[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+    return code, at - np.maximum.accumulate(np.where(start, at, 0)), owner
 
 
-def darts(code: np.ndarray, copy: np.ndarray, k: int = COORDINATES) -> np.ndarray:
-    """Signature of one text: in each coordinate the earliest dart that hits one of its cells.
+def darts(code: np.ndarray, copy: np.ndarray, owner: np.ndarray, n: int, k: int = COORDINATES) -> np.ndarray:
+    """Signatures of ``n`` texts (n x k): in each coordinate the earliest dart that hits one of a text's cells.
 
     Every cell gets darts at the times of a Poisson process of rate one, drawn from a hash of (shingle, copy, number of
     the dart); another draw sends each to a coordinate. Two texts throw the same darts at the cells that they share, so
     a coordinate agrees with the probability of their weighted Jaccard similarity. Time runs until every coordinate is
-    hit: the bound starts where that is likely and doubles when it is not.
+    hit: a text's bound starts where that is likely and doubles when it is not. Texts without a cell keep zeros.
     """
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", divide="ignore"):
         seed = mix(code + mix(copy.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-        until = k * (np.log(k) + 4) / len(code)
-        while True:
-            best, name = np.full(k, np.inf), np.zeros(k, np.uint64)
-            alive, time, number = seed, np.zeros(len(seed)), 0
-            times, places, names = [], [], []
+        size = np.bincount(owner, minlength=n)
+        until = k * (np.log(k) + 2) / size
+        result, todo = np.zeros((n, k), np.uint64), size > 0
+        while todo.any():
+            best, name = np.full(n * k, np.inf), np.zeros(n * k, np.uint64)
+            own = todo[owner]
+            alive, who = seed[own], owner[own]
+            bound, time, number = until[who], np.zeros(len(alive)), 0
             while len(alive):
                 number += 1
                 draw = mix(alive + np.uint64(number) * np.uint64(0xBF58476D1CE4E5B9))
                 time = time - np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53)
-                hit = time < until
-                alive, time, draw = alive[hit], time[hit], draw[hit]
-                landed = mix(draw ^ np.uint64(0xA0761D6478BD642F))
-                times.append(time)
-                places.append((landed % np.uint64(k)).astype(np.int64))
-                names.append(landed)
-            time, place, landed = np.concatenate(times), np.concatenate(places), np.concatenate(names)
-            order = np.lexsort((landed, time))[::-1]  # the earliest is written last
-            best[place[order]], name[place[order]] = time[order], landed[order]
-            if np.isfinite(best).all():
-                return name
-            until *= 2
-
-
-def _bands(name: np.ndarray) -> np.ndarray:
+                hit = time < bound
+                alive, who, bound, time = alive[hit], who[hit], bound[hit], time[hit]
+                landed = mix(draw[hit] ^ np.uint64(0xA0761D6478BD642F))
+                place = who * k + (landed % np.uint64(k)).astype(np.int64)
+                earlier = time < best[place]
+                place, when, landed = place[earlier], time[earlier], landed[earlier]
+                np.minimum.at(best, place, when)
+                first = best[place] == when
+                name[place[first]] = landed[first]
+            full = np.isfinite(best.reshape(n, k)).all(1) & todo
+            result[full] = name.reshape(n, k)[full]
+            todo &= ~full
+            until = np.where(todo, until * 2, until)
+        return result
+
+
+def _bands(names: np.ndarray) -> np.ndarray:
+    """One hash for each text and band (n x BANDS)."""
     with np.errstate(over="ignore"):
-        code = np.arange(BANDS, dtype=np.uint64)
-        for column in name.reshape(BANDS, ROWS).T:
-            code = mix(code * np.uint64(0xD1342543DE82EF95) + column)
+        code = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(names), BANDS)).copy()
+        for k in range(ROWS):
+            code = mix(code * np.uint64(0xD1342543DE82EF95) + names.reshape(-1, BANDS, ROWS)[:, :, k])
     return code
 
 
@@ -95,18 +106,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, keys, out = batch.column("doc_id"), batch.column("key"), []
-            for first, n, h, row in hashed_words(texts(batch)):
+            for first, n, h, row in hashed_words(texts(batch), limit=1 << 18):
                 code, owner = shingles(h, row, n)
-                edges = np.searchsorted(owner, np.arange(n + 1))
-                for k in range(n):
-                    if edges[k + 1] > edges[k]:
-                        name = darts(*cells(code[edges[k]:edges[k + 1]]))
-                        out.append((first + k, int(edges[k + 1] - edges[k]), _bands(name).view(np.int64), (name & np.uint64(255)).astype(np.uint8).tobytes()))
-            at = pa.array([x[0] for x in out], pa.int64())
-            yield pa.record_batch([ids.take(at), keys.take(at), pa.array([x[1] for x in out], pa.int64()),
-                                   pa.array([x[2] for x in out], pa.list_(pa.int64())), pa.array([x[3] for x in out], pa.binary())],
-                                  ["doc_id", "key", "weight", "bands", "light"])
+                names = darts(*cells(code, owner), n)
+                weight = np.bincount(owner, minlength=n)
+                own = np.flatnonzero(weight)
+                light = (names[own] & np.uint64(255)).astype(np.uint8)
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(_bands(names[own]).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                at = pa.array(own + first)
+                yield pa.record_batch([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(weight[own].astype(np.int64)), bands,
+                                       pa.array([x.tobytes() for x in light], pa.binary())], ["doc_id", "key", "weight", "bands", "light"])
 
     return rows.mapInArrow(run, "doc_id long, key string, weight long, bands array<long>, light binary")
 
