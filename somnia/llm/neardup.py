@@ -6,7 +6,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, hashed_words, mix, texts, written
@@ -14,7 +14,8 @@ from .common import components, hashed_words, mix, texts, written
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 7  # a pair at 0.8 shares a band with probability 0.9995
 COORDINATES = BANDS * ROWS
-LIGHT = 1  # bytes of each coordinate that are kept for the estimate
+SMALL, TILE = 64, 256
+CENTRES = 6  # members that a bucket is compared to in each turn after the first
 
 
 def shingles(h: np.ndarray, rows: np.ndarray, n: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +151,72 @@ def _estimate_at_least(low: float):
     return run
 
 
+def _bodies(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of some representatives."""
+    wanted = reps.join(nodes, "node").select("node", F.col("key").alias("want"), F.col("of").alias("want_id"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
+    body = own.join(wanted, (own.id == F.coalesce("want_id", F.lit(-1))) & (own.key == F.col("want"))).groupBy("node").agg(F.first("text").alias("text"))
+    return written(body)
+
+
+def _tiled_links(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members (band, node, component) of large buckets, of different components.
+
+    Buckets that share members form a cluster; its texts are dealt into tiles of about TILE, and each pair of tiles is
+    compared in one task that reports only links. So the rows written grow as members * members / TILE, not as pairs.
+    """
+    hubs = members.groupBy("band").agg(F.min("node").alias("hub"))
+    own = members.select("node", "component").distinct()
+    clusters = components(members.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+
+    def split(batches):
+        for batch in batches:
+            for first, n, h, row in hashed_words(texts(batch), limit=1 << 18):
+                code, copy, owner = cells(*shingles(h, row, n))
+                with np.errstate(over="ignore"):
+                    cell = mix(code + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                edges = np.searchsorted(owner, np.arange(n + 1))
+                yield pa.record_batch([batch.column("node").slice(first, n), pa.array([cell[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary())], ["node", "cells"])
+
+    bodies = _bodies(own.select("node"), reps, docs).select("node", "text").mapInArrow(split, "node long, cells binary")
+    dealt = bodies.join(own, "node").join(clusters, "node").join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component", "cells")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, component, tile = (table[c].to_numpy() for c in ("node", "component", "tile"))
+        sets = [np.frombuffer(x, np.uint64) for x in table["cells"].to_pylist()]
+        size, owner = np.array([len(x) for x in sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        values, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(often > 1) - 1
+        keep = often[number] > 1
+        bits = np.zeros((len(sets), -(-int((often > 1).sum() + 1) // 64) * 64), bool)  # shared cells as bits
+        bits[owner[keep], place[number[keep]]] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        a, b = [], []
+        one, last = table["i"][0].as_py(), table["j"][0].as_py()
+        for x in np.flatnonzero(tile == one):
+            others = np.flatnonzero((tile == last) & (component != component[x]))
+            both = np.bitwise_count(words[x] & words[others]).sum(1)
+            near = others[both >= threshold * (size[x] + size[others] - both) - 1e-9]
+            a += [int(min(node[x], node[y])) for y in near]
+            b += [int(max(node[x], node[y])) for y in near]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return written(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+
+
 def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of representatives whose texts are similar enough: estimate first, then exact."""
     side = lambda c: reps.select(F.col("node").alias(c), F.col("weight").alias(f"weight_{c}"), F.col("light").alias(f"light_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b"))
-    # At 0.8 of 224 coordinates 0.62 is more than six deviations low.
-    near = written(near.select("a", "b", "light_a", "light_b").mapInArrow(_estimate_at_least(threshold - 0.18), "a long, b long"))
+    # At 0.8 of 224 coordinates 0.66 is more than five deviations low.
+    near = written(near.select("a", "b", "light_a", "light_b").mapInArrow(_estimate_at_least(threshold - 0.14), "a long, b long"))
     if near.isEmpty():
         return near
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    wanted = reps.join(nodes, "node").select("node", F.col("key").alias("want"), F.col("of").alias("want_id"))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
-    body = own.join(wanted, (own.id == F.coalesce("want_id", F.lit(-1))) & (own.key == F.col("want"))).groupBy("node").agg(F.first("text").alias("text"))
-    body = written(body)
+    body = _bodies(nodes, reps, docs)
     full = near.join(body.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -173,14 +227,20 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float
     return written(full.mapInArrow(run, "a long, b long"))
 
 
+def spark_pairs(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, key, node, class_node, class_id) of every row.
 
     Documents are linked when the weighted Jaccard similarity of their shingles of five words is at least ``threshold``
     (found by a shared band, then computed exactly); classes are the components of the links, named by their smallest
-    doc_id. Equal texts are one node from the start, so copies are counted, never paired. In a band's bucket all are
-    first compared to the smallest; only pairs of different classes that remain are compared in a second pass, which
-    loses no link between classes and writes out no pairs within one.
+    doc_id. Equal texts are one node from the start, so copies are counted, never paired. In each turn all members of a
+    band's bucket are compared to a few of them and classes merge; when few pairs of different classes remain in the
+    buckets, or hardly any comparison finds a link, all of those pairs are compared: those of buckets with up to SMALL
+    members as rows, at most SMALL for each member, those of larger ones tile by tile inside tasks. So no link between
+    classes is lost, and a group of copies or of texts around one passage is not written out in pairs.
 
     Rows of one doc_id count as one document. A NULL doc_id gets a negative node from its text; its class_id is the
     smallest id of the class, NULL if none has one. Texts without words (NULL, empty) are equal to each other only when
@@ -192,20 +252,45 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reps = written(reps.withColumn("node", node))
     banded = reps.select("node", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("other"))
-    shared = written(banded.join(centres.filter("centre <> other"), "band").select("band", "centre", "node"))
-    star = shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = _linked(star, reps, docs, threshold)
-    found = components(links)
-    named = shared.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    open_rows = written(named.join(several, "band"))
-    if not open_rows.isEmpty():
-        left = open_rows.select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = open_rows.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-        rest = left.join(right, "band").filter("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-        more = _linked(rest, reps, docs, threshold)
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    shared = written(banded.join(centres.filter("centre <> other"), "band").select("band", "node"))
+    found = spark_pairs(docs.sparkSession, "node long, component long")
+    size, turn, gained = shared.count(), 0, 1.0
+    while True:
+        # What a bucket still leaves open: its pairs of different components, counted without writing them out.
+        named = shared.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        by = named.groupBy("band", "component").agg(F.count("*").alias("n"))
+        by = by.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("all * all > same")
+        several = written(by)
+        pairs = several.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
+        if not pairs:
+            break
+        open_rows = written(named.join(several.select("band"), "band"))
+        last = turn > 0 and (pairs <= size or gained < 0.02)
+        if last:
+            small = open_rows.join(several.filter(F.col("all") <= SMALL).select("band"), "band", "left_semi")
+            left = small.select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
+            right = small.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
+            asked = left.join(right, "band").filter("a < b and ca <> cb").select("a", "b").distinct()
+        else:  # all of a bucket against a few of it, others in each turn
+            orders = [F.col("node")] if turn == 0 else [F.xxhash64("node", F.lit(turn), F.lit(k)) for k in range(CENTRES)]
+            one = F.struct(F.col("node").alias("a"), F.col("component").alias("ca"))
+            left = open_rows.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by(one, o) for o in orders])).alias("x")).select("band", F.inline("x"))
+            right = open_rows.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
+            asked = left.join(right, "band").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        asked = written(asked)
+        asked_rows = asked.count()
+        links = _linked(asked, reps, docs, threshold)
+        if last:
+            large = open_rows.join(several.filter(F.col("all") > SMALL).select("band"), "band", "left_semi")
+            if not large.isEmpty():
+                links = links.unionByName(_tiled_links(large, reps, docs, threshold))
+        n = links.count()
+        gained = n / max(asked_rows, 1)
+        if n:
+            found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if last:
+            break
+        turn += 1
     nodes = reps.select("key", "node", "of").join(found, "node", "left").select("key", "node", "of", F.coalesce("component", "node").alias("class_node"))
     named = nodes.join(nodes.groupBy("class_node").agg(F.min("of").alias("class_id")), "class_node")
     named = written(named.select("key", "node", "class_node", "class_id"))
