@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, pii, quality, sharding, toxicity
+from . import decontam, lm, neardup, packing, pii, quality, sharding, toxicity, vectors, wrappers
 from .common import remainder
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,23 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(quality.score(docs, quality.fit(docs, labels), ["doc_id"]), 0.7)
 
 
+def op4_language_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.language_scores(_table(spark, folder, "documents"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return pii.find(docs, pii.revealing_terms(docs)).drop("text", "clean")
 
 
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(_table(spark, folder, "pages"))
+
+
+def op7_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.links(_table(spark, folder, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
 
@@ -53,5 +65,6 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
-    op1_toxicity, op2_sharding, op3_quality, op5_pii, op8_packing, op9_near_copies, op10_decontamination)}
+    op1_toxicity, op2_sharding, op3_quality, op4_language_scores, op5_pii, op6_main_text, op7_near_vectors, op8_packing,
+    op9_near_copies, op10_decontamination)}
 SQL: dict[str, str] = {}
