@@ -171,8 +171,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     keep = F.lit(False)
     for y, n in sizes.items():
-        keep |= (F.col("y") == y) & (F.xxhash64(F.lit("draw"), "label_id") % 1_000_003 < int(1_000_003 * min(1.0, rows / n)))
-    drawn = known.filter(keep)
+        keep |= (F.col("y") == y) & (F.pmod(F.xxhash64(F.lit("draw"), "label_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, rows / n)))
+    drawn = F.broadcast(known.filter(keep))  # bounded by rows
     return docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").dropDuplicates(["text", "y"])
 
 
@@ -195,7 +195,7 @@ def _counts(rows: DataFrame) -> DataFrame:
         {"toxicw": F.col("toxic0") + F.col("toxic1"), "ordinaryw": F.col("ordinary0") + F.col("ordinary1")})
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 1_500, discount: float = 4.0, rare: float = 6.0) -> ClassModels:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 5_000, discount: float = 4.0, rare: float = 6.0) -> ClassModels:
     """Fit the two models on at most about ``rows_per_class`` labelled documents of each class (the documented bound).
 
     Models of one half of the sample give the features on which the other half fits the calibration; the final models
