@@ -45,7 +45,7 @@ def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
 def count(docs: DataFrame, segments: int) -> DataFrame:
     """(kind, segment, keys, counts, n_distinct, n_total): counts of words (kind 0) and bigrams (1), in sorted blocks.
 
-    A task sends each segment one block of distinct hashes and counts for about 4 million tokens, so what is shuffled is
+    A task sends each segment one block of distinct hashes and counts for about a million tokens, so what is shuffled is
     pre-aggregated and has no row for each n-gram; hashes deal n-grams evenly, so no segment is hot.
     """
 
@@ -67,7 +67,7 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
                 token, _, pair = tokens(h, rows, n)
                 held.append((token, pair))
                 size += len(token)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield from send(held)
                     held, size = [], 0
         if held:
@@ -91,10 +91,11 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
     return sent.groupBy("kind", "segment").applyInArrow(merge, "kind int, segment int, keys binary, counts binary, n_distinct long, n_total long")
 
 
-def _places(keys: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
+def _places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of the probes of (n-gram, level)."""
     with np.errstate(over="ignore"):
         one = mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-        return (mix(one + np.uint64(probe) * np.uint64(0xD6E8FEB86659FD93)) % size.astype(np.uint64)).astype(np.int64)
+        return one >> np.uint64(2), ((one * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(34)) | np.uint64(1)
 
 
 def filters(counts: DataFrame) -> DataFrame:
@@ -106,9 +107,9 @@ def filters(counts: DataFrame) -> DataFrame:
         size = max(64, int(level.sum()) * BITS_PER_ENTRY // 8 * 8 + 64)
         bits = np.zeros(size, bool)
         for q in range(1, int(level.max(initial=0)) + 1):
-            own = keys[level >= q]
+            place, step = _places(keys[level >= q], q)
             for k in range(PROBES):
-                bits[_places(own, q, k, np.full(1, size))] = True
+                bits[((place + np.uint64(k) * step) % np.uint64(size)).astype(np.int64)] = True
         return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()),
                          "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
@@ -125,19 +126,22 @@ class Slice:
 
     def levels(self, keys: np.ndarray, kind: int, segments: int) -> np.ndarray:
         """Level of each n-gram by probing level after level until one is missing; 255 where the slice lacks its segment."""
+        keys, back = np.unique(keys, return_inverse=True)  # common n-grams have many levels: each is probed once
         seg = _segment(keys, segments)
         out = np.where(self.start[seg] >= 0, 0, 255).astype(np.uint8)
         alive = np.flatnonzero(out == 0)
         tagged = keys ^ np.uint64(kind)
         for q in range(1, 64):
+            place, step = _places(tagged[alive], q)
+            start, size = self.start[seg[alive]], self.size[seg[alive]].astype(np.uint64)
             for k in range(PROBES):
-                s = seg[alive]
-                at = self.start[s] + _places(tagged[alive], q, k, self.size[s])
-                alive = alive[(self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+                at = start + ((place + np.uint64(k) * step) % size).astype(np.int64)
+                hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                alive, place, step, start, size = alive[hit], place[hit], step[hit], start[hit], size[hit]
             if not len(alive):
                 break
             out[alive] = q
-        return out
+        return out[back]
 
 
 @dataclass
@@ -184,7 +188,7 @@ def _levels(docs: DataFrame, model: Model) -> DataFrame:
         def probe(batches, sent=sent):
             for batch in batches:
                 out, sofar = [], batch.column("levels")
-                for first, n, h, rows in hashed_words(texts(batch)):
+                for first, n, h, rows in hashed_words(texts(batch), limit=3 << 20):
                     token, owner, pair = tokens(h, rows, n)
                     found = np.stack([sent.value.levels(token, 0, segments), sent.value.levels(pair, 1, segments)], 1)
                     edges = np.searchsorted(owner, np.arange(n + 1))
