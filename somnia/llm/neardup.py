@@ -14,8 +14,8 @@ from .common import components, hashed_words, mix, texts, written
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 7  # a pair at 0.8 shares a band with probability 0.9995
 COORDINATES = BANDS * ROWS
-SMALL, TILE = 64, 256
-CENTRES = 6  # members that a bucket is compared to in each turn after the first
+SMALL, TILE = 32, 256
+CENTRES = 2  # members that a bucket is compared to in each turn after the first
 
 
 def shingles(h: np.ndarray, rows: np.ndarray, n: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -152,23 +152,27 @@ def _estimate_at_least(low: float):
 
 
 def _bodies(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of some representatives."""
+    """(node, text) of the representatives that share a band with another: the only texts that are read again."""
     wanted = reps.join(nodes, "node").select("node", F.col("key").alias("want"), F.col("of").alias("want_id"))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
     body = own.join(wanted, (own.id == F.coalesce("want_id", F.lit(-1))) & (own.key == F.col("want"))).groupBy("node").agg(F.first("text").alias("text"))
     return written(body)
 
 
-def _tiled_links(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _tiled_links(members: DataFrame, texts_of: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members (band, node, component) of large buckets, of different components.
 
-    Buckets that share members form a cluster; its texts are dealt into tiles of about TILE, and each pair of tiles is
-    compared in one task that reports only links. So the rows written grow as members * members / TILE, not as pairs.
+    Buckets that share members form a cluster; its texts are dealt into tiles of about TILE, those outside its largest
+    component (strays) into tiles of their own, and each tile of strays is compared to each tile in one task that
+    reports only links. So the rows written grow as strays * members / TILE, not as pairs.
     """
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"))
     own = members.select("node", "component").distinct()
     clusters = components(members.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    every = written(clusters.join(own, "node"))
+    shares = every.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    sizes = shares.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    sizes = sizes.select("cluster", "largest", F.ceil(F.col("all") / TILE).cast("int").alias("tiles"), F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("stray_tiles"))
 
     def split(batches):
         for batch in batches:
@@ -179,13 +183,18 @@ def _tiled_links(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold
                 edges = np.searchsorted(owner, np.arange(n + 1))
                 yield pa.record_batch([batch.column("node").slice(first, n), pa.array([cell[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary())], ["node", "cells"])
 
-    bodies = _bodies(own.select("node"), reps, docs).select("node", "text").mapInArrow(split, "node long, cells binary")
-    dealt = bodies.join(own, "node").join(clusters, "node").join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component", "cells")
+    named = written(every.join(sizes, "cluster"))
+    bodies = texts_of.join(named.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(split, "node long, cells binary")
+    dealt = written(bodies).join(named, "node")
+    tile = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["cluster", "i", "j", "side", "node", "component", "cells"]
+    strays = dealt.filter(F.col("component") != F.col("largest")).withColumns({"i": tile(F.col("stray_tiles")), "side": F.lit(0)}).withColumn("j", to("tiles"))
+    others = dealt.filter("stray_tiles > 0").withColumns({"j": tile(F.col("tiles")), "side": F.lit(1)}).withColumn("i", to("stray_tiles"))
+    dealt = strays.select(*names).unionByName(others.select(*names))
 
     def compare(table: pa.Table) -> pa.Table:
-        node, component, tile = (table[c].to_numpy() for c in ("node", "component", "tile"))
+        node, component, side = (table[c].to_numpy() for c in ("node", "component", "side"))
         sets = [np.frombuffer(x, np.uint64) for x in table["cells"].to_pylist()]
         size, owner = np.array([len(x) for x in sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         values, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -195,9 +204,8 @@ def _tiled_links(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold
         bits[owner[keep], place[number[keep]]] = True
         words = np.packbits(bits, axis=1).view(np.uint64)
         a, b = [], []
-        one, last = table["i"][0].as_py(), table["j"][0].as_py()
-        for x in np.flatnonzero(tile == one):
-            others = np.flatnonzero((tile == last) & (component != component[x]))
+        for x in np.flatnonzero(side == 0):
+            others = np.flatnonzero((side == 1) & (component != component[x]))
             both = np.bitwise_count(words[x] & words[others]).sum(1)
             near = others[both >= threshold * (size[x] + size[others] - both) - 1e-9]
             a += [int(min(node[x], node[y])) for y in near]
@@ -207,7 +215,7 @@ def _tiled_links(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold
     return written(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _linked(pairs: DataFrame, reps: DataFrame, texts_of: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of representatives whose texts are similar enough: estimate first, then exact."""
     side = lambda c: reps.select(F.col("node").alias(c), F.col("weight").alias(f"weight_{c}"), F.col("light").alias(f"light_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b"))
@@ -216,7 +224,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float
     if near.isEmpty():
         return near
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    body = _bodies(nodes, reps, docs)
+    body = texts_of.join(nodes, "node", "left_semi")
     full = near.join(body.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -253,6 +261,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     banded = reps.select("node", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("other"))
     shared = written(banded.join(centres.filter("centre <> other"), "band").select("band", "node"))
+    bodies = _bodies(shared.select("node").distinct(), reps, docs)
     found = spark_pairs(docs.sparkSession, "node long, component long")
     size, turn, gained = shared.count(), 0, 1.0
     while True:
@@ -265,7 +274,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if not pairs:
             break
         open_rows = written(named.join(several.select("band"), "band"))
-        last = turn > 0 and (pairs <= size or gained < 0.02)
+        last = turn > 0 and (pairs <= size or gained < 0.05)
         if last:
             small = open_rows.join(several.filter(F.col("all") <= SMALL).select("band"), "band", "left_semi")
             left = small.select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -279,11 +288,11 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             asked = left.join(right, "band").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         asked = written(asked)
         asked_rows = asked.count()
-        links = _linked(asked, reps, docs, threshold)
+        links = _linked(asked, reps, bodies, threshold)
         if last:
             large = open_rows.join(several.filter(F.col("all") > SMALL).select("band"), "band", "left_semi")
             if not large.isEmpty():
-                links = links.unionByName(_tiled_links(large, reps, docs, threshold))
+                links = links.unionByName(_tiled_links(large, bodies, threshold))
         n = links.count()
         gained = n / max(asked_rows, 1)
         if n:
