@@ -171,8 +171,8 @@ def fit(docs: DataFrame) -> Model:
     return Model(sums.n or 0, sums.v or 0, segments, slices, built, counts)
 
 
-def _levels(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``levels``: for each token the level of the word and of its bigram, as bytes; one pass for each slice of the filter."""
+def _levels(docs: DataFrame, model: Model, finish, schema) -> DataFrame:
+    """Find for each token the levels of its word and bigram, one pass for each slice; ``finish(batch, levels)`` makes the last pass's rows."""
     names = docs.columns
     df = docs.withColumn("levels", F.lit(None).cast("binary"))
     for number, own in enumerate(model.slices):
@@ -183,25 +183,27 @@ def _levels(docs: DataFrame, model: Model) -> DataFrame:
             parts.append(np.frombuffer(r.bits, np.uint8))
             place += len(parts[-1]) * 8
         sent = docs.sparkSession.sparkContext.broadcast(Slice(start, size, np.concatenate([*parts, np.zeros(1, np.uint8)])))
-        segments = model.segments
+        segments, last = model.segments, number + 1 == len(model.slices)
 
-        def probe(batches, sent=sent):
+        def probe(batches, sent=sent, last=last):
             for batch in batches:
                 out, sofar = [], batch.column("levels")
-                for first, n, h, rows in hashed_words(texts(batch), limit=3 << 20):
+                for first, n, h, rows in hashed_words(texts(batch)):
                     token, owner, pair = tokens(h, rows, n)
                     found = np.stack([sent.value.levels(token, 0, segments), sent.value.levels(pair, 1, segments)], 1)
                     edges = np.searchsorted(owner, np.arange(n + 1))
                     for k in range(n):
                         own, old = found[edges[k]:edges[k + 1]], sofar[first + k].as_py()
                         if old is not None:
-                            old = np.frombuffer(old, np.uint8).reshape(-1, 2)
-                            own = np.where(own == 255, old, own)
-                        out.append(own.tobytes())
-                yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "levels"])
-
-        df = df.mapInArrow(probe, df.schema)
-        if number + 1 < len(model.slices):
+                            own = np.where(own == 255, np.frombuffer(old, np.uint8).reshape(-1, 2), own)
+                        out.append(own)
+                if last:
+                    yield finish(batch, out)
+                else:
+                    yield pa.record_batch([*(batch.column(c) for c in names), pa.array([x.tobytes() for x in out], pa.binary())], [*names, "levels"])
+
+        df = df.mapInArrow(probe, schema if last else df.schema)
+        if not last:
             df = written(df)
     return df
 
@@ -232,18 +234,16 @@ def calibrate(docs: DataFrame, model: Model, rounds: int = 30) -> np.ndarray:
     """
     n, v = model.docs_tokens, model.words
 
-    def grade(batches):
+    def grade(batch, found):
         table = np.zeros((64, len(GRADES) + 1), np.int64)
-        for batch in batches:
-            for raw in batch.column("levels").to_pylist():
-                levels = np.frombuffer(raw, np.uint8).reshape(-1, 2)
-                one, two, history = _estimates(levels, n, v, True)
-                cell = np.where(two > 0, np.searchsorted(GRADES, np.log10(np.maximum(two, 1e-30) / one)), 0)
-                np.add.at(table, (np.minimum(history, 63), cell), 1)
+        for levels in found:
+            one, two, history = _estimates(levels, n, v, True)
+            cell = np.where(two > 0, np.searchsorted(GRADES, np.log10(np.maximum(two, 1e-30) / one)), 0)
+            np.add.at(table, (np.minimum(history, 63), cell), 1)
         i, j = np.nonzero(table)
-        yield pa.record_batch([pa.array(i), pa.array(j), pa.array(table[i, j])], ["i", "j", "n"])
+        return pa.record_batch([pa.array(i), pa.array(j), pa.array(table[i, j])], ["i", "j", "n"])
 
-    cells = _levels(docs.select("text"), model).select("levels").mapInArrow(grade, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    cells = _levels(docs.select("text"), model, grade, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((64, len(GRADES) + 1))
     for r in cells:
         table[r.i, r.j] = r.n
@@ -263,19 +263,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     n, v, trust = model.docs_tokens, model.words, model.trust
 
-    def run(batches):
-        for batch in batches:
-            out, size = [], []
-            for raw in batch.column("levels").to_pylist():
-                levels = np.frombuffer(raw, np.uint8).reshape(-1, 2)
-                one, two, history = _estimates(levels, n, v, False)
-                w = trust[np.minimum(history, 63)]
-                out.append(float(np.log10(w * two + (1 - w) * one).sum()))
-                size.append(len(levels))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int64()), pa.array(out, pa.float64())], ["doc_id", "text_hash", "n_tokens", "score"])
-
-    rows = _levels(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), model).select("doc_id", "text_hash", "levels")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_tokens long, score double")
+    def total(batch, found):
+        out = []
+        for levels in found:
+            one, two, history = _estimates(levels, n, v, False)
+            w = trust[np.minimum(history, 63)]
+            out.append(float(np.log10(w * two + (1 - w) * one).sum()))
+        return pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(x) for x in found], pa.int64()), pa.array(out, pa.float64())],
+                               ["doc_id", "text_hash", "n_tokens", "score"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return _levels(rows, model, total, "doc_id long, text_hash long, n_tokens long, score double")
 
 
 def base_scores(docs: DataFrame, model: Model) -> DataFrame:
