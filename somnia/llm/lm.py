@@ -63,7 +63,7 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            for _, n, h, rows in hashed_words(texts(batch)):
+            for _, n, h, rows in hashed_words(texts(batch), limit=1 << 19):
                 token, _, pair = tokens(h, rows, n)
                 held.append((token, pair))
                 size += len(token)
@@ -81,6 +81,7 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, n = keys[first], np.add.reduceat(n, first)
         distinct, total = len(keys), int(n.sum())
+        pa.default_memory_pool().release_unused()
         if table["kind"][0].as_py() == 1:
             keys, n = keys[n >= MIN_PAIR], n[n >= MIN_PAIR]
         return pa.table({"kind": pa.array([table["kind"][0].as_py()], pa.int32()), "segment": pa.array([table["segment"][0].as_py()], pa.int32()),
@@ -156,8 +157,8 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Counts and filter of the given documents, all of them; n-grams go to as many segments as ``docs`` has partitions."""
-    segments = max(1, docs.rdd.getNumPartitions())
+    """Counts and filter of the given documents, all of them; n-grams go to twice as many segments as ``docs`` has partitions."""
+    segments = max(1, 2 * docs.rdd.getNumPartitions())
     counts = written(count(docs, segments))
     built = written(filters(counts))
     sums = counts.filter("kind = 0").agg(F.sum("n_total").alias("n"), F.sum("n_distinct").alias("v")).first()
@@ -188,7 +189,7 @@ def _levels(docs: DataFrame, model: Model, finish, schema) -> DataFrame:
         def probe(batches, sent=sent, last=last):
             for batch in batches:
                 out, sofar = [], batch.column("levels")
-                for first, n, h, rows in hashed_words(texts(batch)):
+                for first, n, h, rows in hashed_words(texts(batch), limit=1 << 19):
                     token, owner, pair = tokens(h, rows, n)
                     found = np.stack([sent.value.levels(token, 0, segments), sent.value.levels(pair, 1, segments)], 1)
                     edges = np.searchsorted(owner, np.arange(n + 1))
@@ -309,7 +310,7 @@ def base_scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             top, logs = sent.value
-            for first, n_rows, h, rows in hashed_words(texts(batch)):
+            for first, n_rows, h, rows in hashed_words(texts(batch), limit=1 << 19):
                 token, owner, _ = tokens(h, rows, n_rows)
                 at = np.minimum(np.searchsorted(top, token), max(len(top) - 1, 0))
                 hit = top[at] == token if len(top) else np.zeros(len(token), bool)
