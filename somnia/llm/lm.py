@@ -15,7 +15,7 @@ from .toxicity import bigrams
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99)
 BITS_PER_ENTRY, PROBES, BASE = 12, 6, 2.0
 SLICE_BYTES = 48 << 20  # the most that is sent to the workers at once
-FREQUENT = 1 << 16      # a word with at least 1 / FREQUENT of the tokens is frequent; there are at most so many
+FREQUENT = 1 << 20      # a word with at least 1 / FREQUENT of the tokens is frequent; there are at most so many, 16 MB
 MIN_PAIR = 2            # bigrams seen once are left out of the model
 
 
