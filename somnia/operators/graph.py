@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from somnia.functions.scalar import dominant
 
@@ -46,9 +46,16 @@ def co_occurrence(df: DataFrame, keys: list[str], idx: str, state: str, reach: i
         F.count(F.lit(1)).alias("n"))
 
 
-def temporal_clusters(pairs: DataFrame, k: int, iterations: int = 20, seed: int = 1) -> DataFrame:
-    """Group states that occur close in time, by power iteration over their graph."""
+def temporal_clusters(pairs: DataFrame, k: int, iterations: int = 20) -> DataFrame:
+    """Group states that occur close in time, by power iteration over their graph.
+
+    The start vector is the degrees and the affinities are sorted into one partition (states x states rows at most), so
+    the groups do not depend on the partitioning; each is numbered by its smallest member, from 0.
+    """
     from pyspark.ml.clustering import PowerIterationClustering
-    pic = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight")
-    return pic.assignClusters(pairs.select("src", "dst", F.col("n").cast("double").alias("weight"))).withColumnRenamed(
-        "id", "latent_id")
+    pic = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight", initMode="degree")
+    sorted_pairs = pairs.select("src", "dst", F.col("n").cast("double").alias("weight")).coalesce(1).sortWithinPartitions("src", "dst")
+    found = pic.assignClusters(sorted_pairs)
+    first = found.groupBy("cluster").agg(F.min("id").alias("first"))
+    first = first.withColumn("number", F.row_number().over(Window.orderBy("first")) - 1)  # one row for each of k groups
+    return found.join(first, "cluster").select(F.col("id").alias("latent_id"), F.col("number").cast("int").alias("cluster"))

@@ -62,14 +62,19 @@ def dataset_paths(spark: SparkSession, settings: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, part string, path string, period_sec double, scaler string")
 
 
-def channel_sets(groups: DataFrame, by: list[str], n_groups: int = 2) -> DataFrame:
+def channel_sets(groups: DataFrame, by: list[str], n_groups: int | None = None) -> DataFrame:
     """Every choice of one channel per group, less unordered duplicates.
 
-    ``groups`` has ``group_no`` from 0 and ``channel``. The combinations are the
+    ``groups`` has ``group_no`` from 0 and ``channel``; how many groups there are
+    is read from the data unless given, and a group beyond a given number raises. The combinations are the
     result; repeated rows of a channel are dropped first, so their number is
     that of a study's distinct channels, which its recorder fixes.
     """
     groups = groups.select(*by, "group_no", "channel").distinct()
+    there = (groups.agg(F.max("group_no")).first()[0] or 0) + 1
+    if n_groups is not None and there > n_groups:
+        raise ValueError(f"there are {there} groups, not {n_groups}")
+    n_groups = n_groups or there
     out = groups.where("group_no = 0").select(*by, F.array("channel").alias("_c"))
     for g in range(1, n_groups):
         side = groups.where(F.col("group_no") == g).select(*by, F.col("channel").alias("_n"))
