@@ -17,6 +17,7 @@ BITS_PER_ENTRY, PROBES, BASE = 12, 6, 2.0
 SLICE_BYTES = 48 << 20  # the most that is sent to the workers at once
 FREQUENT = 1 << 20      # a word with at least 1 / FREQUENT of the tokens is frequent; there are at most so many, 16 MB
 MIN_PAIR = 2            # bigrams seen once are left out of the model
+MARK = 40               # bits that name a bigram in its segment; a segment has about as many bigrams at any size of the corpus
 
 
 def quantise(n: np.ndarray) -> np.ndarray:
@@ -39,14 +40,30 @@ def tokens(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(33)) % np.uint64(segments)).astype(np.int64)
+    return ((keys >> np.uint64(MARK)) % np.uint64(segments)).astype(np.int64)
+
+
+def _mark(pair: np.ndarray) -> np.ndarray:
+    """What names a bigram within its segment: the bits of its hash that did not choose the segment."""
+    return pair & np.uint64((1 << MARK) - 1)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by place of their bytes, so that sorted and small ones compress well where they are shuffled or written."""
+    return np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def count(docs: DataFrame, segments: int) -> DataFrame:
     """(kind, segment, keys, counts, n_distinct, n_total): counts of words (kind 0) and bigrams (1), in sorted blocks.
 
     A task sends each segment one block of distinct hashes and counts for about a million tokens, so what is shuffled is
-    pre-aggregated and has no row for each n-gram; hashes deal n-grams evenly, so no segment is hot.
+    pre-aggregated and has no row for each n-gram; hashes deal n-grams evenly, so no segment is hot. Words keep the whole
+    hash, since their counts must be exact. Bigrams keep the MARK bits that did not choose their segment: of a million in a
+    segment, one in a million shares its mark with another, far fewer than the filter mistakes anyway.
     """
 
     def blocks(batches):
@@ -54,12 +71,14 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
             for kind in (0, 1):
                 keys, n = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
                 seg = _segment(keys, segments)
-                order = np.argsort(seg, kind="stable")
+                if kind:
+                    keys = _mark(keys)
+                order = np.lexsort((keys, seg))
                 keys, n, edges = keys[order], n[order], np.searchsorted(seg[order], np.arange(segments + 1))
                 parts = [(s, a, b) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
                 yield pa.record_batch([pa.array([kind] * len(parts), pa.int32()), pa.array([s for s, *_ in parts], pa.int32()),
-                                       pa.array([keys[a:b].tobytes() for _, a, b in parts], pa.binary()),
-                                       pa.array([n[a:b].astype(np.uint32).tobytes() for _, a, b in parts], pa.binary())], ["kind", "segment", "keys", "counts"])
+                                       pa.array([_packed(keys[a:b]) for _, a, b in parts], pa.binary()),
+                                       pa.array([_packed(n[a:b]) for _, a, b in parts], pa.binary())], ["kind", "segment", "keys", "counts"])
 
         held, size = [], 0
         for batch in batches:
@@ -74,8 +93,8 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
             yield from send(held)
 
     def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
+        keys = np.concatenate([_unpacked(x.as_py()) for x in table["keys"]])
+        n = np.concatenate([_unpacked(x.as_py()) for x in table["counts"]]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -85,7 +104,7 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
         if table["kind"][0].as_py() == 1:
             keys, n = keys[n >= MIN_PAIR], n[n >= MIN_PAIR]
         return pa.table({"kind": pa.array([table["kind"][0].as_py()], pa.int32()), "segment": pa.array([table["segment"][0].as_py()], pa.int32()),
-                         "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()),
+                         "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_packed(n)], pa.binary()),
                          "n_distinct": pa.array([distinct], pa.int64()), "n_total": pa.array([total], pa.int64())})
 
     sent = docs.select("text").mapInArrow(blocks, "kind int, segment int, keys binary, counts binary")
@@ -99,12 +118,17 @@ def _places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         return one >> np.uint64(2), ((one * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(34)) | np.uint64(1)
 
 
+def _tagged(keys: np.ndarray, kind: int) -> np.ndarray:
+    """Keys of words and marks of bigrams as one set: marks leave the high bits free for the kind."""
+    return keys | np.uint64(1 << 63) if kind else keys
+
+
 def filters(counts: DataFrame) -> DataFrame:
     """(segment, size, bits): for each segment a Bloom filter of (n-gram, level), with every level up to the count's own."""
 
     def build(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) ^ np.uint64(kind) for kind, x in zip(table["kind"].to_pylist(), table["keys"].to_pylist())])
-        level = quantise(np.concatenate([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]))
+        keys = np.concatenate([_tagged(_unpacked(x), kind) for kind, x in zip(table["kind"].to_pylist(), table["keys"].to_pylist())])
+        level = quantise(np.concatenate([_unpacked(x).astype(np.int64) for x in table["counts"].to_pylist()]))
         size = max(64, int(level.sum()) * BITS_PER_ENTRY // 8 * 8 + 64)
         bits = np.zeros(size, bool)
         for q in range(1, int(level.max(initial=0)) + 1):
@@ -131,7 +155,7 @@ class Slice:
         seg = _segment(keys, segments)
         out = np.where(self.start[seg] >= 0, 0, 255).astype(np.uint8)
         alive = np.flatnonzero(out == 0)
-        tagged = keys ^ np.uint64(kind)
+        tagged = _tagged(_mark(keys), 1) if kind else keys
         for q in range(1, 64):
             place, step = _places(tagged[alive], q)
             start, size = self.start[seg[alive]], self.size[seg[alive]].astype(np.uint64)
@@ -288,14 +312,14 @@ def base_scores(docs: DataFrame, model: Model) -> DataFrame:
     def frequent(batches):
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                k, c = _unpacked(keys).view(np.int64), _unpacked(counts).astype(np.int64)
                 own = c * FREQUENT >= n
                 yield pa.record_batch([pa.array(k[own]), pa.array(c[own])], ["h", "c"])
 
     def others(batches):
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                k, c = _unpacked(keys).view(np.int64), _unpacked(counts).astype(np.int64)
                 own = c * FREQUENT < n
                 yield pa.record_batch([pa.array(k[own]), pa.array(c[own])], ["h", "c"])
 
