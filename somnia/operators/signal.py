@@ -20,6 +20,8 @@ from .ordered import chunk_of, halo
 
 ARRAY = T.ArrayType(T.DoubleType())
 FRAME = 1 << 14  # samples of a chunk that is handed to numpy as one array
+#: Hz of the rapid-eye and the two slow-eye measures.
+EYE_BANDS = {"rem": (0.3, 35.0), "slow_b": (0.1, 0.45), "slow_c": (0.3, 0.45)}
 
 
 def frames(df: DataFrame, keys: list[str], idx: str, value: str | list[str], size: int,
@@ -319,31 +321,52 @@ def squared_response(n: int, fs: float, low: float | None, high: float | None, o
         return 1 / (1 + s ** (2 * order))
 
 
+def settle_length(fs: float, low: float | None, high: float | None, order: int = 4, tol: float = 1e-7) -> int:
+    """Samples until the impulse response of the filter has faded to ``tol``, from the pole nearest the unit circle."""
+    edges = [f for f in (low, high) if f]
+    if not edges or min(edges) <= 0 or max(edges) >= fs / 2 or (low and high and low >= high):
+        raise ValueError(f"band {low} to {high} does not fit a rate of {fs}")
+    warp = lambda f: math.tan(math.pi * f / fs)
+    proto = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    if low and high:  # the poles of a stop band are the same: those of the prototype are closed under inversion
+        half = proto * (warp(high) - warp(low)) / 2
+        root = np.sqrt(half ** 2 - warp(low) * warp(high))
+        poles = np.r_[half + root, half - root]
+    else:
+        poles = warp(low) / proto if low else warp(high) * proto
+    slowest = np.abs((1 + poles) / (1 - poles)).max()
+    return int(math.ceil(math.log(tol) / math.log(slowest)))
+
+
+def _filtered(x, skip, n, settle, edge, response):
+    """The ``n`` own samples after ``skip`` others of one frame; ``response`` gives the filter at a length."""
+    left, right = settle - skip, settle - (len(x) - skip - n)
+    y = _extend(x, left, right, min(edge, len(x) - 1))
+    m = 1 << (len(y) - 1).bit_length()
+    z = np.fft.irfft(np.fft.rfft(_hold(y, m)) * response(m), m)
+    return z[settle:settle + n]
+
+
 def zero_phase_filter(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, low: float | None = None,
                       high: float | None = None, order: int = 4, stop: bool = False, settle: int | None = None,
-                      edge: int = 27, chunk: int = FRAME) -> DataFrame:
+                      edge: int = 27, chunk: int | None = None) -> DataFrame:
     """Zero-phase Butterworth filter, chunk by chunk.
 
-    Each chunk is filtered together with ``settle`` samples on both sides, more
-    than the impulse response needs to fade. At recording edges the signal is
-    continued by odd reflection over ``edge`` samples, then held.
+    Each chunk is filtered together with ``settle`` samples on both sides, as many as the impulse response needs to fade
+    (``settle_length``), so the result does not depend on ``chunk``. Its default grows with ``settle``: at most half as
+    many samples again are copied. At recording edges the signal is continued by odd reflection over ``edge`` samples,
+    then held. A ``settle`` too short for the band, or a band that does not fit the rate, is an error.
     """
-    if settle is None:
-        width = (high - low) if low and high else (low or high)
-        settle = int(min(max(8 * fs / width, 64), chunk))
+    needed = max(settle_length(fs, low, high, order), edge + 1)
+    if settle is not None and settle < needed:
+        raise ValueError(f"settle {settle} is shorter than the {needed} samples this band needs")
+    settle = settle or needed
+    chunk = chunk or max(FRAME, 4 * settle)
 
     @F.pandas_udf(ARRAY)
     def run(frame: pd.Series, skip: pd.Series, size: pd.Series) -> pd.Series:
-        out = []
-        for x, s, n in zip(frame, skip, size):
-            x = np.asarray(x, dtype=np.float64)
-            tail = len(x) - s - n
-            left, right = settle - s, settle - tail
-            y = _extend(x, left, right, min(edge, len(x) - 1))
-            m = 1 << (len(y) - 1).bit_length()
-            z = np.fft.irfft(np.fft.rfft(_hold(y, m)) * squared_response(m, fs, low, high, order, stop), m)
-            out.append(z[settle:settle + n])
-        return pd.Series(out)
+        response = lru_cache(lambda m: squared_response(m, fs, low, high, order, stop))
+        return pd.Series([_filtered(np.asarray(x, dtype=np.float64), s, n, settle, edge, response) for x, s, n in zip(frame, skip, size)])
 
     out = padded_chunks(df, keys, idx, value, settle, chunk)
     return _unchunk(out.withColumn("_y", run("frame", "_skip", "_size")), keys, idx, value)
@@ -368,15 +391,14 @@ def _hold(y, m):
     return np.r_[y, ramp]
 
 
-def high_pass_for_emg(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, chunk: int = FRAME) -> DataFrame:
-    """Band above 300 Hz, up to 625 Hz or half the rate less 25 Hz.
+def high_pass_for_emg(df: DataFrame, keys: list[str], idx: str, value: str, fs: float,
+                      band: tuple[float, float] | None = None, chunk: int | None = None) -> DataFrame:
+    """Band above 300 Hz, up to 625 Hz or half the rate less 25 Hz, unless ``band`` is given.
 
     The studied design (1 dB and 60 dB limits) is elliptic; a Butterworth of
-    the same band stands in for it. Slower signals keep the upper two fifths of
-    their band.
+    the same band stands in for it. A rate that the band does not fit is an error.
     """
-    top = min(625.0, fs / 2)
-    low, high = (300.0, top - 25) if top > 340 else (0.6 * fs / 2, 0.95 * fs / 2)
+    low, high = band or (300.0, min(625.0, fs / 2) - 25)
     return zero_phase_filter(df, keys, idx, value, fs, low, high, chunk=chunk)
 
 
@@ -474,10 +496,10 @@ def _first_peak_slope(ac):
 
 
 def eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: float, size: int,
-                 chunk: int = FRAME) -> DataFrame:
+                 bands: dict[str, tuple[float, float]] = EYE_BANDS, chunk: int | None = None) -> DataFrame:
     """Rapid-eye and two slow-eye measures of each epoch from two eye channels.
 
-    Quantities that would divide by 0 or take the log of a negative number are
+    ``bands`` are in Hz and must fit the rate. Quantities that would divide by 0 or take the log of a negative number are
     NULL.
     """
     from .epochs import cross_correlation, epoch_energy
@@ -490,7 +512,7 @@ def eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: f
         return fa.join(fb, at)
 
     join = [*keys, "epoch_idx"]
-    rem, slow_b, slow_c = filtered(0.3, 35.0 if fs > 80 else 0.9 * fs / 2), filtered(0.1, 0.45), filtered(0.3, 0.45)
+    rem, slow_b, slow_c = (filtered(*bands[name]) for name in ("rem", "slow_b", "slow_c"))
     xc = lambda d: cross_correlation(d, keys, idx, size, a, b)
     out_rem = xc(rem).join(autocorrelation_slope(rem, keys, idx, a, size), join).select(
         *join, sign_over_slope("xcorr", "slope").alias("rem"))
@@ -502,12 +524,12 @@ def eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: f
 
 
 def emg_from_signals(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: float, rate: float = 5.0,
-                     window: int | None = None, chunk: int = FRAME) -> DataFrame:
+                     window: int | None = None, band: tuple[float, float] | None = None, chunk: int = FRAME) -> DataFrame:
     """Muscle-tone proxy: correlation of two high-passed channels at ``rate`` Hz,
-    its 0-to-1 form and its smoothed form."""
+    its 0-to-1 form and its smoothed form. ``band`` as in ``high_pass_for_emg``."""
     from .epochs import norm_to_range, windowed_correlation
-    fa = high_pass_for_emg(df, keys, idx, a, fs, chunk)
-    fb = high_pass_for_emg(df, keys, idx, b, fs, chunk)
+    fa = high_pass_for_emg(df, keys, idx, a, fs, band, chunk)
+    fb = high_pass_for_emg(df, keys, idx, b, fs, band, chunk)
     step = round(fs / rate)
     emg = windowed_correlation(fa.join(fb, [*keys, idx]), keys, idx, step, a, b).withColumnRenamed("corr", "emg")
     both = norm_to_range(emg.withColumn("norm", F.col("emg")), keys, "bin", "norm", chunk=chunk)

@@ -208,14 +208,18 @@ def _(t):
     return fin(G.zero_phase_filter(samples(t), CH, "sample_idx", "value", FS, 0.9, 1.1, stop=True))
 
 
+# The bands of these queries ask for a real rate; the events are read as if sampled at it.
+EMG_RATE, EYE_RATE = 2500.0, 128.0
+
+
 @query("high_pass_for_emg", "D-07")
 def _(t):
-    return fin(G.high_pass_for_emg(samples(t), CH, "sample_idx", "value", FS))
+    return fin(G.high_pass_for_emg(samples(t), CH, "sample_idx", "value", EMG_RATE))
 
 
 @query("emg_from_signals", "D-08 A-05 F-04")
 def _(t):
-    return fin(G.emg_from_signals(signal(t), KEY, "sample_idx", "v", "k", FS, 1.0, 5))
+    return fin(G.emg_from_signals(signal(t), KEY, "sample_idx", "v", "k", EMG_RATE, EMG_RATE / 4, 5))
 
 
 def _polynomial_weights(window=9, order=4):
@@ -233,7 +237,7 @@ def _(t):
 
 @query("eye_features", "D-13 F-24")
 def _(t):
-    return fin(G.eye_features(signal(t), KEY, "sample_idx", "v", "k", FS, EPOCH))
+    return fin(G.eye_features(signal(t), KEY, "sample_idx", "v", "k", EYE_RATE, EPOCH))
 
 
 SINC = """rs AS (SELECT recording_id, channel, m, m * 1.5 AS p FROM (SELECT recording_id, channel, unnest(range(CAST(ceil(count(*) * 2 / 3.0) AS BIGINT))) AS m FROM samp GROUP BY 1, 2)),

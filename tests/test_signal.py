@@ -55,23 +55,49 @@ def test_band_pass_keeps_phase_and_blocks_outside(spark, chunk):
     fs = 50.0
     t = np.arange(1500) / fs
     keep, drop = np.sin(2 * np.pi * 5 * t), np.sin(2 * np.pi * 0.2 * t) + np.sin(2 * np.pi * 20 * t)
-    y = series(G.zero_phase_filter(frame(spark, keep + drop), ["rec"], "i", "x", fs, 2.5, 10.0, chunk=chunk, settle=300))
+    y = series(G.zero_phase_filter(frame(spark, keep + drop), ["rec"], "i", "x", fs, 2.5, 10.0, chunk=chunk))
     assert len(y) == len(t)
     assert np.abs(y - keep)[150:-150].max() < 0.03
 
 
+@pytest.mark.parametrize("fs,low,high,n", [
+    (2500.0, 0.1, 0.45, 1_000_000), (2500.0, 0.3, 0.45, 1_000_000), (2500.0, 0.3, 35.0, 300_000), (2500.0, 300.0, 600.0, 50_000),
+    (128.0, 0.1, 0.45, 100_000), (128.0, 0.3, None, 50_000), (128.0, None, 20.0, 50_000)])
+def test_frames_agree_with_one_piece(fs, low, high, n):
+    """A drifting signal cut into frames gives what it gives whole, with a far longer reach."""
+    x = np.random.default_rng(2).normal(size=n).cumsum()
+    settle = G.settle_length(fs, low, high)
+    response = lambda m: G.squared_response(m, fs, low, high)
+    whole = G._filtered(x, 0, n, 4 * settle, 27, response)
+    for parts in (3, 8):
+        cuts = np.linspace(0, n, parts + 1).astype(int)
+        got = [G._filtered(x[max(a - settle, 0):b + settle], min(a, settle), b - a, settle, 27, response) for a, b in zip(cuts, cuts[1:])]
+        assert np.abs(np.concatenate(got) - whole).max() < 1e-3 * whole.std()
+
+
 def test_filter_chunks_agree_with_one_piece(spark):
-    x = np.random.default_rng(2).normal(size=900).cumsum()
-    one = series(G.zero_phase_filter(frame(spark, x), ["rec"], "i", "x", 20.0, 1.0, 5.0, settle=400, chunk=10**6))
-    many = series(G.zero_phase_filter(frame(spark, x), ["rec"], "i", "x", 20.0, 1.0, 5.0, settle=400, chunk=128))
-    np.testing.assert_allclose(one, many, atol=2e-3 * x.std())
+    x = np.random.default_rng(2).normal(size=60_000).cumsum()
+    run = lambda **kw: series(G.zero_phase_filter(frame(spark, x), ["rec"], "i", "x", 128.0, 0.1, 0.45, **kw))
+    one, default, many = run(chunk=10**6), run(), run(chunk=7_000)
+    np.testing.assert_allclose(default, one, atol=1e-3 * one.std())
+    np.testing.assert_allclose(many, one, atol=1e-3 * one.std())
+
+
+def test_filter_bands_must_fit(spark):
+    df = frame(spark, np.zeros(10))
+    with pytest.raises(ValueError, match="shorter"):
+        G.zero_phase_filter(df, ["rec"], "i", "x", 2500.0, 0.3, 35.0, settle=576)
+    with pytest.raises(ValueError, match="fit"):
+        G.high_pass_for_emg(df, ["rec"], "i", "x", 500.0)
+    with pytest.raises(ValueError, match="fit"):
+        G.eye_features(df.withColumn("y", df.x), ["rec"], "i", "x", "y", 60.0, 30)
 
 
 def test_notch(spark):
     fs = 50.0
     t = np.arange(2000) / fs
     x = np.sin(2 * np.pi * 3 * t) + np.sin(2 * np.pi * 12 * t)
-    y = series(G.zero_phase_filter(frame(spark, x), ["rec"], "i", "x", fs, 11.0, 13.0, stop=True, settle=400, chunk=512))
+    y = series(G.zero_phase_filter(frame(spark, x), ["rec"], "i", "x", fs, 11.0, 13.0, stop=True, chunk=512))
     assert np.abs(y - np.sin(2 * np.pi * 3 * t))[200:-200].max() < 0.05
 
 
