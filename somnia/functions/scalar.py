@@ -26,15 +26,17 @@ def most_frequent(label, classes: list[int] | None = None) -> Column:
     """Aggregate: most frequent label, the smallest on ties.
 
     With a list of ``classes`` this is one counter per class, which hash
-    aggregation in generated code combines before the shuffle; labels outside
-    the list are not counted. Without it, ``mode`` keeps a map per group.
+    aggregation in generated code combines before the shuffle; a label outside
+    the list is an error. Without it, ``mode`` keeps a map per group.
     """
     if classes is None:
         return F.mode(label, True)
     known = sorted(classes)
     counts = F.array(*[F.count(F.when(col(label) == c, 1)) for c in known])
     best = F.get(F.array(*[F.lit(c) for c in known]), (F.array_position(counts, F.array_max(counts)) - 1).cast("int"))
-    return F.when(F.array_max(counts) > 0, best)
+    other = F.max(F.when(~col(label).isin(known), col(label)))
+    wrong = F.raise_error(F.format_string("label %s is not among the classes", other.cast("string")))
+    return F.when(other.isNotNull(), wrong).when(F.array_max(counts) > 0, best)
 
 
 def logistic(x) -> Column:

@@ -214,7 +214,7 @@ def group_t_tests(df: DataFrame) -> DataFrame:
     dof = n1 + n2 - 2
     pooled = F.when(dof > 0, within / F.nullif(dof, F.lit(0.0)))
     # Sums of squares of equal values leave rounding dust instead of 0.
-    t = F.when(pooled > 1e-12, (m1 - m2) / F.sqrt(pooled * (1 / F.nullif(n1, F.lit(0.0)) + 1 / F.nullif(n2, F.lit(0.0)))))
+    t = F.when(within > 1e-12 * (at("q", "g1") + at("q", "g2")), (m1 - m2) / F.sqrt(pooled * (1 / F.nullif(n1, F.lit(0.0)) + 1 / F.nullif(n2, F.lit(0.0)))))
     return rows.where((n1 > 0) & (n2 > 0)).select("latent_id", "g1", "g2", t.alias("t"), dof.alias("dof"))
 
 

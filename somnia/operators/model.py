@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -190,14 +192,20 @@ def average_augmented(df: DataFrame, keys: list[str], n_classes: int, n_aug: int
 
 
 def train_forest(df: DataFrame, features: list[str], label: str, trees: int = 100, seed: int = 42):
-    """Random forest on feature columns, by Spark ML."""
+    """Random forest on feature columns, by Spark ML; rows with a NULL among features or label are not learned from."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     return Pipeline(stages=[
-        VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"),
+        VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, seed=seed, predictionCol="pred"),
-    ]).fit(df)
+    ]).fit(df.dropna(subset=[*features, label]))
+
+
+def forest_predict(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """All rows with ``pred``, NULL where a feature is."""
+    whole = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in features])
+    return model.transform(df).select(*df.columns, F.when(whole, F.col("pred").cast("int")).alias("pred"))
 
 
 def t_test_p(df: DataFrame) -> DataFrame:
@@ -229,5 +237,5 @@ def incomplete_beta(x: float, a: float, b: float) -> float:
             step = c * d
             h *= step
         if abs(step - 1) < 1e-14:
-            break
-    return front * h
+            return front * h
+    return math.nan  # not converged

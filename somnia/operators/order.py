@@ -12,13 +12,13 @@ def chronological(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.orderBy(*cols)
 
 
-def positions(df: DataFrame, order: list[str], group: str, number: str, chunk: int = CHUNK) -> DataFrame:
-    """Position of each row in the total order ``(group, number, ...)``.
+def positions(df: DataFrame, group: str, owner: str, number: str, chunk: int = CHUNK) -> DataFrame:
+    """Position of each row in the total order ``(group, owner, number)``.
 
-    Rows are counted within (group, chunk of the number) and carried on, so
-    neither the table nor one group is sorted by a single task.
+    Rows are counted within (group, owner, chunk of the number) and carried on,
+    so no task sorts the table, a group or an owner.
     """
-    inner = scan(df, [group], order, chunk_of(number, chunk), _in=("count",))
+    inner = scan(df, [group], [owner, number], F.struct(F.col(owner), chunk_of(number, chunk).alias("part")), _in=("count",))
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     # One row per group rank, a handful.

@@ -87,10 +87,14 @@ def drop_remainder(df: DataFrame, keys: list[str], idx: str, size: int) -> DataF
             .where(F.col("_in") == size).drop("_block", "_in"))
 
 
+SECONDS = 64  # of a recording in one chunk where rows are placed by time: 160,000 samples at 2,500 Hz
+
+
 def crop_to_annotations(samples: DataFrame, annotations: DataFrame, keys: list[str], time: str,
-                        margin: float = 1800.0, span: float = float(CHUNK), chunk: int = CHUNK) -> DataFrame:
+                        margin: float = 1800.0, span: float = float(CHUNK), chunk: int = SECONDS) -> DataFrame:
     """Samples from ``margin`` before the second annotation to ``margin`` after
-    the last but one; the outer annotations are recording edges."""
+    the last but one; the outer annotations are recording edges. ``span`` and
+    ``chunk`` are seconds of annotations and of samples for one task."""
     near = scan(annotations.select(*keys, "onset"), keys, ["onset"],
                 F.floor(F.col("onset") / F.lit(span)).cast("long"),
                 _prev=("lag", "onset"), _next=("lead", "onset"))
@@ -101,7 +105,8 @@ def crop_to_annotations(samples: DataFrame, annotations: DataFrame, keys: list[s
     return out.where(F.col(time).between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
 
 
-def trim_ends(df: DataFrame, keys: list[str], time: str, seconds: float, chunk: int = CHUNK) -> DataFrame:
+def trim_ends(df: DataFrame, keys: list[str], time: str, seconds: float, chunk: int = SECONDS) -> DataFrame:
+    """Rows less the first and last ``seconds``; ``chunk`` counts seconds too."""
     last = df.groupBy(*keys).agg(F.max(time).alias("_last"))
     out = attach(df, last, keys, time, chunk)
     return out.where(F.col(time).between(F.lit(seconds), F.col("_last") - seconds)).drop("_last")

@@ -85,9 +85,9 @@ def _(t):
     return fin(L.state_means(state_epochs(t), F3))
 
 
-@query("subject_matrix", "A-29 F-12", out(STA, "SELECT subject, " + ", ".join(f"count(*) FILTER (latent_id = {s}) AS s_{s}" for s in range(1, 21)) + " FROM sta GROUP BY 1", "subject " + " ".join(f"s_{s}" for s in range(1, 21))))
+@query("subject_matrix", "A-29 F-12", out(STA, "SELECT subject, " + ", ".join(f"count(*) FILTER (latent_id = {s}) AS s_{s}" for s in range(1, 65)) + " FROM sta GROUP BY 1", "subject " + " ".join(f"s_{s}" for s in range(1, 65))))
 def _(t):
-    return fin(L.subject_matrix(state_epochs(t), list(range(1, 21))))
+    return fin(L.subject_matrix(state_epochs(t), list(range(1, 65))))
 
 
 HIS = STA + """, b AS (SELECT 'all' AS scope, NULL::BIGINT AS key, latent_id FROM sta UNION ALL SELECT 'group', grp, latent_id FROM sta UNION ALL SELECT 'subject', subject, latent_id FROM sta),

@@ -14,7 +14,7 @@ from .registry import query
 def _(t):
     rank = F.when(F.col("stage") == 2, 0).when(F.col("stage") == 0, 1).when(F.col("stage") == 4, 2).otherwise(3)
     rows = epoch_labels(t).withColumn("_rank", rank)
-    return fin(O.positions(rows, ["_rank", "recording_id", "epoch_idx"], "_rank", "recording_id").drop("_rank")
+    return fin(O.positions(rows, "_rank", "recording_id", "epoch_idx").drop("_rank")
                .select("position", "recording_id", "epoch_idx", "stage"))
 
 

@@ -99,13 +99,13 @@ def _(t):
 def _(t):
     a = annotations(t)
     rows = a.select("recording_id", "id", "onset")
-    return fin(P.crop_to_annotations(rows, a, ["recording_id"], "onset", 864000.0, 1e9, 10**9))
+    return fin(P.crop_to_annotations(rows, a, ["recording_id"], "onset", 864000.0))
 
 
 @query("trim_ends", "P-14", out(ANN + ", mx AS (SELECT recording_id, max(onset) AS m FROM ann GROUP BY 1)", "SELECT ann.recording_id, id FROM ann JOIN mx ON ann.recording_id = mx.recording_id WHERE onset BETWEEN 20000000 AND m - 20000000", "recording_id id"))
 def _(t):
     a = annotations(t).select("recording_id", "id", "onset")
-    return fin(P.trim_ends(a, ["recording_id"], "onset", 2e7, 10**9).select("recording_id", "id"))
+    return fin(P.trim_ends(a, ["recording_id"], "onset", 2e7).select("recording_id", "id"))
 
 
 @query("mask_other_stages", "P-17 J-08", out(LAB, f"SELECT s.recording_id, s.sample_idx, CASE WHEN lab.stage IN (1, 3) THEN s.v END AS v FROM sig s JOIN lab ON s.recording_id = lab.recording_id AND s.sample_idx // {EPOCH} = lab.epoch_idx", "recording_id sample_idx", "v"))

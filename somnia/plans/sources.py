@@ -94,22 +94,22 @@ def _(t):
 
 
 def _interval_files(kind):
-    @query(f"intervals_{kind}", "IO-10 IO-12 X-04", out(HYP, "SELECT init_sec, dur_sec, stage FROM hyp", "init_sec dur_sec"))
+    @query(f"intervals_{kind}", "IO-10 IO-12 X-04", out(HYP, "SELECT recording_id, init_sec, dur_sec, stage FROM hyp", "recording_id init_sec dur_sec"))
     def _(t):
         path = f"{shared_dir(t.spark)}/hypnogram.{kind}"
         X.save_prediction(hypnogram(t), path)
-        return fin(READERS[kind](t.spark, path).select("init_sec", "dur_sec", "stage"))
+        return fin(READERS[kind](t.spark, path).select("recording_id", "init_sec", "dur_sec", "stage"))
 
 
 for _kind in ("ids", "tsv", "parquet"):
     _interval_files(_kind)
 
 
-@query("stage_lines", "IO-11 IO-12", out(LAB, "SELECT CASE stage WHEN 0 THEN 'W' WHEN 1 THEN 'N1' WHEN 2 THEN 'N2' WHEN 3 THEN 'N3' WHEN 4 THEN 'REM' END AS value FROM lab"))
+@query("stage_lines", "IO-11 IO-12", out(LAB, "SELECT recording_id, CASE stage WHEN 0 THEN 'W' WHEN 1 THEN 'N1' WHEN 2 THEN 'N2' WHEN 3 THEN 'N3' WHEN 4 THEN 'REM' END AS value FROM lab", "recording_id"))
 def _(t):
     path = f"{shared_dir(t.spark)}/stages.hyp"
     X.save_prediction(epoch_labels(t), path)
-    return t.spark.read.text(path)
+    return fin(t.spark.read.text(path).select("recording_id", "value"))
 
 
 ELE = "ele AS (SELECT s_suppkey, s_name || ',' || s_acctbal || ',' || s_nationkey || ',' || (s_suppkey * 0.5) || ',extra' AS value, s_name, s_acctbal, s_nationkey FROM supplier)"

@@ -81,26 +81,31 @@ def mixed_specs(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_intervals(spark: SparkSession, path: str, kind: str = "ids") -> DataFrame:
-    """Sparse hypnogram: ``.ids`` is comma separated without header, ``.tsv`` has one."""
+    """Sparse hypnogram: ``.ids`` is comma separated without header, ``.tsv`` has one. Folders' columns follow."""
     tab = kind == "tsv"
     return spark.read.schema(INTERVALS).csv(path, sep="\t" if tab else ",", header=tab)
 
 
-def _write_ids(df: DataFrame, path: str, **_) -> None:
-    df.select("init_sec", "dur_sec", "stage").write.mode("overwrite").csv(path, header=False)
+def _by_recording(df: DataFrame, by: list[str], order: str, columns: list):
+    """A writer with a folder per recording, its rows in order over the part files; a large recording has several tasks."""
+    rows = df.repartitionByRange(*by, order).sortWithinPartitions(*by, order) if by else df.orderBy(order)
+    return rows.select(*by, *columns).write.mode("overwrite").partitionBy(*by)
 
 
-def _write_tsv(df: DataFrame, path: str, **_) -> None:
-    out = df.select("init_sec", F.col("dur_sec").alias("duration_sec"), "stage")
-    out.write.mode("overwrite").csv(path, header=True, sep="\t")
+def _write_ids(df: DataFrame, path: str, by: list[str]) -> None:
+    _by_recording(df, by, "init_sec", ["init_sec", "dur_sec", "stage"]).csv(path, header=False)
 
 
-def _write_hyp(df: DataFrame, path: str, **_) -> None:
-    """One stage name per line, in epoch order over the part files."""
-    df.orderBy("epoch_idx").select(stage_name("stage").alias("value")).write.mode("overwrite").text(path)
+def _write_tsv(df: DataFrame, path: str, by: list[str]) -> None:
+    _by_recording(df, by, "init_sec", ["init_sec", F.col("dur_sec").alias("duration_sec"), "stage"]).csv(path, header=True, sep="\t")
 
 
-def _write_table(df: DataFrame, path: str, **_) -> None:
+def _write_hyp(df: DataFrame, path: str, by: list[str]) -> None:
+    """One stage name per line, in epoch order over the part files of each recording."""
+    _by_recording(df, by, "epoch_idx", [stage_name("stage").alias("value")]).text(path)
+
+
+def _write_table(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
@@ -109,13 +114,17 @@ READERS = {"ids": lambda s, p: read_intervals(s, p, "ids"), "tsv": lambda s, p:
            "parquet": lambda s, p: s.read.parquet(p)}
 
 
-def save_prediction(df: DataFrame, path: str) -> str:
-    """Write by the path's ending; an unknown ending writes a table. Returns the kind."""
+def save_prediction(df: DataFrame, path: str, by: list[str] = ("recording_id",)) -> str:
+    """Write by the path's ending; an unknown ending writes a table. Returns the kind.
+
+    Text kinds get one folder per value of ``by``, from which readers take the
+    columns again; ``by=[]`` writes the one recording that ``df`` holds.
+    """
     kind = path.rsplit(".", 1)[-1] if "." in path.rsplit("/", 1)[-1] else ""
     kind = kind if kind in SINKS else "parquet"
     if kind != "parquet" and "scores" in df.columns:
         raise ValueError(f"scores cannot be written as .{kind}; use a table")
-    SINKS[kind](df, path)
+    SINKS[kind](df, path, list(by))
     return kind
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from somnia.functions import scalar as S
 from somnia.functions.registry import STRIPS, apply_named, register
-from somnia.operators import epochs as E, evaluate as V, graph as G, intervals as I, latent as L, project as P, scaling as SC
+from somnia.operators import epochs as E, evaluate as V, graph as G, intervals as I, latent as L, model as M, order as O, project as P, scaling as SC
 from somnia.sources import catalog as C, store, text as X
 
 
@@ -201,10 +201,51 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         X.save_prediction(df, str(tmp_path / "a.hyp"))
     assert X.save_prediction(df, str(tmp_path / "a.npy")) == "parquet"
-    assert X.save_prediction(df.drop("scores"), str(tmp_path / "b.hyp")) == "hyp"
+    assert X.save_prediction(df.drop("scores"), str(tmp_path / "b.hyp"), by=[]) == "hyp"
     assert spark.read.text(str(tmp_path / "b.hyp")).first().value == "N1"
 
 
+def test_sinks_keep_recordings(spark, tmp_path):
+    epochs = [(rec, i, (i + rec) % 3) for rec in (7, 8) for i in range(30)]
+    df = spark.createDataFrame(epochs, "recording_id long, epoch_idx long, stage int").repartition(5)
+    X.save_prediction(df, str(tmp_path / "a.hyp"))
+    for rec in (7, 8):
+        files = sorted((tmp_path / "a.hyp" / f"recording_id={rec}").glob("*.txt"))
+        lines = [line for f in files for line in f.read_text().splitlines()]
+        assert lines == [["W", "N1", "N2"][(i + rec) % 3] for i in range(30)]
+    spans = spark.createDataFrame([(7, 0, 30, "W"), (8, 0, 60, "N1"), (8, 60, 30, "W")], "recording_id long, init_sec int, dur_sec int, stage string")
+    for kind in ("ids", "tsv"):
+        X.save_prediction(spans, str(tmp_path / f"b.{kind}"))
+        got = X.READERS[kind](spark, str(tmp_path / f"b.{kind}")).select("recording_id", "init_sec", "dur_sec", "stage")
+        assert sorted(map(tuple, got.collect())) == [(7, 0, 30, "W"), (8, 0, 60, "N1"), (8, 60, 30, "W")]
+
+
+def test_labels_outside_the_classes_are_an_error(spark):
+    df = spark.createDataFrame([(0, i, s) for i, s in enumerate([9, 9, 1, None])], "rec int, i long, stage int")
+    with pytest.raises(Exception, match="label 9 is not among"):
+        E.epoch_mode(df, ["rec"], "i", 4, classes=[0, 1]).collect()
+    assert rows(E.epoch_mode(df, ["rec"], "i", 4, classes=[0, 1, 9]), "rec") == [(0, 0, 9)]
+
+
+def test_positions_and_crops_split_a_recording(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select(F.lit(0).alias("g"), F.lit(1).alias("rec"), F.col("id").alias("i"), F.col("id").cast("double").alias("s"))
+        assert rows(O.positions(df, "g", "rec", "i", 64).select("i", "position"), "i") == [(i, i) for i in range(1000)]
+        assert [r.i for r in P.trim_ends(df, ["rec"], "s", 100.0).orderBy("i").collect()] == list(range(100, 900))
+        notes = spark.createDataFrame([(1, float(x)) for x in (0, 300, 500, 990)], "rec int, onset double")
+        assert [r.i for r in P.crop_to_annotations(df, notes, ["rec"], "s", 50.0).orderBy("i").collect()] == list(range(250, 551))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_forest_keeps_rows_without_features(spark):
+    df = spark.createDataFrame([(i, float(i % 2), None if i == 5 else 1.0, i % 2) for i in range(40)], "i int, a double, b double, y int")
+    got = M.forest_predict(M.train_forest(df, ["a", "b"], "y", trees=5), df, ["a", "b"]).toPandas().set_index("i")
+    assert len(got) == 40 and np.isnan(got.pred[5])
+    assert (got.pred.drop(5) == got.y.drop(5)).all()
+
+
 def test_name_and_length_checks(spark):
     df = spark.createDataFrame([(0, "a"), (1, "b")], "pos int, name string")
     with pytest.raises(Exception, match="number of names"):
