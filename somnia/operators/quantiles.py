@@ -3,12 +3,17 @@
 Spark's ``percentile`` keeps every distinct value of a group in one buffer.
 Here a histogram with map-side combine finds the cell that holds each wanted
 rank, and only the rows of those cells are shuffled, as counts by value. Cells
-are told apart by number, never by comparing bounds, so the result is exact.
+are a share of a value wide, 256 to each doubling, so that a long tail, one huge
+artefact or columns of different size do not pull most rows into one cell, and
+they need no pass for the span. Cells are told apart by number, never by
+comparing bounds, so the result is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordered import scan
 
@@ -21,6 +26,13 @@ def _cell(value, lo, hi, bins):
     return F.coalesce(F.least(F.greatest(pos, F.lit(0)), F.lit(bins - 1)), F.lit(0)).cast("int")
 
 
+def _scaled_cell(value) -> Column:
+    """Number of a value's cell: rises with the value, 256 cells to each doubling of its size, 0 for 0."""
+    per = 256 / math.log(2)
+    size = F.floor(F.least(F.ln(F.abs(F.col(value))), F.lit(711.0)) * per).cast("int") + math.ceil(746 * per)
+    return F.coalesce(F.when(F.col(value) > 0, size).when(F.col(value) < 0, -size), F.lit(0))
+
+
 def _locate(cells: DataFrame, by: list[str], order: str) -> DataFrame:
     """Keep the cells that hold a wanted rank, ranks made relative to the cell."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -37,10 +49,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
     """``keys`` plus one column per named fraction, linear between ranks."""
     rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & ~F.isnan("_x"))
-    span = rows.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("s"))
-    rows = (rows.withColumn("_s", span.scalar())
-            .withColumns({"_lo": F.col("_s.lo"), "_hi": F.col("_s.hi")})
-            .withColumn("_c0", _cell("_x", "_lo", "_hi", bins)).select(*keys, "_c0", "_x"))
+    rows = rows.select(*keys, _scaled_cell("_x").alias("_c0"), "_x")
 
     size = Window.partitionBy(*keys)
     hist = rows.groupBy(*keys, "_c0").agg(
@@ -54,18 +63,20 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
         F.array_distinct(F.array(*ranks)), lambda r: F.struct(r.alias("rank"), r.alias("rel"))))
     first = _locate(hist, keys, "_c0").drop("_n")
 
-    # Rows of the wanted cells, counted by value: equal values become one row,
-    # however many there are. Ranks inside a cell are running counts in two
+    # A cell of one value is its own answer, however many rows hold it. Rows of
+    # the other wanted cells are counted by value. Ranks inside a cell are running counts in two
     # levels, over slices of the cell's own value range.
     cell = [*keys, "_c0"]
-    values = (rows.join(first, cell).groupBy(*cell, "_x").agg(
+    values = (rows.join(first.where("_lo < _hi"), cell).groupBy(*cell, "_x").agg(
         F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_ranks", "_total", "_lo", "_hi")]))
     values = values.withColumn("_c1", _cell("_x", "_lo", "_hi", bins))
     last = scan(values, cell, ["_x"], F.col("_c1").cast("long"), _upto=("sum", "_n"))
     last = last.withColumn("_ranks", F.filter("_ranks", lambda r: (r["rel"] >= F.col("_upto") - F.col("_n"))
                                               & (r["rel"] < F.col("_upto")))).where(F.size("_ranks") > 0)
 
-    hits = last.select(*keys, "_x", "_total", F.explode("_ranks.rank").alias("_rank"))
+    alone = first.where("_lo = _hi").select(*keys, F.col("_lo").alias("_x"), "_total", "_ranks")
+    hits = last.select(*keys, "_x", "_total", "_ranks").unionByName(alone)
+    hits = hits.select(*keys, "_x", "_total", F.explode("_ranks.rank").alias("_rank"))
     outs = []
     for name, p in ps.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from somnia.operators import epochs as E, intervals as I, latent as L, sequences as Q
 from somnia.operators.ordered import attach, chunk_of, drop_halo, halo, ordinal, scan, summarise
-from somnia.operators.quantiles import exact_percentiles
+from somnia.operators.quantiles import _scaled_cell, exact_percentiles
 
 CHUNKS = [3, 7, 64]
 
@@ -90,6 +90,22 @@ def test_percentiles(spark, bins):
         np.testing.assert_allclose(out[name], pdf.groupby("k").x.quantile(p), rtol=1e-12, atol=1e-12)
 
 
+def test_percentiles_of_long_tails_have_no_hot_cell(spark):
+    """Long tails, both signs, one huge artefact, masked zeros and columns of different size: few rows share a cell."""
+    rng = np.random.default_rng(9)
+    n = 20_000
+    drawn = {"tail": rng.lognormal(0, 3, n), "both": rng.lognormal(0, 2, n) * rng.choice([-1, 1], n), "small": rng.normal(0, 1e-9, n),
+             "large": rng.normal(0, 1e9, n), "artefact": np.r_[rng.normal(size=n - 1), 1e7], "masked": np.where(rng.random(n) < 0.6, 0, rng.normal(size=n))}
+    pdf = pd.concat([pd.DataFrame({"k": k, "x": x}) for k, x in drawn.items()])
+    df = spark.createDataFrame(pdf)
+    ps = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    got = exact_percentiles(df, ["k"], "x", ps).toPandas().set_index("k")
+    for k, x in drawn.items():
+        np.testing.assert_allclose(got.loc[k, list(ps)].to_numpy(float), np.percentile(x, [10, 50, 90]), rtol=1e-12)
+    cells = df.groupBy("k", _scaled_cell("x").alias("c")).agg(F.count("*").alias("n"), F.countDistinct("x").alias("values"))
+    assert cells.where("values > 1").agg(F.max("n")).first()[0] < n * 0.01
+
+
 def test_percentiles_skip_missing_and_take_no_keys(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "x double")
     assert exact_percentiles(df, [], "x", {"m": 0.5}).first().m == 2.0
