@@ -106,6 +106,22 @@ def test_test_items(spark, rows):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_test_items_with_dense_edits(spark, rows):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(7))
+    items = [[word() for _ in range(n)] for n in (20, 40, 20, 40, 20, 40, 25, 6, 2)]
+    put = lambda w, every: [x for k, own in enumerate(w, 1) for x in ([own] if k % every else [own, word()])]
+    texts = [put(items[0], 3), put(items[1], 3), [w if k % 4 else word() for k, w in enumerate(items[2], 1)], [w if k % 4 else word() for k, w in enumerate(items[3], 1)],
+             [w for k, w in enumerate(items[4], 1) if k % 4], [w for k, w in enumerate(items[5], 1) if k % 4],
+             [x for k, own in enumerate(items[6]) for x in ([own] if k % 4 == 0 else [own, word()])], put(items[7], 2), items[8]]
+    docs = rows(*[(k, " ".join([word() for _ in range(60)] + t + [word() for _ in range(60)])) for k, t in enumerate(texts)], (50, " ".join(word() for _ in range(90))))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = decontam.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(len(items))]
+    assert all(0.6 <= r.score == slow_alignment(items[r.item_id], docs.filter(F.col("doc_id") == r.doc_id).first().text.split()) / len(items[r.item_id]) for r in got)
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [50]
+
+
 def slow_alignment(a, b):
     s, best = np.zeros((len(a) + 1, len(b) + 1)), 0
     for i in range(1, len(a) + 1):
