@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import re
 
 import pyarrow as pa
@@ -119,7 +120,7 @@ class Slot:
 
 
 def slots(root: Node) -> list[Slot]:
-    """The compressed tree in document order; the first is the root."""
+    """The compressed tree in document order, without what is ruled out by name; the first is the root."""
     out: list[Slot] = []
 
     def build(node: Node) -> Slot:
@@ -127,7 +128,7 @@ def slots(root: Node) -> list[Slot]:
         own.number = len(out)
         out.append(own)
         last = None
-        for child in (x for x in node.items if isinstance(x, Node)):
+        for child in (x for x in node.items if isinstance(x, Node) and not x.dropped):
             leaf = not any(isinstance(x, Node) for x in child.items)
             if leaf and last is not None and last.label == child.label + "*":
                 last.nodes.append(child)
@@ -193,61 +194,64 @@ def aligned(a: Slot, b: Slot, cache: dict) -> list[tuple[Slot, Slot]]:
     return out
 
 
-def _own_text(slot: Slot) -> str:
-    return "\n".join(x for n in slot.nodes for x in n.items if isinstance(x, str))
+def _texts(slot: Slot) -> list[str]:
+    return [x for n in slot.nodes for x in n.items if isinstance(x, str)]
 
 
 @functools.lru_cache(maxsize=256)
-def _reference(source: str) -> list[Slot]:
-    return slots(parse(source))
+def _reference(source: str) -> tuple[list[Slot], list[list[tuple[int, str]]]]:
+    """Slots of a reference page, and the blocks of each slot as (number in the page, text)."""
+    base, number = slots(parse(source)), itertools.count()
+    return base, [[(next(number), x) for x in _texts(y)] for y in base]
 
 
-def _collect(node: Node, without: set[int]) -> list[str]:
-    """Blocks of a subtree in page order, less what is ruled out by name and the own text of the nodes ``without``."""
-    out, stack = [], [node]
+def _collect(root: Node, regions: set[int], without: dict[int, set[str]], varied: set[int]) -> list[str]:
+    """Blocks in page order that stand in ``regions`` (all without any) or directly in ``varied`` nodes, less what is ruled out.
+
+    Elements are ruled out by name, blocks by the texts that ``without`` has for their node.
+    """
+    out, stack = [], [(root, not regions)]
     while stack:
-        x = stack.pop()
+        x, inside = stack.pop()
         if isinstance(x, str):
             out.append(x)
         elif not x.dropped:
-            stack.extend(y for y in reversed(x.items) if isinstance(y, Node) or id(x) not in without)
+            inside = inside or id(x) in regions
+            own, gone = inside or id(x) in varied, without.get(id(x), ())
+            stack.extend((y, inside) for y in reversed(x.items) if isinstance(y, Node) or own and y not in gone)
     return out
 
 
-def main_text(source: str, reference: str | None, template: frozenset[int], content: int) -> str:
-    """Text of the main region: the elements that name it, else the slot in which the host's pages vary most, else the body.
+def _regions(root: Node) -> list[Node]:
+    """The outermost article and main elements with text, in page order."""
+    out, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.tag in ("article", "main"):
+            out.append(x)
+        else:
+            stack.extend(y for y in reversed(x.items) if isinstance(y, Node) and not y.dropped)
+    return [x for x in out if _collect(x, set(), {}, set())]
+
+
+def main_text(source: str, reference: str | None, template: frozenset[int], content: frozenset[int]) -> str:
+    """Text of a page less what is ruled out by name and what the host's pages share.
 
-    ``template``: slots of the reference whose text the host's pages share; ``content``: the slot that varies most.
+    ``template``: blocks of the reference that the host's pages share; ``content``: its slots that vary. Named regions are
+    taken first: a page that has some gives their text.
     """
     root = parse(source)
-    tops = []
-
-    def search(node):
-        for x in node.items:
-            if isinstance(x, Node) and not x.dropped:
-                if x.tag in ("article", "main"):
-                    tops.append(x)
-                else:
-                    search(x) if len(tops) < 10_000 else None
-
-    try:
-        search(root)
-    except RecursionError:
-        tops = []
-    if tops:
-        filled = [t for t in tops if _collect(t, set())]
-        if filled:
-            return "\n".join(b for t in filled for b in _collect(t, set()))
-    own = slots(root)
-    without, region = set(), root
-    if reference is not None:
-        for x, y in aligned(own[0], _reference(reference)[0], {}):
-            if y.number in template:
-                without |= {id(n) for n in x.nodes}
-            if y.number == content and content:
-                region = x.nodes[0] if len(x.nodes) == 1 else region
-    blocks = _collect(region, without)
-    return "\n".join(blocks or _collect(root, without))
+    tops = _regions(root)
+    regions, without, varied = {id(x) for x in tops}, {}, set()
+    if reference is not None and not tops and (template or content):
+        base, blocks = _reference(reference)
+        for x, y in aligned(slots(root)[0], base[0], {}):
+            gone = {text for number, text in blocks[y.number] if number in template}
+            if gone:
+                without.update((id(n), gone) for n in x.nodes)
+            if y.number in content:
+                varied.update(id(n) for n in x.nodes)
+    return "\n".join(_collect(root, regions, without, varied))
 
 
 def host(column):
@@ -258,10 +262,10 @@ def host(column):
 def wrappers(pages: DataFrame, share: float = 0.6, least: int = 3) -> DataFrame:
     """(host, reference, template, content) for each host, from an alignment of every page with the host's reference page.
 
-    The reference is the page whose digest is smallest. For each of its slots, all pages of the host together say how
-    often the slot is met, how often its text is the same, and how much other text stands there. A slot is template when
-    at least ``least`` pages meet it and ``share`` of them agree; ``content`` is the smallest slot that holds at least
-    half of the varying text outside slots ruled out by name.
+    The reference is the page whose digest is smallest. For each of its slots, all other pages of the host together say how
+    often the slot is met, how often its text differs, and how often each block of it stands there too. A block is template
+    when at least ``least`` pages meet its slot and ``share`` of them have it; ``content`` are the slots that at least
+    ``least`` pages meet and more than the rest of ``share`` differ in. Copies of the reference say nothing.
     """
     rows = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     refs = rows.select("host", F.md5(F.col("html").cast("binary")).alias("digest"), "html").groupBy("host").agg(F.min_by("html", "digest").alias("reference"))
@@ -271,46 +275,37 @@ def wrappers(pages: DataFrame, share: float = 0.6, least: int = 3) -> DataFrame:
         for batch in batches:
             seen: dict[tuple, list[int]] = {}
             for name, source, reference in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("reference").to_pylist()):
-                base = _reference(reference)
+                if source == reference:
+                    continue
+                base, blocks = _reference(reference)
                 for x, y in aligned(slots(parse(source))[0], base[0], {}):
-                    mine, theirs = _own_text(x), _own_text(y)
-                    own = seen.setdefault((name, y.number), [0, 0, 0])
+                    mine, theirs = _texts(x), blocks[y.number]
+                    own = seen.setdefault((name, y.number, -1), [0, 0])
                     own[0] += 1
-                    if source != reference:
-                        own[1] += mine == theirs and bool(mine)
-                        own[2] += len(mine) if mine != theirs and not any(n.dropped for n in x.nodes) else 0
+                    own[1] += mine != [text for _, text in theirs]
+                    there = set(mine)
+                    for number, text in theirs:
+                        if text in there:
+                            seen.setdefault((name, y.number, number), [0, 0])[1] += 1
             rows = [(*k, *v) for k, v in seen.items()]
             columns = list(zip(*rows)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["host", "slot", "met", "same", "varying"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["host", "slot", "block", "met", "n"])
 
-    counted = rows.join(refs, "host").select("host", "html", "reference").mapInArrow(observe, "host string, slot int, met long, same long, varying long")
-    counted = counted.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("met", "same", "varying")])
-    counted = counted.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "met", "same", "varying"))).alias("slots"))  # a row for each slot of one page
+    counted = rows.join(refs, "host").select("host", "html", "reference").mapInArrow(observe, "host string, slot int, block int, met long, n long")
+    counted = counted.groupBy("host", "slot", "block").agg(F.sum("met").alias("met"), F.sum("n").alias("n"))
+    counted = counted.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "block", "met", "n"))).alias("slots"))  # a row for each slot and block of one page
 
     def induce(batches):
         for batch in batches:
             templates, contents = [], []
-            for reference, stats in zip(batch.column("reference").to_pylist(), batch.column("slots").to_pylist()):
-                base = _reference(reference)
-                template = sorted(s["slot"] for s in stats if s["met"] >= least + 1 and s["same"] >= share * (s["met"] - 1) and _own_text(base[s["slot"]]))
-                varying = {s["slot"]: s["varying"] for s in stats}
-                total = {}
-                for x in reversed(base):  # children follow their parents
-                    total[x.number] = varying.get(x.number, 0) + sum(total.get(c.number, 0) for c in x.children)
-                    if any(n.dropped for n in x.nodes):
-                        total[x.number] = 0
-                place, content = base[0], 0
-                while True:
-                    inner = max(place.children, key=lambda c: total.get(c.number, 0), default=None)
-                    if inner is None or not total.get(inner.number) or 2 * total[inner.number] < total[0] or inner.label.endswith("*"):
-                        break
-                    place, content = inner, inner.number
-                templates.append(template)
-                contents.append(content)
-            yield pa.record_batch([batch.column("host"), batch.column("reference"), pa.array(templates, pa.list_(pa.int32())), pa.array(contents, pa.int32())],
+            for stats in batch.column("slots").to_pylist():
+                met = {s["slot"]: s["met"] for s in stats if s["block"] < 0 and s["met"] >= least}
+                templates.append([s["block"] for s in stats if s["block"] >= 0 and s["slot"] in met and s["n"] >= share * met[s["slot"]]])
+                contents.append([s["slot"] for s in stats if s["block"] < 0 and s["slot"] in met and s["n"] > (1 - share) * s["met"]])
+            yield pa.record_batch([batch.column("host"), batch.column("reference"), *(pa.array(x, pa.list_(pa.int32())) for x in (templates, contents))],
                                   ["host", "reference", "template", "content"])
 
-    return written(refs.join(counted, "host").mapInArrow(induce, "host string, reference string, template array<int>, content int"))
+    return written(refs.join(counted, "host").mapInArrow(induce, "host string, reference string, template array<int>, content array<int>"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -324,7 +319,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [main_text(s, r, frozenset(t or ()), c or 0) for s, r, t, c in zip(*(batch.column(x).to_pylist() for x in ("html", "reference", "template", "content")))]
+            out = [main_text(s, r, frozenset(t or ()), frozenset(c or ())) for s, r, t, c in zip(*(batch.column(x).to_pylist() for x in ("html", "reference", "template", "content")))]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")

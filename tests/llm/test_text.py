@@ -67,6 +67,16 @@ def test_wrapper_of_pages_without_names(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://a.example/{i}", x) for i, x in enumerate(pages)]
+    return [r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_every_varying_slot_is_content(spark):
+    page = lambda i: f"<body><div>Daily Site</div><h1>Title {i}</h1><div><p>{f'long {i} ' * 6}</p></div><ul><li>Home</ul><section><p>{f'short {i} ' * 4}</p></section></body>"
+    assert extracted(spark, map(page, range(6))) == ["\n".join([f"Title {i}", (f"long {i} " * 6).strip(), (f"short {i} " * 4).strip()]) for i in range(6)]
+
+
 def test_simple_tree_matching():
     a, b = (wrappers.slots(wrappers.parse(x)) for x in ("<div><h1>a</h1><p>b</p><ul><li>c</li></ul></div>", "<div><p>x</p><p>y</p><ul><li>z</li></ul><hr></div>"))
     assert wrappers.match(a[0], b[0], {}) == 5
