@@ -238,12 +238,13 @@ def main_text(source: str, reference: str | None, template: frozenset[int], cont
     """Text of a page less what is ruled out by name and what the host's pages share.
 
     ``template``: blocks of the reference that the host's pages share; ``content``: its slots that vary. Named regions are
-    taken first: a page that has some gives their text.
+    a hint: where a page has some, text outside them is kept only in slots that vary, and text inside is kept whole if
+    all of it is shared.
     """
     root = parse(source)
     tops = _regions(root)
     regions, without, varied = {id(x) for x in tops}, {}, set()
-    if reference is not None and not tops and (template or content):
+    if reference is not None and (template or content):
         base, blocks = _reference(reference)
         for x, y in aligned(slots(root)[0], base[0], {}):
             gone = {text for number, text in blocks[y.number] if number in template}
@@ -251,6 +252,8 @@ def main_text(source: str, reference: str | None, template: frozenset[int], cont
                 without.update((id(n), gone) for n in x.nodes)
             if y.number in content:
                 varied.update(id(n) for n in x.nodes)
+    if tops and not any(_collect(x, set(), without, set()) for x in tops):
+        without = {}
     return "\n".join(_collect(root, regions, without, varied))
 
 

@@ -77,6 +77,12 @@ def test_every_varying_slot_is_content(spark):
     assert extracted(spark, map(page, range(6))) == ["\n".join([f"Title {i}", (f"long {i} " * 6).strip(), (f"short {i} " * 4).strip()]) for i in range(6)]
 
 
+def test_template_inside_named_regions(spark):
+    page = lambda i: f"<body><div>Daily Site</div><h1>Title {i}</h1><article><p>Read {i}<p>Text {i * 7}<p>Tell your friends</p><div class=box><p>By our own desk</p></div></article><p>All rights</body>"
+    assert extracted(spark, map(page, range(6))) == [f"Title {i}\nRead {i}\nText {i * 7}" for i in range(6)]
+    assert extracted(spark, [page(1)] * 6) == ["Read 1\nText 7\nTell your friends\nBy our own desk"] * 6
+
+
 def test_simple_tree_matching():
     a, b = (wrappers.slots(wrappers.parse(x)) for x in ("<div><h1>a</h1><p>b</p><ul><li>c</li></ul></div>", "<div><p>x</p><p>y</p><ul><li>z</li></ul><hr></div>"))
     assert wrappers.match(a[0], b[0], {}) == 5
