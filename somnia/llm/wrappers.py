@@ -25,18 +25,23 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset("""ad ads advert adverts advertisement advertising sponsored sponsor promo promotion cookie cookies consent gdpr notice notices alert banner popup modal overlay
 newsletter subscribe signup comment comments reply replies respond disqus sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar
 footer header masthead topbar related recommended share sharing social widget widgets skip""".split())
+KEPT = frozenset("html body article main".split())  # never ruled out by a name
+BESIDE = frozenset("has with no without".split())   # as in has-sidebar: says what stands in or beside the element
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACES = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its label (tag and class), block texts and child elements in order, and whether its own name rules it out."""
+    """An element: its label (tag and class), block texts and child elements in order, and whether it is ruled out.
 
-    __slots__ = ("tag", "label", "dropped", "items")
+    ``named``: 2 if a class or its id is one of NAMES, 1 if a part of one is.
+    """
+
+    __slots__ = ("tag", "label", "dropped", "named", "items")
 
-    def __init__(self, tag: str, label: str, dropped: bool):
-        self.tag, self.label, self.dropped, self.items = tag, label, dropped, []
+    def __init__(self, tag: str, label: str, dropped: bool, named: int = 0):
+        self.tag, self.label, self.dropped, self.named, self.items = tag, label, dropped, named, []
 
 
 def _open(tag: str, attributes: str, in_article: bool) -> Node:
@@ -44,18 +49,46 @@ def _open(tag: str, attributes: str, in_article: bool) -> Node:
     if attributes and not attributes.isspace():
         for k, v in ATTRIBUTE.findall(attributes):
             named.setdefault(k.lower(), html.unescape(v.strip("\"'")).lower())
-    names = set(re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}")) & NAMES
-    if in_article:  # an article's own heading
-        names -= {"header"}
-    dropped = tag in DROPPED or (tag == "footer") or (tag == "header" and not in_article) or bool(names) or named.get("role") in ROLES \
+    level = 0
+    if tag not in KEPT:
+        names = NAMES - {"header"} if in_article else NAMES  # an article's own heading
+        for word in f"{named.get('class', '')} {named.get('id', '')}".split():
+            parts = set(re.split(r"[^a-z0-9]+", word))
+            if not names.isdisjoint(parts) and BESIDE.isdisjoint(parts):
+                level = max(level, 1 + (word in names))
+    dropped = tag in DROPPED or (tag == "footer") or (tag == "header" and not in_article) or named.get("role") in ROLES \
         or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-    return Node(tag, f"{tag}.{'.'.join(sorted(named.get('class', '').split()))}", dropped)
+    return Node(tag, f"{tag}.{'.'.join(sorted(named.get('class', '').split()))}", dropped, level)
+
+
+def _rule_out(root: Node) -> None:
+    """Rule out the elements with one of NAMES, but none around the main region.
+
+    Main are each article and main with at least half as much text as the largest of them. An element with half of the
+    page's text is not ruled out by a part of a name.
+    """
+    order, parent, size = [root], {}, {}
+    for x in order:  # grows
+        for y in x.items:
+            if isinstance(y, Node) and not y.dropped:
+                parent[id(y)] = x
+                order.append(y)
+    for x in reversed(order):
+        size[id(x)] = sum(len(y) if isinstance(y, str) else size.get(id(y), 0) for y in x.items)
+    regions = [x for x in order if x.tag in ("article", "main")]
+    largest, around = max((size[id(x)] for x in regions), default=0), set()
+    for x in regions:
+        while 2 * size[id(x)] >= largest and id(x) not in around:
+            around.add(id(x))
+            x = parent.get(id(x), root)
+    for x in order:
+        x.dropped = id(x) not in around and (x.named == 2 or x.named == 1 and 2 * size[id(x)] < size[id(root)])
 
 
 def parse(source: str) -> Node:
     """A tree of block elements. Inline elements only add their text; text between block edges is one block."""
     root = Node("#root", "#root", False)
-    stack, text, at, article = [root], [], 0, 0
+    stack, text, at, article, named = [root], [], 0, 0, False
 
     def flush():
         if text:
@@ -103,10 +136,13 @@ def parse(source: str) -> Node:
             continue
         node = _open(tag, m[4], article > 0)
         stack[-1].items.append(node)
+        named |= node.named > 0
         article += tag in ("article", "main")
         if not m[4].rstrip().endswith("/") or tag not in ("svg",):
             stack.append(node)
     flush()
+    if named:
+        _rule_out(root)
     return root
 
 

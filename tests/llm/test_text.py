@@ -83,6 +83,17 @@ def test_template_inside_named_regions(spark):
     assert extracted(spark, [page(1)] * 6) == ["Read 1\nText 7\nTell your friends\nBy our own desk"] * 6
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body class='has-sidebar'><div class='layout with-sidebar'><div class='menu'>Menu</div><article>Long story</article></div></body>", "Long story"),
+    ("<body id=sidebar><div class='sidebar layout'><main class='post-comments'>Long story</main></div><div class=related><article>More</article></div></body>", "Long story"),
+    ("<html class='no-ads'><body><div class='page-menu-left'><div class=menu>Menu</div><p>Long story<p>goes on</div><div class='share-box'>Share</div></body></html>", "Long story\ngoes on"),
+    ("<main>On top<div class=sidebar><article>Long story</article></div></main>", "On top\nLong story"),
+    ("<div>" * 3_000 + "<article>Long story</article>", "Long story"),
+    ("<article>x</article>" * 10_050 + "<div><article>Long story</article></div>", "x\n" * 10_050 + "Long story")], ids=range(6))
+def test_names_do_not_rule_out_the_main_region(page, text):
+    assert wrappers.main_text(page, None, frozenset(), 0) == text
+
+
 def test_simple_tree_matching():
     a, b = (wrappers.slots(wrappers.parse(x)) for x in ("<div><h1>a</h1><p>b</p><ul><li>c</li></ul></div>", "<div><p>x</p><p>y</p><ul><li>z</li></ul><hr></div>"))
     assert wrappers.match(a[0], b[0], {}) == 5
