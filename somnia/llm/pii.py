@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]{3,}")
+BREAK = re.compile("\n")
 MASK = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
@@ -58,15 +60,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _near(text: str, spans: list[tuple[str, int, int]], window: int) -> list[list[tuple[int, int]]]:
+    """For each span the places of the words within ``window`` words of it, on its line."""
+    if not spans:
+        return []
+    words, lines = [m.span() for m in WORD.finditer(text)], [m.start() for m in BREAK.finditer(text)]
+    starts, ends, out = [a for a, _ in words], [b for _, b in words], []
+    for _, a, b in spans:
+        k, j = bisect_left(lines, a), bisect_left(lines, b)
+        first, last = lines[k - 1] + 1 if k else 0, lines[j] if j < len(lines) else len(text)
+        k, j = bisect_right(ends, a), bisect_left(starts, b)
+        out.append([w for w in words[max(0, k - window):k] if w[0] >= first] + [w for w in words[j:j + window] if w[1] <= last])
+    return out
+
+
 def company(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[str, str, int]]:
     """(entity, term, hash of the context) for the words within ``window`` words of each span, on its line."""
     out = []
-    for kind, a, b in spans:
+    for (kind, a, b), places in zip(spans, _near(text, spans, window)):
         entity = f"{kind}:{text[a:b].lower()}"
-        left = max(text.rfind("\n", 0, a) + 1, a - 24 * window)
-        right = min(x if (x := text.find("\n", b)) >= 0 else len(text), b + 24 * window)
-        near = [m[0].lower() for m in WORD.finditer(text, left, a)][-window:] + [m[0].lower() for m in WORD.finditer(text, b, right)][:window]
-        near = [w for w in near if not w.isdigit()]
+        near = [w for i, j in places if not (w := text[i:j].lower()).isdigit()]
         context = int.from_bytes(hashlib.blake2b(" ".join(sorted(near)).encode(), digest_size=8).digest(), "little", signed=True)
         out += [(entity, w, context) for w in sorted(set(near))]
     return out
@@ -117,17 +130,23 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = 6, mi
     return written(scored.filter((F.col("disclosed") >= share) & (F.col("information") >= bits)))
 
 
-def _term_spans(text: str, spans: list[tuple[str, int, int]], terms: dict[str, set[str]], window: int) -> set[tuple[int, int]]:
-    """Places of the terms that reveal an entity of this text, near it."""
-    out = set()
-    for kind, a, b in spans:
-        own = terms.get(f"{kind}:{text[a:b].lower()}")
-        if own:
-            left = max(text.rfind("\n", 0, a) + 1, a - 24 * window)
-            right = min(x if (x := text.find("\n", b)) >= 0 else len(text), b + 24 * window)
-            near = list(WORD.finditer(text, left, a))[-window:] + list(WORD.finditer(text, b, right))[:window]
-            out |= {(m.start(), m.end()) for m in near if m[0].lower() in own}
-    return {(a, b) for a, b in out if not any(a < e and s < b for _, s, e in spans)}
+def _term_spans(text: str, spans: list[tuple[str, int, int]], terms: dict[str, set[str]], window: int, everywhere: set[str] | None = None) -> set[tuple[int, int]]:
+    """Places of the terms ``everywhere``, or without that of the terms that reveal an entity of this text, near it."""
+    if everywhere is not None:
+        if everywhere.isdisjoint(w.lower() for w in WORD.findall(text)):
+            return set()
+        out = {m.span() for m in WORD.finditer(text) if m[0].lower() in everywhere}
+    else:
+        found = [(s, terms[e]) for s in spans if (e := f"{s[0]}:{text[s[1]:s[2]].lower()}") in terms]
+        near = _near(text, [s for s, _ in found], window)
+        out = {(a, b) for (_, own), places in zip(found, near) for a, b in places if text[a:b].lower() in own}
+    if not out:
+        return out
+    order, reach, last = sorted((s, e) for _, s, e in spans), [], 0
+    for _, e in order:
+        reach.append(last := max(last, e))
+    starts = [s for s, _ in order]  # of the spans that begin before a term's end, none may reach over its start
+    return {(a, b) for a, b in out if not (k := bisect_left(starts, b)) or reach[k - 1] <= a}
 
 
 def _clean(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -142,10 +161,11 @@ def _clean(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", window: int = 6, block: int = 100_000) -> DataFrame:
+def find(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", window: int = 6, block: int = 100_000, everywhere: bool = False) -> DataFrame:
     """Add n_email, n_ip, n_card, n_phone, base_sha256, spans and clean (the sanitised text) to every document.
 
-    A revealing term is a span where it stands near the entity that it reveals. The terms go to the workers in blocks of
+    With ``everywhere``, as the query and ``sanitise`` ask, a revealing term is a span wherever it stands in any document,
+    since its counts over the corpus give the entity away; without, only near the entity that it reveals. The terms go to the workers in blocks of
     at most ``block`` pairs (some 10 MB), each block a pass over the documents, so any number is handled. Columns of
     ``docs`` that have a result's name are replaced; NULL and empty texts have no span, and ``clean`` keeps a NULL.
     """
@@ -161,7 +181,7 @@ def find(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", w
         terms: dict[str, set[str]] = {}
         for r in numbered.filter(F.col("block") == k).collect() if count else []:
             terms.setdefault(r.entity, set()).add(r.term)
-        sent, last = docs.sparkSession.sparkContext.broadcast(terms), k == blocks - 1
+        sent, last = docs.sparkSession.sparkContext.broadcast((terms, set().union(*terms.values()) if everywhere else None)), k == blocks - 1
 
         def search(batches, sent=sent, last=last):
             for batch in batches:
@@ -169,7 +189,7 @@ def find(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", w
                 for x, raw, sofar in zip(texts(batch, text_col), batch.column(text_col), batch.column("spans").to_pylist(), strict=True):
                     text = x.as_py()
                     base = base_spans(text)
-                    found = _term_spans(text, base, sent.value, window) | {tuple(map(int, p.split(":")[1:])) for p in sofar.split(",") if p}
+                    found = _term_spans(text, base, sent.value[0], window, sent.value[1]) | {tuple(map(int, p.split(":")[1:])) for p in sofar.split(",") if p}
                     full = base + [("term", a, b) for a, b in sorted(found)]
                     say = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
                     if last:
@@ -192,5 +212,5 @@ def find(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", w
 
 def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame:
     """``docs`` with personal data and revealing terms generalised in the text; same columns, same rows."""
-    found = find(docs, revealing_terms(docs, text_col, **thresholds), text_col)
+    found = find(docs, revealing_terms(docs, text_col, **thresholds), text_col, everywhere=True)
     return found.select(*[F.col("clean").alias(c) if c == text_col else F.col(c) for c in docs.columns])

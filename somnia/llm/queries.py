@@ -41,7 +41,7 @@ def op4_language_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return pii.find(docs, pii.revealing_terms(docs)).drop("text", "clean")
+    return pii.find(docs, pii.revealing_terms(docs), everywhere=True).drop("text", "clean")
 
 
 def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:

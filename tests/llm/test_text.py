@@ -50,6 +50,20 @@ def test_find_and_terms(spark, rows):
     assert pii.find(docs.limit(0), pii.revealing_terms(docs.limit(0))).count() == 0
 
 
+def test_terms_are_marked_wherever_they_stand(spark, rows):
+    pad, fill = "-" * 200, "delta echo foxtrot golf hotel india juliet kilo".split()
+    secret = [(k, f"{fill[k % 8]} {fill[k * 3 % 8]} {k}x Zebrafish {pad} wrote {pad} boss@corp.example today {fill[k * 5 % 8]}\n{fill[k * 7 % 8]}\n and ZEBRAFISH again") for k in range(12)]
+    others = [(100 + k, f"{fill[k % 8]} {fill[(k * 3 + 1) % 8]} owner wrote someone{k}@mail.example today") for k in range(300)]
+    docs = rows(*secret, *others, (902, "zebrafish alone, zebrafishes too"), (903, None))
+    terms = pii.revealing_terms(docs, bits=4.0)
+    assert ("zebrafish", "email:boss@corp.example") in {(r.term, r.entity) for r in terms.collect()}  # beyond 144 characters, within six words
+    got = {r.doc_id: r for r in pii.find(docs, terms, everywhere=True).collect()}
+    assert got[902].spans == "term:0:9" and got[902].clean == "[TERM] alone, zebrafishes too" and got[903].clean is None
+    assert all("zebrafish" not in got[i].clean.lower() and got[i].clean.count("[TERM]") >= 2 for i, _ in secret)
+    kept = {r.doc_id: r.text for r in pii.sanitise(docs, bits=4.0).collect()}
+    assert kept == {i: r.clean for i, r in got.items()}
+
+
 def test_main_text_named_regions():
     page = ("<html><head><title>t</title><style>p{}</style><script>var x='</p>';</script></head><body><header>Site</header><nav><ul><li>Menu</ul></nav>"
             "<div class='ad'>Buy</div><article><header><h1>A &amp; B</h1></header><p><b>One<br>two<p>x &lt; y&nbsp;z  \n w<aside>side</aside>"
