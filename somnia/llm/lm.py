@@ -373,7 +373,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     train = docs.filter(remainder("doc_id", 10) != 0)
     model = fit(train)
-    model.trust = calibrate(train.filter(remainder("doc_id", 10) == 1), model)
+    model.trust = calibrate(train, model)
     rows = written(score(docs, model)).groupBy("doc_id", "text_hash").agg(F.first("n_tokens").alias("n_tokens"), F.first("score").alias("score"), F.count("*").alias("times"))
     n, v = model.docs_tokens, model.words
     below = float(np.log10(n + 0.1 * (v + 1)))

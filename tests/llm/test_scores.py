@@ -61,6 +61,15 @@ def test_language_scores_base(spark, rows, folder):
     assert held.score.sum() > held.base_score.sum() and (got.score < 0).all()
 
 
+def test_weights_are_learned_from_all_training_rows(rows):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 > 1][:60]
+    held = next(i for i in range(400, 900) if zlib.crc32(str(i).encode()) % 10 == 0)
+    text = "one red fox ran over two old hills " * 8
+    docs = rows(*[(i, text) for i in ids], (held, text))  # no row of remainder 1
+    got = next(r for r in lm.language_scores(docs).collect() if r.doc_id == held)
+    assert got.score > 0.4 * got.base_score  # every word but the first follows its predecessor for certain
+
+
 def test_slices_give_the_same_scores(rows, folder, spark, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(5)
     whole = {r.doc_id: r.score for r in lm.language_scores(docs).collect()}
