@@ -16,7 +16,6 @@ END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99)
 BITS_PER_ENTRY, PROBES, BASE = 12, 6, 2.0
 SLICE_BYTES = 48 << 20  # the most that is sent to the workers at once
 FREQUENT = 1 << 20      # a word with at least 1 / FREQUENT of the tokens is frequent; there are at most so many, 16 MB
-MIN_PAIR = 2            # bigrams seen once are left out of the model
 MARK = 40               # bits that name a bigram in its segment; a segment has about as many bigrams at any size of the corpus
 
 
@@ -101,8 +100,6 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
         keys, n = keys[first], np.add.reduceat(n, first)
         distinct, total = len(keys), int(n.sum())
         pa.default_memory_pool().release_unused()
-        if table["kind"][0].as_py() == 1:
-            keys, n = keys[n >= MIN_PAIR], n[n >= MIN_PAIR]
         return pa.table({"kind": pa.array([table["kind"][0].as_py()], pa.int32()), "segment": pa.array([table["segment"][0].as_py()], pa.int32()),
                          "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_packed(n)], pa.binary()),
                          "n_distinct": pa.array([distinct], pa.int64()), "n_total": pa.array([total], pa.int64())})
@@ -221,7 +218,7 @@ def _levels(docs: DataFrame, model: Model, finish, schema) -> DataFrame:
                         own, old = found[edges[k]:edges[k + 1]], sofar[first + k].as_py()
                         if old is not None:
                             own = np.where(own == 255, np.frombuffer(old, np.uint8).reshape(-1, 2), own)
-                        out.append(own)
+                        out.append(np.where(own == 255, 0, own) if last else own)  # a segment without an n-gram is in no slice
                 if last:
                     yield finish(batch, out)
                 else:

@@ -70,6 +70,14 @@ def test_weights_are_learned_from_all_training_rows(rows):
     assert got.score > 0.4 * got.base_score  # every word but the first follows its predecessor for certain
 
 
+def test_bigrams_seen_once_count(rows):
+    split = lambda held: [i for i in range(900) if (zlib.crc32(str(i).encode()) % 10 == 0) == held]
+    once, same, other = "a d b f c e", split(True)[0], split(True)[1]
+    docs = rows(*[(i, "a b c d e f") for i in split(False)[:40]], (split(False)[40], once), (same, once), (other, "a f d c b e"))
+    got = {r.doc_id: r for r in lm.language_scores(docs).collect()}
+    assert got[same].base_score == pytest.approx(got[other].base_score) and got[same].score > got[other].score + 0.1
+
+
 def test_slices_give_the_same_scores(rows, folder, spark, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(5)
     whole = {r.doc_id: r.score for r in lm.language_scores(docs).collect()}
