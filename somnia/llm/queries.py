@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, neardup, packing, pii, quality, sharding, toxicity, vectors, wrappers
+from . import decontam, levels, lm, neardup, packing, pii, quality, sharding, toxicity, vectors, wrappers
 from .common import remainder
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,11 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op12_level_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return levels.pack_levels(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_toxicity, op2_sharding, op3_quality, op4_language_scores, op5_pii, op6_main_text, op7_near_vectors, op8_packing,
-    op9_near_copies, op10_decontamination)}
+    op9_near_copies, op10_decontamination, op12_level_packing)}
 SQL: dict[str, str] = {}
