@@ -13,8 +13,12 @@ of a fixed index span, and what crosses a border is handled in one of two ways:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from somnia.session import materialise
+
 CHUNK = 1 << 16
 
 
@@ -100,6 +104,31 @@ def ordinal(df: DataFrame, keys: list[str], order: str, name: str,
     return out.withColumn(name, F.col(name) - 1)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, total: str | None = None,
+           rows_per_task: int = 500_000) -> DataFrame:
+    """Position from 0 within ``keys`` in ``order``, for any sortable columns; optionally the rows of the key as ``total``.
+
+    A range shuffle on keys and order, its tasks sorted and written with each row's place; rows per key and task are then
+    counted and the counts of earlier tasks added. No window sees more than one row per key and task, so a key that holds
+    most rows is spread like any other, and rows that are equal in all of these columns are told apart by their place in
+    the input, which for a lasting order must come from a written table. NULL keys are a key of their own.
+    """
+    given = df.withColumn("_given", F.monotonically_increasing_id())
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_task))
+    sort = [*[F.col(k).asc_nulls_first() for k in keys], *order, F.col("_given")]
+    placed = given.repartitionByRange(tasks, *sort).sortWithinPartitions(*sort).drop("_given")
+    placed = materialise(placed.withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)
+    counts = placed.groupBy(*keys, task.alias("_task")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_task").alias("_counted"),
+                           (before - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias("_total"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    found = placed.join(counts, reduce(Column.__and__, same, task == F.col("_counted")))
+    return found.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name), *([F.col("_total").alias(total)] if total else []))
+
+
 def summarise(df: DataFrame, keys: list[str], idx: str, **aggs: Column) -> DataFrame:
     """Statistics per key with the index range that ``attach`` spreads them over."""
     return df.groupBy(*keys).agg(F.min(idx).alias("_first"), F.max(idx).alias("_last"),
