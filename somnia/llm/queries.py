@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, levels, lm, neardup, packing, pii, quality, sharding, toxicity, vectors, wrappers
+from . import decontam, levels, lm, merkle, neardup, packing, pii, quality, sharding, toxicity, vectors, wrappers
 from .common import remainder
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -64,11 +64,17 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = merkle.document_leaf(F.regexp_replace("text", "\n", ""))
+    proofs = merkle.manifest(_table(spark, folder, "documents"), merkle.document_leaf(), F.when(remainder("doc_id", 2) == 0, tampered))
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def op12_level_packing(spark: SparkSession, folder: str) -> DataFrame:
     return levels.pack_levels(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_toxicity, op2_sharding, op3_quality, op4_language_scores, op5_pii, op6_main_text, op7_near_vectors, op8_packing,
-    op9_near_copies, op10_decontamination, op12_level_packing)}
+    op9_near_copies, op10_decontamination, op11_manifest, op12_level_packing)}
 SQL: dict[str, str] = {}
