@@ -132,3 +132,69 @@ def document_leaf(text: Column | None = None) -> Column:
     if text is not None:
         own = F.when(text.isNull(), "-").otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text))
     return digest(field("doc_id"), field("source"), field("lang"), field("n_chars"), own)
+
+
+#: The contract's columns in DuckDB: levels by recursion, proofs by window frames, the folded root by a second recursion.
+SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+cased AS (
+  SELECT d.*, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM documents d, crc_table),
+fields AS (
+  SELECT doc_id, source, crc,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+    || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+    || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+    || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS body,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') END AS cut
+  FROM cased),
+hashed AS (
+  SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || CASE WHEN crc % 2 = 0 THEN cut ELSE body END) AS now FROM fields),
+leaves AS (
+  SELECT *, row_number() OVER () AS row_id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n FROM hashed),
+nodes AS (
+  SELECT source, n, 0 AS lvl, pos, leaf AS hash FROM leaves
+  UNION ALL
+  SELECT source, any_value(n), lvl + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM nodes
+  WHERE n > CAST(pow(3, lvl) AS BIGINT) GROUP BY source, lvl, pos // 3),
+subroots AS (
+  SELECT source, hash AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n <= CAST(pow(3, lvl) AS BIGINT)),
+tops AS (
+  SELECT n, 0 AS lvl, pos, subroot AS hash FROM subroots
+  UNION ALL
+  SELECT any_value(n), lvl + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM tops
+  WHERE n > CAST(pow(3, lvl) AS BIGINT) GROUP BY lvl, pos // 3),
+node_steps AS (
+  SELECT source, lvl, pos,
+    coalesce(string_agg(hash, '') OVER (PARTITION BY source, lvl, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(hash, '') OVER (PARTITION BY source, lvl, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > CAST(pow(3, lvl) AS BIGINT)),
+top_steps AS (
+  SELECT lvl, pos,
+    coalesce(string_agg(hash, '') OVER (PARTITION BY lvl, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(hash, '') OVER (PARTITION BY lvl, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tops WHERE n > CAST(pow(3, lvl) AS BIGINT)),
+steps AS (
+  SELECT row_id, s.lvl AS ord, l, r FROM leaves d JOIN node_steps s
+    ON s.source IS NOT DISTINCT FROM d.source AND s.pos = d.pos // CAST(pow(3, s.lvl) AS BIGINT)
+  UNION ALL
+  SELECT row_id, 1000 + s.lvl, l, r FROM leaves d JOIN subroots g ON g.source IS NOT DISTINCT FROM d.source
+    JOIN top_steps s ON s.pos = g.pos // CAST(pow(3, s.lvl) AS BIGINT)),
+path AS (SELECT row_id, l, r, row_number() OVER (PARTITION BY row_id ORDER BY ord) AS k FROM steps),
+fold AS (
+  SELECT row_id, 0 AS k, now AS h FROM leaves
+  UNION ALL
+  SELECT f.row_id, f.k + 1, sha256(p.l || f.h || p.r) FROM fold f JOIN path p ON p.row_id = f.row_id AND p.k = f.k + 1),
+folded AS (SELECT row_id, arg_max(h, k) AS folded_root FROM fold GROUP BY row_id),
+proofs AS (SELECT row_id, string_agg(l || r, '' ORDER BY k) AS proof FROM path GROUP BY row_id),
+root AS (SELECT hash AS root FROM tops WHERE n <= CAST(pow(3, lvl) AS BIGINT))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves d JOIN folded USING (row_id) LEFT JOIN proofs USING (row_id) JOIN subroots g ON g.source IS NOT DISTINCT FROM d.source, root
+"""
