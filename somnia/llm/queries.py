@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, levels, lm, merkle, neardup, packing, pii, quality, sharding, toxicity, vectors, wrappers
+from . import decontam, levels, lm, merkle, neardup, packing, pii, quality, sharding, toxicity, turns, vectors, wrappers
 from .common import remainder
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +74,11 @@ def op12_level_packing(spark: SparkSession, folder: str) -> DataFrame:
     return levels.pack_levels(_table(spark, folder, "documents"))
 
 
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.summary(turns.repair(turns.damaged(_table(spark, folder, "conversations")), F.col("kept")))
+
+
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_toxicity, op2_sharding, op3_quality, op4_language_scores, op5_pii, op6_main_text, op7_near_vectors, op8_packing,
-    op9_near_copies, op10_decontamination, op11_manifest, op12_level_packing)}
+    op9_near_copies, op10_decontamination, op11_manifest, op12_level_packing, op13_turn_repair)}
 SQL: dict[str, str] = {"op11_manifest": merkle.SQL}
