@@ -25,6 +25,19 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: crc32 in SQL: its table by the polynomial, as a list of 256.
+CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, beside ``crc_table``."""
+    return (f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from somnia.operators.ordered import ranked
 
-from .common import written
+from .common import CRC_TABLE, crc_sql, written
 
 #: Children of a node.
 FAN = 3
@@ -136,14 +136,8 @@ def document_leaf(text: Column | None = None) -> Column:
 
 #: The contract's columns in DuckDB: levels by recursion, proofs by window frames, the folded root by a second recursion.
 SQL = """
-WITH RECURSIVE crc_table AS (
-  SELECT list(c ORDER BY i) AS t FROM (
-    SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
-    FROM (SELECT unnest(range(256)) AS i))),
-cased AS (
-  SELECT d.*, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
-                              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
-  FROM documents d, crc_table),
+WITH RECURSIVE """ + CRC_TABLE + """,
+cased AS (SELECT d.*, """ + crc_sql("CAST(doc_id AS VARCHAR)") + """ AS crc FROM documents d, crc_table),
 fields AS (
   SELECT doc_id, source, crc,
     CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END

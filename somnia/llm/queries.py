@@ -81,4 +81,4 @@ def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_toxicity, op2_sharding, op3_quality, op4_language_scores, op5_pii, op6_main_text, op7_near_vectors, op8_packing,
     op9_near_copies, op10_decontamination, op11_manifest, op12_level_packing, op13_turn_repair)}
-SQL: dict[str, str] = {"op11_manifest": merkle.SQL}
+SQL: dict[str, str] = {"op11_manifest": merkle.SQL, "op13_turn_repair": turns.SQL}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from somnia.operators.ordered import ranked
 
-from .common import written
+from .common import CRC_TABLE, crc_sql, written
 
 # Fixed values of the task.
 REROLE, DELETE, INSERT, TRUNCATED_KEPT = 2, 3, 2, 1
@@ -396,3 +396,67 @@ def damaged(rows: DataFrame) -> DataFrame:
         "role": F.when(F.col("_fault") == 4, "user").otherwise(F.col("role")), "kept": F.col("_fault") != 0,
         "_copy": F.explode(F.array_repeat(F.lit(1), F.when(F.col("_fault") == 3, 2).otherwise(1)))})
     return out.drop("_fault", "_copy")
+
+
+#: The contract's columns in DuckDB: one recursion over rows backwards for costs, one over edits forwards for the audit.
+SQL = """
+WITH RECURSIVE """ + CRC_TABLE + """,
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+plain AS (
+  SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    """ + crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')") + """ % 20 AS f
+  FROM conversations JOIN ids USING (conv_id), crc_table
+  UNION ALL
+  SELECT c, turn, coalesce(role, ' '), coalesce(text, ' '), """ + crc_sql("' :' || coalesce(CAST(turn AS VARCHAR), ' ')") + """ % 20
+  FROM conversations d JOIN ids i ON d.conv_id IS NULL AND i.conv_id IS NULL, crc_table),
+kept AS (
+  SELECT c, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN replace(replace(replace(text, '.', ''), '!', ''), '?', '') ELSE text END AS text,
+    unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM plain WHERE f <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text), copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM kept),
+marked AS (
+  SELECT *, left(role, 1) AS r, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM placed),
+turns AS (
+  SELECT *, fault NOT IN ('b', 'd') AS ok, CAST(fault = 't' AS BIGINT) AS extra,
+    lag(r) OVER (PARTITION BY c ORDER BY i) || r NOT IN ('su', 'ua', 'au') AS wrong FROM marked),
+sizes AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (wrong) AS illegal FROM turns GROUP BY c),
+-- v[q]: least cost from row i on; q: 1 nothing yet, 2 after system, 3 after user, 4 after assistant
+back AS (
+  SELECT c, n + 1 AS i, [0, 4, 2, 0] AS v FROM sizes
+  UNION ALL
+  SELECT c, i, [least(w[1], 2 + w[3], 4 + w[4]), least(w[2], 2 + w[3], 4 + w[4]), least(w[3], 2 + w[4]), least(w[4], 2 + w[3])] FROM (
+    SELECT d.c, d.i, [
+      least(3 + v[1], CASE WHEN ok THEN least(2 + extra + v[3], CASE r WHEN 's' THEN extra + v[2] WHEN 'u' THEN extra + v[3] END) END),
+      least(3 + v[2], CASE WHEN ok THEN least(2 + extra + v[3], CASE r WHEN 'u' THEN extra + v[3] END) END),
+      least(3 + v[3], CASE WHEN ok THEN least(2 + extra + v[4], CASE r WHEN 'a' THEN extra + v[4] END) END),
+      least(3 + v[4], CASE WHEN ok THEN least(2 + extra + v[3], CASE r WHEN 'u' THEN extra + v[3] END) END)] AS w
+    FROM back b JOIN turns d ON d.c = b.c AND d.i = b.i - 1)),
+walk AS (
+  SELECT c, CAST(1 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS lines, FALSE AS done FROM sizes
+  UNION ALL
+  SELECT c, CASE WHEN e IN ('I', '.') THEN i ELSE i + 1 END,
+    CASE e WHEN 'D' THEN q WHEN '.' THEN q WHEN 'K' THEN (CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END) ELSE turn_to END,
+    CASE e WHEN '.' THEN audit ELSE audit || e END,
+    CASE e WHEN 'K' THEN list_append(lines, role || ':' || text) WHEN 'R' THEN list_append(lines, name || text) WHEN 'I' THEN list_append(lines, name) ELSE lines END,
+    e = '.'
+  FROM (
+    SELECT p.c, p.i, p.q, p.audit, p.lines, d.r, d.role, d.text, CASE q WHEN 3 THEN 4 ELSE 3 END AS turn_to,
+      CASE q WHEN 3 THEN 'assistant:' ELSE 'user:' END AS name,
+      CASE WHEN d.i IS NULL THEN (CASE WHEN b.v[q] = 0 THEN '.' ELSE 'I' END)
+        WHEN 3 + a.v[q] = b.v[q] THEN 'D'
+        WHEN 2 + b.v[CASE q WHEN 3 THEN 4 ELSE 3 END] = b.v[q] THEN 'I'
+        WHEN ok AND (CASE WHEN q = 1 AND r = 's' THEN extra + a.v[2] WHEN q <> 3 AND r = 'u' THEN extra + a.v[3]
+          WHEN q = 3 AND r = 'a' THEN extra + a.v[4] END) = b.v[q] THEN 'K' ELSE 'R' END AS e
+    FROM walk p JOIN back b ON b.c = p.c AND b.i = p.i LEFT JOIN back a ON a.c = p.c AND a.i = p.i + 1 LEFT JOIN turns d ON d.c = p.c AND d.i = p.i
+    WHERE NOT p.done)),
+repaired AS (SELECT c, audit, array_to_string(lines, chr(10)) AS body FROM walk WHERE done)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(b.v[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids LEFT JOIN sizes USING (c) LEFT JOIN repaired USING (c) LEFT JOIN back b ON b.c = ids.c AND b.i = 1
+"""

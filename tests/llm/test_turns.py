@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,7 +127,12 @@ def test_brute(spark, monkeypatch, segment):
     monkeypatch.setattr(turns, "PIECE", 6)
     rows = conversations(random.Random(segment), 60, 9) + odd()
     df = spark.createDataFrame(rows, SCHEMA).repartition(4).withColumns({c: F.lit("q") for c in ("conv", "kept", "symbol", "block", "pos", "c", "p")})
-    assert found(spark, df) == brute(damage(rows))
+    want = brute(damage(rows))
+    assert found(spark, df) == want
+    con = connect("/none")
+    con.register("conversations", pa.table(dict(zip(["conv_id", "turn", "role", "text"], map(list, zip(*rows)))), pa.schema(
+        [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])))
+    assert sorted(con.sql(turns.SQL).fetchall(), key=lambda r: (r[0] is not None, r[0] or 0)) == want
 
 
 def test_table(spark, folder):
@@ -134,6 +140,7 @@ def test_table(spark, folder):
     got = queries.op13_turn_repair(spark, folder)
     assert got.columns == COLUMNS
     assert sorted(map(tuple, got.collect())) == brute(damage(rows))
+    assert compare(got.toPandas(), connect(folder).sql(turns.SQL).df()) is None
 
 
 def test_empty(spark):
