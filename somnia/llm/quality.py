@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -76,6 +77,11 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
     return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
+def holds(rule: tuple) -> Column:
+    """A conjunction as a column."""
+    return functools.reduce(Column.__and__, [F.col("__" + name) > edge if above else F.col("__" + name) <= edge for name, above, edge in rule])
+
+
 @dataclass(frozen=True)
 class Rules:
     """Conjunctions ((statistic, is_greater, threshold), ...) with their weights."""
@@ -88,11 +94,7 @@ class Rules:
         """The score as one expression of Spark columns."""
         total = F.lit(self.constant)
         for rule, weight in zip(self.rules, self.weights, strict=True):
-            parts = [F.col("__" + name) > edge if above else F.col("__" + name) <= edge for name, above, edge in rule]
-            every = parts[0]
-            for p in parts[1:]:
-                every &= p
-            total += F.when(every, F.lit(float(weight))).otherwise(F.lit(0.0))
+            total += F.when(holds(rule), F.lit(float(weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -118,31 +120,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
     keeps few of them. Without both classes there is no rule and the score is the share of the label.
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.linalg import Vectors
-    spark = docs.sparkSession
-    rows = written(statistics(sample(docs, labels, label, rows_per_class), ["y"])).toPandas()  # bounded by rows_per_class
+    from pyspark.ml.feature import VectorAssembler, VectorSlicer
+    from pyspark.ml.functions import array_to_vector
+    rows = written(statistics(sample(docs, labels, label, rows_per_class), ["y"]))  # bounded by rows_per_class
     shares = {r.y: r["count"] for r in labels.filter(F.col(label).isin(0, 1) & (remainder("doc_id", 4) != 2)).groupBy(F.col(label).alias("y")).count().collect()}
-    if rows.y.nunique() < 2:
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(counts) < 2:
         p = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
         return Rules((), (), float(np.log(p / (1 - p))))
-    rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)  # the same order on every run
-    counts = rows.y.value_counts()
-    rows["weight"] = rows.y.map({k: shares[k] / counts[k] for k in (0, 1)}) / (sum(shares.values()) / len(rows))
-    names = ["__" + s for s in STATISTICS]
-    frame = written(VectorAssembler(inputCols=names, outputCol="features").transform(spark.createDataFrame(rows).coalesce(4)))
+    names, mean = ["__" + s for s in STATISTICS], sum(shares.values()) / sum(counts.values())
+    rows = rows.withColumn("weight", F.when(F.col("y") == 1, shares[1] / counts[1] / mean).otherwise(shares[0] / counts[0] / mean))
+    hashed = F.xxhash64("y", *names)
+    rows = rows.repartition(4, hashed).sortWithinPartitions(hashed, "y", *names)  # the same order on every run
+    frame = written(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
     common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight", "maxDepth": depth, "seed": 7, "maxBins": 64}
     forest = RandomForestClassifier(numTrees=trees, subsamplingRate=0.7, **common).fit(frame)
     boosted = GBTClassifier(maxIter=8, stepSize=0.3, **common).fit(frame)
     rules = sorted(tree_paths(forest.toDebugString) | tree_paths(boosted.toDebugString))
-    hits = np.ones((len(rows), len(rules)), bool)
-    for k, rule in enumerate(rules):
-        for name, above, edge in rule:
-            hits[:, k] &= (rows["__" + name] > edge) == above
-    _, first = np.unique(hits, axis=1, return_index=True)  # rules that hold on the same rows count once
-    keep = [k for k in sorted(first) if 0 < hits[:, k].mean() < 1]
-    cells = [(float(y), float(w), Vectors.dense(h.astype(float))) for y, w, h in zip(rows.y, rows.weight, hits[:, keep])]
-    table = spark.createDataFrame(cells, ["y", "weight", "features"])
+    hits = F.array(*[F.when(holds(rule), 1.0).otherwise(0.0) for rule in rules])
+    frame = written(frame.select("y", "weight", F.xxhash64(F.monotonically_increasing_id()).alias("row"), hits.alias("hits")))
+    # Rules that hold on the same rows count once: such have the same sum of row hashes.
+    marks = frame.select(F.shiftrightunsigned("row", 20).alias("row"), F.posexplode("hits").alias("rule", "hit")).filter("hit > 0")
+    marks = marks.groupBy("rule").agg(F.count("*").alias("n"), F.sum("row").alias("mark")).filter(F.col("n") < sum(counts.values()))
+    keep = sorted(r.rule for r in marks.groupBy("n", "mark").agg(F.min("rule").alias("rule")).collect())
+    if not keep:
+        p = (shares[1] + 0.5) / (sum(shares.values()) + 1)
+        return Rules((), (), float(np.log(p / (1 - p))))
+    table = VectorSlicer(inputCol="every", outputCol="features", indices=keep).transform(frame.select("y", "weight", array_to_vector("hits").alias("every")))
     lasso = LogisticRegression(labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=True).fit(table)
     weights = lasso.coefficients.toArray()
     used = [j for j in range(len(keep)) if abs(weights[j]) > 1e-6]
@@ -150,6 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
 
 
 def score(docs: DataFrame, rules: Rules, carry: list[str] | None = None, name: str = "score") -> DataFrame:
-    """``carry`` (all columns unless given) with the score of every document."""
+    """``carry`` (all columns unless given) with the score of every document.
+
+    NULL and empty texts have zero statistics and the score of those; ids and other columns have no part in it, may be
+    NULL and may be called like a statistic. Repeated rows give repeated rows with one score, an empty table none.
+    """
     carry = [c for c in docs.columns if c != name] if carry is None else carry
-    return statistics(docs, carry).select(*carry, rules.column().alias(name))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"), "text")
+    return statistics(whole, ["__row"]).select("__row.*", rules.column().alias(name))

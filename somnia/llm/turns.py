@@ -229,7 +229,7 @@ def _symbols(fault: Column, again: Column) -> Column:
 
 
 FOUND = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
-PIECES = "block long, part long, " + FOUND + ", repaired string, whole boolean"
+PIECES = "block long, part long, " + FOUND + ", repaired string"
 #: Turns of a conversation in their order; ties by role, by the start of the text, by its digest.
 ORDER = ["turn", "role", "start", "mark"]
 
@@ -253,9 +253,9 @@ def _short(rows: DataFrame, kind: str) -> DataFrame:
             audit += closing(state)
             cost = functools.reduce(lambda v, run: before_run(*run, v), reversed(found), last)[START]
             repaired = "\n".join(lines(audit, (r[1:4] for r in own)))
-            yield conv, 0, 0, gaps, *_counts(symbols), illegal(symbols), cost, audit, repaired, True
+            yield conv, 0, 0, gaps, *_counts(symbols), illegal(symbols), cost, audit, repaired
 
-    return _stream(rows, repair, ["conv", "kept", "symbol", "role", "text", "turn"], f"conv {kind}, {PIECES}")
+    return _stream(rows, repair, ["conv", "kept", "symbol", "role", "text", "turn"], f"conv {kind}, {PIECES}").withColumn("whole", F.lit(True))
 
 
 def _long(rows: DataFrame, kind: str) -> DataFrame:
@@ -317,16 +317,16 @@ def _long(rows: DataFrame, kind: str) -> DataFrame:
                 texts.append(line)
                 held += len(line)
                 if held >= PIECE:
-                    yield conv, block, part, None, *(counts if not part else [None] * 5), None if part else audit, "\n".join(texts), False
+                    yield conv, block, part, None, *(counts if not part else [None] * 5), None if part else audit, "\n".join(texts)
                     part, texts, held = part + 1, [], 0
             if texts or not part:
-                yield (conv, block, part, None, *(counts if not part else [None] * 5), None if part else audit,
-                       "\n".join(texts) if texts else None, False)
+                yield conv, block, part, None, *(counts if not part else [None] * 5), None if part else audit, "\n".join(texts) if texts else None
 
     both = rows.drop("turn").unionByName(found, allowMissingColumns=True).repartition("conv", "block").sortWithinPartitions("conv", "block", "pos")
     cut = _stream(both, pieces, ["conv", "block", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "state", "symbol", "role", "text"], f"conv {kind}, {PIECES}")
     spans = rows.groupBy("conv").agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).cast("long").alias("gaps"))
-    return cut.unionByName(spans.withColumns({"block": F.lit(-1).cast("long"), "part": F.lit(0).cast("long"), "whole": F.lit(False)}), allowMissingColumns=True)
+    spans = spans.withColumns({"block": F.lit(-1).cast("long"), "part": F.lit(0).cast("long")})
+    return cut.unionByName(spans, allowMissingColumns=True).withColumn("whole", F.lit(False))
 
 
 def repair(rows: DataFrame, kept: Column | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -31,6 +31,21 @@ def test_held_out(spark, name, label, least):
     assert auc(own.score.to_numpy(), own[label].to_numpy()) > least
 
 
+def test_rules_row_by_row(spark, folder):
+    """The compiled column against the rules applied to each row's statistics in plain Python; other columns pass through."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(docs, labels)
+    assert rules.rules and quality.fit(docs.repartition(5), labels).rules == rules.rules
+    named = docs.withColumns({"__text": F.lit(7), "__words": F.lit("w"), "__row": F.lit(1)})
+    got = {r.doc_id: r for r in quality.score(named, rules).collect()}
+    for r in quality.statistics(docs, ["doc_id"]).collect():
+        total = rules.constant
+        for rule, weight in zip(rules.rules, rules.weights):
+            total += weight * all((r["__" + n] > edge) == above for n, above, edge in rule)
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+        assert (got[r.doc_id]["__text"], got[r.doc_id]["__words"], got[r.doc_id]["__row"]) == (7, "w", 1)
+
+
 def test_classifiers_take_odd_rows(spark, rows):
     docs = rows((1, None), (2, ""), (None, "some words"), (3, "word " * 30_000), (3, "word " * 30_000)).withColumn("score", F.lit("x"))
     none = spark.createDataFrame([], LABELS)
