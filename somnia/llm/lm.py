@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from somnia.session import discard
+
 from .common import hashed_words, mix, remainder, texts, written
 from .toxicity import bigrams
 
@@ -193,18 +195,22 @@ def fit(docs: DataFrame) -> Model:
     return Model(sums.n or 0, sums.v or 0, segments, slices, built, counts)
 
 
-def _levels(docs: DataFrame, model: Model, finish, schema) -> DataFrame:
-    """Find for each token the levels of its word and bigram, one pass for each slice; ``finish(batch, levels)`` makes the last pass's rows."""
-    names = docs.columns
-    df = docs.withColumn("levels", F.lit(None).cast("binary"))
+def token_levels(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text_hash, levels) of every row, written: two bytes for each token, the levels of its word and its bigram.
+
+    One pass for each slice of the filter. A slice is sent to the workers, probed, and freed when the pass is written, as is
+    the table of the pass before; the last pass leaves the texts out.
+    """
+    df = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").withColumn("levels", F.lit(None).cast("binary"))
     for number, own in enumerate(model.slices):
-        start, size = np.full(model.segments, -1, np.int64), np.ones(model.segments, np.int64)
-        parts, place = [], 0
+        start, size, place = np.full(model.segments, -1, np.int64), np.ones(model.segments, np.int64), 0
+        bits = bytearray()
         for r in model.filters.filter(F.col("segment").isin(own or [-1])).orderBy("segment").collect():  # at most SLICE_BYTES
             start[r.segment], size[r.segment] = place, r.size
-            parts.append(np.frombuffer(r.bits, np.uint8))
-            place += len(parts[-1]) * 8
-        sent = docs.sparkSession.sparkContext.broadcast(Slice(start, size, np.concatenate([*parts, np.zeros(1, np.uint8)])))
+            bits += r.bits
+            place += len(r.bits) * 8
+        sent = docs.sparkSession.sparkContext.broadcast(Slice(start, size, np.frombuffer(bytes(bits + b"\0"), np.uint8)))
+        del bits
         segments, last = model.segments, number + 1 == len(model.slices)
 
         def probe(batches, sent=sent, last=last):
@@ -214,22 +220,28 @@ def _levels(docs: DataFrame, model: Model, finish, schema) -> DataFrame:
                     token, owner, pair = tokens(h, rows, n)
                     found = np.stack([sent.value.levels(token, 0, segments), sent.value.levels(pair, 1, segments)], 1)
                     edges = np.searchsorted(owner, np.arange(n + 1))
-                    for k in range(n):
-                        own, old = found[edges[k]:edges[k + 1]], sofar[first + k].as_py()
-                        if old is not None:
-                            own = np.where(own == 255, np.frombuffer(old, np.uint8).reshape(-1, 2), own)
-                        out.append(np.where(own == 255, 0, own) if last else own)  # a segment without an n-gram is in no slice
-                if last:
-                    yield finish(batch, out)
-                else:
-                    yield pa.record_batch([*(batch.column(c) for c in names), pa.array([x.tobytes() for x in out], pa.binary())], [*names, "levels"])
-
-        df = df.mapInArrow(probe, schema if last else df.schema)
-        if not last:
-            df = written(df)
+                    old = sofar.slice(first, n)
+                    if old.null_count < n:
+                        before = np.frombuffer(b"".join(old.to_pylist()), np.uint8).reshape(-1, 2)
+                        found = np.where(found == 255, before, found)
+                    if last:  # a segment without an n-gram is in no slice
+                        found[found == 255] = 0
+                    raw = found.astype(np.uint8).tobytes()
+                    out += [raw[2 * x:2 * y] for x, y in zip(edges, edges[1:])]
+                kept = [c for c in batch.schema.names[:-1] if not (last and c == "text")]
+                yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "levels"])
+
+        before, df = df, written(df.mapInArrow(probe, (df.drop("text") if last else df).schema))
+        sent.destroy()
+        if number:
+            discard(before)
     return df
 
 
+def _each(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8).reshape(-1, 2) for x in batch.column("levels").to_pylist()]
+
+
 def _estimates(levels: np.ndarray, n: int, v: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """p of each token from words alone, p from its bigram, and the level of its history (0 at the begin).
 
@@ -248,24 +260,25 @@ def _estimates(levels: np.ndarray, n: int, v: int, leave_out: bool) -> tuple[np.
 GRADES = np.linspace(-6, 12, 73)
 
 
-def calibrate(docs: DataFrame, model: Model, rounds: int = 30) -> np.ndarray:
-    """Weights of the bigram estimate by level of the history, by expectation-maximisation over ``docs`` as if each was left out.
+def calibrate(levels: DataFrame, model: Model, rounds: int = 30) -> np.ndarray:
+    """Weights of the bigram estimate by level of the history, by expectation-maximisation over the rows of ``levels`` as if each was left out.
 
-    Documents are read once: a table of (level, graded ratio of the two estimates) is all that EM needs; it has at most
-    64 * 74 cells. ``docs`` are training rows, so one is taken off their own counts.
+    Levels are read once: a table of (level, graded ratio of the two estimates) is all that EM needs; it has at most
+    64 * 74 cells. The rows are training rows, so one is taken off their own counts.
     """
     n, v = model.docs_tokens, model.words
 
-    def grade(batch, found):
-        table = np.zeros((64, len(GRADES) + 1), np.int64)
-        for levels in found:
-            one, two, history = _estimates(levels, n, v, True)
-            cell = np.where(two > 0, np.searchsorted(GRADES, np.log10(np.maximum(two, 1e-30) / one)), 0)
-            np.add.at(table, (np.minimum(history, 63), cell), 1)
-        i, j = np.nonzero(table)
-        return pa.record_batch([pa.array(i), pa.array(j), pa.array(table[i, j])], ["i", "j", "n"])
-
-    cells = _levels(docs.select("text"), model, grade, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    def grade(batches):
+        for batch in batches:
+            table = np.zeros(64 * (len(GRADES) + 1), np.int64)
+            for found in _each(batch):
+                one, two, history = _estimates(found, n, v, True)
+                cell = np.where(two > 0, np.searchsorted(GRADES, np.log10(np.maximum(two, 1e-30) / one)), 0)
+                table += np.bincount(np.minimum(history, 63) * (len(GRADES) + 1) + cell, minlength=len(table))
+            i, j = np.nonzero(table.reshape(64, -1))
+            yield pa.record_batch([pa.array(i), pa.array(j), pa.array(table.reshape(64, -1)[i, j])], ["i", "j", "n"])
+
+    cells = levels.select("levels").mapInArrow(grade, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((64, len(GRADES) + 1))
     for r in cells:
         table[r.i, r.j] = r.n
@@ -278,24 +291,24 @@ def calibrate(docs: DataFrame, model: Model, rounds: int = 30) -> np.ndarray:
     return weight
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text_hash, n_tokens, score) of every row: log10 of the model's probability of the whole text.
+def score(levels: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text_hash, n_tokens, score) of every row of ``token_levels``: log10 of the model's probability of the whole text.
 
     p(w | v) = trust(v) * p_bigram(w | v) + (1 - trust(v)) * p_word(w), all from counts that probes of the filter give.
     """
     n, v, trust = model.docs_tokens, model.words, model.trust
 
-    def total(batch, found):
-        out = []
-        for levels in found:
-            one, two, history = _estimates(levels, n, v, False)
-            w = trust[np.minimum(history, 63)]
-            out.append(float(np.log10(w * two + (1 - w) * one).sum()))
-        return pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(x) for x in found], pa.int64()), pa.array(out, pa.float64())],
-                               ["doc_id", "text_hash", "n_tokens", "score"])
+    def total(batches):
+        for batch in batches:
+            out, found = [], _each(batch)
+            for own in found:
+                one, two, history = _estimates(own, n, v, False)
+                w = trust[np.minimum(history, 63)]
+                out.append(float(np.log10(w * two + (1 - w) * one).sum()))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(x) for x in found], pa.int64()), pa.array(out, pa.float64())],
+                                  ["doc_id", "text_hash", "n_tokens", "score"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return _levels(rows, model, total, "doc_id long, text_hash long, n_tokens long, score double")
+    return levels.mapInArrow(total, "doc_id long, text_hash long, n_tokens long, score double")
 
 
 def base_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -370,8 +383,10 @@ def language_scores(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     train = docs.filter(remainder("doc_id", 10) != 0)
     model = fit(train)
-    model.trust = calibrate(train, model)
-    rows = written(score(docs, model)).groupBy("doc_id", "text_hash").agg(F.first("n_tokens").alias("n_tokens"), F.first("score").alias("score"), F.count("*").alias("times"))
+    levels = token_levels(docs, model)
+    discard(model.filters)
+    model.trust = calibrate(levels.filter(remainder("doc_id", 10) != 0), model)
+    rows = score(levels, model).groupBy("doc_id", "text_hash").agg(F.first("n_tokens").alias("n_tokens"), F.first("score").alias("score"), F.count("*").alias("times"))
     n, v = model.docs_tokens, model.words
     below = float(np.log10(n + 0.1 * (v + 1)))
     base = base_scores(docs, model).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")

@@ -76,6 +76,45 @@ def test_language_scores_base(spark, rows, folder):
     assert held.score.sum() > held.base_score.sum() and (got.score < 0).all()
 
 
+def test_language_scores_by_hand(rows, spark, folder, monkeypatch):
+    """Scores from exact counts, put into levels by hand, with a filter too roomy to err; the filter in two and more slices."""
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 96)
+    monkeypatch.setattr(lm, "SLICE_BYTES", 100_000)
+    pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD)) + [None] for i, t in pairs}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in words}
+    one = collections.Counter(w for i, ws in words.items() if not held[i] for w in ws)
+    two = collections.Counter(p for i, ws in words.items() if not held[i] for p in zip(["begin", *ws], ws))
+    n, v = sum(one.values()), len(one)
+    level = lambda c: 0 if c == 0 else c.bit_length()
+    value = lambda q: [0, 1][q] if q < 2 else (2.0 ** (q - 1) * (2.0 ** q - 1)) ** 0.5
+
+    def estimates(ws, own):
+        out = []
+        for before, w in zip([None, *ws], ws):
+            first = before is None
+            q = 0 if first else level(one[before])
+            c, pair = value(level(one[w])), value(level(two[("begin" if first else before, w)]))
+            single = max(c - own, 0.5)
+            p1 = single / (n + v) if single >= 1 else 1 / (n + v)
+            out.append((p1, max(pair - own - 0.5, 0) / max(max(value(q), pair) - own, 1), q))
+        return out
+
+    table = np.zeros((64, len(lm.GRADES) + 1))
+    for i, ws in words.items():
+        for p1, p2, q in estimates(ws, 1) if not held[i] else ():
+            table[q, np.searchsorted(lm.GRADES, np.log10(p2 / p1)) if p2 > 0 else 0] += 1
+    ratio = np.array([0, *(10 ** ((a + b) / 2) for a, b in zip(lm.GRADES, lm.GRADES[1:])), 10 ** lm.GRADES[-1]])
+    trust = np.full(64, 0.2)
+    for _ in range(30):
+        share = trust[:, None] * ratio / (trust[:, None] * ratio + 1 - trust[:, None])
+        trust = np.clip(((table * share).sum(1) + 0.05) / (table.sum(1) + 1), 1e-4, 0.95)
+    got = {r.doc_id: r.score for r in lm.language_scores(rows(*pairs)).collect()}
+    for i, ws in words.items():
+        want = sum(np.log10(trust[q] * p2 + (1 - trust[q]) * p1) for p1, p2, q in estimates(ws, 0))
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
 def test_weights_are_learned_from_all_training_rows(rows):
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 > 1][:60]
     held = next(i for i in range(400, 900) if zlib.crc32(str(i).encode()) % 10 == 0)
