@@ -12,7 +12,7 @@ from somnia.schemas import FEATURES
 from somnia.session import materialise
 
 from .ordered import CHUNK, attach, chunk_of, drop_halo, halo, ordinal, summarise
-from .quantiles import exact_percentiles
+from .quantiles import column_quantiles
 
 
 def block(idx, size: int) -> Column:
@@ -177,22 +177,16 @@ def normalise_percentile(df: DataFrame, keys: list[str], idx: str, values: list[
     ``guarded`` divides by 1 where both means are equal; otherwise the result
     is NULL there. ``idx`` is unique within ``keys``.
     """
-    # One long table, so that all values share the passes of one percentile job.
-    pairs = F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_x")) for v in values])
-    long = df.select(*keys, idx, F.explode(pairs).alias("_p")).select(*keys, idx, "_p.*")
-    by = [*keys, "_name"]
-    cuts = exact_percentiles(long, by, "_x", {"_p10": 0.1, "_p90": 0.9})
-    ends = summarise(attach(long, cuts, by, idx, chunk), by, idx,
-                     _low=F.avg(F.when(F.col("_x") <= F.col("_p10"), F.col("_x"))),
-                     _top=F.avg(F.when(F.col("_x") >= F.col("_p90"), F.col("_x"))))
-    width = F.col("_top") - F.col("_low")
-    if guarded:
-        width = F.when(width == 0, F.lit(1.0)).otherwise(width)
-    scaled = attach(long, ends, by, idx, chunk).withColumn(
-        "_x", clip(ratio(F.col("_x") - F.col("_low"), width), 0.05, 1.0))
-    wide = scaled.groupBy(*keys, idx).agg(*[F.max(F.when(F.col("_name") == v, F.col("_x"))).alias(v) for v in values])
-    rest = [c for c in df.columns if c not in values]
-    return wide if rest == [*keys, idx] else df.select(*rest).join(wide, [*keys, idx])
+    ends = column_quantiles(df, keys, idx, values, {"p10": 0.1, "p90": 0.9}, tails=True, chunk=chunk)
+    sides = [c for v in values for c in (f"low_p10_{v}", f"top_p90_{v}")]
+    rows = attach(df, ends.select(*keys, "_first", "_last", *sides), keys, idx, chunk)
+    scaled = {}
+    for v in values:
+        width = F.col(f"top_p90_{v}") - F.col(f"low_p10_{v}")
+        if guarded:
+            width = F.when(width == 0, F.lit(1.0)).otherwise(width)
+        scaled[v] = clip(ratio(F.col(v).cast("double") - F.col(f"low_p10_{v}"), width), 0.05, 1.0)
+    return rows.withColumns(scaled).drop(*sides)
 
 
 def smooth(df: DataFrame, keys: list[str], idx: str, values: list[str], width: int = 5, times: int = 3,

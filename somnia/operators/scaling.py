@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from somnia.functions.scalar import EPS, ratio
 
 from .ordered import CHUNK, attach, attach_by_hash, chunk_of, scan, summarise
-from .quantiles import exact_percentiles
+from .quantiles import column_quantiles
 
 # Scaler names in the order in which a setting is searched for them.
 SCALERS = ["global", "single", "baseZeroG", "baseZeroS", "baseZeroCol", "stdz", "minZero", "NOscaling"]
@@ -97,8 +97,9 @@ def scale_channels(df: DataFrame, keys: list[str], idx: str, value: str = "value
     if scaler == "QuantileTransformer":
         return _to_quantiles(df, keys, idx, value)
     if scaler == "RobustScaler":
-        stats = exact_percentiles(df, keys, value, {"_a": 0.5, "_q1": 0.25, "_q3": 0.75})
-        stats = stats.select(*keys, "_a", (F.col("_q3") - F.col("_q1")).alias("_b"))
+        stats = column_quantiles(df, keys, idx, [value], {"_a": 0.5, "_q1": 0.25, "_q3": 0.75}, chunk=chunk)
+        spread = F.col(f"_q3_{value}") - F.col(f"_q1_{value}")
+        stats = stats.select(*keys, "_first", "_last", F.col(f"_a_{value}").alias("_a"), spread.alias("_b"))
     elif scaler == "StandardScaler":
         stats = summarise(df, keys, idx, _a=F.avg(value), _b=F.stddev_pop(value))
     elif scaler == "MinMaxScaler":
@@ -132,15 +133,15 @@ def _to_quantiles(df, keys, idx, value, bins: int = 1 << 16):
     return rows.withColumn(value, place).drop("_x", "_n", "_upto", "_total")
 
 
-def _iqr(df, keys, value):
-    q = exact_percentiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
-    return q.select(*keys, (F.col("_q3") - F.col("_q1")).alias("_iqr"))
+def _iqr(df, keys, idx, value, chunk):
+    q = column_quantiles(df, keys, idx, [value], {"_q1": 0.25, "_q3": 0.75}, chunk=chunk)
+    return q.select(*keys, "_first", "_last", (F.col(f"_q3_{value}") - F.col(f"_q1_{value}")).alias("_iqr"))
 
 
 def clip_noisy(df: DataFrame, keys: list[str], idx: str, value: str = "value", k: float = 20.0,
                chunk: int = CHUNK) -> DataFrame:
     """Our reading: limit values to ``k`` times the channel's inter-quartile range."""
-    out = attach(df, _iqr(df, keys, value), keys, idx, chunk)
+    out = attach(df, _iqr(df, keys, idx, value, chunk), keys, idx, chunk)
     lim = F.col("_iqr") * k
     return out.withColumn(value, F.greatest(F.least(F.col(value), lim), -lim)).drop("_iqr")
 
@@ -148,7 +149,7 @@ def clip_noisy(df: DataFrame, keys: list[str], idx: str, value: str = "value", k
 def zero_noisy_epochs(df: DataFrame, keys: list[str], idx: str, size: int, value: str = "value",
                       k: float = 20.0, chunk: int = CHUNK) -> DataFrame:
     """Our reading: an epoch with a value beyond ``k`` inter-quartile ranges becomes 0."""
-    out = attach(df, _iqr(df, keys, value), keys, idx, chunk).withColumn("epoch_idx", chunk_of(idx, size))
+    out = attach(df, _iqr(df, keys, idx, value, chunk), keys, idx, chunk).withColumn("epoch_idx", chunk_of(idx, size))
     peak = F.max(F.abs(value)).over(Window.partitionBy(*keys, "epoch_idx"))
     return (out.withColumn("_peak", peak)
             .withColumn(value, F.when(F.col("_peak") > F.col("_iqr") * k, F.lit(0.0)).otherwise(F.col(value)))

@@ -226,3 +226,46 @@ def test_labels_of_overlapping_annotations(spark, width):
     one = {(x.rec, x.time): x.stage for x in I.label_points(p, apart, ["rec"], "time", width=width).collect()}
     assert one[0, 9.0] == 1 and one[0, 10.5] == 2 and one[0, 15.0] is None and one[1, 42.0] == 3 and one[2, 0.0] is None
     assert len(one) == len(pts)
+
+
+@pytest.mark.parametrize("accuracy, held, size", [(1000, 10**6, 1 << 16), (100, 10**6, 512), (20, 800, 512)])  # few, bracketed, finer sketches
+def test_column_quantiles(spark, monkeypatch, accuracy, held, size):
+    from somnia.operators import quantiles
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "HELD", held)
+    rng, n = np.random.default_rng(accuracy), 9000
+    pdf = pd.DataFrame({
+        "k": np.where(np.arange(n) < n * 0.9, "hot", np.where(np.arange(n) < n - 7, "b", "c")), "i": np.arange(n),
+        "tail": rng.lognormal(0, 3, n), "offset": 1e6 + rng.uniform(-1, 1, n), "masked": np.where(rng.random(n) < 0.6, 0.0, rng.normal(size=n)),
+        "artefact": np.where(rng.random(n) < 1e-3, -1e12, rng.normal(size=n)), "ties": rng.integers(0, 5, n).astype(float)})
+    pdf.loc[pdf.k == "c", "ties"] = np.nan
+    pdf.loc[::11, "offset"] = np.nan
+    values, ps = ["tail", "offset", "masked", "artefact", "ties"], {"p10": 0.1, "m": 0.5, "p90": 0.9, "least": 0.0, "most": 1.0}
+    got = quantiles.column_quantiles(spark.createDataFrame(pdf).repartition(5), ["k"], "i", values, ps, True, size).toPandas().set_index("k")
+    for k, own in pdf.groupby("k"):
+        assert (got.loc[k, "_first"], got.loc[k, "_last"]) == (own.i.min(), own.i.max())
+        for v in values:
+            x = own[v].dropna().to_numpy()
+            for name, p in ps.items():
+                cut = got.loc[k, f"{name}_{v}"]
+                if not len(x):
+                    assert pd.isna(cut) and pd.isna(got.loc[k, f"low_{name}_{v}"])
+                    continue
+                assert cut == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-300)
+                assert got.loc[k, f"low_{name}_{v}"] == pytest.approx(x[x <= cut].mean(), rel=1e-9)
+                assert got.loc[k, f"top_{name}_{v}"] == pytest.approx(x[x >= cut].mean(), rel=1e-9)
+
+
+def test_positions_in_any_order(spark):
+    """Hot key, ties, NULL keys and more tasks than rows of some keys."""
+    from somnia.operators.ordered import ranked
+    rng = np.random.default_rng(4)
+    data = [(None if x < 0.1 else "hot" if x < 0.8 else f"k{int(x * 100)}", float(rng.integers(0, 40)), i) for i, x in enumerate(rng.random(3000))]
+    df = spark.createDataFrame(data, "k string, x double, i long").repartition(7)
+    got = ranked(df, ["k"], [F.col("x").desc(), F.col("i")], "at", "n", rows_per_task=100).toPandas()
+    pdf = pd.DataFrame(data, columns=["k", "x", "i"]).sort_values(["x", "i"], ascending=[False, True])
+    for k, own in pdf.groupby(pdf.k.fillna("null")):
+        mine = got[got.k.fillna("null") == k].sort_values("at")
+        assert list(mine["at"]) == list(range(len(own))) and list(mine.i) == list(own.i) and (mine.n == len(own)).all()
+    everything = ranked(df.limit(0), [], [F.col("x")], "at")
+    assert everything.columns == ["k", "x", "i", "at"] and everything.count() == 0
