@@ -321,6 +321,11 @@ def squared_response(n: int, fs: float, low: float | None, high: float | None, o
         return 1 / (1 + s ** (2 * order))
 
 
+def _fade(poles: np.ndarray, tol: float) -> int:
+    """Samples until a digital filter with these analogue poles (rate 1) has faded to ``tol``: the slowest pole decides."""
+    return int(math.ceil(math.log(tol) / math.log(np.abs((1 + poles) / (1 - poles)).max())))
+
+
 def settle_length(fs: float, low: float | None, high: float | None, order: int = 4, tol: float = 1e-7) -> int:
     """Samples until the impulse response of the filter has faded to ``tol``, from the pole nearest the unit circle."""
     edges = [f for f in (low, high) if f]
@@ -328,14 +333,95 @@ def settle_length(fs: float, low: float | None, high: float | None, order: int =
         raise ValueError(f"band {low} to {high} does not fit a rate of {fs}")
     warp = lambda f: math.tan(math.pi * f / fs)
     proto = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
-    if low and high:  # the poles of a stop band are the same: those of the prototype are closed under inversion
-        half = proto * (warp(high) - warp(low)) / 2
-        root = np.sqrt(half ** 2 - warp(low) * warp(high))
-        poles = np.r_[half + root, half - root]
-    else:
-        poles = warp(low) / proto if low else warp(high) * proto
-    slowest = np.abs((1 + poles) / (1 - poles)).max()
-    return int(math.ceil(math.log(tol) / math.log(slowest)))
+    # The poles of a stop band are those of the band: the prototype's are closed under inversion.
+    return _fade(_placed(proto, low and warp(low), high and warp(high)), tol)
+
+
+def _placed(proto: np.ndarray, low: float | None, high: float | None) -> np.ndarray:
+    """Poles of a low-pass prototype moved to the warped band."""
+    if low and high:
+        half = proto * (high - low) / 2
+        root = np.sqrt(half ** 2 - low * high)
+        return np.r_[half + root, half - root]
+    return low / proto if low else high * proto
+
+
+def _moduli(k: float) -> list[float]:
+    """Descending Landen moduli of ``k`` until they vanish."""
+    out = []
+    while k > 1e-17 and len(out) < 12:
+        k = (k / (1 + math.sqrt(max(1 - k * k, 0.0)))) ** 2
+        out.append(k)
+    return out
+
+
+def _cd(u, k: float):
+    """Jacobi cd of ``u`` quarter periods, by ascending the moduli."""
+    w = np.cos(np.asarray(u, complex) * np.pi / 2)
+    for v in reversed(_moduli(k)):
+        w = (1 + v) * w / (1 + v * w ** 2)
+    return w
+
+
+def _inverse_sn(w: complex, k: float) -> complex:
+    """The ``u`` in quarter periods with sn(u) = w, by descending the moduli."""
+    before = k
+    for v in _moduli(k):
+        w = 2 * w / ((1 + v) * (1 + np.sqrt(1 - before ** 2 * w ** 2 + 0j)))
+        before = v
+    return 2 / np.pi * np.arcsin(w + 0j)
+
+
+class Elliptic:
+    """Digital elliptic filter from limits: at most ``loss`` dB between the pass edges, at least ``attenuation`` dB beyond the stop edges.
+
+    An edge may be None on the side that is open; a stop edge at half the rate or beyond sets no limit. The order is the
+    least that keeps both limits, from the ratio of the quarter periods of the selectivity and of the two ripples.
+    """
+
+    def __init__(self, fs: float, passes: tuple[float | None, float | None], stops: tuple[float | None, float | None],
+                 loss: float = 1.0, attenuation: float = 60.0):
+        (low, high), warp = passes, lambda f: math.tan(math.pi * f / fs)
+        given = [f for f in (stops[0], low, high, stops[1]) if f is not None]
+        if not (low or high) or any(f <= 0 for f in given) or given != sorted(set(given)) or max(f for f in passes if f) >= fs / 2 or bool(low) != bool(stops[0]) or bool(high) != bool(stops[1]):
+            raise ValueError(f"pass {passes} and stop {stops} do not fit a rate of {fs}")
+        self.fs, self.low, self.high = fs, low and warp(low), high and warp(high)
+        ripple, depth = math.sqrt(10 ** (loss / 10) - 1), math.sqrt(10 ** (attenuation / 10) - 1)
+        edge = min(abs(self._prototype(warp(f))) for f in stops if f and f < fs / 2)
+        ratio = ripple / depth
+        quarter = lambda k: math.pi / 2 * math.prod(1 + v for v in _moduli(k))
+        other = lambda k: math.sqrt(1 - k * k)
+        degree = quarter(1 / edge) * quarter(other(ratio)) / (quarter(other(1 / edge)) * quarter(ratio))
+        n = self.order = max(1, math.ceil(degree - 1e-9))
+        # The selectivity that this order reaches exactly with both ripples.
+        u = (2 * np.arange(1, n // 2 + 1) - 1) / n
+        sn = lambda x, k: _cd(1 - x, k)
+        k = self.selectivity = other(float(np.real(other(ratio) ** n * np.prod(sn(u, other(ratio)) ** 4)))) if n > 1 else ratio
+        centre = -1j / n * _inverse_sn(1j / ripple, ratio)
+        self.zeros = 1j / (k * _cd(u, k))
+        pairs = 1j * _cd(u - 1j * centre, k)
+        self.poles = np.r_[pairs, pairs.conj(), [1j * _cd(1 - 1j * centre, k)] if n % 2 else []]
+        self.floor = 1.0 if n % 2 else 10 ** (-loss / 10)
+
+    def _prototype(self, w):
+        """Place of a warped frequency on the axis of the low-pass prototype, whose pass edge is 1."""
+        if self.low and self.high:
+            return (w ** 2 - self.low * self.high) / (w * (self.high - self.low))
+        return self.low / w if self.low else w / self.high
+
+    def power(self, f) -> np.ndarray:
+        """Share of the power at frequency ``f`` that one pass leaves."""
+        w = np.tan(np.pi * np.minimum(np.asarray(f, float) / self.fs, 0.5 - 1e-12))
+        with np.errstate(divide="ignore"):
+            s = np.clip(self._prototype(w), -1e12, 1e12)[..., None] * 1j
+        half = len(self.zeros)
+        pairs = np.abs((s - self.zeros) * (s + self.zeros) / ((s - self.poles[:half]) * (s - self.poles[half:2 * half]))) ** 2
+        scale = np.abs(self.poles[:half] / self.zeros) ** 4
+        real = np.abs(self.poles[2 * half:] / (s - self.poles[2 * half:])) ** 2
+        return self.floor * (pairs * scale).prod(-1) * real.prod(-1)
+
+    def settle(self, tol: float = 1e-7) -> int:
+        return _fade(_placed(self.poles, self.low, self.high), tol)
 
 
 def _filtered(x, skip, n, settle, edge, response):
@@ -349,15 +435,26 @@ def _filtered(x, skip, n, settle, edge, response):
 
 def zero_phase_filter(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, low: float | None = None,
                       high: float | None = None, order: int = 4, stop: bool = False, settle: int | None = None,
-                      edge: int = 27, chunk: int | None = None) -> DataFrame:
+                      edge: int = 27, chunk: int | None = None, tol: float = 1e-7) -> DataFrame:
     """Zero-phase Butterworth filter, chunk by chunk.
 
     Each chunk is filtered together with ``settle`` samples on both sides, as many as the impulse response needs to fade
-    (``settle_length``), so the result does not depend on ``chunk``. Its default grows with ``settle``: at most half as
+    to ``tol`` (``settle_length``), so the result does not depend on ``chunk``. Its default grows with ``settle``: at most half as
     many samples again are copied. At recording edges the signal is continued by odd reflection over ``edge`` samples,
     then held. A ``settle`` too short for the band, or a band that does not fit the rate, is an error.
     """
-    needed = max(settle_length(fs, low, high, order), edge + 1)
+    needed = settle_length(fs, low, high, order, tol)
+    return _zero_phase(df, keys, idx, value, lambda m: squared_response(m, fs, low, high, order, stop), needed, settle, edge, chunk)
+
+
+def zero_phase_elliptic(df: DataFrame, keys: list[str], idx: str, value: str, design: Elliptic, settle: int | None = None,
+                        edge: int = 27, chunk: int | None = None, tol: float = 1e-7) -> DataFrame:
+    """An elliptic filter run forward and backward: its limits hold for each of the two runs. Chunks and edges as above."""
+    return _zero_phase(df, keys, idx, value, lambda m: design.power(np.arange(m // 2 + 1) * design.fs / m), design.settle(tol), settle, edge, chunk)
+
+
+def _zero_phase(df, keys, idx, value, response, needed, settle, edge, chunk):
+    needed = max(needed, edge + 1)
     if settle is not None and settle < needed:
         raise ValueError(f"settle {settle} is shorter than the {needed} samples this band needs")
     settle = settle or needed
@@ -365,8 +462,8 @@ def zero_phase_filter(df: DataFrame, keys: list[str], idx: str, value: str, fs:
 
     @F.pandas_udf(ARRAY)
     def run(frame: pd.Series, skip: pd.Series, size: pd.Series) -> pd.Series:
-        response = lru_cache(lambda m: squared_response(m, fs, low, high, order, stop))
-        return pd.Series([_filtered(np.asarray(x, dtype=np.float64), s, n, settle, edge, response) for x, s, n in zip(frame, skip, size)])
+        gains = lru_cache(response)
+        return pd.Series([_filtered(np.asarray(x, dtype=np.float64), s, n, settle, edge, gains) for x, s, n in zip(frame, skip, size)])
 
     out = padded_chunks(df, keys, idx, value, settle, chunk)
     return _unchunk(out.withColumn("_y", run("frame", "_skip", "_size")), keys, idx, value)
@@ -391,15 +488,16 @@ def _hold(y, m):
     return np.r_[y, ramp]
 
 
-def high_pass_for_emg(df: DataFrame, keys: list[str], idx: str, value: str, fs: float,
-                      band: tuple[float, float] | None = None, chunk: int | None = None) -> DataFrame:
-    """Band above 300 Hz, up to 625 Hz or half the rate less 25 Hz, unless ``band`` is given.
+def emg_design(fs: float, loss: float = 1.0, attenuation: float = 60.0) -> Elliptic:
+    """What is above 300 Hz and 25 Hz below the top, which is 625 Hz or half the rate; 25 Hz wide edges on both sides."""
+    top = min(625.0, fs / 2)
+    return Elliptic(fs, (300.0, top - 25), (275.0, top), loss, attenuation)
 
-    The studied design (1 dB and 60 dB limits) is elliptic; a Butterworth of
-    the same band stands in for it. A rate that the band does not fit is an error.
-    """
-    low, high = band or (300.0, min(625.0, fs / 2) - 25)
-    return zero_phase_filter(df, keys, idx, value, fs, low, high, chunk=chunk)
+
+def high_pass_for_emg(df: DataFrame, keys: list[str], idx: str, value: str, fs: float, design: Elliptic | None = None,
+                      chunk: int | None = None, tol: float = 1e-7) -> DataFrame:
+    """Zero-phase elliptic band for the muscle signal, ``emg_design`` unless another is given. A rate that it does not fit is an error."""
+    return zero_phase_elliptic(df, keys, idx, value, design or emg_design(fs), chunk=chunk, tol=tol)
 
 
 def savitzky_golay(df: DataFrame, keys: list[str], idx: str, value: str, window: int, order: int = 4,
@@ -524,12 +622,12 @@ def eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: f
 
 
 def emg_from_signals(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: float, rate: float = 5.0,
-                     window: int | None = None, band: tuple[float, float] | None = None, chunk: int = FRAME) -> DataFrame:
+                     window: int | None = None, design: Elliptic | None = None, chunk: int = FRAME, tol: float = 1e-7) -> DataFrame:
     """Muscle-tone proxy: correlation of two high-passed channels at ``rate`` Hz,
-    its 0-to-1 form and its smoothed form. ``band`` as in ``high_pass_for_emg``."""
+    its 0-to-1 form and its smoothed form. ``design`` and ``tol`` as in ``high_pass_for_emg``."""
     from .epochs import norm_to_range, windowed_correlation
-    fa = high_pass_for_emg(df, keys, idx, a, fs, band, chunk)
-    fb = high_pass_for_emg(df, keys, idx, b, fs, band, chunk)
+    fa = high_pass_for_emg(df, keys, idx, a, fs, design, tol=tol)
+    fb = high_pass_for_emg(df, keys, idx, b, fs, design, tol=tol)
     step = round(fs / rate)
     emg = windowed_correlation(fa.join(fb, [*keys, idx]), keys, idx, step, a, b).withColumnRenamed("corr", "emg")
     both = norm_to_range(emg.withColumn("norm", F.col("emg")), keys, "bin", "norm", chunk=chunk)

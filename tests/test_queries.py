@@ -25,6 +25,14 @@ def test_query(spark, con, name):
         assert len(got) > 0
 
 
+def test_notch_against_sql(spark, con):
+    from somnia.plans import signals
+    keys = ["recording_id", "channel", "sample_idx"]
+    got = QUERIES["notch"].build(Tables(spark, FOLDER)).toPandas()
+    both = got.merge(con.sql(signals.NOTCH).df(), on=keys)
+    assert len(both) == len(got) and (both.value_x - both.value_y).abs().max() < 6e-7  # six places
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
     assert set(e.oracle_sql()) <= set(e.queries())

@@ -93,6 +93,34 @@ def test_filter_bands_must_fit(spark):
         G.eye_features(df.withColumn("y", df.x), ["rec"], "i", "x", "y", 60.0, 30)
 
 
+@pytest.mark.parametrize("fs, passes, stops", [
+    (2500.0, (300.0, 600.0), (275.0, 625.0)), (1000.0, (300.0, 475.0), (275.0, 500.0)), (100.0, (10.0, None), (8.0, None)),
+    (100.0, (None, 10.0), (None, 12.0)), (100.0, (5.0, 10.0), (4.0, 12.0)), (100.0, (20.0, None), (1.0, None))])
+@pytest.mark.parametrize("loss, attenuation", [(1.0, 60.0), (0.1, 40.0)])
+def test_elliptic_keeps_its_limits(fs, passes, stops, loss, attenuation):
+    """At most ``loss`` dB inside, at least ``attenuation`` dB outside, and both are reached: no lower order could."""
+    design = G.Elliptic(fs, passes, stops, loss, attenuation)
+    f = np.linspace(0, fs / 2, 200_001)
+    lost = -10 * np.log10(np.maximum(design.power(f), 1e-30))
+    inside = (f >= (passes[0] or 0)) & (f <= (passes[1] or fs))
+    outside = (f <= (stops[0] if stops[0] else -1)) | (f >= (stops[1] if stops[1] else fs))
+    assert lost[inside].min() > -1e-9 and lost[inside].max() == pytest.approx(loss, abs=1e-3) and lost[inside].max() < loss + 1e-6
+    assert lost[outside].min() > attenuation - 1e-6
+    assert lost.max() > attenuation - 1e-6 and (design.poles.real < 0).all()
+
+
+def test_elliptic_edges_must_fit():
+    for passes, stops in [((300.0, 600.0), (275.0, None)), ((300.0, 600.0), (310.0, 625.0)), ((None, None), (None, None)), ((300.0, 1250.0), (275.0, 1300.0))]:
+        with pytest.raises(ValueError, match="fit"):
+            G.Elliptic(2500.0, passes, stops)
+
+
+def test_elliptic_chunks_agree_with_one_piece(spark):
+    x = np.random.default_rng(8).normal(size=60_000).cumsum()
+    run = lambda **kw: series(G.high_pass_for_emg(frame(spark, x), ["rec"], "i", "x", 2500.0, **kw))
+    np.testing.assert_allclose(run(chunk=5_000), run(chunk=10**6), atol=1e-6 * x.std())
+
+
 def test_notch(spark):
     fs = 50.0
     t = np.arange(2000) / fs
