@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ordered import CHUNK, chunk_of, scan
+from somnia.session import materialise
 
+from .ordered import CHUNK, chunk_of, ranked, scan
 
-def chronological(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Total order by a range shuffle."""
+
+def chronological(df: DataFrame, cols: list[str], position: str | None = None) -> DataFrame:
+    """Total order by a range shuffle; as a column ``position`` from 0 if named, which outlasts any later shuffle."""
+    if position:
+        return ranked(materialise(df), [], [F.col(c).asc_nulls_first() for c in cols], position)
     return df.orderBy(*cols)
 
 

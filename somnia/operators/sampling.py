@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order import chronological
 from .ordered import CHUNK, chunk_of, ordinal, scan
 
 TOP = 4  # hex digits that bucket a hash
@@ -60,9 +61,9 @@ def repeat_rows(df: DataFrame, times: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
 
-def shuffle(df: DataFrame, id_cols: list[str], seed: int = 0) -> DataFrame:
-    """Rows in a random order that the seed fixes; all columns move together."""
-    return df.withColumn("_h", hash_key(seed, *id_cols)).orderBy("_h", *id_cols).drop("_h")
+def shuffle(df: DataFrame, id_cols: list[str], seed: int = 0, position: str | None = None) -> DataFrame:
+    """Rows in a random order that the seed fixes; all columns move together. ``position`` keeps the order as a column."""
+    return chronological(df.withColumn("_h", hash_key(seed, *id_cols)), ["_h", *id_cols], position).drop("_h")
 
 
 def class_probabilities(weights: list[float], n_classes: int) -> list[float]:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from somnia.operators import latent as L, model as M, sequences as Q
+from somnia.session import shared_dir
+from somnia.sources.models import load_or_fit
 from .proxies import SIG, VEC, VECTOR, epoch_labels, feature_vectors, fin, out, signal
 from .registry import query
 from .signals import EPOCH, band_powers
@@ -82,6 +84,20 @@ def _(t):
     return fin(scores.agg(sum((F.var_samp(f"pc{k}") for k in range(1, D)), F.var_samp("pc0")).alias("total")))
 
 
+@query("pca_spectrum", "M-01", out(LONG + ", cv AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM x a JOIN x b USING (vec_id) GROUP BY 1, 2)", "SELECT 1 AS power, i, j, c AS value FROM cv UNION ALL SELECT 2, a.i, b.j, sum(a.c * b.c) FROM cv a JOIN cv b ON a.j = b.i GROUP BY 2, 3", "power i j", "value"))
+def _(t):
+    """Covariance and its square put together again from the kept components: only eigenvectors with their variances give both."""
+    rows, path = feature_vectors(t), shared_dir(t.spark)
+    fit = load_or_fit(t.spark, path, lambda: M.fit_pca(rows, VECTOR))
+    parts = t.spark.read.parquet(path)
+    load = parts.where("part = 'components'").select(F.col("i").alias("c"), F.col("j").alias("f"), F.col("value").alias("w"))
+    size = parts.where("part = 'variance'").select(F.col("i").alias("c"), F.col("value").alias("l"))
+    pairs = load.join(load.select("c", F.col("f").alias("g"), F.col("w").alias("u")), "c").join(size, "c")
+    powers = F.explode(F.array(*[F.struct(F.lit(k).alias("power"), F.pow("l", F.lit(float(k))).alias("lk")) for k in (1, 2)])).alias("p")
+    cells = pairs.select("f", "g", "w", "u", powers).groupBy("p.power", F.col("f").alias("i"), F.col("g").alias("j"))
+    return fin(cells.agg(F.sum(F.col("w") * F.col("u") * F.col("p.lk")).alias("value")).where(F.lit(len(fit.features) == D)))
+
+
 @query("channel_pca", "M-03")
 def _(t):
     s = signal(t).select("v", "k", (F.col("v") - F.col("k")).alias("d"), (F.col("v") / 2 + F.col("k")).alias("m"))

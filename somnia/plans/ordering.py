@@ -18,14 +18,14 @@ def _(t):
                .select("position", "recording_id", "epoch_idx", "stage"))
 
 
-@query("chronological_order", "K-02", out(LAB, "SELECT recording_id, epoch_idx, stage FROM lab", "recording_id epoch_idx stage"))
+@query("chronological_order", "K-02", out(LAB, "SELECT row_number() OVER (ORDER BY recording_id, epoch_idx) - 1 AS position, recording_id, epoch_idx, stage FROM lab", "position recording_id epoch_idx stage"))
 def _(t):
-    return O.chronological(fin(epoch_labels(t)), ["recording_id", "epoch_idx"])
+    return fin(O.chronological(epoch_labels(t), ["recording_id", "epoch_idx"], "position"))
 
 
-@query("shuffled_epochs", "K-03", out(LAB, "SELECT recording_id, epoch_idx, stage FROM lab", "recording_id epoch_idx stage"))
+@query("shuffled_epochs", "K-03", out(LAB, "SELECT row_number() OVER (ORDER BY md5('7|' || recording_id || '|' || epoch_idx)) - 1 AS position, recording_id, epoch_idx, stage FROM lab", "position recording_id epoch_idx stage"))
 def _(t):
-    return fin(shuffle(epoch_labels(t), ["recording_id", "epoch_idx"], 7))
+    return fin(shuffle(epoch_labels(t), ["recording_id", "epoch_idx"], 7, "position"))
 
 
 @query("top_channel_per_recording", "K-04", out(SAMP + ", p AS (SELECT recording_id, channel, sum(value * value) AS power FROM samp GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY power DESC, channel) AS rank FROM p)", "SELECT recording_id, channel, power, rank FROM r WHERE rank <= 1", "recording_id rank", "power"))
@@ -34,9 +34,9 @@ def _(t):
     return fin(O.top_per_group(p, ["recording_id"], "power", "channel", 1))
 
 
-@query("epoch_ids_sorted", "K-05", out(COD, "SELECT epoch_id, subject, code FROM cod", "epoch_id subject"))
+@query("epoch_ids_sorted", "K-05", out(COD, "SELECT row_number() OVER (ORDER BY subject, epoch_id) - 1 AS position, epoch_id, subject, code FROM cod", "position epoch_id subject"))
 def _(t):
-    return fin(O.chronological(coded_epochs(t).select("epoch_id", "subject", "code"), ["subject", "epoch_id"]))
+    return fin(O.chronological(coded_epochs(t).select("epoch_id", "subject", "code"), ["subject", "epoch_id"], "position"))
 
 
 @query("first_studies", "K-06", out("ds AS (SELECT n_name AS dataset, c_custkey AS study_id, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey)", "SELECT dataset, study_id, rank FROM ds WHERE rank <= 3", "study_id rank"))

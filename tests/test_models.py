@@ -24,6 +24,38 @@ def test_pca_matches_numpy(spark):
     assert abs(fit.explained.sum() - 1) < 1e-12
 
 
+def test_models_are_kept_and_found_again(spark, tmp_path):
+    """Fitted, saved, loaded by another session, used on other rows: the same numbers; versions stay apart."""
+    from somnia.operators import scaling as C
+    from somnia.sources import models as K
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame(rng.normal(size=(120, 3)) @ rng.normal(size=(3, 3)), columns=list("abc"))
+    df, other = spark.createDataFrame(x), spark.createDataFrame(x * 2 + 1)
+    path, calls = f"{tmp_path}/pca", []
+    fit = M.fit_pca(df, list("abc"), whiten=True)
+    assert K.versions(spark, path) == []
+    with pytest.raises(FileNotFoundError):
+        K.load_model(spark, path)
+    for _ in range(2):
+        again = K.load_or_fit(spark.newSession(), path, lambda: calls.append(1) or fit)
+    assert len(calls) == 1 and again.features == fit.features and again.whiten
+    for part in K.ARRAYS["pca"]:
+        np.testing.assert_array_equal(getattr(again, part), getattr(fit, part))
+    assert M.pca_transform(other, again).collect() == M.pca_transform(other, fit).collect()
+    assert K.save_model(spark, M.fit_pca(other, list("ab")), path) == 2
+    assert K.load_model(spark, path).features == ("a", "b") and K.load_model(spark, path, 1).features == ("a", "b", "c")
+    for bias in (None, rng.normal(size=3)):
+        units = M.HiddenUnits(rng.normal(size=(3, 2)), rng.random((2, 4)), rng.normal(size=4), rng.normal(size=(3, 1)), rng.normal(size=1), bias)
+        K.save_model(spark, units, f"{tmp_path}/units")
+        read = K.load_model(spark, f"{tmp_path}/units")
+        assert (read.bias_vis is None) == (bias is None) and read.n_units == 5
+        got, want = (M.hidden_probabilities(other, list("abc"), u, "row").collect() for u in (read, units))
+        assert got == want
+    K.save_ranges(C.feature_stats(df, list("abc")), f"{tmp_path}/ranges")
+    read = C.scale_features(other, list("abc"), "single", K.load_ranges(spark, f"{tmp_path}/ranges"))
+    assert read.collect() == C.scale_features(other, list("abc"), "single", C.feature_stats(df, list("abc"))).collect()
+
+
 @pytest.mark.parametrize("t,dof,p", [(2.2281388519649385, 10, 0.05), (12.706204736432095, 1, 0.05), (0.0, 5, 1.0), (-1.9599639845400545, 1e7, 0.05)])
 def test_t_test_p(spark, t, dof, p):
     df = spark.createDataFrame([(float(t), float(dof)), (None, 3.0)], "t double, dof double")
