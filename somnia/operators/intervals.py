@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordered import CHUNK, attach, drop_halo, halo, scan
 
@@ -32,14 +32,21 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
     ``span`` is the width of the start range one task works on.
     """
     bucket = F.floor(F.col(start) / F.lit(span)).cast("long")
-    cols = df.select(*keys, F.col(start), F.col(end))
-    reach = scan(cols, keys, [start, end], bucket, True, _reach=("max_before", end))
-    gap = F.col(start) - F.col("_reach")
-    apart = F.col("_reach").isNull() | (gap >= epsilon if strict else gap > epsilon)
-    islands = scan(reach.withColumn("_new", apart.cast("long")), keys, [start, end],
-                   F.col("_chunk"), _island=("sum", "_new"))
-    return (islands.groupBy(*keys, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"))
-            .drop("_island"))
+    apart = lambda reach: reach.isNull() | (F.col(start) - reach >= epsilon if strict else F.col(start) - reach > epsilon)
+    here = Window.partitionBy(*keys, "_chunk").orderBy(start, end)
+    reach = F.max(end).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.select(*keys, start, end, bucket.alias("_chunk")).withColumn("_new", apart(reach).cast("long"))
+    rows = rows.withColumn("_island", F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = rows.groupBy(*keys, "_chunk", "_island").agg(F.min(start).alias(start), F.max(end).alias(end))
+    # One row per chunk carries both: how far earlier chunks reach, and where the island that reaches so far begins. A
+    # chunk's last island is the only one of its islands that can go on, and it is new if it is apart from that reach.
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = islands.groupBy(*keys, "_chunk").agg(F.max(end).alias("_top"), F.max(start).alias(start))
+    chunks = chunks.withColumn("_reach", F.max("_top").over(before))
+    chunks = chunks.withColumn("_root", F.max(F.when(apart(F.col("_reach")), F.col(start))).over(before))
+    joined = islands.join(chunks.select(*keys, "_chunk", "_reach", "_root"), [*keys, "_chunk"], "left")
+    first = F.when(apart(F.col("_reach")), F.col(start)).otherwise(F.col("_root"))
+    return joined.groupBy(*keys, first.alias("_begin")).agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("_begin")
 
 
 def pad(df: DataFrame, width: float) -> DataFrame:

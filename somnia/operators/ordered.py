@@ -153,8 +153,16 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], idx: str,
     return rows.join(spread, [*keys, "_chunk"], how).drop("_chunk")
 
 
-def attach_by_hash(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str], parts: int = 256) -> DataFrame:
-    """``attach`` for rows without an index: a key's rows are cut up by a hash of ``cols``."""
-    rows = df.withColumn("_part", F.pmod(F.xxhash64(*cols), F.lit(parts)))
+def attach_by_hash(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str], largest: Column | None = None,
+                   rows_per_part: int = CHUNK) -> DataFrame:
+    """``attach`` for rows without an index: a key's rows are cut up by a hash of ``cols``.
+
+    ``cols`` should tell rows apart. There are as many parts as the largest key needs for ``rows_per_part`` rows each;
+    its size is counted unless ``largest``, a scalar column, says it.
+    """
+    if largest is None:
+        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).scalar()
+    parts = F.greatest(F.ceil(F.coalesce(largest, F.lit(0)) / F.lit(rows_per_part)), F.lit(1)).cast("long")
+    rows = df.withColumn("_part", F.pmod(F.xxhash64(*cols), parts))
     spread = rows.select(*keys, "_part").distinct().join(stats, keys)
     return rows.join(spread, [*keys, "_part"], "left").drop("_part")

@@ -126,7 +126,7 @@ def _to_quantiles(df, keys, idx, value, bins: int = 1 << 16):
     placed = counts.withColumn("_s", span.scalar())
     slot = F.floor(ratio(F.col("_x") - F.col("_s.lo"), F.col("_s.width")) * bins)
     placed = scan(placed, keys, ["_x"], F.coalesce(slot, F.lit(0)).cast("long"), _upto=("sum", "_n")).drop("_s")
-    rows = attach_by_hash(df.withColumn("_x", x), placed, [*keys, "_x"], [idx])
+    rows = attach_by_hash(df.withColumn("_x", x), placed, [*keys, "_x"], [idx], counts.agg(F.max("_n")).scalar())
     total = summarise(df.where(x.isNotNull()), keys, idx, _total=F.count(F.lit(1)))
     rows = attach(rows, total, keys, idx)
     place = (F.col("_upto") - F.col("_n") + (F.col("_n") - 1) / 2) / F.greatest(F.col("_total") - 1, F.lit(1))

@@ -32,7 +32,7 @@ def group_by_subject(files: DataFrame, regex: str, path: str = "path") -> DataFr
     rows = files.withColumn("n_matches", F.regexp_count(path, F.lit(regex)))
     rows = rows.withColumns({"subject": F.regexp_extract(path, regex, 1), "ok": F.col("n_matches") == 1})
     sizes = rows.groupBy("subject").agg(F.count(F.lit(1)).alias("n_files"))
-    return attach_by_hash(rows, sizes, ["subject"], [path])
+    return attach_by_hash(rows, sizes, ["subject"], [path], sizes.agg(F.max("n_files")).scalar())
 
 
 def pair_by_id(true: DataFrame, pred: DataFrame, regex: str, path: str = "path") -> DataFrame:

@@ -269,3 +269,48 @@ def test_positions_in_any_order(spark):
         assert list(mine["at"]) == list(range(len(own))) and list(mine.i) == list(own.i) and (mine.n == len(own)).all()
     everything = ranked(df.limit(0), [], [F.col("x")], "at")
     assert everything.columns == ["k", "x", "i", "at"] and everything.count() == 0
+
+
+@pytest.mark.parametrize("epsilon, strict", [(0, False), (2, False), (2, True), (50, False)])
+def test_merging_needs_one_scan(spark, epsilon, strict):
+    """Against a plain loop, with islands over many chunks, nested ones and ties; the input is planned at most four times."""
+    rng = np.random.default_rng(7)
+    start = rng.integers(0, 900, 400)
+    pdf = pd.DataFrame({"rec": np.where(np.arange(400) < 300, 0, rng.integers(1, 4, 400)), "start": start, "end": start + rng.integers(0, 9, 400) ** 2 // 9})
+    pdf.loc[0, ["rec", "start", "end"]] = (3, 5, 700)
+    want = []
+    for rec, part in pdf.groupby("rec"):
+        begin = reach = None
+        for s, e in sorted(zip(part.start, part.end)):
+            if reach is None or (s - reach >= epsilon if strict else s - reach > epsilon):
+                want += [] if reach is None else [(rec, begin, reach)]
+                begin, reach = s, e
+            reach = max(reach, e)
+        want.append((rec, begin, reach))
+    df = spark.createDataFrame(pdf)
+    for span in (1.0, 10.0, 64.0, 5000.0):
+        got = I.merge_intervals(df, ["rec"], epsilon=epsilon, strict=strict, span=span)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 4
+
+
+def test_statistics_come_back_without_a_hot_task(spark):
+    """One key holds a third of all rows; without broadcasts no task of the join gets over twice the mean."""
+    from somnia.operators.ordered import attach_by_hash
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40 + 1).alias("k"), F.lit(1.5).alias("x"))
+    stats = df.groupBy("k").agg(F.count("*").alias("n"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = attach_by_hash(df, stats, ["k"], ["id"], rows_per_part=500)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 60_000 and len(sizes) == 8 and max(sizes) < 2 * 60_000 / 8
+        assert out.where("n IS NULL").isEmpty() and out.where("k = 0 AND n <> 20000").isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    empty = df.limit(0)
+    assert attach_by_hash(empty, stats.limit(0), ["k"], ["id"]).count() == 0
