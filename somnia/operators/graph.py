@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from somnia.functions.scalar import dominant
+from somnia.session import materialise
 
-from .ordered import drop_halo, halo
+from .ordered import drop_halo, halo, scan
 
 
 def undirected(edges: DataFrame, weight: str = "prob") -> DataFrame:
@@ -46,16 +47,38 @@ def co_occurrence(df: DataFrame, keys: list[str], idx: str, state: str, reach: i
         F.count(F.lit(1)).alias("n"))
 
 
-def temporal_clusters(pairs: DataFrame, k: int, iterations: int = 20) -> DataFrame:
-    """Group states that occur close in time, by power iteration over their graph.
+def power_vector(pairs: DataFrame, iterations: int) -> DataFrame:
+    """``id v`` after so many steps of power iteration on the row-normalised graph of ``src dst n``.
 
-    The start vector is the degrees and the affinities are sorted into one partition (states x states rows at most), so
-    the groups do not depend on the partitioning; each is numbered by its smallest member, from 0.
+    The vector starts as the degrees. Its constant part, to which all vectors of a connected graph tend, is taken out in
+    each step, so what is left keeps telling the groups apart; the largest size is 1. A step is a join on the edges and
+    one aggregate, written out; only two numbers per step are not by node. Where nothing is left all values are 0.
     """
-    from pyspark.ml.clustering import PowerIterationClustering
-    pic = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight", initMode="degree")
-    sorted_pairs = pairs.select("src", "dst", F.col("n").cast("double").alias("weight")).coalesce(1).sortWithinPartitions("src", "dst")
-    found = pic.assignClusters(sorted_pairs)
-    first = found.groupBy("cluster").agg(F.min("id").alias("first"))
-    first = first.withColumn("number", F.row_number().over(Window.orderBy("first")) - 1)  # one row for each of k groups
-    return found.join(first, "cluster").select(F.col("id").alias("latent_id"), F.col("number").cast("int").alias("cluster"))
+    edges = pairs.select("src", "dst", "n").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    edges = materialise(edges.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("n")))
+    nodes = edges.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("d"))
+    vector = materialise(nodes.withColumn("v", F.col("d")))
+    for step in range(iterations + 1):
+        mean = vector.agg(F.sum(F.col("d") * F.col("v")) / F.sum("d")).scalar()
+        centred = vector.withColumn("v", F.col("v") - mean)
+        size = centred.agg(F.nullif(F.max(F.abs("v")), F.lit(0.0))).scalar()
+        unit = centred.withColumn("v", F.coalesce(F.col("v") / size, F.lit(0.0)))
+        if step == iterations:
+            return unit.select("id", "v")
+        seen = edges.join(unit.select(F.col("id").alias("dst"), "v"), "dst")
+        vector = materialise(seen.groupBy(F.col("src").alias("id")).agg(
+            F.sum("n").alias("d"), (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")))
+
+
+def temporal_clusters(pairs: DataFrame, k: int, iterations: int = 6, digits: int = 9) -> DataFrame:
+    """Group states that occur close in time: ``power_vector`` cut at its ``k - 1`` widest gaps.
+
+    Values are compared at ``digits`` places, so the order in which sums are made does not matter; of equal gaps the
+    lowest counts first, and equal values never part. Groups are numbered upwards along the vector from 0.
+    """
+    at = materialise(power_vector(pairs, iterations).withColumn("v", F.round("v", digits)))
+    gaps = scan(at.select("v").distinct(), [], ["v"], F.floor(F.col("v") * 1024).cast("long"), _before=("lag", "v"))
+    gaps = gaps.withColumn("_gap", F.round(F.col("v") - F.col("_before"), digits)).where(F.col("_gap").isNotNull())
+    cuts = gaps.orderBy(F.desc("_gap"), "v").limit(k - 1).agg(F.collect_list("v").alias("c"))  # k - 1 numbers
+    number = F.size(F.filter("_cuts", lambda c: c <= F.col("v")))
+    return at.withColumn("_cuts", cuts.scalar()).select(F.col("id").alias("latent_id"), number.alias("cluster"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from somnia.functions.scalar import log2, ratio
 from somnia.schemas import RAT_STAGES
 
+from .model import t_test_p
 from .ordered import attach_by_hash, scan
 from .quantiles import exact_percentiles
 
@@ -149,13 +150,17 @@ def state_means(df: DataFrame, features: list[str], state: str = "latent_id") ->
     return df.groupBy(state).agg(F.count(F.lit(1)).alias("n_epochs"), *[F.avg(f).alias(f) for f in features])
 
 
-def state_boxes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Quartiles, and the furthest values within 1.5 inter-quartile ranges of them."""
+def state_boxes(df: DataFrame, keys: list[str], value: str, by: list[str] = ()) -> DataFrame:
+    """Quartiles, and the furthest values within 1.5 inter-quartile ranges of them.
+
+    ``by`` names what tells rows apart, so that a large state is spread whatever its values; without it all columns do.
+    """
     q = exact_percentiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     x = F.when(inside, F.col(value))
-    rows = attach_by_hash(df.select(*keys, value), q, keys, [value])
+    cols = list(by) or df.columns
+    rows = attach_by_hash(df.select(*dict.fromkeys([*keys, value, *cols])), q, keys, cols)
     return rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("q1", "median", "q3")],
                                    F.min(x).alias("whisker_low"), F.max(x).alias("whisker_high"))
 
@@ -192,11 +197,13 @@ def subject_matrix(df: DataFrame, states: list) -> DataFrame:
         F.sum(F.when(F.col("latent_id") == s, 1).otherwise(0)).alias(f"s_{s}") for s in states])
 
 
-def group_t_tests(df: DataFrame) -> DataFrame:
+def group_t_tests(df: DataFrame, square: bool = False) -> DataFrame:
     """Equal-variance t statistic between two groups of subjects, per state.
 
     A subject without epochs in a state counts as 0. Groups are one digit, so a
-    state has at most 45 pairs; sums come from one aggregate.
+    state has at most 45 pairs; sums come from one aggregate. ``square`` gives
+    the whole matrix: a pair both ways round with the statistic of the smaller
+    group against the larger, and each group against itself with 0.
     """
     digits = range(10)
     per = df.groupBy("latent_id", "grp", "subject").agg(F.count(F.lit(1)).cast("double").alias("x"))
@@ -205,19 +212,27 @@ def group_t_tests(df: DataFrame) -> DataFrame:
     pick = lambda x: F.array(*[F.sum(F.when(F.col("grp") == g, x).otherwise(0.0)) for g in digits])
     sums = per.groupBy("latent_id").agg(pick(F.col("x")).alias("s"), pick(F.col("x") * F.col("x")).alias("q"))
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("g1"), F.lit(j).alias("g2"))
-                                for i in digits for j in digits if i < j]))
+                                for i in digits for j in digits if square or i < j]))
     rows = sums.withColumn("n", subjects.scalar()).withColumn("_p", pairs).select("*", "_p.g1", "_p.g2")
-    at = lambda arr, g: F.get(arr, F.col(g))
-    n1, n2 = at("n", "g1"), at("n", "g2")
-    m1, m2 = ratio(at("s", "g1"), n1), ratio(at("s", "g2"), n2)
-    within = (at("q", "g1") - n1 * m1 * m1) + (at("q", "g2") - n2 * m2 * m2)
+    at = lambda arr, g: F.get(arr, g)
+    lo, hi = F.least("g1", "g2"), F.greatest("g1", "g2")
+    n1, n2 = at("n", lo), at("n", hi)
+    m1, m2 = ratio(at("s", lo), n1), ratio(at("s", hi), n2)
+    within = (at("q", lo) - n1 * m1 * m1) + (at("q", hi) - n2 * m2 * m2)
     dof = n1 + n2 - 2
     pooled = F.when(dof > 0, within / F.nullif(dof, F.lit(0.0)))
     # Sums of squares of equal values leave rounding dust instead of 0.
-    t = F.when(within > 1e-12 * (at("q", "g1") + at("q", "g2")), (m1 - m2) / F.sqrt(pooled * (1 / F.nullif(n1, F.lit(0.0)) + 1 / F.nullif(n2, F.lit(0.0)))))
+    t = F.when(within > 1e-12 * (at("q", lo) + at("q", hi)), (m1 - m2) / F.sqrt(pooled * (1 / F.nullif(n1, F.lit(0.0)) + 1 / F.nullif(n2, F.lit(0.0)))))
+    t = F.when(F.col("g1") == F.col("g2"), F.lit(0.0)).otherwise(t) if square else t
     return rows.where((n1 > 0) & (n2 > 0)).select("latent_id", "g1", "g2", t.alias("t"), dof.alias("dof"))
 
 
+def group_test_matrix(df: DataFrame) -> DataFrame:
+    """The square matrices of t and p per state; p is 1 on the diagonal."""
+    tests = t_test_p(group_t_tests(df, square=True))
+    return tests.withColumn("p", F.when(F.col("g1") == F.col("g2"), F.lit(1.0)).otherwise(F.col("p")))
+
+
 # Least share of a stage's epochs that makes one of its states large.
 LARGE_SHARE = {WAKE: 0.20, NREM: 0.07, REM: 0.10}
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from somnia.functions.scalar import EPS, code_string
+from somnia.session import materialise
 
 ARRAY = T.ArrayType(T.DoubleType())
 
@@ -208,6 +209,43 @@ def forest_predict(model, df: DataFrame, features: list[str]) -> DataFrame:
     return model.transform(df).select(*df.columns, F.when(whole, F.col("pred").cast("int")).alias("pred"))
 
 
+def out_of_fold(df: DataFrame, features: list[str], label: str, subject: str, folds: int = 5, trees: int = 100, seed: int = 42) -> DataFrame:
+    """Rows with ``fold`` and ``pred`` from the forest that learned from the other folds.
+
+    A subject is in one fold, by a hash, so no subject is in both learning and testing. A fold whose other folds hold no
+    whole row is not predicted: ``pred`` is NULL there. Rows with a NULL feature stay, without a prediction.
+    """
+    rows = materialise(df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), subject), F.lit(folds)).cast("int")))
+    parts = []
+    for fold in range(folds):
+        own, others = rows.where(F.col("fold") == fold), rows.where(F.col("fold") != fold)
+        if others.dropna(subset=[*features, label]).isEmpty():
+            parts.append(own.withColumn("pred", F.lit(None).cast("int")))
+        else:
+            parts.append(forest_predict(train_forest(others, features, label, trees, seed), own, features))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def staging_report(df: DataFrame, classes: list[int], label: str, pred: str = "pred") -> DataFrame:
+    """One row per class: support, confusion row ``pred_<class>``, precision, recall, F1, and the accuracy over all rows.
+
+    Rows without label or prediction are not counted; where no row counts the report is empty. Predictions are counted once; the report reads at most
+    ``classes`` squared counts.
+    """
+    from .evaluate import class_counts, class_scores
+    counts = df.where(F.col(label).isin(classes) & F.col(pred).isin(classes)).groupBy(
+        F.col(label).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts)
+    scores = class_scores(class_counts(counts, classes))
+    hit = F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0))
+    accuracy = counts.agg(hit / F.nullif(F.sum("n"), F.lit(0))).scalar()
+    row = counts.groupBy(F.col("true").alias("class")).agg(*[
+        F.sum(F.when(F.col("pred") == c, F.col("n")).otherwise(0)).alias(f"pred_{c}") for c in classes])
+    return scores.join(row, "class", "left").select(
+        "class", (F.col("tp") + F.col("fn")).alias("support"), *[F.coalesce(f"pred_{c}", F.lit(0)).alias(f"pred_{c}") for c in classes],
+        "precision", "recall", "f1", accuracy.alias("accuracy"))
+
+
 def t_test_p(df: DataFrame) -> DataFrame:
     """Two-sided p of ``t`` with ``dof`` degrees of freedom."""
 

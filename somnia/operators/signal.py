@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from somnia.schemas import CHANNEL_BANDS, EEG_BANDS, RAT_BANDS
+from somnia.session import materialise
 
 from .ordered import chunk_of, halo
 
@@ -567,6 +568,10 @@ def resample(df: DataFrame, keys: list[str], idx: str, value: str, up: int, down
 def autocorrelation_slope(df: DataFrame, keys: list[str], idx: str, value: str, size: int) -> DataFrame:
     """Slope from lag 0 to the first local maximum of each epoch's autocorrelation; 0 if none."""
 
+    return frames(df, keys, idx, value, size).select(*keys, "epoch_idx", _peak_slope()("frame").alias("slope"))
+
+
+def _peak_slope():
     @F.pandas_udf("double")
     def slope(frame: pd.Series) -> pd.Series:
         x = _stack(frame)
@@ -574,7 +579,7 @@ def autocorrelation_slope(df: DataFrame, keys: list[str], idx: str, value: str,
         ac = np.fft.irfft(np.abs(np.fft.rfft(x, n, axis=1)) ** 2, n, axis=1)[:, :x.shape[1]]
         return pd.Series([_first_peak_slope(row) for row in ac])
 
-    return frames(df, keys, idx, value, size).select(*keys, "epoch_idx", slope("frame").alias("slope"))
+    return slope
 
 
 def _first_peak_slope(ac):
@@ -593,32 +598,72 @@ def _first_peak_slope(ac):
     return 0.0
 
 
+def zero_phase_filters(df: DataFrame, keys: list[str], idx: str, outputs: dict[str, tuple[str, float | None, float | None]],
+                       fs: float, order: int = 4, edge: int = 27, chunk: int | None = None, tol: float = 1e-7) -> DataFrame:
+    """Several zero-phase Butterworth filters of several columns in one step: ``outputs`` maps a name to (column, low, high).
+
+    One halo as wide as the slowest band asks for, one shuffle, and one Arrow step in which a frame is filtered for every
+    output. Chunks and edges are those of ``zero_phase_filter``.
+    """
+    settle = max(edge + 1, *[settle_length(fs, low, high, order, tol) for _, low, high in outputs.values()])
+    chunk = chunk or max(FRAME, 4 * settle)
+    columns = sorted({column for column, _, _ in outputs.values()})
+
+    @F.pandas_udf(ARRAY)
+    def run(frame: pd.Series, skip: pd.Series, size: pd.Series) -> pd.Series:
+        gains = [lru_cache(lambda m, low=low, high=high: squared_response(m, fs, low, high, order)) for _, low, high in outputs.values()]
+        done = []
+        for flat, s, n in zip(frame, skip, size):
+            x = np.asarray(flat, dtype=np.float64).reshape(len(columns), -1)
+            done.append(np.concatenate([_filtered(x[columns.index(c)], s, n, settle, edge, g) for (c, _, _), g in zip(outputs.values(), gains)]))
+        return pd.Series(done)
+
+    rows, _ = halo(df.select(*keys, idx, *columns), keys, idx, settle, settle, chunk)
+    item = F.struct(F.col(idx).alias("i"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)], F.col("_core").alias("own"))
+    out = rows.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(item)).alias("_f"))
+    out = out.withColumn("_own", F.filter("_f", lambda r: r["own"])).where(F.size("_own") > 0)
+    first, size = F.col("_own")[0]["i"], F.size("_own")
+    out = out.select(*keys, first.alias("_start"), size.alias("_size"),
+                     run(F.concat(*[F.col(f"_f.x{k}") for k in range(len(columns))]), (first - F.col("_f")[0]["i"]).cast("int"), size).alias("_y"))
+    rows = out.select(*keys, "_start", "_size", "_y", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_k"))
+    return rows.select(*keys, (F.col("_start") + F.col("_k")).alias(idx),
+                       *[F.col("_y")[F.col("_k") + k * F.col("_size")].alias(name) for k, name in enumerate(outputs)])
+
+
 def eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: float, size: int,
                  bands: dict[str, tuple[float, float]] = EYE_BANDS, chunk: int | None = None) -> DataFrame:
     """Rapid-eye and two slow-eye measures of each epoch from two eye channels.
 
     ``bands`` are in Hz and must fit the rate. Quantities that would divide by 0 or take the log of a negative number are
-    NULL.
+    NULL. All bands of both channels are filtered in one step and an epoch is put together once.
     """
-    from .epochs import cross_correlation, epoch_energy
     from somnia.functions.scalar import sign_over_slope
-    at = [*keys, idx]
-
-    def filtered(low, high):
-        fa = zero_phase_filter(df, keys, idx, a, fs, low, high, chunk=chunk)
-        fb = zero_phase_filter(df, keys, idx, b, fs, low, high, chunk=chunk)
-        return fa.join(fb, at)
-
-    join = [*keys, "epoch_idx"]
-    rem, slow_b, slow_c = (filtered(*bands[name]) for name in ("rem", "slow_b", "slow_c"))
-    xc = lambda d: cross_correlation(d, keys, idx, size, a, b)
-    out_rem = xc(rem).join(autocorrelation_slope(rem, keys, idx, a, size), join).select(
-        *join, sign_over_slope("xcorr", "slope").alias("rem"))
-    out_b = xc(slow_b).join(epoch_energy(slow_b, keys, idx, size, a), join).select(
-        *join, (F.abs("energy") * F.col("xcorr")).alias("slow_b"))
-    out_c = xc(slow_c).join(autocorrelation_slope(slow_c, keys, idx, a, size), join).select(
-        *join, ((1 - F.col("slope")) * F.col("xcorr")).alias("slow_c"))
-    return out_rem.join(out_b, join).join(out_c, join)
+    wanted = {f"_{band}_{c}": (c, *bands[band]) for band in ("rem", "slow_b", "slow_c") for c in (a, b)}
+    whole = frames(zero_phase_filters(df, keys, idx, wanted, fs, chunk=chunk), keys, idx, list(wanted), size)
+
+    def dot(x, y):
+        both = F.zip_with(f"frame__{x}", f"frame__{y}", lambda u, v: u * v)
+        return F.aggregate(both, F.lit(0.0), lambda s, v: s + v)
+
+    xc = lambda band: dot(f"{band}_{a}", f"{band}_{b}")
+    slope = _peak_slope()
+    found = whole.withColumns({"_s": slope(f"frame__rem_{a}"), "_c": slope(f"frame__slow_c_{a}")})
+    return found.select(*keys, "epoch_idx", sign_over_slope(xc("rem"), "_s").alias("rem"),
+                        (F.abs(dot(f"slow_b_{a}", f"slow_b_{a}")) * xc("slow_b")).alias("slow_b"),
+                        ((1 - F.col("_c")) * xc("slow_c")).alias("slow_c"))
+
+
+def normalised_eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: float, size: int,
+                            bands: dict[str, tuple[float, float]] = EYE_BANDS, chunk: int | None = None) -> DataFrame:
+    """``eye_features`` of channels normalised by percentiles; the rapid-eye measure logged and normalised by percentiles.
+
+    Adds ``rem_norm``, NULL where the measure is not positive; such epochs do not count towards the percentiles.
+    """
+    from .epochs import normalise_percentile
+    from somnia.functions.scalar import safe_ln
+    rows = normalise_percentile(df.select(*keys, idx, a, b), keys, idx, [a, b])
+    found = materialise(eye_features(rows, keys, idx, a, b, fs, size, bands, chunk))
+    return normalise_percentile(found.withColumn("rem_norm", safe_ln("rem")), keys, "epoch_idx", ["rem_norm"])
 
 
 def emg_from_signals(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: float, rate: float = 5.0,

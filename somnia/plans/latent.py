@@ -116,11 +116,26 @@ def _(t):
     return fin(L.group_t_tests(state_epochs(t)))
 
 
-@query("group_t_test_p", "A-31")
+# Two-sided p of t at a whole number of degrees of freedom: the finite series in powers of the cosine of atan(t / sqrt(dof)).
+TP = TT + """, tv AS (SELECT latent_id, g1, g2, CAST(dof AS BIGINT) AS dof, CASE WHEN pooled > 1e-12 THEN d / sqrt(pooled * w) END AS t FROM tt),
+co AS (SELECT k, exp(sum(CASE WHEN k > 0 THEN ln(2.0 * k / (2 * k + 1)) ELSE 0 END) OVER (ORDER BY k)) AS od, exp(sum(CASE WHEN k > 0 THEN ln((2.0 * k - 1) / (2 * k)) ELSE 0 END) OVER (ORDER BY k)) AS ev
+ FROM (SELECT unnest(range((SELECT coalesce(max(dof), 0) FROM tv) // 2 + 1)) AS k)),
+an AS (SELECT *, atan(abs(t) / sqrt(dof)) AS h FROM tv WHERE dof > 0 AND t IS NOT NULL),
+se AS (SELECT latent_id, g1, g2, sum(CASE WHEN dof % 2 = 1 AND k < (dof - 1) // 2 THEN od * pow(cos(h), 2 * k + 1) WHEN dof % 2 = 0 AND k < dof // 2 THEN ev * pow(cos(h), 2 * k) ELSE 0 END) AS s FROM an, co GROUP BY 1, 2, 3),
+pv AS (SELECT an.latent_id, an.g1, an.g2, CASE WHEN dof % 2 = 1 THEN 1 - 2 / pi() * (h + sin(h) * s) ELSE 1 - sin(h) * s END AS p FROM an JOIN se USING (latent_id, g1, g2)),
+tp AS (SELECT tv.latent_id, tv.g1, tv.g2, t, dof, p FROM tv LEFT JOIN pv USING (latent_id, g1, g2))"""
+
+
+@query("group_t_test_p", "A-31", out(TP, "SELECT * FROM tp", "latent_id g1 g2", "t dof p"))
 def _(t):
     return fin(t_test_p(L.group_t_tests(state_epochs(t))))
 
 
+@query("group_test_matrix", "A-31 J-17", out(TP, "SELECT * FROM tp UNION ALL SELECT latent_id, g2, g1, t, dof, p FROM tp UNION ALL SELECT latent_id, grp, grp, 0, 2 * n - 2, 1 FROM g", "latent_id g1 g2", "t dof p"))
+def _(t):
+    return fin(L.group_test_matrix(state_epochs(t)))
+
+
 @query("majority_stage", "A-32 M-07", out(SHR, "SELECT latent_id, n_epochs, majority FROM maj", "latent_id n_epochs majority"))
 def _(t):
     shares = L.stage_shares(state_epochs(t))
@@ -137,7 +152,7 @@ BOX = STA + ", q AS (SELECT latent_id, quantile_cont(v, 0.25) AS q1, quantile_co
 
 @query("state_boxes", "A-38", out(BOX, "SELECT q.latent_id, q1, median, q3, min(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_low, max(v) FILTER (v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high FROM sta JOIN q ON sta.latent_id = q.latent_id GROUP BY ALL", "latent_id", "q1 median q3 whisker_low whisker_high"))
 def _(t):
-    return fin(L.state_boxes(state_epochs(t), ["latent_id"], "v"))
+    return fin(L.state_boxes(state_epochs(t), ["latent_id"], "v", ["epoch_id"]))
 
 
 LARGE = {1: 0.04, 3: 0.03, 5: 0.05}
@@ -278,6 +293,24 @@ def _(t):
     return fin(G.co_occurrence(state_epochs(t), [], "epoch_id", "latent_id", 2))
 
 
-@query("temporal_clusters", "G-05")
+def _power_sql(steps):
+    """``u`` holds a step's averages over neighbours, ``w`` the same without the constant part and with largest size 1."""
+    ctes = STA + """, ow AS (SELECT a.latent_id AS a, b.latent_id AS b FROM sta a JOIN sta b ON b.epoch_id > a.epoch_id AND b.epoch_id <= a.epoch_id + 2 WHERE a.latent_id <> b.latent_id),
+ed AS MATERIALIZED (SELECT src, dst, CAST(count(*) AS DOUBLE) AS n FROM (SELECT a AS src, b AS dst FROM ow UNION ALL SELECT b, a FROM ow) GROUP BY 1, 2),
+u0 AS MATERIALIZED (SELECT src AS id, sum(n) AS d, sum(n) AS v FROM ed GROUP BY 1)"""
+    for k in range(steps + 1):
+        ctes += f""", c{k} AS MATERIALIZED (SELECT id, d, v - (SELECT sum(d * v) / sum(d) FROM u{k}) AS v FROM u{k}),
+w{k} AS MATERIALIZED (SELECT id, d, coalesce(v / nullif((SELECT max(abs(v)) FROM c{k}), 0), 0) AS v FROM c{k}),
+u{k + 1} AS MATERIALIZED (SELECT src AS id, sum(n) AS d, sum(n * v) / sum(n) AS v FROM ed JOIN w{k} ON dst = id GROUP BY 1)"""
+    return ctes + f""", pos AS (SELECT id, round(v, 9) AS v FROM w{steps}), gp AS (SELECT v, round(v - lag(v) OVER (ORDER BY v), 9) AS gap FROM (SELECT DISTINCT v FROM pos)),
+cut AS (SELECT v FROM gp WHERE gap IS NOT NULL ORDER BY gap DESC, v LIMIT 2)"""
+
+
+@query("temporal_vector", "G-05", out(_power_sql(6), "SELECT id, v FROM w6", "id", "v"))
+def _(t):
+    return fin(G.power_vector(G.co_occurrence(state_epochs(t), [], "epoch_id", "latent_id", 2), 6))
+
+
+@query("temporal_clusters", "G-05", out(_power_sql(6), "SELECT id AS latent_id, (SELECT count(*) FROM cut WHERE cut.v <= pos.v) AS cluster FROM pos", "latent_id cluster"))
 def _(t):
     return fin(G.temporal_clusters(G.co_occurrence(state_epochs(t), [], "epoch_id", "latent_id", 2), 3))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from somnia.operators import latent as L, model as M, sequences as Q
 from somnia.session import shared_dir
 from somnia.sources.models import load_or_fit
-from .proxies import SIG, VEC, VECTOR, epoch_labels, feature_vectors, fin, out, signal
+from .proxies import CLASSES, LAB, SIG, VEC, VECTOR, epoch_labels, feature_vectors, fin, out, signal
 from .registry import query
 from .signals import EPOCH, band_powers
 
@@ -113,6 +113,26 @@ def _(t):
     return fin(M.forest_predict(model, p, names).select("recording_id", "epoch_idx", "stage", "held_out", "pred"))
 
 
+NAMES = ["noise", "delta", "theta", "sigma", "gamma"]
+
+
+def _folds(t):
+    p = band_powers(t).join(epoch_labels(t), ["recording_id", "epoch_idx"])
+    return M.out_of_fold(p, NAMES, "stage", "recording_id", folds=3)
+
+
+@query("forest_report", "M-10")
+def _(t):
+    return fin(M.staging_report(_folds(t), CLASSES, "stage"))
+
+
+@query("forest_report_totals", "M-10", out(LAB, "SELECT stage AS class, count(*) AS support, count(*) AS predicted FROM lab GROUP BY 1", "class support predicted"))
+def _(t):
+    """What of the report does not hang on the trees: epochs per class, each predicted by some fold."""
+    r = M.staging_report(_folds(t), CLASSES, "stage").where("support > 0")
+    return fin(r.select("class", "support", sum(F.col(f"pred_{c}") for c in CLASSES).alias("predicted")))
+
+
 # Three classes from two inputs per epoch; the window's first input counts too.
 W = np.array([[1.0, 0.0, 2.0], [0.0, 3.0, -1.0]])
 

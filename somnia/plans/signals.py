@@ -296,6 +296,11 @@ def _(t):
     return fin(G.eye_features(signal(t), KEY, "sample_idx", "v", "k", EYE_RATE, EPOCH))
 
 
+@query("normalised_eye_features", "D-13 F-24 W-14")
+def _(t):
+    return fin(G.normalised_eye_features(signal(t), KEY, "sample_idx", "v", "k", EYE_RATE, EPOCH))
+
+
 SINC = """rs AS (SELECT recording_id, channel, m, m * 1.5 AS p FROM (SELECT recording_id, channel, unnest(range(CAST(ceil(count(*) * 2 / 3.0) AS BIGINT))) AS m FROM samp GROUP BY 1, 2)),
 hw AS (SELECT rs.recording_id, rs.channel, m, value, CASE WHEN p = sample_idx THEN 1.0 ELSE sin(pi() * (p - sample_idx) * 2 / 3) / (pi() * (p - sample_idx) * 2 / 3) END
  * CASE WHEN abs(p - sample_idx) < 15 THEN 0.5 + 0.5 * cos(pi() * (p - sample_idx) / 15) ELSE 0 END AS h

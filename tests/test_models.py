@@ -169,3 +169,47 @@ def test_augmenters_share_a_row_between_channels(spark):
         AUGMENTERS["RegionalErase"](df, ["id"], ["v"], n, 0.0, 0.5)
     with pytest.raises(ValueError):
         AUGMENTERS["GlobalShift"](df, ["id"], ["v"], 1.0, 1.0)
+
+
+def test_report_is_that_of_the_predictions(spark):
+    """Accuracy, confusion, precision and recall by a plain count; no subject is in both learning and testing."""
+    rng = np.random.default_rng(3)
+    n = 600
+    stage = rng.integers(0, 3, n)
+    pdf = pd.DataFrame({"subject": np.where(np.arange(n) < 200, 0, rng.integers(1, 12, n)), "a": stage + rng.normal(0, 0.4, n), "b": rng.normal(size=n), "stage": stage})
+    pdf.loc[5, "a"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("a", F.nanvl("a", F.lit(None).cast("double")))
+    done = materialise(M.out_of_fold(df, ["a", "b"], "stage", "subject", folds=4, trees=10))
+    p = done.toPandas()
+    assert len(p) == n and p.groupby("subject").fold.nunique().max() == 1 and p.fold.nunique() > 2 and p.pred.isna().sum() == 1
+    p = p.dropna(subset=["pred"])
+    report = M.staging_report(done, [0, 1, 2, 3], "stage").toPandas().set_index("class").sort_index()
+    assert (p.pred == p.stage).mean() > 0.8 and np.allclose(report.accuracy, (p.pred == p.stage).mean())
+    for c in range(4):
+        row, true, said = report.loc[c], p[p.stage == c], p[p.pred == c]
+        assert row.support == len(true) and [row[f"pred_{k}"] for k in range(4)] == [(true.pred == k).sum() for k in range(4)]
+        assert row.recall == pytest.approx((true.pred == c).mean() if len(true) else 0) and row.precision == pytest.approx((said.stage == c).mean() if len(said) else 0)
+    lone = M.out_of_fold(df.where("subject = 0"), ["a", "b"], "stage", "subject", folds=3, trees=2)
+    assert lone.where("pred IS NOT NULL").isEmpty() and lone.count() == 200
+    assert M.staging_report(lone, [0, 1], "stage").isEmpty()
+
+
+def test_clusters_do_not_hang_on_partitions(spark):
+    """Three blocks of states, dense inside and thin between: the same groups for any partitioning, and the blocks."""
+    from somnia.operators import graph as G
+    rng = np.random.default_rng(4)
+    pairs = [(i, j, int(rng.integers(80, 120) if i // 10 == j // 10 else rng.integers(0, 3) if j // 10 - i // 10 == 1 else 0)) for i in range(30) for j in range(i + 1, 30)]
+    df = spark.createDataFrame([p for p in pairs if p[2]], "src long, dst long, n long")
+    found = [{r.latent_id: r.cluster for r in G.temporal_clusters(df.repartition(k), 3, 12).collect()} for k in (2, 7)]
+    assert found[0] == found[1] and len(found[0]) == 30
+    assert [len({found[0][i] for i in range(b, b + 10)}) for b in (0, 10, 20)] == [1, 1, 1] and len(set(found[0].values())) == 3
+    assert G.temporal_clusters(df.limit(0), 3).count() == 0
+    ring = spark.createDataFrame([(i, (i + 1) % 6, 1) for i in range(6)], "src long, dst long, n long")
+    assert {r.cluster for r in G.temporal_clusters(ring, 3).collect()} == {0}  # nothing tells its nodes apart
+
+
+def test_test_matrix_is_square(spark):
+    from somnia.operators import latent as L
+    df = spark.createDataFrame([(1, s // 2, s, e) for s in range(6) for e in range(3 * s % 7 + 1)], "latent_id long, grp int, subject long, epoch_id long")
+    got = {(r.g1, r.g2): (r.t, r.p) for r in L.group_test_matrix(df).collect()}
+    assert len(got) == 9 and all(got[a, b] == got[b, a] for a, b in got) and all(got[g, g] == (0.0, 1.0) for g in range(3))

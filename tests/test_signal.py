@@ -218,3 +218,59 @@ def test_theta_power_choices(spark):
     df = spark.createDataFrame([(3.0, 1.0, 1.0, 1.0, 1.0)], "theta double, delta double, sigma double, gamma double, emg double")
     assert df.select(ratio_indices()["index_r"]).first()[0] == 6.0
     assert df.select(ratio_indices(theta_power="square")["index_r"]).first()[0] == 9.0
+
+
+def test_filters_of_one_step_are_those_of_many(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"rec": 0, "i": np.arange(9_000), "x": rng.normal(size=9_000).cumsum(), "y": rng.normal(size=9_000)})
+    df = spark.createDataFrame(pdf)
+    wanted = {"p": ("x", 0.3, 35.0), "q": ("y", 0.5, None), "r": ("x", 0.3, 0.45)}
+    got = G.zero_phase_filters(df, ["rec"], "i", wanted, 250.0, chunk=2_000).orderBy("i").toPandas()
+    assert (got.i == np.arange(9_000)).all()
+    for name, (column, low, high) in wanted.items():
+        alone = series(G.zero_phase_filter(df, ["rec"], "i", column, 250.0, low, high), column)
+        np.testing.assert_allclose(got[name], alone, atol=1e-5 * pdf[column].std())
+
+
+def test_normalised_eye_features(spark):
+    """At 250 Hz against numpy: channels normalised, filtered whole, one measure logged and normalised again."""
+    rng = np.random.default_rng(6)
+    fs, size, n = 250.0, 500, 10_000
+    a = np.sin(np.arange(n) / 40) + rng.normal(0, 0.3, n).cumsum() / 10
+    pdf = pd.DataFrame({"rec": 0, "i": np.arange(n), "a": a, "b": -a + rng.normal(0, 0.2, n)})
+    got = G.normalised_eye_features(spark.createDataFrame(pdf), ["rec"], "i", "a", "b", fs, size).orderBy("epoch_idx").toPandas()
+
+    def norm(x):
+        lo, hi = (np.sort(x)[:len(x) // 10].mean(), np.sort(x)[-(len(x) // 10):].mean())
+        return np.clip((x - lo) / (hi - lo), 0.05, 1)
+
+    normed = {c: norm(pdf[c].to_numpy()) for c in "ab"}
+
+    def power(low, high):  # the digital band-pass applied both ways, on the series with long held and reflected ends
+        pad = 60_000
+        out = []
+        for x in normed.values():
+            head, tail = 2 * x[0] - x[27:0:-1], 2 * x[-1] - x[-2:-29:-1]
+            y = np.r_[np.full(pad, head[0]), head, x, tail, np.full(pad, tail[-1])]
+            w = np.tan(np.pi * np.fft.rfftfreq(len(y)).clip(1e-12, 0.5 - 1e-12))
+            lo, hi = np.tan(np.pi * low / fs), np.tan(np.pi * high / fs)
+            g = 1 / (1 + ((w * w - lo * hi) / (w * (hi - lo))) ** 8)
+            z = np.fft.irfft(np.fft.rfft(y - y[0]) * g, len(y))
+            out.append(z[pad + 27:pad + 27 + n].reshape(-1, size))
+        return out
+
+    def slope(row):
+        ac = np.correlate(row, row, "full")[size - 1:]
+        peaks = [k for k in range(1, size - 1) if ac[k] > ac[k - 1] and ac[k] > ac[k + 1]]
+        return (ac[peaks[0]] - ac[0]) / peaks[0] if peaks else 0.0
+
+    x, y = power(0.1, 0.45)
+    np.testing.assert_allclose(got.slow_b, (x * x).sum(1) * (x * y).sum(1), rtol=1e-2, atol=1e-2 * np.abs(got.slow_b).max())
+    x, y = power(0.3, 35.0)
+    rem = [np.sign((u * v).sum()) / slope(u) if slope(u) else np.nan for u, v in zip(x, y)]
+    np.testing.assert_allclose(got.rem.to_numpy(float), rem, rtol=1e-2)
+    with np.errstate(invalid="ignore"):
+        logged = np.log(rem)
+    assert np.array_equal(np.isnan(logged), got.rem_norm.isna()) and np.isfinite(logged).any()
+    known = got.rem_norm.dropna()
+    assert known.between(0.05, 1).all() and (np.argsort(logged[np.isfinite(logged)], kind="stable")[-1] == np.argmax(known.to_numpy()))
