@@ -232,8 +232,10 @@ def gaussian_noise(signal, sigma: float, mean: float, seed, *keys) -> Column:
 
 
 def _draw(seed, keys, i):
-    u = lambda s: (F.pmod(F.xxhash64(F.lit(f"{seed}{s}"), *keys, i), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return F.sqrt(-2 * F.ln(u("a"))) * F.cos(2 * math.pi * u("b"))
+    """Standard normal draw per element, from both halves of one hash."""
+    h = hash_key(seed, *keys, i)
+    u = lambda at: (F.conv(F.substring(h, at, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+    return F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * math.pi * u(13))
 
 
 def regional_noise(signal, start, n, length: int, sigma: float, seed, *keys, mean: float = 0.0) -> Column:

@@ -20,6 +20,12 @@ def _u(seed, *cols):
     return f"(CAST(('0x' || substr({_h(seed, *cols)}, 1, 12)) AS BIGINT) / 281474976710656.0)"
 
 
+def _n(seed, *cols):
+    """Standard normal draw from both halves of one hash."""
+    a, b = (f"((CAST(('0x' || substr({_h(seed, *cols)}, {at}, 12)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 281474976710656.0)" for at in (1, 13))
+    return f"(sqrt(-2 * ln({a})) * cos(2 * pi() * {b}))"
+
+
 @query("balanced_take", "S-01", out(LAB + f", r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY {_h(3, 'recording_id', 'epoch_idx')}) - 1 AS rank FROM lab)", "SELECT recording_id, epoch_idx, stage, rank, unnest([1, 2]) AS copy FROM r WHERE rank < 10", "recording_id epoch_idx stage rank copy"))
 def _(t):
     taken = S.take_random(epoch_labels(t), ["stage"], 10, ["recording_id", "epoch_idx"], 3)
@@ -177,7 +183,45 @@ def _(t):
     return fin(rows(sequences(t).withColumn("v", S.signal_mix("v", start, take, n, EPOCH)), "v"))
 
 
-@query("noise_and_erase", "S-11 S-13")
+E_ID = ("recording_id", "epoch_idx")
+X_ID = (*E_ID, "i")
+
+
+def _region_sql(seed, hi):
+    """Start and length of a region of a tenth to ``hi`` of an epoch, and whether element i is inside."""
+    start = f"CAST(floor({_u(f'{seed}p', *E_ID)} * {EPOCH}) AS INT)"
+    return f"((i - {start} + {EPOCH}) % {EPOCH} < CAST(floor(10 ** (log10(0.1) + {_u(f'{seed}l', *E_ID)} * (log10({hi}) - log10(0.1))) * {EPOCH}) AS INT))", start
+
+
+def _dropped(seed, c):
+    """Of two channels the one with the smaller hash."""
+    h = lambda name: f"md5('{seed}d|{name}|' || CAST(recording_id AS VARCHAR) || '|' || CAST(epoch_idx AS VARCHAR))"
+    return f"{h(c)} < {h('k' if c == 'v' else 'v')}"
+
+
+def _mean_sql(c):
+    return f"avg({c}) OVER (PARTITION BY recording_id, epoch_idx)"
+
+
+def _stretch(source, alpha, sigma, seed, prefix=""):
+    """CTEs up to ``{prefix}moved``: signals ``v`` and ``w`` and label ``y`` of ``source`` read off at i plus smoothed offsets."""
+    last = EPOCH - 1
+    return f"""{prefix}off AS (SELECT *, {_u(seed, *X_ID)} * 2 - 1 AS u, {alpha} AS al, {sigma} AS sg FROM {source}),
+{prefix}ker AS (SELECT recording_id, epoch_idx, i, exp(-0.5 * pow(d / sg, 2)) / sum(exp(-0.5 * pow(d / sg, 2))) OVER (PARTITION BY recording_id, epoch_idx, i) AS g, d
+ FROM (SELECT *, unnest(range(-CAST(floor(4.0 * sg + 0.5) AS INT), CAST(floor(4.0 * sg + 0.5) AS INT) + 1)) AS d FROM {prefix}off)),
+{prefix}pos AS (SELECT a.recording_id, a.epoch_idx, a.i, a.i + any_value(a.al) * coalesce(sum(k.g * b.u), 0) AS p FROM {prefix}off a JOIN {prefix}ker k USING (recording_id, epoch_idx, i)
+ LEFT JOIN {prefix}off b ON b.recording_id = a.recording_id AND b.epoch_idx = a.epoch_idx AND b.i = a.i + k.d GROUP BY 1, 2, 3),
+{prefix}moved AS (SELECT p.recording_id, p.epoch_idx, p.i, CASE WHEN p BETWEEN 0 AND {last} THEN l.v + (r.v - l.v) * (p - floor(p)) ELSE 0 END AS v,
+ CASE WHEN p BETWEEN 0 AND {last} THEN l.w + (r.w - l.w) * (p - floor(p)) ELSE 0 END AS w, CASE WHEN p BETWEEN 0 AND {last} THEN n.y ELSE 0 END AS y
+ FROM {prefix}pos p JOIN {source} l ON l.recording_id = p.recording_id AND l.epoch_idx = p.epoch_idx AND l.i = greatest(0, least({last}, floor(p)))
+ JOIN {source} r ON r.recording_id = p.recording_id AND r.epoch_idx = p.epoch_idx AND r.i = greatest(0, least({last}, floor(p) + 1))
+ JOIN {source} n ON n.recording_id = p.recording_id AND n.epoch_idx = p.epoch_idx AND n.i = greatest(0, least({last}, ceil(p - 0.5))))"""
+
+
+IN26, _ = _region_sql(26, 0.8)
+
+
+@query("noise_and_erase", "S-11 S-13", out(SEQ, f"SELECT recording_id, epoch_idx, i, v, v + 0.5 * {_n(27, *X_ID)} AS noisy, CASE WHEN {IN26} THEN v + 0.1 * {_n(28, *X_ID)} ELSE v END AS part, CASE WHEN {IN26} THEN {_mean_sql('v')} + 0.01 * {_n(29, *X_ID)} ELSE v END AS erased FROM sq", "recording_id epoch_idx i", "v noisy part erased"))
 def _(t):
     start, n = S.region(EPOCH, 0.1, 0.8, 26, *ID)
     s = sequences(t)
@@ -186,13 +230,13 @@ def _(t):
     return fin(rows(s, "v", "noisy", "part", "erased"))
 
 
-@query("channel_dropout", "S-12")
+@query("channel_dropout", "S-12", out(SEQ, "SELECT recording_id, epoch_idx, i, " + ", ".join(f"CASE WHEN {_dropped(30, c)} THEN {_mean_sql(c)} + 0.01 * {_n(f'30{c}', *X_ID)} ELSE {c} END AS {c}" for c in "vk") + " FROM sq", "recording_id epoch_idx i", "v k"))
 def _(t):
     s = sequences(t)
     return fin(rows(s.withColumns(S.drop_channels({"v": "v", "k": "k"}, 0.5, 30, *ID)), "v", "k"))
 
 
-@query("elastic", "S-14")
+@query("elastic", "S-14", out(SEQ + ", src AS (SELECT recording_id, epoch_idx, i, v, v AS w, CAST(trunc(k) AS INT) AS y FROM sq), " + _stretch("src", 3.0, 2.0, 31), "SELECT recording_id, epoch_idx, i, v, y AS k FROM moved", "recording_id epoch_idx i k", "v"))
 def _(t):
     s = sequences(t).withColumn("u", F.transform("v", lambda x, i: S.uniform(31, *ID, i) * 2 - 1))
     e = s.withColumn("e", G.elastic(F.col("v"), F.transform("k", lambda x: x.cast("int")), F.col("u"), 3.0, 2.0))
@@ -211,7 +255,34 @@ def _(t):
     return fin(rows(apply_named(sequences(t).withColumn("weight", F.lit(1.0)), AUGMENTERS, steps), "v", "k"))
 
 
-@query("all_augmenters", "X-02 S-11 S-12 S-13 S-14")
+def _chain():
+    """One CTE per augmenter, each with its own flag; ``w`` is channel k, ``y`` the labels."""
+    names = {"v": "v", "w": "k"}
+    ctes = SEQ + ", s0 AS (SELECT recording_id, epoch_idx, i, v, k AS w, CAST(trunc(k) AS INT) AS y, CAST(1 AS DOUBLE) AS weight FROM sq)"
+
+    def step(seed, source, made):
+        on = f"{_u(f'{seed}on', *E_ID)} <= 0.5"
+        cols = ", ".join(f"CASE WHEN {on} THEN {made(c, n)} ELSE {c} END AS {c}" for c, n in names.items())
+        return f", s{seed} AS (SELECT recording_id, epoch_idx, i, {cols}, y, weight * CASE WHEN {on} THEN 0.5 ELSE 1 END AS weight FROM {source})"
+
+    ctes += step(51, "s0", lambda c, n: f"{c} + (-1 + 2 * {_u('51u', *E_ID)})")
+    ctes += step(52, "s51", lambda c, n: f"{c} + 0.1 * {_n(f'52{n}', *X_ID)}")
+    ctes += step(53, "s52", lambda c, n: f"CASE WHEN {_dropped(53, n)} THEN {_mean_sql(c)} + 0.01 * {_n(f'53{n}', *X_ID)} ELSE {c} END")
+    ctes += step(54, "s53", lambda c, n: f"CASE WHEN {_region_sql(54, 0.5)[0]} THEN {c} + 0.1 * {_n(f'54{n}', *X_ID)} ELSE {c} END")
+    ctes += step(55, "s54", lambda c, n: f"CASE WHEN {_region_sql(55, 0.5)[0]} THEN ({_mean_sql('v')} + {_mean_sql('w')}) / 2 + 0.01 * {_n(f'55{n}', *X_ID)} ELSE {c} END")
+    inside, start = _region_sql(56, 0.5)
+    take = f"CAST(floor({_u('56tp', *E_ID)} * {EPOCH}) AS INT)"
+    ctes += f""", mx AS (SELECT *, {inside} AS inside, ({take} + (i - {start} + {EPOCH}) % {EPOCH}) % {EPOCH} AS o FROM s55),
+ot AS (SELECT a.*, b.v AS ov, b.w AS ow FROM mx a JOIN s55 b ON a.recording_id = b.recording_id AND a.epoch_idx = b.epoch_idx AND b.i = a.o)"""
+    ctes += step(56, "ot", lambda c, n: f"CASE WHEN inside THEN ({c} + o{c}) / 2 ELSE {c} END")
+    return ctes + ", " + _stretch("s56", f"1 + 2 * {_u('57a', *E_ID)}", f"1 + {_u('57s', *E_ID)}", "57u", "e")
+
+
+ALL = f"""SELECT a.recording_id, a.epoch_idx, a.i, weight * CASE WHEN f THEN 0.5 ELSE 1 END AS weight, CASE WHEN f THEN m.v ELSE a.v END AS v, CASE WHEN f THEN m.w ELSE a.w END AS k, CASE WHEN f THEN m.y ELSE a.y END AS y
+ FROM (SELECT *, {_u('57on', *E_ID)} <= 0.5 AS f FROM s56) a JOIN emoved m USING (recording_id, epoch_idx, i)"""
+
+
+@query("all_augmenters", "X-02 S-11 S-12 S-13 S-14", out(_chain(), ALL, "recording_id epoch_idx i y", "weight v k"))
 def _(t):
     common = {"keys": ID, "channels": ["v", "k"], "apply_prob": 0.5}
     part = {"length": EPOCH, "min_region_fraction": 0.1, "max_region_fraction": 0.5}
