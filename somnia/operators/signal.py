@@ -631,7 +631,7 @@ def zero_phase_filters(df: DataFrame, keys: list[str], idx: str, outputs: dict[s
 
 
 def eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: float, size: int,
-                 bands: dict[str, tuple[float, float]] = EYE_BANDS, chunk: int | None = None) -> DataFrame:
+                 bands: dict[str, tuple[float, float]] = EYE_BANDS, chunk: int | None = None, tol: float = 1e-7) -> DataFrame:
     """Rapid-eye and two slow-eye measures of each epoch from two eye channels.
 
     ``bands`` are in Hz and must fit the rate. Quantities that would divide by 0 or take the log of a negative number are
@@ -639,7 +639,7 @@ def eye_features(df: DataFrame, keys: list[str], idx: str, a: str, b: str, fs: f
     """
     from somnia.functions.scalar import sign_over_slope
     wanted = {f"_{band}_{c}": (c, *bands[band]) for band in ("rem", "slow_b", "slow_c") for c in (a, b)}
-    whole = frames(zero_phase_filters(df, keys, idx, wanted, fs, chunk=chunk), keys, idx, list(wanted), size)
+    whole = frames(zero_phase_filters(df, keys, idx, wanted, fs, chunk=chunk, tol=tol), keys, idx, list(wanted), size)
 
     def dot(x, y):
         both = F.zip_with(f"frame__{x}", f"frame__{y}", lambda u, v: u * v)

@@ -204,22 +204,49 @@ def _zero_phase(gain, length, reach, rate, source="samp"):
     ``gain`` is the response as SQL of the warped frequency w = tan(pi f / rate) of bin k. The series goes on by odd
     reflection of 27 values and is then held, so what lies beyond is the response's tail times the last value.
     """
-    return f"""spec AS (SELECT k, {gain} AS g FROM (SELECT k, tan(pi() * k / {length}.0) AS w FROM range(0, {length // 2} + 1) r(k))),
-taps AS (SELECT d, fsum(g * cos(2 * pi() * ((d * k) % {length}) / {length}) * CASE WHEN k IN (0, {length // 2}) THEN 1 ELSE 2 END) / {length} AS h
- FROM range(0, {reach}) r(d), spec GROUP BY d),
-tails AS (SELECT d, h, sum(h) OVER (ORDER BY d DESC) AS t FROM taps),
-ser AS (SELECT recording_id, channel, count(*) AS n, least(27, count(*) - 1) AS e FROM {source} GROUP BY 1, 2),
+    return _edges(source) + ", " + _convolved("", gain, length, f"{reach}", rate, "sum(h) OVER (ORDER BY d DESC)", source)
+
+
+def _edges(source="samp"):
+    return f"""ser AS (SELECT recording_id, channel, count(*) AS n, least(27, count(*) - 1) AS e FROM {source} GROUP BY 1, 2),
 ext AS (SELECT recording_id, channel, sample_idx AS j, value AS x FROM {source}
  UNION ALL SELECT s.recording_id, s.channel, -b.sample_idx, 2 * a.value - b.value FROM ser s JOIN {source} a USING (recording_id, channel)
  JOIN {source} b USING (recording_id, channel) WHERE a.sample_idx = 0 AND b.sample_idx BETWEEN 1 AND e
  UNION ALL SELECT s.recording_id, s.channel, 2 * (n - 1) - b.sample_idx, 2 * a.value - b.value FROM ser s JOIN {source} a USING (recording_id, channel)
- JOIN {source} b USING (recording_id, channel) WHERE a.sample_idx = n - 1 AND b.sample_idx BETWEEN n - 1 - e AND n - 2),
-near AS (SELECT a.recording_id, a.channel, a.sample_idx, sum(x.x * h) AS y FROM {source} a JOIN ext x ON x.recording_id = a.recording_id AND x.channel = a.channel
- JOIN taps ON d = abs(x.j - a.sample_idx) GROUP BY 1, 2, 3),
-filtered AS (SELECT a.recording_id, a.channel, a.sample_idx, y + l.x * coalesce(p.t, 0) + r.x * coalesce(q.t, 0) AS value
- FROM near a JOIN ser s USING (recording_id, channel) JOIN ext l ON l.recording_id = s.recording_id AND l.channel = s.channel AND l.j = -e
+ JOIN {source} b USING (recording_id, channel) WHERE a.sample_idx = n - 1 AND b.sample_idx BETWEEN n - 1 - e AND n - 2)"""
+
+
+def _convolved(name, gain, length, reach, rate, tail, source="samp"):
+    return f"""spec{name} AS (SELECT k, {gain} AS g FROM (SELECT k, tan(pi() * k / {length}.0) AS w FROM range(0, {length // 2} + 1) r(k))),
+taps{name} AS (SELECT d, fsum(g * cos(2 * pi() * ((d * k) % {length}) / {length}) * CASE WHEN k IN (0, {length // 2}) THEN 1 ELSE 2 END) / {length} AS h
+ FROM (SELECT unnest(range(0, {reach})) AS d), spec{name} GROUP BY d),
+tails{name} AS (SELECT d, h, {tail} AS t FROM taps{name}),
+near{name} AS (SELECT a.recording_id, a.channel, a.sample_idx, sum(x.x * h) AS y FROM {source} a JOIN ext x ON x.recording_id = a.recording_id AND x.channel = a.channel
+ JOIN taps{name} ON d = abs(x.j - a.sample_idx) GROUP BY 1, 2, 3),
+filtered{name} AS (SELECT a.recording_id, a.channel, a.sample_idx, y + l.x * coalesce(p.t, 0) + r.x * coalesce(q.t, 0) AS value
+ FROM near{name} a JOIN ser s USING (recording_id, channel) JOIN ext l ON l.recording_id = s.recording_id AND l.channel = s.channel AND l.j = -e
  JOIN ext r ON r.recording_id = s.recording_id AND r.channel = s.channel AND r.j = n - 1 + e
- LEFT JOIN tails p ON p.d = a.sample_idx + e + 1 LEFT JOIN tails q ON q.d = n + e - a.sample_idx)"""
+ LEFT JOIN tails{name} p ON p.d = a.sample_idx + e + 1 LEFT JOIN tails{name} q ON q.d = n + e - a.sample_idx)"""
+
+
+def _eyes(rate):
+    """Filtered channels of the three eye bands as ``filtered_<band>``, and what is made of them by epoch.
+
+    A band-pass answers a constant with 0, so the tail of its response is minus the taps before it, and taps are needed
+    as far as the longest recording only.
+    """
+    ctes = SAMP + ", " + _edges()
+    for band, (low, high) in G.EYE_BANDS.items():
+        tail = "-first_value(h) OVER (ORDER BY d) / 2 - coalesce(sum(CASE WHEN d > 0 THEN h END) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        ctes += ", " + _convolved(f"_{band}", _butterworth(rate, low, high), 1 << 16, "(SELECT max(sample_idx) + 64 FROM samp)", rate, tail)
+        ctes += f""", ep_{band} AS (SELECT recording_id, sample_idx // {EPOCH} AS e, sample_idx % {EPOCH} AS n, a.value AS x, b.value AS y, count(*) OVER (PARTITION BY recording_id, sample_idx // {EPOCH}) AS c
+ FROM filtered_{band} a JOIN filtered_{band} b USING (recording_id, sample_idx) WHERE a.channel = 'v' AND b.channel = 'k'),
+xc_{band} AS (SELECT recording_id, e, sum(x * y) AS xc, sum(x * x) AS energy FROM ep_{band} WHERE c = {EPOCH} GROUP BY 1, 2),
+ac_{band} AS (SELECT a.recording_id, a.e, b.n - a.n AS lag, sum(a.x * b.x) AS r FROM ep_{band} a JOIN ep_{band} b ON a.recording_id = b.recording_id AND a.e = b.e AND b.n >= a.n WHERE a.c = {EPOCH} GROUP BY 1, 2, 3),
+nb_{band} AS (SELECT *, lag(r) OVER w AS p, lead(r) OVER w AS q, first_value(r) OVER w AS r0 FROM ac_{band} WINDOW w AS (PARTITION BY recording_id, e ORDER BY lag)),
+sl_{band} AS (SELECT recording_id, e, coalesce(min_by((r - r0) / nullif(lag, 0), lag) FILTER (r > p AND r > q), 0) AS slope FROM nb_{band} GROUP BY 1, 2)"""
+    return ctes + """, eye AS (SELECT recording_id, e AS epoch_idx, sign(r.xc) / nullif(s.slope, 0) AS rem, b.energy * b.xc AS slow_b, (1 - t.slope) * c.xc AS slow_c
+ FROM xc_rem r JOIN sl_rem s USING (recording_id, e) JOIN xc_slow_b b USING (recording_id, e) JOIN xc_slow_c c USING (recording_id, e) JOIN sl_slow_c t USING (recording_id, e))"""
 
 
 EXACT = 1e-17  # responses faded so far that both engines agree at six places
@@ -291,9 +318,11 @@ def _(t):
     return fin(G.savitzky_golay(samples(t), CH, "sample_idx", "value", 9))
 
 
-@query("eye_features", "D-13 F-24")
+# A product of four filtered values reaches 10^9, so six places of it are more than a double holds: sign and log keep its digits.
+@query("eye_features", "D-13 F-24", out(_eyes(EYE_RATE), "SELECT recording_id, epoch_idx, rem, sign(slow_b) * ln(1 + abs(slow_b)) AS slow_b_log, slow_c FROM eye", "recording_id epoch_idx", "rem slow_b_log slow_c"))
 def _(t):
-    return fin(G.eye_features(signal(t), KEY, "sample_idx", "v", "k", EYE_RATE, EPOCH))
+    found = G.eye_features(signal(t), KEY, "sample_idx", "v", "k", EYE_RATE, EPOCH, tol=1e-13)
+    return fin(found.select(*KEY, "epoch_idx", "rem", (F.signum("slow_b") * F.log1p(F.abs("slow_b"))).alias("slow_b_log"), "slow_c"))
 
 
 @query("normalised_eye_features", "D-13 F-24 W-14")
