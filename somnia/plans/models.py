@@ -98,7 +98,40 @@ def _(t):
     return fin(cells.agg(F.sum(F.col("w") * F.col("u") * F.col("p.lk")).alias("value")).where(F.lit(len(fit.features) == D)))
 
 
-@query("channel_pca", "M-03")
+def _inverse_sql():
+    """The covariance matrix beside the unit matrix, swept one pivot after the other."""
+    ctes = LONG + f""", cv AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS v FROM x a JOIN x b USING (vec_id) GROUP BY 1, 2),
+g0 AS MATERIALIZED (SELECT i, j, v FROM cv UNION ALL SELECT i, {D} + j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END FROM cv)"""
+    for k in range(D):
+        ctes += f""", g{k + 1} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v
+ FROM g{k} a JOIN g{k} p ON p.i = {k} AND p.j = {k} JOIN g{k} c ON c.i = a.i AND c.j = {k} JOIN g{k} r ON r.i = {k} AND r.j = a.j)"""
+    return ctes + ", dv AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM x)"
+
+
+@query("pca_distance", "M-01", out(_inverse_sql(), f"SELECT a.vec_id, sum(a.v * g.v * b.v) AS distance FROM dv a JOIN dv b USING (vec_id) JOIN g{D} g ON g.i = a.i AND g.j = {D} + b.i GROUP BY 1", "vec_id", "distance"))
+def _(t):
+    """How far each vector lies out: the square sum of its whitened scores is its distance by the inverse covariance."""
+    rows = feature_vectors(t)
+    scores = M.pca_transform(rows, M.fit_pca(rows, VECTOR, whiten=True))
+    return fin(scores.select("vec_id", sum((F.pow(f"pc{k}", 2) for k in range(1, D)), F.pow("pc0", 2)).alias("distance")))
+
+
+# Four channels made of two span a plane at each instant, so the covariance has two eigenvalues, from its trace and the
+# trace of its square; C * (C - l2) is then the projection on the first axis up to a factor, and a column of it the axis.
+PLANE = SIG + """, ch AS (SELECT v, k, v - k AS d, v / 2 + k AS m, (v + k + (v - k) + (v / 2 + k)) / 4 AS a FROM sig),
+sd AS (SELECT *, sqrt((pow(v - a, 2) + pow(k - a, 2) + pow(d - a, 2) + pow(m - a, 2)) / 4) AS s FROM ch),
+z AS (SELECT row_number() OVER () AS id, (v - a) / w AS v, (k - a) / w AS k, (d - a) / w AS d, (m - a) / w AS m FROM (SELECT *, CASE WHEN s = 0 THEN 1 ELSE s END AS w FROM sd)),
+zl AS (UNPIVOT z ON v, k, d, m INTO NAME channel VALUE x),
+c AS MATERIALIZED (SELECT p.channel AS i, q.channel AS j, covar_samp(p.x, q.x) AS c FROM zl p JOIN zl q USING (id) GROUP BY 1, 2),
+tr AS (SELECT sum(CASE WHEN i = j THEN c END) AS t, sum(c * c) AS q FROM c),
+ei AS (SELECT (t + sqrt(2 * q - t * t)) / 2 AS l1, (t - sqrt(2 * q - t * t)) / 2 AS l2 FROM tr),
+c2 AS (SELECT a.i, b.j, sum(a.c * b.c) AS c2 FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2),
+pr AS (SELECT 1 AS component, i, j, (c2 - l2 * c) / (l1 * (l1 - l2)) AS p FROM c JOIN c2 USING (i, j), ei
+ UNION ALL SELECT 2, i, j, (c2 - l1 * c) / (l2 * (l2 - l1)) FROM c JOIN c2 USING (i, j), ei),
+best AS (SELECT component, max_by(i, p) AS j, max(p) AS p FROM pr WHERE i = j GROUP BY 1)"""
+
+
+@query("channel_pca", "M-03", out(PLANE, "SELECT pr.component, pr.i AS channel, pr.p / sqrt(best.p) AS loading, CASE WHEN pr.i = pr.j THEN 1 ELSE 0 END AS top FROM pr JOIN best ON best.component = pr.component AND best.j = pr.j", "component top", "loading"))
 def _(t):
     s = signal(t).select("v", "k", (F.col("v") - F.col("k")).alias("d"), (F.col("v") / 2 + F.col("k")).alias("m"))
     return fin(M.channel_pca(s, ["v", "k", "d", "m"]))
