@@ -74,11 +74,20 @@ def _near(text: str, spans: list[tuple[str, int, int]], window: int) -> list[lis
     return out
 
 
+def terms_of(text: str) -> set[str]:
+    """The distinct terms of a text: words of three or more letters and digits, each lower-cased by itself."""
+    return {w.lower() for w in set(WORD.findall(text))}
+
+
+def _entity(text: str, span: tuple[str, int, int]) -> str:
+    return f"{span[0]}:{text[span[1]:span[2]].lower()}"
+
+
 def company(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[str, str, int]]:
     """(entity, term, hash of the context) for the words within ``window`` words of each span, on its line."""
     out = []
-    for (kind, a, b), places in zip(spans, _near(text, spans, window)):
-        entity = f"{kind}:{text[a:b].lower()}"
+    for span, places in zip(spans, _near(text, spans, window)):
+        entity = _entity(text, span)
         near = [w for i, j in places if not (w := text[i:j].lower()).isdigit()]
         context = int.from_bytes(hashlib.blake2b(" ".join(sorted(near)).encode(), digest_size=8).digest(), "little", signed=True)
         out += [(entity, w, context) for w in sorted(set(near))]
@@ -92,7 +101,8 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = 6, mi
     different surroundings, so that copies of one text support nothing by themselves. With n(term) and n(entity) over
     the whole corpus, a term is revealing when P(entity | term) >= ``share``, the information
     log2(P(entity | term) / P(entity)) is at least ``bits`` and at least ``min_contexts`` surroundings agree.
-    An empty table gives an empty one.
+    All counts cut and lower-case words by one rule (``terms_of``). Repeated rows count as often as they stand; a NULL
+    text is a document without words. An empty table gives an empty one.
     """
     rows = docs.select(F.col(text_col).alias("text"))
 
@@ -101,43 +111,47 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", window: int = 6, mi
             out = []
             for x in texts(batch):
                 text = x.as_py()
-                found = {}
-                for entity, term, context in company(text, base_spans(text), window):
+                spans = base_spans(text)
+                found = {(_entity(text, span), ""): 0 for span in spans}  # the document has the entity
+                for entity, term, context in company(text, spans, window):
                     found.setdefault((entity, term), context)
                     found["", term] = 0  # the document has the term near some entity
                 out += [(e, t, c) for (e, t), c in found.items()]
             columns = list(zip(*out)) or [[]] * 3
             yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["entity", "term", "context"])
 
+    def words(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([list(terms_of(x.as_py())) for x in texts(batch)], pa.list_(pa.string()))], ["terms"])
+
     # Copies collapse first: one row per surroundings, with the number of documents that have them.
     seen = written(rows.mapInArrow(near, "entity string, term string, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("n")))
     # n(term) is at least the documents that have it near any entity, so words near many are ruled out before the count.
     least = seen.filter("entity = ''").select("term", F.col("n").alias("least"))
-    named = seen.filter("entity <> ''").groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("joint"))
+    named = seen.filter("entity <> '' AND term <> ''").groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("joint"))
     pairs = named.filter(F.col("contexts") >= min_contexts).join(least, "term").filter(F.col("joint") >= share * F.col("least")).drop("least")
     pairs = written(pairs)
     if pairs.isEmpty():
         return pairs.select("term", "entity", F.lit(0.0).alias("disclosed"), F.lit(0.0).alias("information"))
     wanted = pairs.select("term").distinct()
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{3,})"), 1))).alias("term"))
-    df = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("docs"))
-    # An entity's documents: the largest joint count of any word near it bounds it from below.
-    entities = seen.filter("entity <> ''").groupBy("entity", "term").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.max("n").alias("of_entity"))
-    total = rows.agg(F.count("*").alias("total"))
-    scored = pairs.join(df, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
-    scored = scored.select("term", "entity", (F.col("joint") / F.greatest("docs", "joint")).alias("disclosed"),
-                           F.log2((F.col("joint") / F.greatest("docs", "joint")) / (F.col("of_entity") / F.col("total"))).alias("information"))
+    df = rows.mapInArrow(words, "terms array<string>").select(F.explode("terms").alias("term"))
+    df = df.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("docs"))
+    entities = seen.filter("term = ''").select("entity", F.col("n").alias("of_entity"))
+    total = rows.agg(F.count("*").alias("total")).scalar()
+    scored = pairs.join(df, "term").join(entities, "entity")
+    scored = scored.select("term", "entity", (F.col("joint") / F.col("docs")).alias("disclosed"),
+                           F.log2((F.col("joint") / F.col("docs")) / (F.col("of_entity") / total)).alias("information"))
     return written(scored.filter((F.col("disclosed") >= share) & (F.col("information") >= bits)))
 
 
 def _term_spans(text: str, spans: list[tuple[str, int, int]], terms: dict[str, set[str]], window: int, everywhere: set[str] | None = None) -> set[tuple[int, int]]:
     """Places of the terms ``everywhere``, or without that of the terms that reveal an entity of this text, near it."""
     if everywhere is not None:
-        if everywhere.isdisjoint(w.lower() for w in WORD.findall(text)):
+        if everywhere.isdisjoint(terms_of(text)):
             return set()
         out = {m.span() for m in WORD.finditer(text) if m[0].lower() in everywhere}
     else:
-        found = [(s, terms[e]) for s in spans if (e := f"{s[0]}:{text[s[1]:s[2]].lower()}") in terms]
+        found = [(s, terms[e]) for s in spans if (e := _entity(text, s)) in terms]
         near = _near(text, [s for s, _ in found], window)
         out = {(a, b) for (_, own), places in zip(found, near) for a, b in places if text[a:b].lower() in own}
     if not out:
@@ -167,7 +181,8 @@ def find(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", w
     With ``everywhere``, as the query and ``sanitise`` ask, a revealing term is a span wherever it stands in any document,
     since its counts over the corpus give the entity away; without, only near the entity that it reveals. The terms go to the workers in blocks of
     at most ``block`` pairs (some 10 MB), each block a pass over the documents, so any number is handled. Columns of
-    ``docs`` that have a result's name are replaced; NULL and empty texts have no span, and ``clean`` keeps a NULL.
+    ``docs`` that have a result's name are replaced, others stay, NULL ids too; repeated rows repeat as given, and an empty
+    table gives an empty one. NULL and empty texts have no span, and ``clean`` keeps a NULL. Texts of any length are read whole.
     """
     new = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean"]
     rest = [c for c in docs.columns if c not in new]
@@ -181,7 +196,8 @@ def find(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", w
         terms: dict[str, set[str]] = {}
         for r in numbered.filter(F.col("block") == k).collect() if count else []:
             terms.setdefault(r.entity, set()).add(r.term)
-        sent, last = docs.sparkSession.sparkContext.broadcast((terms, set().union(*terms.values()) if everywhere else None)), k == blocks - 1
+        sent = docs.sparkSession.sparkContext.broadcast((terms, set().union(*terms.values()) if everywhere else None))
+        last = k == blocks - 1
 
         def search(batches, sent=sent, last=last):
             for batch in batches:
@@ -207,6 +223,7 @@ def find(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", w
         df = df.select(*names).mapInArrow(search, schema)
         if not last:
             df = written(df)
+            sent.destroy()
     return df
 
 

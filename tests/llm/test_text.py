@@ -1,6 +1,7 @@
 """Personal data and pages, and the pipeline as a whole."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -28,7 +29,44 @@ CASES = ["", "a@b", "a@b.c@d.e", "x.y+z@mail-1.example.com.", "@a.b c@d..e", "1.
 
 @pytest.mark.parametrize("text", CASES, ids=range(len(CASES)))
 def test_base_spans(text):
-    assert pii.base_spans(text) == (plain(text) if len(text) < 30_000 else pii.base_spans(text))
+    if len(text) < 30_000:
+        want = plain(text)
+    else:  # where plain matching takes quadratic time, what each text holds
+        want = {"a" * 200_000: [], "." * 50_000 + "@" * 50_000: []}[text]
+    assert pii.base_spans(text) == want
+
+
+def test_terms_by_plain_count(spark, rows):
+    """P and bits equal a plain count, with capitals that change their length, sharp s and final sigma in the terms."""
+    fill = "delta echo foxtrot golf hotel india juliet kilo lima mike november oscar".split()
+    names = ["İzzettin", "STRASSE9ß", "ΟΔΥΣΣΕΥΣ", "Zebrafish"]
+    table = []
+    for n, name in enumerate(names):
+        for k in range(10):
+            around = [fill[(k * (n + 3) + j) % 12] for j in range(3)]
+            table.append(f"{around[0]} {name if k % 2 else name.lower()} {around[1]} wrote user{n}@corp.example {around[2]} k{k}n{n}")
+        table += [f"{name.upper() if n == 3 else name} alone", f"mail user{n}@corp.example", table[-1]]
+    table += [f"{fill[k % 12]} {fill[(k * 5 + 1) % 12]} filler {k} and ıssız" for k in range(700)] + [None, "", "x" * 50_000]
+    got = {(r.term, r.entity): (r.disclosed, r.information) for r in pii.revealing_terms(rows(*enumerate(table)), bits=3.0, share=0.5).collect()}
+    texts = [t or "" for t in table]
+    low = [{w.lower() for w in re.findall(r"[^\W_]{3,}", t)} for t in texts]
+    owners = [{f"{k}:{t[a:b].lower()}" for k, a, b in plain(t)} if len(t) < 30_000 else set() for t in texts]
+    near = {}
+    for i, t in enumerate(texts):
+        for k, a, b in plain(t) if len(t) < 30_000 else []:
+            before, after = re.findall(r"[^\W_]{3,}", t[:a])[-6:], re.findall(r"[^\W_]{3,}", t[b:])[:6]
+            context = tuple(sorted(w.lower() for w in before + after if not w.isdigit()))
+            for w in set(context):
+                near.setdefault((w, f"{k}:{t[a:b].lower()}"), []).append((i, context))
+    want = {}
+    for (term, entity), seen in near.items():
+        docs, own = sum(term in x for x in low), sum(entity in x for x in owners)
+        p = len({i for i, _ in seen}) / docs
+        bits = math.log2(p / (own / len(texts)))
+        if len({c for _, c in seen}) >= 4 and p >= 0.5 and bits >= 3:
+            want[term, entity] = (p, bits)
+    assert {n.lower() for n in names} <= {t for t, _ in want} and got.keys() == want.keys()
+    assert all(abs(x - y) < 1e-9 for key in want for x, y in zip(got[key], want[key]))
 
 
 def test_find_and_terms(spark, rows):
