@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -172,9 +172,36 @@ def score_sequences(df: DataFrame, seq: str, model: Callable[[np.ndarray], np.nd
 
     @F.pandas_udf(ARRAY)
     def run(x: pd.Series, length: pd.Series) -> pd.Series:
-        flat = np.stack(x.to_numpy())
-        return pd.Series(list(np.asarray(model(flat.reshape(len(flat), length.iloc[0], -1)), dtype=np.float64).reshape(len(flat), -1)))
+        return _batch(model, x, length)
 
+    return _scored(df, seq, run, out)
+
+
+def score_loaded(df: DataFrame, seq: str, data: bytes, load: Callable[[bytes], Callable[[np.ndarray], np.ndarray]], out: str = "scores") -> DataFrame:
+    """``score_sequences`` with a model that every task makes once from ``data`` by ``load``.
+
+    The bytes go to each executor once as a broadcast and not with every task, and ``load`` (unpickling, a runtime's
+    session) runs once a task for all of its batches. A lost executor's successor fetches the bytes anew.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(data)
+
+    @F.pandas_udf(ARRAY)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load(sent.value)
+        for x, length in batches:
+            yield _batch(model, x, length)
+
+    return _scored(df, seq, run, out)
+
+
+def _batch(model: Callable[[np.ndarray], np.ndarray], x: pd.Series, length: pd.Series) -> pd.Series:
+    if not len(x):
+        return pd.Series([], dtype=object)
+    flat = np.stack(x.to_numpy())
+    return pd.Series(list(np.asarray(model(flat.reshape(len(flat), length.iloc[0], -1)), dtype=np.float64).reshape(len(flat), -1)))
+
+
+def _scored(df: DataFrame, seq: str, run: Callable, out: str) -> DataFrame:
     # Arrow carries one flat array per sequence each way; Spark cuts it up again.
     flat = df.withColumn("_y", run(F.flatten(seq), F.size(seq)))
     n = F.size("_y") / F.size(seq)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from somnia.operators import latent as L, model as M, sequences as Q
 from somnia.session import shared_dir
-from somnia.sources.models import load_or_fit
+from somnia.sources.models import load_or_fit, save_bytes, score_stored
 from .proxies import CLASSES, LAB, SIG, VEC, VECTOR, epoch_labels, feature_vectors, fin, out, signal
 from .registry import query
 from .signals import EPOCH, band_powers
@@ -186,7 +186,23 @@ def _inputs(t):
     return q.withColumn("x", F.transform("seq", lambda e: F.array(e["a"], e["b"])))
 
 
-@query("score_sequences", "M-11 W-18 X-05", out(EPM, "SELECT recording_id, epoch_idx, sum(a + a0) AS s0, sum(3 * b + a0) AS s1, sum(2 * a - b + a0) AS s2, count(*) AS n_windows FROM w GROUP BY 1, 2", "recording_id epoch_idx n_windows", "s0 s1 s2"))
+def _from_weights(data):
+    w = np.frombuffer(data).reshape(2, 3)
+    return lambda x: x @ w + x[:, :1, :1]
+
+
+SUMS = out(EPM, "SELECT recording_id, epoch_idx, sum(a + a0) AS s0, sum(3 * b + a0) AS s1, sum(2 * a - b + a0) AS s2, count(*) AS n_windows FROM w GROUP BY 1, 2", "recording_id epoch_idx n_windows", "s0 s1 s2")
+
+
+@query("score_stored_model", "M-11 W-18 X-05", SUMS)
+def _(t):
+    path = shared_dir(t.spark)
+    save_bytes(t.spark, np.ascontiguousarray(W, np.float64).tobytes(), path)
+    added = Q.overlap_add(score_stored(_inputs(t), "x", path, _from_weights), ["recording_id"], 3)
+    return fin(added.select("recording_id", "epoch_idx", *[F.col("scores")[c].alias(f"s{c}") for c in range(3)], "n_windows"))
+
+
+@query("score_sequences", "M-11 W-18 X-05", SUMS)
 def _(t):
     scored = M.score_sequences(_inputs(t), "x", _model)
     added = Q.overlap_add(scored, ["recording_id"], 3)

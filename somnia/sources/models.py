@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from somnia.operators.model import HiddenUnits, Pca
+from somnia.operators.model import HiddenUnits, Pca, score_loaded
 
+PIECE = 8 << 20  # bytes of a stored file in one row
 SCHEMA = "kind string, part string, i int, j int, value double, name string"
 ARRAYS = {"pca": ("mean", "components", "variance"), "units": ("vf", "fh", "bias_cov", "w_mean", "bias_mean", "bias_vis")}
 
@@ -78,6 +79,40 @@ def load_or_fit(spark: SparkSession, path: str, fit: Callable[[], Pca | HiddenUn
     return load_model(spark, path)
 
 
+def save_bytes(spark: SparkSession, data: bytes, path: str) -> int:
+    """Write a user's model, in whatever form its runtime reads, as the next version at ``path``, in rows of at most 8 MB."""
+    version = max(versions(spark, path), default=0) + 1
+    rows = [(k, len(data), bytearray(data[at:at + PIECE])) for k, at in enumerate(range(0, max(len(data), 1), PIECE))]
+    table = spark.createDataFrame(rows, "piece int, size long, data binary").coalesce(1).withColumn("version", F.lit(version))
+    table.write.mode("append").partitionBy("version").parquet(path)
+    return version
+
+
+def load_bytes(spark: SparkSession, path: str, version: int | None = None, largest: int = 1 << 30) -> bytes:
+    """The model that ``save_bytes`` wrote, its latest version unless one is named.
+
+    Its size is read before its bytes: a model over ``largest`` bytes raises instead of filling the driver.
+    """
+    have = versions(spark, path)
+    wanted = version or max(have, default=None)
+    if wanted not in have:
+        raise FileNotFoundError(f"no version {version or ''} of a model at {path}")
+    rows = spark.read.parquet(path).where(F.col("version") == wanted)
+    size = rows.agg(F.max("size")).first()[0]
+    if size > largest:
+        raise ValueError(f"the model at {path} has {size} bytes, over {largest}")
+    data = b"".join(bytes(r.data) for r in rows.select("piece", "data").orderBy("piece").collect())  # at most largest
+    if len(data) != size:
+        raise ValueError(f"the model at {path} has {len(data)} of {size} bytes")
+    return data
+
+
+def score_stored(df: DataFrame, seq: str, path: str, load: Callable[[bytes], Callable[[np.ndarray], np.ndarray]],
+                 version: int | None = None, out: str = "scores", largest: int = 1 << 30) -> DataFrame:
+    """Scores of sequences by the model kept at ``path``: ``load`` makes it from its bytes, once a task."""
+    return score_loaded(df, seq, load_bytes(df.sparkSession, path, version, largest), load, out)
+
+
 def save_ranges(stats: DataFrame, path: str) -> None:
     """Feature statistics, as ``feature_stats`` gives them, beside a model; one row."""
     stats.coalesce(1).write.mode("overwrite").parquet(path)

@@ -138,6 +138,38 @@ def test_model_scoring_keeps_order(spark):
     assert [r.scores for r in out] == [[[i + 1.0], [2.0 + i]] for i in range(7)]
 
 
+def test_stored_model_is_loaded_once_a_task(spark, tmp_path, monkeypatch):
+    """Scores by path equal those of the model itself; versions, pieces and the bound on size hold."""
+    from somnia.sources import models as K
+    monkeypatch.setattr(K, "PIECE", 7)
+    path, loads = f"{tmp_path}/user", spark.sparkContext.accumulator(0)
+
+    def load(data):
+        loads.add(1)
+        w = np.frombuffer(data).reshape(2, 3)
+        return lambda x: x @ w
+
+    weights = np.arange(6.0).reshape(2, 3)
+    assert K.save_bytes(spark, weights.tobytes(), path) == 1
+    df = spark.createDataFrame([(i, [[float(i), 1.0], [2.0, float(i)]]) for i in range(4_000)], "id long, x array<array<double>>").repartition(2)
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = K.score_stored(df, "x", path, load).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)
+    want = M.score_sequences(df, "x", lambda x: x @ weights).collect()
+    assert sorted(got) == sorted(want) and loads.value == 2
+    assert K.save_bytes(spark, (2 * weights).tobytes(), path) == 2
+    assert K.load_bytes(spark.newSession(), path) == (2 * weights).tobytes() and K.load_bytes(spark, path, 1) == weights.tobytes()
+    assert K.save_bytes(spark, b"", f"{tmp_path}/none") == 1 and K.load_bytes(spark, f"{tmp_path}/none") == b""
+    with pytest.raises(ValueError):
+        K.load_bytes(spark, path, largest=47)
+    with pytest.raises(FileNotFoundError):
+        K.score_stored(df, "x", path, load, 3)
+    assert K.score_stored(df.limit(0), "x", path, load).count() == 0
+
+
 def test_shared_folder_follows_the_setting(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     df = spark.range(10)
