@@ -22,9 +22,21 @@ from somnia.session import materialise
 CHUNK = 1 << 16
 
 
+class Stored(int):
+    """Chunk span of rows from ``sources.store.open_chunked``: they lie by (keys, chunk), with copies within ``reach`` of a border.
+
+    Given as the ``chunk`` of an operator that reads those rows, it lets ``attach`` and ``halo`` use them where they lie.
+    """
+
+    def __new__(cls, span: int, reach: int):
+        self = super().__new__(cls, span)
+        self.reach = reach
+        return self
+
+
 def chunk_of(idx, chunk: int = CHUNK) -> Column:
     idx = F.col(idx) if isinstance(idx, str) else idx
-    return F.floor(idx / F.lit(chunk)).cast("long")
+    return F.floor(idx / F.lit(int(chunk))).cast("long")
 
 
 def halo(df: DataFrame, keys: list[str], idx: str, before: int, after: int,
@@ -33,7 +45,15 @@ def halo(df: DataFrame, keys: list[str], idx: str, before: int, after: int,
 
     A row's frame may reach ``before`` indices back and ``after`` ahead. Filter
     ``_core`` once the window values are in; each input row is core once.
+    Rows of a chunked table are used as they lie if their copies reach far
+    enough, and copied anew from the core rows if not.
     """
+    if "_core" in df.columns:
+        if isinstance(chunk, Stored) and max(before, after) <= chunk.reach:
+            return df, Window.partitionBy(*keys, "_chunk").orderBy(idx)
+        df = drop_halo(df)
+    elif isinstance(chunk, Stored):
+        raise ValueError("these rows lost the columns _chunk and _core of their table; take drop_halo of it and a plain chunk")
     i = F.col(idx)
     out = (
         df.withColumn("_chunk", F.explode(F.sequence(
@@ -130,7 +150,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, total
 
 
 def summarise(df: DataFrame, keys: list[str], idx: str, **aggs: Column) -> DataFrame:
-    """Statistics per key with the index range that ``attach`` spreads them over."""
+    """Statistics per key with the index range that ``attach`` spreads them over; of a chunked table each row counts once."""
+    df = df.where("_core") if "_core" in df.columns else df
     return df.groupBy(*keys).agg(F.min(idx).alias("_first"), F.max(idx).alias("_last"),
                                  *[a.alias(n) for n, a in aggs.items()])
 
@@ -144,13 +165,15 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], idx: str,
     Statistics from ``summarise`` know their chunks; for others the chunks are
     read off the rows.
     """
-    rows = df.withColumn("_chunk", chunk_of(idx, chunk))
+    stored = isinstance(chunk, Stored) and "_core" in df.columns
+    rows = df if stored else df.withColumn("_chunk", chunk_of(idx, chunk))
     if "_first" in stats.columns:
         spread = stats.withColumn("_chunk", F.explode(F.sequence(
             chunk_of("_first", chunk), chunk_of("_last", chunk)))).drop("_first", "_last")
     else:
         spread = rows.select(*keys, "_chunk").distinct().join(stats, keys)
-    return rows.join(spread, [*keys, "_chunk"], how).drop("_chunk")
+    joined = rows.join(spread, [*keys, "_chunk"], how)
+    return joined if stored else joined.drop("_chunk")
 
 
 def attach_by_hash(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str], largest: Column | None = None,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from somnia.operators import epochs as E, intervals as I, sequences as Q
+from somnia.session import shared_dir
+from somnia.sources import store as S
 from .proxies import ANN, EPOCH, FS, HYP, LAB, SIG, annotations, epoch_labels, fin, hypnogram, out, signal
 from .registry import query
 
@@ -91,6 +93,14 @@ def _(t):
     return fin(masked(t))
 
 
+@query("artefacts_on_store", "IO-03 IO-09 W-24", out(ART, "SELECT recording_id, sample_idx, CASE WHEN artefact THEN 0 ELSE v END AS v, artefact FROM art", "recording_id sample_idx artefact", "v"))
+def _(t):
+    path = shared_dir(t.spark)
+    S.write_chunked(V(t), path, KEY, reach=256, chunk=4096)
+    rows, chunk = S.open_chunked(t.spark, path)
+    return fin(E.artefact_mask(rows, KEY, "sample_idx", "v", FS, (2.5, 3.0), (0.6, 0.3), chunk))
+
+
 @query("artefact_epochs", "A-33", out(ART, f"SELECT recording_id, sample_idx // {EPOCH} AS epoch_idx, 100.0 * sum(CAST(artefact AS INT)) / {EPOCH} AS pct, CASE WHEN sum(CAST(artefact AS INT)) > 0 THEN 1 ELSE 0 END AS flagged FROM art GROUP BY 1, 2 HAVING count(*) = {EPOCH}", "recording_id epoch_idx flagged", "pct"))
 def _(t):
     return fin(E.artefact_epochs(masked(t), KEY, "sample_idx", EPOCH))

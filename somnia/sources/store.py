@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from somnia.operators.ordered import CHUNK, attach, chunk_of, ordinal, scan
+from somnia.operators.ordered import CHUNK, Stored, attach, chunk_of, halo, ordinal, scan
 
 
 def write_samples(df: DataFrame, path: str, partitions: list[str], mode: str = "append", chunk: int = CHUNK) -> None:
@@ -19,6 +21,48 @@ def write_samples(df: DataFrame, path: str, partitions: list[str], mode: str = "
      .sortWithinPartitions(*partitions, *at).write.mode(mode).partitionBy(*partitions).parquet(path))
 
 
+def _table_name(path: str) -> str:
+    return f"chunked_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def write_chunked(df: DataFrame, path: str, keys: list[str] = ("recording_id", "channel"), idx: str = "sample_idx",
+                  reach: int = 1 << 12, chunk: int = CHUNK, rows_per_bucket: int = 4_000_000) -> None:
+    """Samples laid out for chunked work: bucketed by (keys, chunk), sorted by index, with the halo of each chunk beside it.
+
+    One shuffle at writing spares one for each operator that reads. Rows within ``reach`` of a chunk's border are kept
+    a second time, as copies that are not core: at most ``2 * reach / chunk`` more rows. Buckets follow the number of
+    rows, so a bucket stays near ``rows_per_bucket`` whatever the size of a recording. ``idx`` is a key column: a row
+    without one has no place and raises. A table at ``path`` is replaced.
+    """
+    keys = list(keys)
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(idx).isNull()).alias("lost")).first()
+    if size.lost:
+        raise ValueError(f"{size.lost} rows without {idx}")
+    buckets = max(1, -(-size.n // rows_per_bucket))
+    spark, at = df.sparkSession, [*keys, "_chunk"]
+    rows, _ = halo(df, keys, idx, reach, reach, chunk)
+    (rows.repartition(buckets, *at).write.mode("overwrite").option("path", f"{path}/rows").option("compression", "zstd")
+     .bucketBy(buckets, *at).sortBy(*at, idx).saveAsTable(_table_name(path)))
+    layout = spark.createDataFrame([(buckets, int(chunk), reach, at, idx)], "buckets int, span long, reach long, at array<string>, idx string")
+    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def open_chunked(spark: SparkSession, path: str) -> tuple[DataFrame, Stored]:
+    """The table at ``path`` with ``_chunk`` and ``_core``, and the ``chunk`` to give to operators that read it; in any session.
+
+    Joins and windows on (keys, chunk) start from the files without an exchange. ``drop_halo`` gives the samples alone.
+    """
+    spec = spark.read.parquet(f"{path}/layout").first()
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        quoted = lambda names: ", ".join(f"`{c}`" for c in names)
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/rows").schema)
+        place = f"{path}/rows".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({quoted(spec['at'])}) "
+                  f"SORTED BY ({quoted([*spec['at'], spec['idx']])}) INTO {spec['buckets']} BUCKETS LOCATION '{place}'")
+    return spark.table(name), Stored(spec["span"], spec["reach"])
+
+
 def write_features(df: DataFrame, path: str, notes: dict[str, str] | None = None, mode: str = "append",
                    partitions: list[str] = ("dataset", "subject")) -> None:
     """Features and labels by dataset and subject; notes are kept as column comments.

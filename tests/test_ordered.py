@@ -314,3 +314,50 @@ def test_statistics_come_back_without_a_hot_task(spark):
             spark.conf.set(k, v)
     empty = df.limit(0)
     assert attach_by_hash(empty, stats.limit(0), ["k"], ["id"]).count() == 0
+
+
+def _way_down(plan):
+    """Operators from the plan's root along first children, in AQE's initial plan."""
+    node, names = plan.executedPlan().initialPlan(), []
+    while True:
+        names.append(node.nodeName())
+        if not node.children().size():
+            return names, node.toString()
+        node = node.children().apply(0)
+
+
+@pytest.mark.parametrize("reach", [0, 40, 200])
+def test_chunked_table(spark, series, tmp_path, reach):
+    """Masks, differences and sums on the table equal those on plain rows, in a session that did not write it, without moving a sample."""
+    from somnia.sources import store as S
+    pdf, df = series
+    path = f"{tmp_path}/store"
+    for _ in range(2):  # the second replaces the first
+        S.write_chunked(df, path, ["rec"], "i", reach=reach, chunk=64, rows_per_bucket=50)
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    table, chunk = S.open_chunked(other, path)
+    assert chunk == 64 and chunk.reach == reach and table.where("_core").count() == len(pdf)
+    pd.testing.assert_frame_equal(rows(drop_halo(table), "rec", "i")[["rec", "i", "x"]], pdf, check_dtype=False)
+    mask = lambda d, c: E.artefact_mask(d, ["rec"], "i", "x", 100, (2.0, 2.5), (0.2, 0.1), c)
+    got, want = mask(table, chunk), mask(df, 64)
+    pd.testing.assert_frame_equal(rows(got, "rec", "i")[want.columns], rows(want, "rec", "i"), check_dtype=False, atol=1e-12)
+    step = E.first_difference(table, ["rec"], "i", "x", "d", chunk) if reach else None
+    if reach:
+        pd.testing.assert_frame_equal(rows(step, "rec", "i")[["rec", "i", "d"]], rows(E.first_difference(df, ["rec"], "i", "x", "d"), "rec", "i")[["rec", "i", "d"]], check_dtype=False)
+    names, leaf = _way_down(got._jdf.queryExecution())
+    assert "Bucketed: true" in leaf and ("Exchange" in names) == (reach < 23)  # 0.2 s at 100 Hz and one more sample each way
+    names, _ = _way_down(want._jdf.queryExecution())
+    assert "Exchange" in names
+    with pytest.raises(ValueError):
+        E.first_difference(drop_halo(table), ["rec"], "i", "x", "d", chunk)
+
+
+def test_chunked_table_of_nothing_and_of_rows_without_place(spark, tmp_path):
+    from somnia.sources import store as S
+    empty = spark.createDataFrame([], "rec long, i long, x double")
+    S.write_chunked(empty, f"{tmp_path}/none", ["rec"], "i")
+    table, _ = S.open_chunked(spark, f"{tmp_path}/none")
+    assert table.count() == 0
+    with pytest.raises(ValueError):
+        S.write_chunked(spark.createDataFrame([(1, None, 0.5)], empty.schema), f"{tmp_path}/lost", ["rec"], "i")
