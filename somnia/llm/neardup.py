@@ -312,11 +312,15 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay when each class keeps one document, the one with the smallest doc_id."""
+    """The rows of ``docs`` that stay when each class keeps one document, the one with the smallest doc_id.
+
+    A document without an id stays only where its class has none with one; a NULL text counts as the empty text. Repeated rows become one,
+    other columns are kept whatever their names, and an empty table gives an empty one.
+    """
     classes = near_copies(docs, threshold).groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("first"))
     chosen = classes.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
     own = docs.withColumn("__own", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    kept = own.join(chosen, (F.coalesce(own.doc_id.cast("long"), F.lit(-1)) == F.coalesce("__id", F.lit(-1))) & (F.col("__own") == F.col("__key")), "left_semi")
+    kept = own.join(chosen, own.doc_id.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi")
     order = [c for c in docs.columns]
     return kept.groupBy("doc_id", "__own").agg(*[F.first(c, ignorenulls=False).alias("__" + c) for c in order if c != "doc_id"]).select(
         *[F.col(c) if c == "doc_id" else F.col("__" + c).alias(c) for c in order])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from somnia.llm import pii, wrappers
+from somnia.llm.common import remainder
 
 DIGITS = lambda s: re.sub(r"[^0-9]", "", s)
 KINDS = [
@@ -163,3 +164,33 @@ def test_pipeline(spark, folder):
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4] > 0.5 * sizes[0]
     assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_stages_on_odd_rows(spark, rows, folder):
+    """NULL, empty, repeated and long rows, an empty table and columns with names of the operators' own pass all stages."""
+    long = " ".join(f"w{k % 977}x{k % 31}" for k in range(20_000))
+    odd = rows((-1, None), (-2, ""), (-2, ""), (None, "a text that has no id but mails me@corp.example now"), (-3, long), (-3, long))
+    for name in ("key", "clean", "class_id", "score", "spans"):
+        odd = odd.withColumn(name, F.lit(7))
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            given, docs = docs, corpus_pipeline.materialise(stage(spark, docs, folder))
+            if name == "packing":
+                continue
+            assert docs.columns == given.columns
+            before, after = ([(r.doc_id, r.key) for r in x.collect()] for x in (given, docs))
+            assert set(after) <= set(before) and (None, 7) in after or not before
+            if name == "near_copies" and before:
+                assert after.count((-3, 7)) == 1
+            if name == "pii" and before:
+                assert len(after) == len(before) and all("me@" not in (r.text or "") for r in docs.collect())
+    scored = corpus_pipeline.keep_quality(spark, odd, folder)  # none of its rows has a label
+    known = spark.read.parquet(f"{folder}/labels.parquet").filter((remainder("doc_id", 4) != 2) & F.col("quality").isin(0, 1))
+    share = known.agg((F.sum("quality") + 0.5) / (F.count("*") + 1)).first()[0]  # without labelled texts each row has the share of the label
+    assert scored.columns == odd.columns and scored.count() == (6 if share >= 0.7 else 0)
+
+
+def test_one_copy_stays_whatever_the_ids(spark, rows):
+    text = " ".join(f"word{k}" for k in range(40))
+    kept = corpus_pipeline.drop_near_copies(spark, rows((-1, text), (None, text), (7, text), (None, "another text of six words here"), (3, None), (2, "")), "")
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, -1), (False, 2)] and kept.count() == 3
