@@ -229,5 +229,7 @@ def find(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", w
 
 def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame:
     """``docs`` with personal data and revealing terms generalised in the text; same columns, same rows."""
-    found = find(docs, revealing_terms(docs, text_col, **thresholds), text_col, everywhere=True)
-    return found.select(*[F.col("clean").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    plain = docs.toDF(*[f"__{k}" for k in range(len(docs.columns))])  # no name meets that of a result
+    text = f"__{docs.columns.index(text_col)}"
+    found = find(plain, revealing_terms(docs, text_col, **thresholds), text, everywhere=True)
+    return found.select(*[F.col("clean" if c == text else c).alias(name) for c, name in zip(plain.columns, docs.columns)])

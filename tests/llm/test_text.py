@@ -183,7 +183,7 @@ def test_stages_on_odd_rows(spark, rows, folder):
             if name == "near_copies" and before:
                 assert after.count((-3, 7)) == 1
             if name == "pii" and before:
-                assert len(after) == len(before) and all("me@" not in (r.text or "") for r in docs.collect())
+                assert len(after) == len(before) and all("me@" not in (r.text or "") and r.clean == r.spans == 7 for r in docs.collect())
     scored = corpus_pipeline.keep_quality(spark, odd, folder)  # none of its rows has a label
     known = spark.read.parquet(f"{folder}/labels.parquet").filter((remainder("doc_id", 4) != 2) & F.col("quality").isin(0, 1))
     share = known.agg((F.sum("quality") + 0.5) / (F.count("*") + 1)).first()[0]  # without labelled texts each row has the share of the label
