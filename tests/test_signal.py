@@ -121,6 +121,12 @@ def test_elliptic_chunks_agree_with_one_piece(spark):
     np.testing.assert_allclose(run(chunk=5_000), run(chunk=10**6), atol=1e-6 * x.std())
 
 
+def test_filtered_samples_keep_no_frame():
+    """A short recording's samples must not hold the memory of the padded frame that was filtered for them."""
+    out = G._filtered(np.arange(40.0), 0, 40, 500, 27, lambda m: np.ones(m // 2 + 1))
+    assert out.base is None and np.allclose(out, np.arange(40.0))
+
+
 def test_notch(spark):
     fs = 50.0
     t = np.arange(2000) / fs
