@@ -26,13 +26,14 @@ def _table_name(path: str) -> str:
 
 
 def write_chunked(df: DataFrame, path: str, keys: list[str] = ("recording_id", "channel"), idx: str = "sample_idx",
-                  reach: int = 1 << 12, chunk: int = CHUNK, rows_per_bucket: int = 4_000_000) -> None:
+                  reach: int = 1 << 12, chunk: int = CHUNK, rows_per_bucket: int = 500_000) -> None:
     """Samples laid out for chunked work: bucketed by (keys, chunk), sorted by index, with the halo of each chunk beside it.
 
     One shuffle at writing spares one for each operator that reads. Rows within ``reach`` of a chunk's border are kept
     a second time, as copies that are not core: at most ``2 * reach / chunk`` more rows. Buckets follow the number of
-    rows, so a bucket stays near ``rows_per_bucket`` whatever the size of a recording. ``idx`` is a key column: a row
-    without one has no place and raises. A table at ``path`` is replaced.
+    rows, so a bucket stays near ``rows_per_bucket`` whatever the size of a recording; the task that reads it holds that
+    many rows in several sorts at once. ``idx`` is a key column: a row without one has no place and raises. A table at
+    ``path`` is replaced.
     """
     keys = list(keys)
     size = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(idx).isNull()).alias("lost")).first()

@@ -361,3 +361,12 @@ def test_chunked_table_of_nothing_and_of_rows_without_place(spark, tmp_path):
     assert table.count() == 0
     with pytest.raises(ValueError):
         S.write_chunked(spark.createDataFrame([(1, None, 0.5)], empty.schema), f"{tmp_path}/lost", ["rec"], "i")
+
+
+def test_chunked_table_has_buckets_that_a_task_can_sort(spark, tmp_path):
+    from somnia.sources import store as S
+    df = spark.range(1_200_000).select(F.lit(0).alias("rec"), F.col("id").alias("i"))
+    S.write_chunked(df, f"{tmp_path}/store", ["rec"], "i", reach=16, chunk=4096)
+    assert spark.read.parquet(f"{tmp_path}/store/layout").first().buckets == 3
+    table, _ = S.open_chunked(spark, f"{tmp_path}/store")
+    assert table.where("_core").agg(F.sum("i")).first()[0] == sum(range(1_200_000))
