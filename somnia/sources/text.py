@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from somnia.functions.scalar import bare_suffix, pad_suffix
 from somnia.operators.project import stage_name
 from somnia.schemas import INTERVALS
+from somnia.session import discard, materialise
+
+FOLDERS_PER_TASK, ROWS_PER_TASK = 200, 1_000_000
 
 
 def parse_signal(lines: DataFrame, keys: list[str], line: str = "value") -> DataFrame:
@@ -86,23 +91,33 @@ def read_intervals(spark: SparkSession, path: str, kind: str = "ids") -> DataFra
     return spark.read.schema(INTERVALS).csv(path, sep="\t" if tab else ",", header=tab)
 
 
-def _by_recording(df: DataFrame, by: list[str], order: str, columns: list):
-    """A writer with a folder per recording, its rows in order over the part files; a large recording has several tasks."""
-    rows = df.repartitionByRange(*by, order).sortWithinPartitions(*by, order) if by else df.orderBy(order)
-    return rows.select(*by, *columns).write.mode("overwrite").partitionBy(*by)
+def _by_recording(df: DataFrame, by: list[str], order: str, columns: list, write: Callable[[DataFrameWriter], None]) -> None:
+    """``write`` with a folder per recording, its rows in order over the part files; a large recording has several tasks.
+
+    Making a file takes far longer than filling it, so the tasks follow the number of recordings too, which their bytes
+    do not tell, and each task puts its own folders in place when it ends instead of the driver all of them at the end.
+    """
+    if not by:
+        return write(df.orderBy(order).select(*columns).write.mode("overwrite"))
+    rows = materialise(df.select(*by, F.col(order).alias("_order"), *columns))
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64(*by)).alias("folders")).first()
+    tasks = max(1, -(-size.folders // FOLDERS_PER_TASK), -(-size.rows // ROWS_PER_TASK))
+    placed = rows.repartitionByRange(tasks, *by, "_order").sortWithinPartitions(*by, "_order").drop("_order")
+    write(placed.write.mode("overwrite").partitionBy(*by).option("mapreduce.fileoutputcommitter.algorithm.version", "2"))
+    discard(rows)
 
 
 def _write_ids(df: DataFrame, path: str, by: list[str]) -> None:
-    _by_recording(df, by, "init_sec", ["init_sec", "dur_sec", "stage"]).csv(path, header=False)
+    _by_recording(df, by, "init_sec", ["init_sec", "dur_sec", "stage"], lambda w: w.csv(path, header=False))
 
 
 def _write_tsv(df: DataFrame, path: str, by: list[str]) -> None:
-    _by_recording(df, by, "init_sec", ["init_sec", F.col("dur_sec").alias("duration_sec"), "stage"]).csv(path, header=True, sep="\t")
+    _by_recording(df, by, "init_sec", ["init_sec", F.col("dur_sec").alias("duration_sec"), "stage"], lambda w: w.csv(path, header=True, sep="\t"))
 
 
 def _write_hyp(df: DataFrame, path: str, by: list[str]) -> None:
     """One stage name per line, in epoch order over the part files of each recording."""
-    _by_recording(df, by, "epoch_idx", [stage_name("stage").alias("value")]).text(path)
+    _by_recording(df, by, "epoch_idx", [stage_name("stage").alias("value")], lambda w: w.text(path))
 
 
 def _write_table(df: DataFrame, path: str, by: list[str]) -> None:

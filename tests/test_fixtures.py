@@ -220,6 +220,16 @@ def test_sinks_keep_recordings(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == [(7, 0, 30, "W"), (8, 0, 60, "N1"), (8, 60, 30, "W")]
 
 
+def test_sinks_spread_recordings_over_tasks(spark, tmp_path):
+    """Many small recordings: their files are made by several tasks, however few bytes they hold."""
+    spans = spark.range(900).selectExpr("CASE WHEN id >= 450 THEN id - 449 END AS recording_id", "id AS init_sec", "30 AS dur_sec", "'W' AS stage")
+    X.save_prediction(spans, str(tmp_path / "a.ids"))
+    files = list((tmp_path / "a.ids").glob("*/*.csv"))
+    assert len({f.name.split("-")[1] for f in files}) >= 3 and len({f.parent for f in files}) == 451
+    got = X.read_intervals(spark, str(tmp_path / "a.ids")).select("recording_id", "init_sec", "dur_sec", "stage")
+    assert sorted((r or 0, *x) for r, *x in got.collect()) == [(max(i - 449, 0), i, 30, "W") for i in range(900)]
+
+
 def test_labels_outside_the_classes_are_an_error(spark):
     df = spark.createDataFrame([(0, i, s) for i, s in enumerate([9, 9, 1, None])], "rec int, i long, stage int")
     with pytest.raises(Exception, match="label 9 is not among"):
