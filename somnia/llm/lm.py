@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somnia.session import discard
-
 from .common import hashed_words, mix, remainder, texts, written
 from .toxicity import bigrams
 
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99)
 BITS_PER_ENTRY, PROBES, BASE = 12, 6, 2.0
-SLICE_BYTES = 48 << 20  # the most that is sent to the workers at once
-FREQUENT = 1 << 20      # a word with at least 1 / FREQUENT of the tokens is frequent; there are at most so many, 16 MB
+SLICE_BYTES = 48 << 20  # the most of a filter that a task builds and probes at once
+BLOCK = 1_000_000       # tokens whose distinct n-grams are sent together
 MARK = 40               # bits that name a bigram in its segment; a segment has about as many bigrams at any size of the corpus
 
 
@@ -35,9 +36,13 @@ def tokens(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     owner = np.concatenate([rows, np.arange(n)])
     order = np.argsort(owner, kind="stable")
     token, owner = np.concatenate([h, np.full(n, END)])[order], owner[order]
+    return token, owner, _pairs(token, owner)
+
+
+def _pairs(token: np.ndarray, owner: np.ndarray) -> np.ndarray:
     before = np.concatenate([[BEGIN], token[:-1]])
     before[np.concatenate([[True], owner[1:] != owner[:-1]])] = BEGIN
-    return token, owner, bigrams(before, token)
+    return bigrams(before, token)
 
 
 def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -49,65 +54,100 @@ def _mark(pair: np.ndarray) -> np.ndarray:
     return pair & np.uint64((1 << MARK) - 1)
 
 
-def _packed(x: np.ndarray) -> bytes:
+def _packed(x: np.ndarray, places: int = 8) -> bytes:
     """Numbers by place of their bytes, so that sorted and small ones compress well where they are shuffled or written."""
-    return np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8)[:, :places].T.tobytes()
+
+
+def _unpacked(x: bytes, places: int = 8) -> np.ndarray:
+    out = np.zeros((len(x) // places, 8), np.uint8)
+    out[:, :places] = np.frombuffer(x, np.uint8).reshape(places, -1).T
+    return out.view(np.uint64).ravel()
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, where one of each stands, and the place of every key among them."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[order[new]], order[new], back
+
+
+def _turned(pair: np.ndarray) -> np.ndarray:
+    """Hashes of bigrams with their mark first, so that they sort by it."""
+    return _mark(pair) << np.uint64(64 - MARK) | pair >> np.uint64(MARK)
 
 
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def _dealt(hashes: np.ndarray, names: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct hashes by segment and name, and the segments in that order."""
+    order = np.argsort(names, kind="stable")
+    seg = _segment(hashes[order], segments)
+    by = np.argsort(seg.astype(np.uint16 if segments < 1 << 16 else np.int64), kind="stable")
+    return order[by], seg[by]
 
 
-def count(docs: DataFrame, segments: int) -> DataFrame:
-    """(kind, segment, keys, counts, n_distinct, n_total): counts of words (kind 0) and bigrams (1), in sorted blocks.
+WORD, PAIR, TEXTS, TOTAL = range(4)  # kinds of rows that travel between blocks and segments
+KEY = {WORD: 8, PAIR: MARK // 8}     # bytes of a key
+TRAVEL = "place long, block long, kind int, keys binary, numbers binary, ids array<long>, sizes array<long>"
 
-    A task sends each segment one block of distinct hashes and counts for about a million tokens, so what is shuffled is
-    pre-aggregated and has no row for each n-gram; hashes deal n-grams evenly, so no segment is hot. Words keep the whole
+
+def _travel(*rows: tuple) -> pa.Table:
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = [x.split()[0] for x in TRAVEL.split(", ")]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
+
+
+def blocks(docs: DataFrame, segments: int) -> DataFrame:
+    """Rows of TRAVEL for ``docs`` (doc_id, text, train), every text hashed once.
+
+    A task cuts its rows into blocks of about BLOCK tokens. A block sends each segment, its ``place``, one row for words and
+    one for bigrams with distinct keys and their training counts (0 where only held-out rows have them), so what is shuffled
+    is pre-aggregated and has no row for each n-gram; hashes deal n-grams evenly, so no segment is hot. Words keep the whole
     hash, since their counts must be exact. Bigrams keep the MARK bits that did not choose their segment: of a million in a
-    segment, one in a million shares its mark with another, far fewer than the filter mistakes anyway.
+    segment, one in a million shares its mark with another, far fewer than the filter mistakes anyway. One more row, at the
+    place of the block itself, holds its words, the frequent ones first, and its texts as numbers of them.
     """
-
-    def blocks(batches):
-        def send(held):
-            for kind in (0, 1):
-                keys, n = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
-                seg = _segment(keys, segments)
-                if kind:
-                    keys = _mark(keys)
-                order = np.lexsort((keys, seg))
-                keys, n, edges = keys[order], n[order], np.searchsorted(seg[order], np.arange(segments + 1))
-                parts = [(s, a, b) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-                yield pa.record_batch([pa.array([kind] * len(parts), pa.int32()), pa.array([s for s, *_ in parts], pa.int32()),
-                                       pa.array([_packed(keys[a:b]) for _, a, b in parts], pa.binary()),
-                                       pa.array([_packed(n[a:b]) for _, a, b in parts], pa.binary())], ["kind", "segment", "keys", "counts"])
-
-        held, size = [], 0
+    full = BLOCK
+
+    def send(held, number):
+        pair, token, train = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
+        ids, sizes = (sum((x[i] for x in held), []) for i in (3, 4))
+        turned, at, back = _distinct(_turned(pair))
+        words, _, ends = _distinct(token[at])
+        pairs = np.bincount(back[train], minlength=len(turned))
+        common = np.argsort(-np.bincount(ends, np.bincount(back)), kind="stable")
+        number_of = np.empty(len(words), np.int64)
+        number_of[common] = np.arange(len(words))
+        sent = []
+        for kind, hashes, names, counts in ((WORD, words, words, np.bincount(ends, pairs)), (PAIR, pair[at], turned, pairs)):
+            order, seg = _dealt(hashes, names, segments)
+            hashes, counts = hashes[order], counts[order]
+            edges = np.searchsorted(seg, np.arange(segments + 1)).tolist()
+            sent += [(s, kind, _packed(_mark(hashes[a:b]) if kind else hashes[a:b], KEY[kind]), _packed(counts[a:b], 4))
+                     for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        words, told = _packed(words[common]), pa.compress(_packed(number_of[ends[back]], 4), "zstd", asbytes=True)
+        # A task that is run again on rows in another order must not pass for the first: the name follows the content.
+        name = -1 - int.from_bytes(hashlib.blake2b(b"%d %d " % (TaskContext.get().partitionId(), number) + words + told, digest_size=7).digest())
+        rows = [(place, name, kind, x, y, None, None) for place, kind, x, y in sent]
+        return _travel(*rows, (name, name, TEXTS, words, told, ids, sizes)).to_batches()
+
+    def cut(batches):
+        held, size, number = [], 0, 0
         for batch in batches:
-            for _, n, h, rows in hashed_words(texts(batch), limit=1 << 19):
-                token, _, pair = tokens(h, rows, n)
-                held.append((token, pair))
+            ids, train = batch.column("doc_id").to_pylist(), batch.column("train").to_numpy(zero_copy_only=False)
+            for first, n, h, rows in hashed_words(texts(batch), limit=1 << 19):
+                token, owner, pair = tokens(h, rows, n)
+                held.append((pair, token, train[first + owner], ids[first:first + n], np.bincount(owner, minlength=n).tolist()))
                 size += len(token)
-                if size > 1_000_000:
-                    yield from send(held)
-                    held, size = [], 0
+                if size >= full:
+                    yield from send(held, number)
+                    held, size, number = [], 0, number + 1
         if held:
-            yield from send(held)
+            yield from send(held, number)
 
-    def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unpacked(x.as_py()) for x in table["keys"]])
-        n = np.concatenate([_unpacked(x.as_py()) for x in table["counts"]]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, n = keys[first], np.add.reduceat(n, first)
-        distinct, total = len(keys), int(n.sum())
-        pa.default_memory_pool().release_unused()
-        return pa.table({"kind": pa.array([table["kind"][0].as_py()], pa.int32()), "segment": pa.array([table["segment"][0].as_py()], pa.int32()),
-                         "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_packed(n)], pa.binary()),
-                         "n_distinct": pa.array([distinct], pa.int64()), "n_total": pa.array([total], pa.int64())})
-
-    sent = docs.select("text").mapInArrow(blocks, "kind int, segment int, keys binary, counts binary")
-    return sent.groupBy("kind", "segment").applyInArrow(merge, "kind int, segment int, keys binary, counts binary, n_distinct long, n_total long")
+    return docs.select("doc_id", "text", "train").mapInArrow(cut, TRAVEL)
 
 
 def _places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,136 +162,145 @@ def _tagged(keys: np.ndarray, kind: int) -> np.ndarray:
     return keys | np.uint64(1 << 63) if kind else keys
 
 
-def filters(counts: DataFrame) -> DataFrame:
-    """(segment, size, bits): for each segment a Bloom filter of (n-gram, level), with every level up to the count's own."""
+class Filter:
+    """A log-frequency Bloom filter: it holds (n-gram, level) for every level up to the n-gram's own."""
 
-    def build(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([_tagged(_unpacked(x), kind) for kind, x in zip(table["kind"].to_pylist(), table["keys"].to_pylist())])
-        level = quantise(np.concatenate([_unpacked(x).astype(np.int64) for x in table["counts"].to_pylist()]))
-        size = max(64, int(level.sum()) * BITS_PER_ENTRY // 8 * 8 + 64)
-        bits = np.zeros(size, bool)
+    def __init__(self, keys: np.ndarray, level: np.ndarray, bits_per_entry: int):
+        self.size = max(64, int(level.sum()) * bits_per_entry // 8 * 8 + 64)
+        bits = np.zeros(self.size, bool)
         for q in range(1, int(level.max(initial=0)) + 1):
             place, step = _places(keys[level >= q], q)
             for k in range(PROBES):
-                bits[((place + np.uint64(k) * step) % np.uint64(size)).astype(np.int64)] = True
-        return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()),
-                         "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    return counts.select("kind", "segment", "keys", "counts").groupBy("segment").applyInArrow(build, "segment int, size long, bits binary")
+                bits[((place + np.uint64(k) * step) % np.uint64(self.size)).astype(np.int64)] = True
+        self.bits = np.packbits(bits)
 
-
-@dataclass
-class Slice:
-    """Filters of some segments, end to end."""
-
-    start: np.ndarray  # by segment: place of its first bit, -1 if not here
-    size: np.ndarray
-    bits: np.ndarray   # bytes
-
-    def levels(self, keys: np.ndarray, kind: int, segments: int) -> np.ndarray:
-        """Level of each n-gram by probing level after level until one is missing; 255 where the slice lacks its segment."""
-        keys, back = np.unique(keys, return_inverse=True)  # common n-grams have many levels: each is probed once
-        seg = _segment(keys, segments)
-        out = np.where(self.start[seg] >= 0, 0, 255).astype(np.uint8)
-        alive = np.flatnonzero(out == 0)
-        tagged = _tagged(_mark(keys), 1) if kind else keys
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each n-gram by probing level after level until one is missing."""
+        out, alive = np.zeros(len(keys), np.uint8), np.arange(len(keys))
         for q in range(1, 64):
-            place, step = _places(tagged[alive], q)
-            start, size = self.start[seg[alive]], self.size[seg[alive]].astype(np.uint64)
+            place, step = _places(keys[alive], q)
             for k in range(PROBES):
-                at = start + ((place + np.uint64(k) * step) % size).astype(np.int64)
+                at = ((place + np.uint64(k) * step) % np.uint64(self.size)).astype(np.int64)
                 hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                alive, place, step, start, size = alive[hit], place[hit], step[hit], start[hit], size[hit]
+                alive, place, step = alive[hit], place[hit], step[hit]
             if not len(alive):
                 break
             out[alive] = q
-        return out[back]
+        return out
+
+
+def answers(sent: DataFrame) -> DataFrame:
+    """Rows of TRAVEL back to the blocks: the level of each key that a block sent, and the exact count of each word.
+
+    A segment's task adds up the training counts, builds the segment's filter from them and probes it once for each distinct
+    n-gram that any block asked for, in parts of at most SLICE_BYTES of filter. A last row for block 0 has its number of
+    distinct training words. The filter stays in that task: nothing of it passes the driver, and a segment is as large as
+    half a partition of the documents at any size of the corpus.
+    """
+    most, bits_per_entry = SLICE_BYTES, BITS_PER_ENTRY
+
+    def answer(table: pa.Table) -> pa.Table:
+        kinds = table["kind"].to_numpy()
+        if kinds[0] == TEXTS:
+            return table
+        place, back, number, tagged, counts = table["place"][0].as_py(), {}, {}, [], []
+        for kind in (WORD, PAIR):
+            own = table.filter(pa.array(kinds == kind))
+            keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x, KEY[kind]) for x in own["keys"].to_pylist())])
+            n = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x, 4) for x in own["numbers"].to_pylist())])
+            keys, _, back[kind] = _distinct(keys)
+            # Sums of whole numbers below 2^53 are exact.
+            number[kind] = np.bincount(back[kind], n, len(keys)).astype(np.int64)
+            tagged.append(_tagged(keys, kind))
+            counts.append(number[kind])
+        keys, level = np.concatenate(tagged), quantise(np.concatenate(counts))
+        parts = 1 + int(level.sum()) * bits_per_entry // 8 // most
+        part = mix(keys) % np.uint64(parts)
+        told = np.zeros(len(keys), np.uint8)
+        for x in range(parts):
+            own = np.flatnonzero(part == x) if parts > 1 else slice(None)
+            known = level[own] > 0
+            told[own] = Filter(keys[own][known], level[own][known], bits_per_entry).levels(keys[own])
+        level = {WORD: told[:len(number[WORD])], PAIR: told[len(number[WORD]):]}
+        rows, start = [], {WORD: 0, PAIR: 0}
+        for block, kind, sent in zip(table["block"].to_pylist(), kinds.tolist(), table["keys"]):
+            a = start[kind]
+            b = start[kind] = a + sent.as_buffer().size // KEY[kind]
+            own = back[kind][a:b]
+            rows.append((place, block, kind, level[kind][own].tobytes(), _packed(number[kind][own]) if kind == WORD else None, None, None))
+        rows.append((place, 0, TOTAL, None, None, None, [int((number[WORD] > 0).sum())]))
+        return _travel(*rows)
+
+    return sent.groupBy("place").applyInArrow(answer, TRAVEL)
+
+
+def token_levels(docs: DataFrame, segments: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_known, known_log, levels, words) of every row of ``docs`` (doc_id, text, train), written.
+
+    ``levels`` has two bytes for each token, the levels of its word and its bigram. ``n_known`` and ``known_log`` are exact:
+    tokens seen in training and the sum of log10(c + 0.1) over all tokens. One more row has the number of distinct training
+    words as ``words``, and nothing else. Without ``segments`` there are twice as many as ``docs`` has partitions.
+    """
+    segments = segments or max(1, 2 * docs.rdd.getNumPartitions())
+
+    def home(table: pa.Table) -> pa.Table:
+        names = ["doc_id", "n_tokens", "n_known", "known_log", "levels", "words"]
+        if table["kind"][0].as_py() == TOTAL:
+            words = sum(x[0] for x in table["sizes"].to_pylist())  # one number for each segment
+            return pa.table([pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary())] + [pa.array([words], pa.int64())], names)
+        table = table.sort_by([("kind", "ascending"), ("place", "ascending")])
+        told = {kind: table.filter(pc.equal(table["kind"], kind)) for kind in (WORD, PAIR, TEXTS)}
+        level = {kind: np.frombuffer(b"".join(told[kind]["keys"].to_pylist()), np.uint8) for kind in (WORD, PAIR)}
+        count = np.concatenate([_unpacked(x) for x in told[WORD]["numbers"].to_pylist()]).astype(np.int64)
+        place, [own] = {}, told[TEXTS].to_pylist()
+        n, size = len(own["ids"]), sum(own["sizes"])
+        owner, words = np.repeat(np.arange(n), own["sizes"]), _unpacked(own["keys"])
+        number = _unpacked(pa.decompress(own["numbers"], 4 * size, "zstd", asbytes=True), 4).astype(np.int64)
+        pair = _pairs(words[number], owner)
+        turned, at, back = _distinct(_turned(pair))
+        for kind, order in ((WORD, _dealt(words, words, segments)[0]), (PAIR, _dealt(pair[at], turned, segments)[0])):
+            if len(order) != len(level[kind]):
+                raise ValueError("a block lacks answers of a segment")
+            place[kind] = np.empty(len(order), np.int64)
+            place[kind][order] = np.arange(len(order))
+        word = place[WORD][number]
+        levels = np.stack([level[WORD][word], level[PAIR][place[PAIR][back]]], 1)
+        edges = pa.py_buffer(np.concatenate([[0], 2 * np.cumsum(own["sizes"])]).astype(np.int32))
+        return pa.table([pa.array(own["ids"], pa.int64()), pa.array(own["sizes"], pa.int64()),
+                         pa.array(np.bincount(owner, (count > 0)[word], n).astype(np.int64)), pa.array(np.bincount(owner, np.log10(count + 0.1)[word], n)),
+                         pa.Array.from_buffers(pa.binary(), n, [None, edges, pa.py_buffer(levels.tobytes())]), pa.nulls(n, pa.int64())], names)
+
+    back = answers(blocks(docs, segments)).groupBy("block")
+    return written(back.applyInArrow(home, "doc_id long, n_tokens long, n_known long, known_log double, levels binary, words long"))
 
 
 @dataclass
 class Model:
     docs_tokens: int    # N
     words: int          # V
-    segments: int
-    slices: list[list[int]]
-    filters: DataFrame
-    counts: DataFrame
     trust: np.ndarray = None  # by level of the history: weight of the bigram estimate
 
 
-def fit(docs: DataFrame) -> Model:
-    """Counts and filter of the given documents, all of them; n-grams go to twice as many segments as ``docs`` has partitions."""
-    segments = max(1, 2 * docs.rdd.getNumPartitions())
-    counts = written(count(docs, segments))
-    built = written(filters(counts))
-    sums = counts.filter("kind = 0").agg(F.sum("n_total").alias("n"), F.sum("n_distinct").alias("v")).first()
-    slices, held = [[]], 0
-    for r in built.select("segment", F.length("bits").alias("bytes")).orderBy("segment").collect():  # one number for each segment
-        if held and held + r.bytes > SLICE_BYTES:
-            slices.append([])
-            held = 0
-        slices[-1].append(r.segment)
-        held += r.bytes
-    return Model(sums.n or 0, sums.v or 0, segments, slices, built, counts)
-
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """For every token its levels of word, bigram and history (0 at the begin) in one number, and the first token of every row."""
+    column = batch.column("levels").to_pylist()
+    levels = np.minimum(np.frombuffer(b"".join(column), np.uint8).reshape(-1, 2), 63).astype(np.int32)
+    first = np.cumsum([0, *(len(x) // 2 for x in column)])[:-1]
+    history = np.concatenate([[0], levels[:-1, 0]])
+    history[first] = 0
+    return levels[:, 0] << 12 | levels[:, 1] << 6 | history, first
 
-def token_levels(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text_hash, levels) of every row, written: two bytes for each token, the levels of its word and its bigram.
 
-    One pass for each slice of the filter. A slice is sent to the workers, probed, and freed when the pass is written, as is
-    the table of the pass before; the last pass leaves the texts out.
-    """
-    df = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").withColumn("levels", F.lit(None).cast("binary"))
-    for number, own in enumerate(model.slices):
-        start, size, place = np.full(model.segments, -1, np.int64), np.ones(model.segments, np.int64), 0
-        bits = bytearray()
-        for r in model.filters.filter(F.col("segment").isin(own or [-1])).orderBy("segment").collect():  # at most SLICE_BYTES
-            start[r.segment], size[r.segment] = place, r.size
-            bits += r.bits
-            place += len(r.bits) * 8
-        sent = docs.sparkSession.sparkContext.broadcast(Slice(start, size, np.frombuffer(bytes(bits + b"\0"), np.uint8)))
-        del bits
-        segments, last = model.segments, number + 1 == len(model.slices)
-
-        def probe(batches, sent=sent, last=last):
-            for batch in batches:
-                out, sofar = [], batch.column("levels")
-                for first, n, h, rows in hashed_words(texts(batch), limit=1 << 19):
-                    token, owner, pair = tokens(h, rows, n)
-                    found = np.stack([sent.value.levels(token, 0, segments), sent.value.levels(pair, 1, segments)], 1)
-                    edges = np.searchsorted(owner, np.arange(n + 1))
-                    old = sofar.slice(first, n)
-                    if old.null_count < n:
-                        before = np.frombuffer(b"".join(old.to_pylist()), np.uint8).reshape(-1, 2)
-                        found = np.where(found == 255, before, found)
-                    if last:  # a segment without an n-gram is in no slice
-                        found[found == 255] = 0
-                    raw = found.astype(np.uint8).tobytes()
-                    out += [raw[2 * x:2 * y] for x, y in zip(edges, edges[1:])]
-                kept = [c for c in batch.schema.names[:-1] if not (last and c == "text")]
-                yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "levels"])
-
-        before, df = df, written(df.mapInArrow(probe, (df.drop("text") if last else df).schema))
-        sent.destroy()
-        if number:
-            discard(before)
-    return df
-
-
-def _each(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint8).reshape(-1, 2) for x in batch.column("levels").to_pylist()]
-
-
-def _estimates(levels: np.ndarray, n: int, v: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """p of each token from words alone, p from its bigram, and the level of its history (0 at the begin).
+def _estimates(n: int, v: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every number of ``_cells``: p of the token from words alone, p from its bigram, and the level of its history.
 
     Words are smoothed as by Witten and Bell, the unseen mass shared by as many unseen words as there are seen ones.
     """
-    word, pair = VALUES[np.minimum(levels[:, 0], 63)], VALUES[np.minimum(levels[:, 1], 63)]
-    history = np.concatenate([[0], levels[:-1, 0]])
-    context = np.maximum(VALUES[np.minimum(history, 63)], pair)
+    word, pair, history = (x.ravel() for x in np.indices((64, 64, 64)))
+    word, pair = VALUES[word], VALUES[pair]
+    context = np.maximum(VALUES[history], pair)
     single = np.maximum(word, 0.5) if not leave_out else np.maximum(word - 1, 0.5)
-    one = np.where(single >= 1, single / (n + v), 1.0 / (n + v) if v else 1.0)
+    one = np.where(single >= 1, single / max(n + v, 1), 1.0 / (n + v) if v else 1.0)
     less = 1.0 if leave_out else 0.0
     two = np.maximum(pair - less - 0.5, 0) / np.maximum(context - less, 1)
     return one, two, history
@@ -269,14 +318,14 @@ def calibrate(levels: DataFrame, model: Model, rounds: int = 30) -> np.ndarray:
     n, v = model.docs_tokens, model.words
 
     def grade(batches):
+        one, two, history = _estimates(n, v, True)
+        cell = np.where(two > 0, np.searchsorted(GRADES, np.log10(np.maximum(two, 1e-30) / one)), 0)
+        cell += history * (len(GRADES) + 1)
+        table = np.zeros(64 * (len(GRADES) + 1), np.int64)
         for batch in batches:
-            table = np.zeros(64 * (len(GRADES) + 1), np.int64)
-            for found in _each(batch):
-                one, two, history = _estimates(found, n, v, True)
-                cell = np.where(two > 0, np.searchsorted(GRADES, np.log10(np.maximum(two, 1e-30) / one)), 0)
-                table += np.bincount(np.minimum(history, 63) * (len(GRADES) + 1) + cell, minlength=len(table))
-            i, j = np.nonzero(table.reshape(64, -1))
-            yield pa.record_batch([pa.array(i), pa.array(j), pa.array(table.reshape(64, -1)[i, j])], ["i", "j", "n"])
+            table += np.bincount(cell[_cells(batch)[0]], minlength=len(table))
+        i, j = np.nonzero(table.reshape(64, -1))
+        yield pa.record_batch([pa.array(i), pa.array(j), pa.array(table.reshape(64, -1)[i, j])], ["i", "j", "n"])
 
     cells = levels.select("levels").mapInArrow(grade, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((64, len(GRADES) + 1))
@@ -292,85 +341,23 @@ def calibrate(levels: DataFrame, model: Model, rounds: int = 30) -> np.ndarray:
 
 
 def score(levels: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text_hash, n_tokens, score) of every row of ``token_levels``: log10 of the model's probability of the whole text.
+    """Rows of ``token_levels`` with score, log10 of the model's probability of the whole text, in place of their levels.
 
     p(w | v) = trust(v) * p_bigram(w | v) + (1 - trust(v)) * p_word(w), all from counts that probes of the filter give.
     """
     n, v, trust = model.docs_tokens, model.words, model.trust
 
     def total(batches):
+        one, two, history = _estimates(n, v, False)
+        log = np.log10(trust[history] * two + (1 - trust[history]) * one)
         for batch in batches:
-            out, found = [], _each(batch)
-            for own in found:
-                one, two, history = _estimates(own, n, v, False)
-                w = trust[np.minimum(history, 63)]
-                out.append(float(np.log10(w * two + (1 - w) * one).sum()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(x) for x in found], pa.int64()), pa.array(out, pa.float64())],
-                                  ["doc_id", "text_hash", "n_tokens", "score"])
+            cells, first = _cells(batch)
+            scores = np.add.reduceat(log[cells], first) if len(first) else np.zeros(0)
+            yield pa.record_batch([*(c for c, name in zip(batch.columns, batch.schema.names) if name != "levels"), pa.array(scores, pa.float64())],
+                                  [*(name for name in batch.schema.names if name != "levels"), "score"])
 
-    return levels.mapInArrow(total, "doc_id long, text_hash long, n_tokens long, score double")
-
-
-def base_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text_hash, n_known, known_log): tokens seen in training and the sum of log10(c + 0.1), over all tokens, exactly.
-
-    Frequent words, at most FREQUENT of them by their share, go to the workers; occurrences of the others are counted by
-    document and joined with the counts by word. No other word has more than 1 / FREQUENT of the tokens, so no key is hot.
-    """
-    n = model.docs_tokens
-
-    def frequent(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                k, c = _unpacked(keys).view(np.int64), _unpacked(counts).astype(np.int64)
-                own = c * FREQUENT >= n
-                yield pa.record_batch([pa.array(k[own]), pa.array(c[own])], ["h", "c"])
-
-    def others(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                k, c = _unpacked(keys).view(np.int64), _unpacked(counts).astype(np.int64)
-                own = c * FREQUENT < n
-                yield pa.record_batch([pa.array(k[own]), pa.array(c[own])], ["h", "c"])
-
-    words = model.counts.filter("kind = 0").select("keys", "counts")
-    table = words.mapInArrow(frequent, "h long, c long").toArrow()
-    top, weight = table["h"].to_numpy().astype(np.int64).view(np.uint64), table["c"].to_numpy().astype(np.int64)
-    order = np.argsort(top)
-    sent = docs.sparkSession.sparkContext.broadcast((top[order], np.log10(weight[order] + 0.1)))
-
-    def ask(batches):
-        names = ["doc_id", "text_hash", "h", "times", "known", "known_log"]
-        for batch in batches:
-            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
-            top, logs = sent.value
-            for first, n_rows, h, rows in hashed_words(texts(batch), limit=1 << 19):
-                token, owner, _ = tokens(h, rows, n_rows)
-                at = np.minimum(np.searchsorted(top, token), max(len(top) - 1, 0))
-                hit = top[at] == token if len(top) else np.zeros(len(token), bool)
-                known = np.bincount(owner[hit], minlength=n_rows)
-                sums = np.bincount(owner[hit], logs[at[hit]], n_rows) if hit.any() else np.zeros(n_rows)
-                place = pa.array(np.arange(first, first + n_rows))
-                zero = pa.nulls(n_rows, pa.int64())
-                yield pa.record_batch([ids.take(place), hashes.take(place), zero, zero, pa.array(known.astype(np.int64)), pa.array(sums)], names)
-                rare = np.flatnonzero(~hit)
-                rare = rare[np.lexsort((token[rare], owner[rare]))]
-                if len(rare):
-                    new = np.flatnonzero(np.concatenate([[True], (token[rare][1:] != token[rare][:-1]) | (owner[rare][1:] != owner[rare][:-1])]))
-                    times = np.diff(np.append(new, len(rare)))
-                    place = pa.array(owner[rare][new] + first)
-                    yield pa.record_batch([ids.take(place), hashes.take(place), pa.array(token[rare][new].view(np.int64)), pa.array(times.astype(np.int64)),
-                                           pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.float64())], names)
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(ask, "doc_id long, text_hash long, h long, times long, known long, known_log double")
-    rows = written(rows)
-    unknown = float(np.log10(0.1))
-    asked = rows.filter("h is not null").select("doc_id", "text_hash", "h", "times")
-    told = asked.join(words.mapInArrow(others, "h long, c long"), "h", "left").groupBy("doc_id", "text_hash").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.coalesce(F.log10(F.col("c") + 0.1), F.lit(unknown))).alias("known_log"))
-    every = rows.filter("h is null").select("doc_id", "text_hash", "known", "known_log").unionByName(told)
-    return every.groupBy("doc_id", "text_hash").agg(F.sum("known").alias("n_known"), F.sum("known_log").alias("known_log"))
+    kept = levels.drop("words")
+    return kept.mapInArrow(total, kept.drop("levels").withColumn("score", F.lit(0.0)).schema)
 
 
 def language_scores(docs: DataFrame) -> DataFrame:
@@ -380,18 +367,14 @@ def language_scores(docs: DataFrame) -> DataFrame:
     alone; a NULL doc_id is a training row unless crc32('') mod 10 is 0, which it is, so it is held out. Repeated rows
     give repeated rows. An empty table gives an empty one; without training rows N and V are 0.
     """
+    held_out = remainder("doc_id", 10) == 0
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    train = docs.filter(remainder("doc_id", 10) != 0)
-    model = fit(train)
-    levels = token_levels(docs, model)
-    discard(model.filters)
-    model.trust = calibrate(levels.filter(remainder("doc_id", 10) != 0), model)
-    rows = score(levels, model).groupBy("doc_id", "text_hash").agg(F.first("n_tokens").alias("n_tokens"), F.first("score").alias("score"), F.count("*").alias("times"))
+    levels = token_levels(docs.withColumn("train", ~held_out))
+    rows, train = levels.filter("words is null"), levels.filter("words is null").filter(~held_out)
+    sums = levels.agg(F.sum(F.when(F.col("words").isNull() & ~held_out, F.col("n_tokens"))).alias("n"), F.sum("words").alias("v")).first()
+    model = Model(sums.n or 0, sums.v or 0)
+    model.trust = calibrate(train, model)
     n, v = model.docs_tokens, model.words
     below = float(np.log10(n + 0.1 * (v + 1)))
-    base = base_scores(docs, model).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")
-    both = rows.join(base, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    # Equal rows were counted together: divide, then give each its row again.
-    both = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return both.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", (F.col("n_known") / F.col("times")).cast("long").alias("n_known"),
-                       F.lit(n).cast("long").alias("train_tokens"), (F.col("known_log") / F.col("times") - F.col("n_tokens") * below).alias("base_score"), "score")
+    return score(rows, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+                                     (F.col("known_log") - F.col("n_tokens") * below).alias("base_score"), "score")

@@ -142,3 +142,44 @@ def test_slices_give_the_same_scores(rows, folder, spark, monkeypatch):
 
 def test_language_scores_of_nothing(rows):
     assert lm.language_scores(rows()).count() == 0
+
+
+def test_filter_stays_with_the_workers(spark, rows, folder, monkeypatch):
+    """Nothing is broadcast and nothing binary collected, however many slices the filter has."""
+    monkeypatch.setattr(lm, "SLICE_BYTES", 30_000)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    def refused(*_):
+        raise AssertionError("a broadcast")
+
+    collected, collect = [], type(docs).collect
+
+    def seen(df):
+        collected.extend(f.dataType.typeName() for f in df.schema)
+        return collect(df)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    monkeypatch.setattr(type(docs), "collect", seen)
+    scores = lm.language_scores(docs)
+    assert collected and "binary" not in collected
+    assert scores.count() == docs.count()
+
+
+def test_blocks_give_the_same_scores(spark, rows, folder, monkeypatch):
+    """Blocks of some hundred tokens, with copies in several of them, NULL and repeated ids and texts longer than a block."""
+    pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").limit(120).collect()]
+    pairs = [*pairs, *pairs, (9003, "A a\tb\x0bB c"), (9003, "A a\tb\x0bB c"), (9003, None), (None, "lost words"), (None, ""), (9004, "long " * 2_000)]
+    whole = sorted(lm.language_scores(rows(*pairs)).collect(), key=str)
+    monkeypatch.setattr(lm, "BLOCK", 300)
+    cut = sorted(lm.language_scores(rows(*pairs)).collect(), key=str)
+    assert [r[:5] for r in cut] == [r[:5] for r in whole]
+    assert np.allclose([r[5:] for r in cut], [r[5:] for r in whole], rtol=1e-9)
+    mine = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in cut]
+    assert sorted(mine, key=str) == sorted(expected(pairs), key=str)
+
+
+def test_a_block_without_an_answer_is_an_error(rows, monkeypatch):
+    answers = lm.answers
+    monkeypatch.setattr(lm, "answers", lambda sent: answers(sent).filter(f"kind <> {lm.PAIR} or place <> 0"))
+    with pytest.raises(Exception, match="lacks answers"):
+        lm.language_scores(rows(*[(i, f"some words and a {i}") for i in range(50)])).count()
