@@ -129,7 +129,8 @@ def blocks(docs: DataFrame, segments: int) -> DataFrame:
                      for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         words, told = _packed(words[common]), pa.compress(_packed(number_of[ends[back]], 4), "zstd", asbytes=True)
         # A task that is run again on rows in another order must not pass for the first: the name follows the content.
-        name = -1 - int.from_bytes(hashlib.blake2b(b"%d %d " % (TaskContext.get().partitionId(), number) + words + told, digest_size=7).digest())
+        content = b"%d %d " % (TaskContext.get().partitionId(), number) + words + told + train.tobytes()
+        name = -1 - int.from_bytes(hashlib.blake2b(content, digest_size=7).digest())
         rows = [(place, name, kind, x, y, None, None) for place, kind, x, y in sent]
         return _travel(*rows, (name, name, TEXTS, words, told, ids, sizes)).to_batches()
 
