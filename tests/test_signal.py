@@ -208,6 +208,41 @@ def test_emg_proxy(spark):
     assert out.norm.min() == 0 and out.norm.max() == 1 and out.smoothed.notna().all()
 
 
+def test_emg_query_smooths(spark):
+    """The smoothed form of the query is the fit of order 4 over 9 bins, so it moves them; a recording of fewer has none."""
+    from somnia.plans import load
+    rng = np.random.default_rng(8)
+    rows = [(u, 1000 * u + i, "view", float(rng.normal()), f'{{"k": {rng.integers(0, 100)}}}') for u, n in ((0, 100), (1, 44), (2, 30)) for i in range(n)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double, props string")
+    out = load()["emg_from_signals"].build(type("T", (), {"spark": spark, "events": events})()).orderBy("recording_id", "bin").toPandas()
+    t = np.arange(-4, 5)
+    for rec, of in out.groupby("recording_id"):
+        x = of.emg.dropna().to_numpy()
+        if len(x) < 9:
+            assert of.smoothed.isna().all()
+            continue
+        want = [np.polyval(np.polyfit(t, x[c - 4:c + 5], 4), i - c) for i, c in ((i, min(max(i, 4), len(x) - 5)) for i in range(len(x)))]
+        np.testing.assert_allclose(of.smoothed[of.emg.notna()], want, atol=2e-5)
+        assert np.abs(of.smoothed - of.emg).max() > 1e-3
+    assert sorted(out.recording_id.unique()) == [0, 1, 2]
+
+
+def test_emg_smooths_over_bins_without_a_value(spark, monkeypatch):
+    """A channel that stands still gives bins without a value; the others are smoothed at their own places, in any chunks."""
+    rng = np.random.default_rng(9)
+    fs, n = 1000.0, 6000
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    a[1500:4000] = 0.0
+    monkeypatch.setattr(G, "high_pass_for_emg", lambda df, keys, idx, value, *_, **__: df.select(*keys, idx, value))  # leaves no dust on zeros
+    df = spark.createDataFrame(pd.DataFrame({"rec": 0, "i": np.arange(n), "a": a, "b": b}))
+    outs = [G.emg_from_signals(df, ["rec"], "i", "a", "b", fs, 25.0, 11, chunk=c).orderBy("bin").toPandas() for c in (16, 1 << 14)]
+    np.testing.assert_allclose(outs[0].smoothed, outs[1].smoothed, atol=1e-9)
+    x, t = outs[0].emg.dropna().to_numpy(), np.arange(-5, 6)
+    want = [np.polyval(np.polyfit(t, x[c - 5:c + 6], 4), i - c) for i, c in ((i, min(max(i, 5), len(x) - 6)) for i in range(len(x)))]
+    np.testing.assert_allclose(outs[0].smoothed[outs[0].emg.notna()], want, atol=1e-7)
+    assert 0 < outs[0].emg.isna().sum() == outs[0].smoothed.isna().sum()
+
+
 def test_elastic_follows_interpolation(spark):
     rng = np.random.default_rng(7)
     x, y, u = rng.normal(size=50), rng.integers(0, 5, 50), rng.random(50) * 2 - 1
