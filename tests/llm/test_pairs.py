@@ -158,6 +158,45 @@ def test_vectors(spark, monkeypatch):
     assert vectors.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_are_not_dealt_to_their_partners(spark, monkeypatch):
+    """Blocks are read where they lie: what compares them shuffles nothing, and links over blocks and tiles are those of brute force."""
+    monkeypatch.setattr(vectors, "TILE", 4)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 40)).astype(np.float32)
+    x[300:] = x[rng.integers(0, 60, 300)] + 0.25 * rng.normal(size=(300, 40)).astype(np.float32)  # some of them stand near 0.9
+    plans, write = [], vectors.written
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df)
+
+    monkeypatch.setattr(vectors, "written", seen)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in vectors.links(table).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    assert near.sum() > 2 * len(x)
+    low = np.arange(len(x))
+    for _ in range(len(x)):
+        low = np.where(near, low[None], len(x)).min(1)
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(1) - 1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == low.tolist()
+    compared = [plan for columns, plan in plans if columns == ["row", "n", "hub"]]
+    assert len(compared) == 1 and "Exchange" not in compared[0]
+
+
+def test_bound_of_vectors():
+    rng = np.random.default_rng(6)
+    for size in (2, 24, 64):
+        x = rng.normal(size=(200, size))
+        x[100:] = x[:100] + 0.3 * rng.normal(size=(100, size))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        low = vectors.bounded(x)
+        assert ((low @ low.T) - x @ x.T > -1e-5).all()
+        i, j = vectors.block_links(x, x, 0.9, True)
+        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.9)) if a < b}
+
+
 def test_shards(spark, rows, folder, monkeypatch):
     monkeypatch.setattr(sharding, "CHUNK_ROWS", 37)
     pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
