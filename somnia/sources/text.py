@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from somnia.functions.scalar import bare_suffix, pad_suffix
 from somnia.operators.project import stage_name
 from somnia.schemas import INTERVALS
 from somnia.session import discard, materialise
 
-FOLDERS_PER_TASK, ROWS_PER_TASK = 200, 1_000_000
+FOLDERS_PER_TASK, ROWS_PER_TASK, READ_PER_TASK = 200, 1_000_000, 1 << 24
 
 
 def parse_signal(lines: DataFrame, keys: list[str], line: str = "value") -> DataFrame:
@@ -85,39 +89,122 @@ def mixed_specs(parsed: DataFrame, keys: list[str]) -> DataFrame:
         F.col("_lo") != F.col("_hi")).drop("_lo", "_hi")
 
 
+@contextmanager
+def _listing(spark: SparkSession):
+    """Folders listed by a few tasks for each core; the default starts a task for each folder, up to 10,000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 8 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_intervals(spark: SparkSession, path: str, kind: str = "ids") -> DataFrame:
-    """Sparse hypnogram: ``.ids`` is comma separated without header, ``.tsv`` has one. Folders' columns follow."""
+    """Sparse hypnogram: ``.ids`` is comma separated without header, ``.tsv`` has one. Folders' columns follow.
+
+    Spark would give each few small files a task of their own; here tasks follow the bytes, or the cores if that is more.
+    """
     tab = kind == "tsv"
-    return spark.read.schema(INTERVALS).csv(path, sep="\t" if tab else ",", header=tab)
+    with _listing(spark):
+        rows = spark.read.schema(INTERVALS).csv(path, sep="\t" if tab else ",", header=tab)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.coalesce(max(size // READ_PER_TASK + 1, 16 * spark.sparkContext.defaultParallelism))
 
 
-def _by_recording(df: DataFrame, by: list[str], order: str, columns: list, write: Callable[[DataFrameWriter], None]) -> None:
-    """``write`` with a folder per recording, its rows in order over the part files; a large recording has several tasks.
+def _by_recording(df: DataFrame, path: str, by: list[str], order: str, columns: list, kind: str, **options) -> None:
+    """A folder per recording, its rows in order over the part files; a large recording has several tasks.
 
     Making a file takes far longer than filling it, so the tasks follow the number of recordings too, which their bytes
-    do not tell, and each task puts its own folders in place when it ends instead of the driver all of them at the end.
+    do not tell. Where the folder is a local or mounted one, the tasks make the files themselves; elsewhere Spark does,
+    and each task puts its own folders in place when it ends instead of the driver all of them at the end.
     """
     if not by:
-        return write(df.orderBy(order).select(*columns).write.mode("overwrite"))
-    rows = materialise(df.select(*by, F.col(order).alias("_order"), *columns))
+        return df.orderBy(order).select(*columns).write.mode("overwrite").options(**options).format(kind).save(path)
+    empty = {n for n, t in df.dtypes if t == "string"}  # an empty name is none: both lie in one folder
+    named = [F.when(F.col(c) != "", F.col(c)).alias(c) if c in empty else F.col(c) for c in by]
+    rows = materialise(df.select(*named, F.col(order).alias("_order"), *columns))
     size = rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64(*by)).alias("folders")).first()
     tasks = max(1, -(-size.folders // FOLDERS_PER_TASK), -(-size.rows // ROWS_PER_TASK))
     placed = rows.repartitionByRange(tasks, *by, "_order").sortWithinPartitions(*by, "_order").drop("_order")
-    write(placed.write.mode("overwrite").partitionBy(*by).option("mapreduce.fileoutputcommitter.algorithm.version", "2"))
+    spark = df.sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":
+        fs.delete(to, True)
+        fs.mkdirs(to)
+        _make_files(placed, fs.makeQualified(to).toUri().getPath(), by, kind, options)
+        fs.create(spark._jvm.org.apache.hadoop.fs.Path(to, "_SUCCESS")).close()
+    else:
+        placed.write.mode("overwrite").partitionBy(*by).option("mapreduce.fileoutputcommitter.algorithm.version", "2").options(**options).format(kind).save(path)
     discard(rows)
 
 
+#: Characters of a value that Spark writes as % and two digits in a folder's name.
+_ESCAPED = str.maketrans({c: f"%{ord(c):02X}" for c in [*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"]})
+
+
+def _make_files(placed: DataFrame, top: str, by: list[str], kind: str, options: dict) -> None:
+    """Files as Spark's writer would name and fill them, for rows sorted by ``by``.
+
+    Hadoop's local file system starts several processes to set the permissions of each file and folder, which takes a
+    hundred times as long as making them. A file gets its name when it is whole, and that name follows from the task's
+    number, so what a task that runs again has left is replaced.
+    """
+    names = [c for c in placed.columns if c not in by]
+    sep, job = options.get("sep", ","), uuid.uuid4()
+    line = F.to_csv(F.struct(*names), {"sep": sep}) if kind == "csv" else F.coalesce(names[0], F.lit(""))
+    head = f"{sep.join(names)}\n".encode() if options.get("header") else b""
+    ending = "txt" if kind == "text" else kind
+
+    def folder(values) -> str:
+        parts = (f"{c.translate(_ESCAPED)}={v.translate(_ESCAPED) if v else '__HIVE_DEFAULT_PARTITION__'}" for c, v in zip(by, values))
+        return os.path.join(top, *parts)
+
+    def make(batches):
+        context = TaskContext.get()
+        name = f"part-{context.partitionId():05d}-{job}.c000.{ending}"
+        draft = f".{name}.{context.taskAttemptId()}"
+        at, file, made = None, None, 0
+
+        def close():
+            if file:
+                file.close()
+                os.replace(os.path.join(at, draft), os.path.join(at, name))
+
+        try:
+            for batch in batches:
+                for *values, text in zip(*(column.to_pylist() for column in batch.columns)):
+                    if (here := folder(values)) != at:
+                        close()
+                        at, file = here, None
+                        os.makedirs(at, exist_ok=True)
+                        file = open(os.path.join(at, draft), "wb")
+                        file.write(head)
+                        made += 1
+                    file.write(text.encode() + b"\n")
+            close()
+        except BaseException:
+            if file and not file.closed:
+                file.close()
+            raise
+        yield pa.record_batch([pa.array([made])], ["made"])
+
+    placed.select(*[F.col(c).cast("string") for c in by], line.alias("_line")).mapInArrow(make, "made long").agg(F.sum("made")).collect()
+
+
 def _write_ids(df: DataFrame, path: str, by: list[str]) -> None:
-    _by_recording(df, by, "init_sec", ["init_sec", "dur_sec", "stage"], lambda w: w.csv(path, header=False))
+    _by_recording(df, path, by, "init_sec", ["init_sec", "dur_sec", "stage"], "csv", header=False)
 
 
 def _write_tsv(df: DataFrame, path: str, by: list[str]) -> None:
-    _by_recording(df, by, "init_sec", ["init_sec", F.col("dur_sec").alias("duration_sec"), "stage"], lambda w: w.csv(path, header=True, sep="\t"))
+    _by_recording(df, path, by, "init_sec", ["init_sec", F.col("dur_sec").alias("duration_sec"), "stage"], "csv", header=True, sep="\t")
 
 
 def _write_hyp(df: DataFrame, path: str, by: list[str]) -> None:
     """One stage name per line, in epoch order over the part files of each recording."""
-    _by_recording(df, by, "epoch_idx", [stage_name("stage").alias("value")], lambda w: w.text(path))
+    _by_recording(df, path, by, "epoch_idx", [stage_name("stage").alias("value")], "text")
 
 
 def _write_table(df: DataFrame, path: str, by: list[str]) -> None:

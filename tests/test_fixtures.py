@@ -230,6 +230,32 @@ def test_sinks_spread_recordings_over_tasks(spark, tmp_path):
     assert sorted((r or 0, *x) for r, *x in got.collect()) == [(max(i - 449, 0), i, 30, "W") for i in range(900)]
 
 
+def test_sinks_make_files_as_spark_would(spark, tmp_path):
+    """Folder names, quoting, headers and order are those of Spark's writer, without a process started for each file."""
+    import os
+    odd = ["a b", "x=1/2", "50%", "", "7", "q'\"[{^", "a:b?", "\u00fc\t", "\x7f"]
+    rows = [(r, 10 * i, 30, s) for r in odd for i, s in enumerate(["W", 'say "N1", ', "", None, " pad ", "tab\tbed"])]
+    spans = spark.createDataFrame(rows, "recording_id string, init_sec long, dur_sec long, stage string").repartition(4)
+    for kind, options, columns in (("ids", {"header": False}, ["init_sec", "dur_sec", "stage"]), ("tsv", {"header": True, "sep": "\t"}, ["init_sec", "dur_sec AS duration_sec", "stage"])):
+        X.save_prediction(spans, str(tmp_path / f"a.{kind}"))
+        spans.selectExpr("recording_id", *columns).repartition(1).sortWithinPartitions("recording_id", "init_sec").write.partitionBy("recording_id").options(**options).csv(str(tmp_path / f"b.{kind}"))
+        texts = lambda top: {f.parent.name: f.read_bytes() for f in top.glob("*/part-*.csv")}
+        assert texts(tmp_path / f"a.{kind}") == texts(tmp_path / f"b.{kind}") and len(texts(tmp_path / f"a.{kind}")) == len(odd)
+        assert (tmp_path / f"a.{kind}" / "_SUCCESS").exists() and not [f for f in (tmp_path / f"a.{kind}").rglob(".part-*") if not f.name.endswith(".crc")]
+        X.save_prediction(spans.where("recording_id = '7'"), str(tmp_path / f"a.{kind}"))  # replaces what was there
+        assert [f.name for f in (tmp_path / f"a.{kind}").glob("*=*")] == ["recording_id=7"]
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+    two = spark.createDataFrame([(a, b, i, 30, "W") for i, (a, b) in enumerate([(None, 1), ("", 1), (None, 2), ("", 2), ("x", 1)])], "a string, b int, init_sec long, dur_sec long, stage string")
+    X.save_prediction(two, str(tmp_path / "e.ids"), by=["a", "b"])
+    assert sorted((r.a, r.b, r.init_sec) for r in X.read_intervals(spark, str(tmp_path / "e.ids")).na.fill("-", ["a"]).collect()) == [("-", 1, 0), ("-", 1, 1), ("-", 2, 2), ("-", 2, 3), ("x", 1, 4)]
+    started = lambda: int(next(x for x in open("/proc/stat") if x.startswith("processes")).split()[1])
+    many = spark.range(2000).selectExpr("id AS recording_id", "id AS init_sec", "30 AS dur_sec", "'W' AS stage")
+    X.save_prediction(many, str(tmp_path / "c.ids"))  # workers are up
+    before = started()
+    X.save_prediction(many, str(tmp_path / "d.ids"))
+    assert started() - before < 2000 and len(os.listdir(tmp_path / "d.ids")) == 2000 + 2  # and the marker with its checksum
+
+
 def test_labels_outside_the_classes_are_an_error(spark):
     df = spark.createDataFrame([(0, i, s) for i, s in enumerate([9, 9, 1, None])], "rec int, i long, stage int")
     with pytest.raises(Exception, match="label 9 is not among"):
