@@ -17,7 +17,16 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32  # A-Z
 FACTOR = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
+
+
+class Kept(list):
+    """A list that tasks get empty, as functions of this package are sent with what they name: each process fills its own."""
+
+    def __reduce__(self):
+        return type(self), ()
+
+
+_POWERS = Kept()
 
 
 def remainder(id_col: str, modulus: int) -> Column:

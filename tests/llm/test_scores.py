@@ -165,6 +165,18 @@ def test_filter_stays_with_the_workers(spark, rows, folder, monkeypatch):
     assert scores.count() == docs.count()
 
 
+def test_powers_are_not_sent(spark):
+    """What the driver has hashed does not make the functions that tasks get any larger, up to a broadcast."""
+    import pyarrow as pa
+    from pyspark import cloudpickle
+    from somnia.llm import common
+    column = pa.array(["a b " * 50_000, "B c"], pa.large_string())
+    here = [h.tolist() for _, _, h, _ in common.hashed_words(column)]
+    assert len(common._POWERS[0]) >= 1 << 16
+    sent = cloudpickle.dumps(common.hashed_words)
+    assert len(sent) < 100_000 and [h.tolist() for _, _, h, _ in cloudpickle.loads(sent)(column)] == here
+
+
 def test_blocks_give_the_same_scores(spark, rows, folder, monkeypatch):
     """Blocks of some hundred tokens, with copies in several of them, NULL and repeated ids and texts longer than a block."""
     pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").limit(120).collect()]
